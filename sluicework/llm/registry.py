@@ -3,7 +3,17 @@
 from __future__ import annotations
 
 from .media_ts import op1_media_transport_stream
+from .pattern_packing import op3_pattern_packing
 from .piece_codec import op7_piece_encode_decode
+from .token_counts import op8_transducer_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_media_transport_stream, op7_piece_encode_decode)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_media_transport_stream,
+        op3_pattern_packing,
+        op7_piece_encode_decode,
+        op8_transducer_token_counts,
+    )
+}
 ORACLE: dict[str, str] = {}
