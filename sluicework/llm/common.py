@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship
+
 #: Rows of an Arrow batch; texts of a few MB still fit a worker's memory.
 BATCH_ROWS = 1000
 #: Bytes after which a Python stage hands on what it has made.
@@ -17,6 +19,7 @@ FLUSH_BYTES = 8 << 20
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The whole table; Spark's reader alone opens the path."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
