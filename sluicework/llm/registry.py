@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from .language_profiles import op6_hyperdimensional_language
 from .media_ts import op1_media_transport_stream
 from .pattern_packing import op3_pattern_packing
 from .piece_codec import op7_piece_encode_decode
+from .secret_scan import op4_secret_scan
 from .token_counts import op8_transducer_token_counts
+from .toxicity_cnn import op2_toxicity_cnn
 
 QUERIES = {
     f.__name__: f
     for f in (
         op1_media_transport_stream,
+        op2_toxicity_cnn,
         op3_pattern_packing,
+        op4_secret_scan,
+        op6_hyperdimensional_language,
         op7_piece_encode_decode,
         op8_transducer_token_counts,
     )
