@@ -6,6 +6,7 @@ from .language_profiles import op6_hyperdimensional_language
 from .media_ts import op1_media_transport_stream
 from .pattern_packing import op3_pattern_packing
 from .piece_codec import op7_piece_encode_decode
+from .polytope_dedup import op9_polytope_near_dedup
 from .secret_scan import op4_secret_scan
 from .token_counts import op8_transducer_token_counts
 from .toxicity_cnn import op2_toxicity_cnn
@@ -20,6 +21,7 @@ QUERIES = {
         op6_hyperdimensional_language,
         op7_piece_encode_decode,
         op8_transducer_token_counts,
+        op9_polytope_near_dedup,
     )
 }
 ORACLE: dict[str, str] = {}
