@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .fm_dedup import op10_fm_substring_dedup
 from .language_profiles import op6_hyperdimensional_language
 from .media_ts import op1_media_transport_stream
 from .pattern_packing import op3_pattern_packing
@@ -22,6 +23,7 @@ QUERIES = {
         op7_piece_encode_decode,
         op8_transducer_token_counts,
         op9_polytope_near_dedup,
+        op10_fm_substring_dedup,
     )
 }
 ORACLE: dict[str, str] = {}
