@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .fm_dedup import op10_fm_substring_dedup
+from .hamming_dedup import op5_hamming_near_dedup
 from .language_profiles import op6_hyperdimensional_language
 from .media_ts import op1_media_transport_stream
 from .pattern_packing import op3_pattern_packing
@@ -19,6 +20,7 @@ QUERIES = {
         op2_toxicity_cnn,
         op3_pattern_packing,
         op4_secret_scan,
+        op5_hamming_near_dedup,
         op6_hyperdimensional_language,
         op7_piece_encode_decode,
         op8_transducer_token_counts,
