@@ -163,7 +163,6 @@ def matches(index: FMIndex, words: np.ndarray, first: np.ndarray, windows: np.nd
 _FOUND = pa.schema([("anchor", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("times", pa.int64()), ("doc_id", pa.int64())])
 _CONTENT = pa.schema([("anchor", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("times", pa.int64()), ("blocks", pa.int32()), ("content", pa.binary())])
 _MASKS = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("mask", pa.int64())])
-_KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
 
 def _ids(b: pa.RecordBatch) -> list:
@@ -272,8 +271,10 @@ def verdicts(docs: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WOR
     return checkpoint(segments.where("times > 1").select("h1", "h2", F.lit(-1).cast("long").alias("mask")).unionByName(searched))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept: the words that stay, joined by a space) of every row."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept: the words that stay, joined by a space) of every row, and `carried`, a struct of the columns named."""
+    carried = F.struct(*(F.col(c) for c in carry)) if carry else F.struct(F.lit(0).alias("_"))
+    held = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), carried.alias("carried"))
     docs = id_and_text(docs, id_col, text_col)
     known = verdicts(docs, window)
 
@@ -290,33 +291,34 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     masks = had.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2", "mask")).alias("masks")).withColumnRenamed("doc_id", "masked")
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
-            for b in batches:
-                words = Words(b.column("text"))
-                seg = Segments(words, window)
-                lists = [{(m["h1"], m["h2"]): m["mask"] for m in ms or ()} for ms in b.column("masks").to_pylist()]
-                cover = np.zeros(len(words.hash) + 1, np.int64)
-                for t, f, n, h1, h2 in zip(seg.text.tolist(), seg.first.tolist(), seg.windows.tolist(), seg.h1.tolist(), seg.h2.tolist(), strict=True):
-                    m = lists[t].get((h1, h2)) if lists[t] else None
-                    if m == -1:
-                        cover[f] += 1
-                        cover[f + n + window - 1] -= 1
-                    elif m:
-                        for k in range(n):
-                            if m >> k & 1:
-                                cover[f + k] += 1
-                                cover[f + k + window] -= 1
-                stays = np.cumsum(cover[:-1]) == 0
-                data = words.data.tobytes()
-                for k, i in enumerate(_ids(b)):
-                    a, z = words.first[k], words.first[k + 1]
-                    own = stays[a:z]
-                    kept = [data[s:e] for s, e in zip(words.start[a:z][own].tolist(), words.end[a:z][own].tolist(), strict=True)]
-                    yield i, int(z - a), int(z - a - len(kept)), b" ".join(kept).decode()
-
-        return emit(rows(), _KEPT, lambda r: len(r[3]) + 32)
-
-    return docs.join(masks, docs["doc_id"].eqNullSafe(masks["masked"]), "left").select("doc_id", "text", "masks").mapInArrow(removed, "doc_id long, n_words long, n_removed long, kept string")
+        for b in batches:
+            words = Words(b.column("text"))
+            seg = Segments(words, window)
+            lists = [{(m["h1"], m["h2"]): m["mask"] for m in ms or ()} for ms in b.column("masks").to_pylist()]
+            cover = np.zeros(len(words.hash) + 1, np.int64)
+            for t, f, n, h1, h2 in zip(seg.text.tolist(), seg.first.tolist(), seg.windows.tolist(), seg.h1.tolist(), seg.h2.tolist(), strict=True):
+                m = lists[t].get((h1, h2)) if lists[t] else None
+                if m == -1:
+                    cover[f] += 1
+                    cover[f + n + window - 1] -= 1
+                elif m:
+                    for k in range(n):
+                        if m >> k & 1:
+                            cover[f + k] += 1
+                            cover[f + k + window] -= 1
+            stays = np.cumsum(cover[:-1]) == 0
+            data, kept, left = words.data.tobytes(), [], []
+            for a, z in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
+                own = stays[a:z]
+                own = [data[s:e] for s, e in zip(words.start[a:z][own].tolist(), words.end[a:z][own].tolist(), strict=True)]
+                left.append(len(own))
+                kept.append(b" ".join(own).decode())
+            n = np.diff(words.first)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(n - np.array(left, np.int64)), pa.array(kept, pa.string()), b.column("carried")], names=["doc_id", "n_words", "n_removed", "kept", "carried"])
+
+    kind = held.schema["carried"].dataType.simpleString()
+    joined = held.join(masks, held["doc_id"].eqNullSafe(masks["masked"]), "left").select("doc_id", "text", "masks", "carried")
+    return joined.mapInArrow(removed, f"doc_id long, n_words long, n_removed long, kept string, carried {kind}")
 
 
 def op10_fm_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 A text's set of word shingles is hashed by `HASHES` functions; of each least hash one byte is
 kept. Two signatures differ in about a share (1 - similarity) of their bytes, so a
-pair at the similarity asked for differs in more than `distance` bytes with probability below 1e-4 (less
-the more alike it is).
+pair at the similarity asked for differs in more than `distance` bytes with a probability below MISS (far
+less the more alike it is); `distance` follows from the similarity.
 
 A signature is cut into so many chunks that of `distance` differing bytes at most one falls into
 some chunk (pigeonhole). Each chunk is entered under every choice of one byte left
@@ -18,6 +18,7 @@ empty set and no links; one with fewer words than a shingle is one shingle; a ro
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,8 +32,8 @@ from .components import components
 from .polytope_dedup import Forest
 from .words import BASES, U, Words, mix, span_hashes
 
-#: Words of a shingle, links at this many percent, bytes of a signature and how many may differ, members of a block, seed.
-SHINGLE, PERCENT, HASHES, DISTANCE, BLOCK, SEED = 3, 85, 64, 21, 512, 5
+#: Words of a shingle, links at this many percent, bytes of a signature, chance to miss a pair just there, members of a block, seed.
+SHINGLE, PERCENT, HASHES, MISS, BLOCK, SEED = 3, 85, 64, 1e-4, 512, 5
 #: Rows (of two numbers each) up to which cluster labels are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -80,12 +81,23 @@ class Sets:
         return out
 
 
+def distance_at(percent: int, hashes: int = HASHES, miss: float = MISS) -> int:
+    """Bytes that may differ so that a pair of this similarity is within them but for a chance of `miss` (21 at 85 percent)."""
+    p = (1 - percent / 100) * (1 - 1 / 256)
+    below = 0.0
+    for d in range(hashes + 1):
+        below += math.comb(hashes, d) * p**d * (1 - p) ** (hashes - d)
+        if 1 - below <= miss:
+            return d
+    return hashes
+
+
 def chunks(hashes: int, distance: int) -> list[np.ndarray]:
     """Places of each chunk: so many that `distance` errors leave at most one in some chunk."""
     return np.array_split(np.arange(hashes), max(1, (distance + 2) // 2))
 
 
-def keys(signatures: np.ndarray, distance: int = DISTANCE) -> np.ndarray:
+def keys(signatures: np.ndarray, distance: int) -> np.ndarray:
     """n x hashes keys: each chunk with one of its bytes left out."""
     n, hashes = signatures.shape
     out = np.empty((n, hashes), np.int64)
@@ -200,9 +212,10 @@ def _dealt(rows: DataFrame, group: str, *more: str) -> DataFrame:
     return out
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, distance: int | None = None, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
     spark = docs.sparkSession
+    distance = distance_at(percent) if distance is None else distance
     docs = id_and_text(docs, id_col, text_col)
     rows = checkpoint(signed(docs, shingle))
     usable = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)

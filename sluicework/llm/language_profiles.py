@@ -22,7 +22,7 @@ from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, emit, texts
+from .common import documents
 
 UNKNOWN = "und"
 #: Texts a language is learned from at most, about; dimensions; letters of an n-gram; seed.
@@ -152,24 +152,18 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col
     return learn(sorted((r[0], r[1]) for r in rows))
 
 
-OUT = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
-
-
-def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score) of every row."""
+def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, lang_pred, score) of every row, and `carried`, a struct of the columns named."""
     sent = SparkContext.getOrCreate().broadcast(profiles)  # languages x dimensions
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, v = sent.value, worker_vectors()
+        for b in batches:
+            made = [predict(p, v, t) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64()), b.column("carried")], names=["doc_id", "lang_pred", "score", "carried"])
 
-        def rows():
-            for ids, ts in texts(batches):
-                for i, t in zip(ids, ts, strict=True):
-                    yield i, *predict(p, v, t)
-
-        return emit(rows(), OUT)
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    held = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), (F.struct(*(F.col(c) for c in carry)) if carry else F.struct(F.lit(0).alias("_"))).alias("carried"))
+    return held.mapInArrow(run, f"doc_id long, lang_pred string, score double, carried {held.schema['carried'].dataType.simpleString()}")
 
 
 def op6_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame:

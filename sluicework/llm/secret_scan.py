@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, documents, id_and_text
+from .common import checkpoint, documents
 
 #: The base patterns (fixed values), and the length that a match, or its second group, must have.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -111,19 +111,19 @@ def _battery(r: Column) -> Column:
     return F.when(r["alphabet"] != "", F.transform(F.array(moments), rest)[0])
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, base: spans of the patterns, runs: what was tested beside them)."""
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, base: spans of the patterns, runs: what was tested beside them), and `carried`, a struct of the columns named."""
     text = F.col("text")
-    base = id_and_text(docs, id_col, text_col).select(
-        "doc_id", "text",
+    more = [F.struct(*(F.col(c) for c in carry)).alias("carried")] if carry else []
+    held = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)
+    base = held.select(
+        "*",
         F.array_sort(F.concat(_spans(text, ASSIGN, 0, 2, ASSIGN_LEAST), _spans(text, ACCESS, 1), _spans(text, HEX, 2))).alias("base"),
         _spans(text, RUN, 3).alias("candidates"),
-    )
+    )
     free = F.filter("candidates", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    return base.select(
-        "doc_id", "base",
-        F.transform(free, lambda c: F.struct(c.alias("span"), _tested(F.substring(text, c["start"] + 1, c["end"] - c["start"])).alias("test"))).alias("runs"),
-    )
+    runs = F.transform(free, lambda c: F.struct(c.alias("span"), _tested(F.substring(text, c["start"] + 1, c["end"] - c["start"])).alias("test")))
+    return base.select("doc_id", "base", runs.alias("runs"), *(["carried"] if carry else []))
 
 
 def limits(scanned: DataFrame, level: float = LEVEL) -> dict[tuple[str, int], int]:
@@ -137,11 +137,22 @@ def limits(scanned: DataFrame, level: float = LEVEL) -> dict[tuple[str, int], in
     return {(r[0], r[1]): r[2] for r in found.collect()}
 
 
-def spans(scanned: DataFrame, level: float = LEVEL) -> DataFrame:
-    """(doc_id, base, spans): the spans of all kinds by start, then kind. scanned is read twice: checkpoint it."""
-    held = limits_map(limits(scanned, level))
+def spans(scanned: DataFrame, found: dict[tuple[str, int], int]) -> DataFrame:
+    """scanned with its runs judged by what `limits` found: `spans` holds those of all kinds by start, then kind."""
+    held = limits_map(found)
     stays = F.filter("runs", lambda x: x["test"].isNotNull() & (x["test"]["bin"] < F.coalesce(F.try_element_at(held, F.concat_ws("/", x["test"]["encoding"], x["test"]["band"])), F.lit(BINS + 1))))
-    return scanned.select("doc_id", "base", F.array_sort(F.concat("base", F.transform(stays, lambda x: x["span"]))).alias("spans"))
+    return scanned.withColumn("spans", F.array_sort(F.concat("base", F.transform(stays, lambda x: x["span"])))).drop("runs")
+
+
+def redacted(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
+    """The text with each stretch of overlapping spans replaced by the mark."""
+
+    def step(acc: Column, s: Column) -> Column:
+        apart = F.concat(acc["made"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], apart).otherwise(acc["made"]).alias("made"))
+
+    done = F.aggregate(found, F.struct(F.lit(0).alias("at"), F.lit("").alias("made")), step, lambda acc: F.concat(acc["made"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return F.when(F.size(found) > 0, done).otherwise(text)
 
 
 def limits_map(found: dict[tuple[str, int], int]) -> Column:
@@ -157,6 +168,7 @@ def written(found: Column) -> Column:
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of all documents."""
-    found = spans(checkpoint(scan(documents(spark, sf_dir))))
+    scanned = checkpoint(scan(documents(spark, sf_dir)))
+    found = spans(scanned, limits(scanned))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
     return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
