@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluicework.functions.shipping import ship
 from sluicework.llm import fm_dedup, hamming_dedup, language_profiles, pattern_packing, secret_scan
 from sluicework.llm.common import checkpoint, documents
 
@@ -22,7 +21,6 @@ SHINGLE, PERCENT = 5, 80
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; profiles are learned from those that name theirs."""
-    ship(spark)
     profiles = language_profiles.fit(docs)
     told = language_profiles.identify(docs, profiles, carry=COLUMNS)
     return told.where((F.col("lang_pred") != language_profiles.UNKNOWN) & (F.col("score") >= LEAST_COSINE)).select("carried.*")
@@ -30,7 +28,6 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each group of near duplicates; one without an id stays."""
-    ship(spark)
     kept = hamming_dedup.near_duplicates(docs, shingle=SHINGLE, percent=PERCENT).where("kept and doc_id is not null").select("doc_id").distinct()
     named = docs.select(*COLUMNS)
     return named.join(kept, "doc_id").dropDuplicates(["doc_id"]).select(*COLUMNS).unionByName(named.where("doc_id is null"))
@@ -38,7 +35,6 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated passages; one that is nothing else goes."""
-    ship(spark)
     made = fm_dedup.remove_repeats(docs, carry=COLUMNS)
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("carried.text"))
     left = made.where("n_removed = 0 or n_removed < n_words")
@@ -56,7 +52,6 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of each piece of each document in a sequence."""
-    ship(spark)
     return pattern_packing.pack(checkpoint(pattern_packing.pieces(docs)))
 
 

@@ -37,6 +37,7 @@ def checkpoint_dir(spark: SparkSession) -> None:
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint."""
+    ship(df.sparkSession)
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -47,6 +48,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) only, so that extra columns can't clash; a null text is empty."""
+    ship(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 

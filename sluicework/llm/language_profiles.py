@@ -22,6 +22,7 @@ from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship
 from .common import documents
 
 UNKNOWN = "und"
@@ -154,6 +155,7 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col
 
 def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, lang_pred, score) of every row, and `carried`, a struct of the columns named."""
+    ship(docs.sparkSession)
     sent = SparkContext.getOrCreate().broadcast(profiles)  # languages x dimensions
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
