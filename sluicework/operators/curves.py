@@ -83,7 +83,7 @@ def interpolate(points: DataFrame, queries: DataFrame, keys: Sequence[str], x: s
 
 def pchip_slopes(points: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     """Points with monotone slopes `d`: weighted harmonic means inside, one-sided three-point formulas at the ends."""
-    w = Window.partitionBy(*keys).orderBy(x)
+    w = Window.partitionBy(*keys).orderBy("x")
     at = lambda c, k: F.lead(c, k).over(w) if k > 0 else F.lag(c, -k).over(w)
     rows = points.select(*keys, F.col(x).alias("x"), F.col(y).alias("y"))
     for name, k in (("p2", -2), ("p1", -1), ("n1", 1), ("n2", 2)):

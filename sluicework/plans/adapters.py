@@ -62,7 +62,7 @@ def ctes(d: str) -> dict[str, str]:
         "system": """SELECT r_regionkey * 3 + k AS sys_id, r_name AS region, name, 10e0 + 9e0 * r_regionkey AS qnom,
             k * 1.7e0 + 0.4e0 * r_regionkey AS dg, k * 1.7e0 + 0.4e0 * r_regionkey + 11e0 + k AS amt
             FROM region CROSS JOIN (SELECT 0 AS k, 'minimum' AS name UNION ALL SELECT 1, 'nominal' UNION ALL SELECT 2, 'maximum') AS kinds""",
-        "series_pt": ("SELECT user_id AS curve, unix_micros(ts) AS at_us, value AS y FROM events" if d == "spark" else "SELECT user_id AS curve, epoch_us(ts) AS at_us, value AS y FROM events"),
+        "series_pt": ("SELECT user_id AS curve, unix_micros(CAST(ts AS TIMESTAMP)) AS at_us, value AS y FROM events" if d == "spark" else "SELECT user_id AS curve, epoch_us(ts) AS at_us, value AS y FROM events"),
         "series": """SELECT s.curve, CAST(s.at_us - t.t0 AS DOUBLE) / 1000000e0 AS x, s.y FROM series_pt s CROSS JOIN (SELECT min(at_us) AS t0 FROM series_pt) t""",
         "catalog": """SELECT p_partkey AS code, concat(p_brand, '-', CAST(p_size AS VARCHAR(12))) AS family, p_type AS material, p_brand AS type, p_name AS title, p_partkey AS line FROM part""",
         "items": """SELECT l_partkey AS code, CASE WHEN l_partkey % 13 = 0 THEN 0e0 ELSE sum(l_quantity) END AS quantity FROM lineitem GROUP BY l_partkey""",

@@ -1,4 +1,6 @@
 """All queries of the library by name, and their SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import curve_queries
+
+QUERIES: dict = {**curve_queries.QUERIES}
+ORACLE: dict = {**curve_queries.ORACLE}
