@@ -83,6 +83,18 @@ def ctes(d: str) -> dict[str, str]:
         "now_row": """SELECT CASE WHEN doc_id % 20 = 7 THEN concat('new-', CAST(doc_id AS VARCHAR(20))) ELSE concat('doc-', CAST(doc_id AS VARCHAR(20))) END AS id,
             CASE WHEN doc_id % 20 = 5 THEN md5(concat('v2-', CAST(doc_id AS VARCHAR(20)))) ELSE md5(concat('v1-', CAST(doc_id AS VARCHAR(20)))) END AS sha
             FROM documents WHERE doc_id % 20 <> 11""",
+        "md": """SELECT doc_id, 1 + doc_id % 5 AS pages,
+            concat_ws(chr(10), '4.1 Escopo geral do documento', '4.2 Premissas adotadas aqui', '4.3 Criterios de projeto usados', '4.5 Resultado final obtido', '20.6 MPa limite', '8.2 Estado limite geral ....... 30', '3.6 B8T codigo de material', 'x = 3.1 Valor escrito', text) AS src,
+            concat_ws(chr(10), '# Documento', '<!-- p.1 -->', '## 4.1 Escopo geral do documento', CASE WHEN doc_id % 3 = 0 THEN NULL ELSE '4.2 Premissas adotadas aqui' END, CASE WHEN doc_id % 4 = 0 THEN 'ver item 4.3, abaixo' ELSE '- 4.3 Criterios de projeto usados' END, '4.7 Resultado final obtido',
+            'texto supor-', '  tar a carga', 'O  fator   parcial', '| a  b |', CASE WHEN doc_id % 2 = 0 THEN '<!-- p.2 -->' END, CASE WHEN doc_id % 7 = 0 THEN 'Exclusive copy of someone' END, '', '', '',
+            '<!-- formula 1 -->', CASE WHEN doc_id % 2 = 0 THEN '![formula](f1.png)' END, CASE WHEN doc_id % 5 = 0 THEN '`2 s q =`' ELSE '`a = b + c`' END, '3 Generalidades', text) AS md FROM documents""",
+        "md_line": (
+            "SELECT doc_id, line_no, line FROM (SELECT doc_id, posexplode(split(md, '\\n')) AS (line_no, line) FROM md) AS l"
+            if d == "spark"
+            else "SELECT doc_id, CAST(unnest(range(len(string_split(md, chr(10))))) AS INT) AS line_no, unnest(string_split(md, chr(10))) AS line FROM md"
+        ),
+        "page": "SELECT conv_id AS doc, turn + 1 AS page, CASE WHEN conv_id % 4 = 0 AND turn > 1 THEN '' WHEN conv_id % 4 = 1 THEN concat(text, ' ', text, ' ', text, ' ', text) ELSE text END AS text FROM conversations",
+        "override": "SELECT doc_id, CASE WHEN quality = 0 THEN 'D' ELSE '' END AS route, CASE WHEN toxic = 1 THEN 'por' END AS language, CASE WHEN doc_id % 10 = 0 THEN 'X' WHEN doc_id % 10 = 1 THEN 'F' ELSE 'G' END AS extra FROM labels",
     }
 
 
@@ -91,14 +103,13 @@ def with_views(d: str, sql: str) -> str:
     all_views = ctes(d)
     needed: list[str] = []
 
-    def visit(text: str) -> None:
+    def visit(text: str, within: tuple[str, ...]) -> None:
         for name in all_views:
-            if re.search(rf"\b{name}\b", text) and name not in needed:
-                visit(all_views[name])
-                if name not in needed:
-                    needed.append(name)
+            if name not in within and name not in needed and re.search(rf"\b{name}\b", text):
+                visit(all_views[name], (*within, name))
+                needed.append(name)
 
-    visit(sql)
+    visit(sql, ())
     head = ", ".join(f"{n} AS ({all_views[n]})" for n in needed)
     if not head:
         return sql
