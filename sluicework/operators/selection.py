@@ -45,9 +45,10 @@ def required_ratio(points: DataFrame, requests: DataFrame) -> DataFrame:
 def operating_state(points: DataFrame, units: DataFrame, requests: DataFrame, criteria: Criteria) -> DataFrame:
     """Each unit at each request it can reach: speed, frequency, efficiency, powers, cavitation and flow against the best point."""
     at = required_ratio(points, requests)
-    scaled = curves.segments(points, ["unit_id"], "q", ["eta", "npsh"]).where("q1 is not null")
-    held = scaled.select("unit_id", F.col("q").alias("x0"), F.col("q1").alias("x1"), "eta", "eta1", "npsh", "npsh1", "seg")
-    met = at.join(held, "unit_id").where("q_base >= x0 and (q_base < x1 or (q_base = x1 and seg = 30))")
+    last = F.lead("q1").over(Window.partitionBy("unit_id").orderBy("q")).isNull()
+    scaled = curves.segments(points, ["unit_id"], "q", ["eta", "npsh"]).withColumn("last", last).where("q1 is not null")
+    held = scaled.select("unit_id", F.col("q").alias("x0"), F.col("q1").alias("x1"), "eta", "eta1", "npsh", "npsh1", "last")
+    met = at.join(held, "unit_id").where("q_base >= x0 and (q_base < x1 or (q_base = x1 and last))")
     r, t = F.col("ratio"), (F.col("q_base") - F.col("x0")) / (F.col("x1") - F.col("x0"))
     e0, e1 = hy.scaled_efficiency(F.col("eta"), r), hy.scaled_efficiency(F.col("eta1"), r)
     eta = e0 + (e1 - e0) * t
