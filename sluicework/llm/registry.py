@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import oracles
 from .fm_dedup import op10_fm_substring_dedup
 from .hamming_dedup import op5_hamming_near_dedup
 from .language_profiles import op6_hyperdimensional_language
@@ -28,4 +29,4 @@ QUERIES = {
         op10_fm_substring_dedup,
     )
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = dict(oracles.ORACLE)
