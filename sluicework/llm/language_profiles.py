@@ -14,7 +14,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +21,13 @@ from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.shipping import ship
-from .common import documents
+from .common import documents, kept, prepare, sliced
 
 UNKNOWN = "und"
 #: Texts a language is learned from at most, about; dimensions; letters of an n-gram; seed.
 SAMPLE, DIMENSIONS, LETTERS, SEED = 1500, 1024, 3, 20_240
 #: n-gram vectors that a worker keeps before it starts anew.
-KEPT = 25_000
+KEPT = 12_000
 
 
 class Vectors:
@@ -46,7 +44,7 @@ class Vectors:
 
     def _letter(self, cp: int) -> np.ndarray:
         if cp not in self.letters:
-            if len(self.letters) > 20_000:
+            if len(self.letters) > 4_000:
                 self.letters.clear()
             self.letters[cp] = np.random.default_rng((SEED, cp)).integers(0, 2, self.d, dtype=np.int8) * 2 - 1
         return self.letters[cp]
@@ -131,11 +129,6 @@ def predict(p: Profiles, v: Vectors, text: str | None) -> tuple[str, float]:
     return p.languages[k], float(min(1.0, max(0.0, p.prototypes[k] @ b)))
 
 
-@lru_cache(maxsize=1)
-def worker_vectors() -> Vectors:
-    return Vectors()
-
-
 def remainder(id_col: str, n: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
 
@@ -155,12 +148,12 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col
 
 def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, lang_pred, score) of every row, and `carried`, a struct of the columns named."""
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
     sent = SparkContext.getOrCreate().broadcast(profiles)  # languages x dimensions
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, v = sent.value, worker_vectors()
-        for b in batches:
+        p, v = sent.value, kept("language vectors", Vectors)
+        for b in sliced(batches, most=1 << 20):
             made = [predict(p, v, t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64()), b.column("carried")], names=["doc_id", "lang_pred", "score", "carried"])
 

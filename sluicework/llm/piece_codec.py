@@ -13,13 +13,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from hashlib import sha256
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents, emit, id_and_text, texts
+from .common import documents, emit, id_and_text, kept, texts
 
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
@@ -79,12 +78,6 @@ class ChunkTable:
         return ids, "".join(map(self.surface.__getitem__, chunks))[1:]
 
 
-@lru_cache(maxsize=1)
-def chunk_table(path: str) -> ChunkTable:
-    """One table for all tasks of a worker."""
-    return ChunkTable(path)
-
-
 OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.string()), ("decoded", pa.string())])
 _DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
@@ -94,7 +87,7 @@ def encode(docs: DataFrame, path: str | None = None, digest: bool = False, id_co
     path = path or model_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = chunk_table(path)
+        table = kept(("chunks", path), lambda: ChunkTable(path))
 
         def rows():
             for ids, ts in texts(batches):

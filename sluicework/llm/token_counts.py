@@ -24,12 +24,11 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents, emit, id_and_text, texts
+from .common import documents, emit, id_and_text, kept, texts
 
 LIMIT = 1024
 #: Characters of a block; chunks, words and states that a worker keeps before it compiles anew.
@@ -303,10 +302,9 @@ class StateMap:
     tail: str | None
 
 
-@lru_cache(maxsize=1)
 def tokenizer(path: str) -> Tokenizer:
     """One compiled tokenizer for all tasks of a worker."""
-    return Tokenizer(path)
+    return kept(("tokenizer", path), lambda: Tokenizer(path))
 
 
 OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])

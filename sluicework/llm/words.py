@@ -6,7 +6,6 @@ items modulo 2**64, mixed with its length; it does not depend on where the run s
 
 from __future__ import annotations
 
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,16 +14,17 @@ BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 U = np.uint64
 
 
-@lru_cache(maxsize=8)
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**j and base**-j modulo 2**64 for j < n."""
-    up, down = np.full(n, base, U), np.full(n, pow(base, -1, 1 << 64), U)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=U), np.cumprod(down, dtype=U)
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _table(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(base, 1 << max(16, int(n).bit_length()))
+    """base**j and base**-j modulo 2**64 for n values of j and more."""
+    if base not in _POWERS or len(_POWERS[base][0]) < n:
+        n = 1 << max(18, int(n).bit_length())
+        up, down = np.full(n, base, U), np.full(n, pow(base, -1, 1 << 64), U)
+        up[0] = down[0] = 1
+        _POWERS[base] = np.cumprod(up, dtype=U), np.cumprod(down, dtype=U)
+    return _POWERS[base]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
