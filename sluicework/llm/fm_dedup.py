@@ -10,7 +10,7 @@ gives the stretches whose every window occurs at least twice. Segments that occu
 twice as they are need no search. Verdicts return to documents by the segment's digest.
 
 Words stand for 64-bit hashes, segments for 128-bit digests. An anchor with very many
-distinct segments is cut into blocks: each of its segments is searched in every block.
+distinct segments is cut into blocks, and each block is searched in the index of every block.
 
 Defined results: a null text has no words; texts shorter than a window lose nothing; each row is
 a document of its own, so that a repeated row repeats its windows.
@@ -27,11 +27,11 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, documents, emit, id_and_text, shuffle_partitions
+from .common import checkpoint, documents, drop_tables, emit, id_and_text, shuffle_partitions, sliced
 from .words import BASES, U, Words, span_hashes
 
 #: Words of a window and of a k-gram; words of a shard's index; distinct segments of a block.
-WINDOW, GRAM, SHARD_WORDS, BLOCK = 35, 8, 400_000, 4096
+WINDOW, GRAM, SHARD_WORDS, BLOCK = 35, 8, 200_000, 512
 
 class Segments:
     """The segments of a batch: their text, first word (in the batch), windows, anchor and digest."""
@@ -176,7 +176,8 @@ def repeated_segments(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        drop_tables()
+        for b in sliced(batches):
             seg = Segments(Words(b.column("text")), window)
             ids = np.array([np.iinfo(np.int64).max if i is None else i for i in _ids(b)], np.int64)
             if not len(seg.first):
@@ -200,7 +201,7 @@ def _contents(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
-            for b in batches:
+            for b in sliced(batches):
                 words = Words(b.column("text"))
                 seg = Segments(words, window)
                 lists = [{(w["h1"], w["h2"]): w for w in ws} for ws in b.column("wanted").to_pylist()]
@@ -215,22 +216,21 @@ def _contents(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
 
 
 def _shard(rows: list[tuple], window: int) -> Iterator[tuple[int, int, int]]:
-    """(h1, h2, mask) of the segments that are to be searched; rows: (h1, h2, times, indexed, content)."""
+    """(h1, h2, mask) of the segments that are to be searched; rows: (h1, h2, indexed, searched, content)."""
     lengths = np.array([len(r[4]) // 8 for r in rows])
     hashes = np.frombuffer(b"".join(r[4] for r in rows), U)
     _, words = np.unique(hashes, return_inverse=True)
     words = words.astype(np.int64) + 1
     symbols = int(words.max()) + 1
     first = np.cumsum(lengths) - lengths
-    indexed = np.array([r[3] for r in rows])
+    indexed, stream = (np.array([r[k] for r in rows]) for k in (2, 3))
     text = np.zeros(int((lengths[indexed] + 1).sum()), np.int64)  # 0 stands between segments
     keep = np.repeat(indexed, lengths)
     place = np.arange(int(lengths[indexed].sum())) + np.repeat(np.arange(int(indexed.sum())), lengths[indexed])
     text[place] = words[keep]
-    if not len(text):
+    if not len(text) or not stream.any():
         return
     index = FMIndex(text, symbols)
-    stream = np.array([r[2] < 2 for r in rows])
     least = np.where(indexed, 2, 1)[stream]
     masks = matches(index, words, first[stream], lengths[stream] - window + 1, least, window)
     for k, m in zip(np.flatnonzero(stream).tolist(), masks.tolist(), strict=True):
@@ -245,21 +245,27 @@ def verdicts(docs: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WOR
     variants = segments.groupBy("anchor").agg(F.count("*").alias("variants")).where("variants > 1").select("anchor", F.ceil(F.col("variants") / block).cast("int").alias("blocks"))
     contents = _contents(docs, segments.join(variants, "anchor"), window)
     own = F.pmod(F.xxhash64("h1", "h2"), F.col("blocks")).cast("int")
-    dealt = contents.withColumn("own", own).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("shard")).where("times < 2 or shard = own")
-    grouped = dealt.select("anchor", "shard", "h1", "h2", "times", (F.col("own") == F.col("shard")).alias("indexed"), "content")
-    grouped = grouped.repartition(shuffle_partitions(spark), "anchor", "shard").sortWithinPartitions("anchor", "shard")
+    once = F.col("times") < 2  # one that occurs twice as it is need not be searched
+    there = F.struct(F.col("own").alias("low"), F.col("other").alias("high"), F.lit(True).alias("indexed"), (once & (F.col("own") == F.col("other"))).alias("searched"))
+    back = F.struct(F.col("other").alias("low"), F.col("own").alias("high"), F.lit(False).alias("indexed"), F.lit(True).alias("searched"))
+    each = contents.withColumn("own", own).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = each.select("anchor", "h1", "h2", "content", "blocks", F.explode(F.when(once & (F.col("own") != F.col("other")), F.array(there, back)).otherwise(F.array(there))).alias("d"))
+    grouped = dealt.select("anchor", "d.low", "d.high", "blocks", "h1", "h2", "d.indexed", "d.searched", "content")
+    grouped = grouped.repartition(shuffle_partitions(spark), "anchor", "low", "high").sortWithinPartitions("anchor", "low", "high")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_tables()
+
         def rows():
             held: list[tuple] = []
             size, last = 0, None
             for b in batches:
-                for anchor, shard, h1, h2, times, indexed, content in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    if (shard or (last is not None and last[1]) or size >= shard_words) and (anchor, shard) != last and held:
+                for *key, blocks, h1, h2, indexed, searched, content in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    if held and key != last[0] and (blocks > 1 or last[1] > 1 or size >= shard_words):
                         yield from _shard(held, window)
                         held, size = [], 0
-                    last = (anchor, shard)
-                    held.append((h1, h2, times, indexed, content))
+                    last = (key, blocks)
+                    held.append((h1, h2, indexed, searched, content))
                     size += len(content) // 8
             if held:
                 yield from _shard(held, window)
@@ -279,7 +285,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     known = verdicts(docs, window)
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        drop_tables()
+        for b in sliced(batches):
             seg = Segments(Words(b.column("text")), window)
             order = np.lexsort((seg.h2, seg.h1, seg.text))
             t, h1, h2 = seg.text[order], seg.h1[order], seg.h2[order]
@@ -291,7 +298,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     masks = had.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2", "mask")).alias("masks")).withColumnRenamed("doc_id", "masked")
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        drop_tables()
+        for b in sliced(batches):
             words = Words(b.column("text"))
             seg = Segments(words, window)
             lists = [{(m["h1"], m["h2"]): m["mask"] for m in ms or ()} for ms in b.column("masks").to_pylist()]
