@@ -2,17 +2,50 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, emit
+
+_LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+
+class Forest:
+    """Sets of numbers, each named by its least."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        up = self.up
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    def join(self, a: int, b: int) -> None:
+        a, b = self.find(a), self.find(b)
+        if a != b:
+            self.up[max(a, b)] = min(a, b)
+
+
+def _thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A partition's links as stars of the sets that they make."""
+    forest = Forest()
+    for b in batches:
+        for u, v in zip(b.column("u").to_pylist(), b.column("v").to_pylist(), strict=True):
+            forest.join(u, v)
+    return emit(((x, root) for x in list(forest.up) if (root := forest.find(x)) != x), _LINKS)
 
 
 def _large_star(links: DataFrame) -> DataFrame:
-    """Each node's larger neighbours move to the least of it and its neighbours."""
+    """Each node's larger neighbours move to the least of it and its neighbours: one link for each."""
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
@@ -27,11 +60,15 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
     Loops and repeated links do no harm. Each round's lineage is cut by a checkpoint; rounds grow as the logarithm of the longest chain.
     """
-    state = checkpoint(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct())
-    before = None
+    thin = links.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u != v").mapInArrow(_thinned, "u long, v long")
+    state = checkpoint(thin.distinct())
+    summary = lambda s: s.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
+    before = summary(state)
     for _ in range(rounds):
+        if not before[0]:
+            break
         state = checkpoint(_small_star(_large_star(state)))
-        now = state.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
+        now = summary(state)
         if now == before:
             break
         before = now

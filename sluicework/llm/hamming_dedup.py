@@ -27,9 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, documents, emit, id_and_text, shuffle_partitions
-from .components import components
-from .polytope_dedup import Forest
+from .common import checkpoint, documents, drop_tables, emit, id_and_text, shuffle_partitions, sliced
+from .components import Forest, components
 from .words import BASES, U, Words, mix, span_hashes
 
 #: Words of a shingle, links at this many percent, bytes of a signature, chance to miss a pair just there, members of a block, seed.
@@ -120,7 +119,8 @@ def signed(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, h1, h2, signature) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        drop_tables()
+        for b in sliced(batches):
             s = Sets(b.column("text"), shingle)
             h1, h2 = s.digests()
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s.size.astype(np.int64)), pa.array(h1), pa.array(h2), pa.array([r.tobytes() for r in s.signatures()], pa.binary())], schema=_SIGNED)
@@ -233,6 +233,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     grouped = met.select("key", "low", "high", "own", "rep", "signature").repartition(shuffle_partitions(spark), "key", "low", "high").sortWithinPartitions("key", "low", "high")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_tables()
         return emit((f for g in _groups(batches, 3) for f in _within(g, distance)), _FOREST)
 
     near = grouped.mapInArrow(compared, "rep long, root long").select(F.col("rep").alias("u"), F.col("root").alias("v"))
@@ -244,7 +245,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made():
-            for b in batches:
+            for b in sliced(batches):
                 s = Sets(b.column("text"), shingle)
                 h1, h2 = s.digests()
                 for i, (rep, cluster, blocks, a, z) in enumerate(zip(*(b.column(c).to_pylist() for c in ("rep", "cluster", "blocks", "h1", "h2")), strict=True)):
@@ -257,6 +258,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ready = _dealt(sets, "cluster", "shingles").repartition(shuffle_partitions(spark), "cluster", "low", "high").sortWithinPartitions("cluster", "low", "high")
 
     def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_tables()
         return emit((f for g in _groups(batches, 3) for f in _confirmed(g, percent)), _FOREST)
 
     linked = ready.mapInArrow(confirmed, "rep long, root long").select(F.col("rep").alias("u"), F.col("root").alias("v"))

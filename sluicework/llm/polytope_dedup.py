@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpoint, emit, shuffle_partitions, table
-from .components import components
+from .components import Forest, components
 
 COSINE = 0.9
 #: Tables, buckets of a table that a vector enters, members of a block, unrelated vectors that a bucket should hold about (which sets the corners of a key), seed.
@@ -78,11 +78,14 @@ def keys(x: np.ndarray, corners: int, tables: int = TABLES, probes: int = PROBES
     return out
 
 
-def matrix(vectors: list, d: int) -> np.ndarray:
+def matrix(vectors: list | np.ndarray, d: int) -> np.ndarray:
     """Unit rows in double precision, filled with zeros to length d."""
     out = np.zeros((len(vectors), d))
-    for i, v in enumerate(vectors):
-        out[i, : len(v)] = v
+    if isinstance(vectors, np.ndarray):
+        out[:, : vectors.shape[1]] = vectors
+    else:
+        for i, v in enumerate(vectors):
+            out[i, : len(v)] = v
     out /= np.abs(out).max(axis=1, keepdims=True)
     return out / np.linalg.norm(out, axis=1, keepdims=True)
 
@@ -95,8 +98,11 @@ def stored(v: list[float]) -> bytes:
     return narrow.tobytes() if (narrow == wide).all() else wide.tobytes()
 
 
-def restored(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(raw, np.float32 if len(raw) == 4 * n else np.float64)
+def gathered(raw: list[bytes], n: list[int]) -> np.ndarray | list[np.ndarray]:
+    """Stored vectors again: one array where all are of one kind."""
+    if len(set(n)) == 1 and len(set(map(len, raw))) == 1:
+        return np.frombuffer(b"".join(raw), np.float32 if len(raw[0]) == 4 * n[0] else np.float64).reshape(len(raw), n[0])
+    return [np.frombuffer(r, np.float32 if len(r) == 4 * k else np.float64) for r, k in zip(raw, n, strict=True)]
 
 
 def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -108,35 +114,18 @@ def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return least
 
 
-class Forest:
-    def __init__(self) -> None:
-        self.up: dict[int, int] = {}
-
-    def find(self, x: int) -> int:
-        up = self.up
-        while up.setdefault(x, x) != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    def join(self, a: int, b: int) -> None:
-        a, b = self.find(a), self.find(b)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-
-
-HASHED = pa.schema([("rep", pa.int64()), ("copies", pa.int64()), ("length", pa.int32()), ("vector", pa.binary()), ("keys", pa.list_(pa.int64()))])
+HASHED = pa.schema([("rep", pa.int64()), ("copies", pa.int64()), ("length", pa.int32()), ("vector", pa.binary()), ("keys", pa.list_(pa.int64())), ("packed", pa.binary())])
 FOUND = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
 
 def _compare(rows: list[tuple], d: int, threshold: float) -> Iterator[tuple[int, int, int]]:
     """(rep, links, root) of the vectors of one bucket, or of one pair of blocks of it.
 
-    rows: (key, low, high, own, rep, copies, length, vector, keys); two blocks are compared across only.
+    rows: (key, low, high, own, rep, copies, length, vector, packed keys); two blocks are compared across only.
     """
     key, low, high = rows[0][:3]
     own, rep, copies = (np.array([r[k] for r in rows]) for k in (3, 4, 5))
-    x = matrix([restored(r[7], r[6]) for r in rows], d)
+    x = matrix(gathered([r[7] for r in rows], [r[6] for r in rows]), d)
     left, right = (np.flatnonzero(own == low), np.flatnonzero(own == high)) if low != high else (np.arange(len(rows)),) * 2
     i, j = np.nonzero(x[left] @ x[right].T >= threshold - 1e-9)
     i, j = left[i], right[j]
@@ -146,7 +135,7 @@ def _compare(rows: list[tuple], d: int, threshold: float) -> Iterator[tuple[int,
         return
     exact = np.einsum("ij,ij->i", x[i], x[j]) >= threshold
     i, j = i[exact], j[exact]
-    ks = np.array([r[8] for r in rows])
+    ks = np.frombuffer(b"".join(r[8] for r in rows), np.int64).reshape(len(rows), -1)
     counted = np.empty(len(i), bool)
     for s in range(0, len(i), 1 << 16):
         counted[s : s + (1 << 16)] = _first_shared(ks[i[s : s + (1 << 16)]], ks[j[s : s + (1 << 16)]]) == key
@@ -194,18 +183,18 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             for b in batches:
                 if b.num_rows:
                     vs = b.column("embedding").to_pylist()
-                    ks = keys(matrix(vs, d), corners, tables, probes).tolist()
-                    yield from ((r, c, len(v), stored(v), k) for r, c, v, k in zip(b.column("rep").to_pylist(), b.column("copies").to_pylist(), vs, ks, strict=True))
+                    ks = keys(matrix(vs, d), corners, tables, probes)
+                    yield from ((r, c, len(v), stored(v), k.tolist(), k.tobytes()) for r, c, v, k in zip(b.column("rep").to_pylist(), b.column("copies").to_pylist(), vs, ks, strict=True))
 
         return emit(made(), HASHED, lambda r: 1200)
 
-    spread = classes.select("rep", "copies", "embedding").repartition(shuffle_partitions(spark)).mapInArrow(hashed, "rep long, copies long, length int, vector binary, keys array<long>")
+    spread = classes.select("rep", "copies", "embedding").repartition(shuffle_partitions(spark)).mapInArrow(hashed, "rep long, copies long, length int, vector binary, keys array<long>, packed binary")
     spread = checkpoint(spread)
     entered = spread.select("rep", F.explode(F.array_distinct("keys")).alias("key"))
     shared = entered.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
     met = entered.join(shared, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = met.select("key", "rep", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "rep")
-    sent = dealt.join(spread, "rep").select("key", "low", "high", "own", "rep", "copies", "length", "vector", "keys")
+    sent = dealt.join(spread, "rep").select("key", "low", "high", "own", "rep", "copies", "length", "vector", "packed")
     grouped = sent.repartition(shuffle_partitions(spark), "key", "low", "high").sortWithinPartitions("key", "low", "high")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
