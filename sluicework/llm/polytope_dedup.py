@@ -7,6 +7,9 @@ vector also enters the buckets next to its own (the corners it missed by
 least), so that a pair meets if any of their buckets agree. Every pair that meets is verified
 by its cosine in double precision, and counted in the least key that both have.
 
+Keys have more corners the more vectors there are, and each corner more makes a pair miss a table
+more often. The tables follow: as many as a pair at the threshold needs to meet, measured on random pairs.
+
 Equal vectors are one class, compared once. A bucket too large for a task is cut into
 blocks, and pairs of blocks are compared. Tasks hand on each vector's links and a spanning
 forest of them, never pairs.
@@ -32,6 +35,8 @@ from .components import Forest, components
 COSINE = 0.9
 #: Tables, buckets of a table that a vector enters, members of a block, unrelated vectors that a bucket should hold about (which sets the corners of a key), seed.
 TABLES, PROBES, BLOCK, FILL, SEED = 8, 6, 1024, 1 / 32, 99
+#: Share of the pairs at the threshold that may meet in no table, about, at any size; beyond MOST tables a key has a corner less instead.
+MISS, MOST = 0.001, 64
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -78,6 +83,34 @@ def keys(x: np.ndarray, corners: int, tables: int = TABLES, probes: int = PROBES
     return out
 
 
+def misses(d: int, corners: int, threshold: float = COSINE, tables: int = TABLES, probes: int = PROBES, pairs: int | None = None) -> np.ndarray:
+    """Of random pairs of unit vectors at the threshold: tables x pairs, whether they miss in the table."""
+    full = 1 << max(1, (d - 1).bit_length())
+    n = pairs or max(512, min(4096, (1 << 18) // full))
+    rng = np.random.default_rng((SEED, d, corners))
+    a, b = rng.normal(size=(2, n, d))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-300)
+    cosine = min(1.0, max(-1.0, threshold))
+    ka, kb = (keys(x, corners, tables, probes).reshape(n, tables, probes) for x in (a, cosine * a + math.sqrt(1 - cosine**2) * b))
+    return ~(ka[:, :, :, None] == kb[:, :, None, :]).any((2, 3)).T
+
+
+def plan(n: int, d: int, threshold: float = COSINE, tables: int = TABLES, probes: int = PROBES) -> tuple[int, int]:
+    """(corners of a key, tables) for n distinct vectors; `tables` at least."""
+    corners = max(2, math.ceil(math.log(max(2, n / FILL)) / math.log(2 << max(1, (d - 1).bit_length()))))
+    while True:
+        missed = misses(d, corners, threshold, TABLES, probes)
+        one = missed.mean()
+        need = 1 if one <= MISS else math.ceil(math.log(MISS) / math.log(min(one, 1 - 1 / missed.size)))
+        need = max(tables, need)
+        # In few dimensions there are few different rotations: what the tables miss together is looked at.
+        if corners == 1 or need <= MOST and (d > 32 or misses(d, corners, threshold, need, probes).all(0).mean() <= 2 * MISS):
+            return corners, need
+        corners -= 1
+
+
 def matrix(vectors: list | np.ndarray, d: int) -> np.ndarray:
     """Unit rows in double precision, filled with zeros to length d."""
     out = np.zeros((len(vectors), d))
@@ -176,7 +209,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     classes = checkpoint(good.distinct().groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
     size = classes.agg(F.count("*"), F.max(F.size("embedding"))).first()
     n, d = size[0], size[1] or 1
-    corners = max(2, math.ceil(math.log(max(2, n / FILL)) / math.log(2 << max(1, (d - 1).bit_length()))))
+    corners, tables = plan(n, d, threshold, tables, probes)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made():
@@ -186,7 +219,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                     ks = keys(matrix(vs, d), corners, tables, probes)
                     yield from ((r, c, len(v), stored(v), k.tolist(), k.tobytes()) for r, c, v, k in zip(b.column("rep").to_pylist(), b.column("copies").to_pylist(), vs, ks, strict=True))
 
-        return emit(made(), HASHED, lambda r: 1200)
+        return emit(made(), HASHED, lambda r: 400 + 16 * tables * probes)
 
     spread = classes.select("rep", "copies", "embedding").repartition(shuffle_partitions(spark)).mapInArrow(hashed, "rep long, copies long, length int, vector binary, keys array<long>, packed binary")
     spread = checkpoint(spread)

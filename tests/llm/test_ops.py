@@ -346,6 +346,13 @@ def test_recall_at_the_threshold():
     assert np.mean(met) >= 0.98
 
 
+@pytest.mark.parametrize("n,corners", [(60_000, 3), (2_400_000, 4), (9_000_000, 5)])
+def test_recall_at_the_threshold_at_every_size(n, corners):
+    at = polytope_dedup.plan(n, 64)
+    assert at[0] == corners and at[1] >= polytope_dedup.TABLES
+    assert polytope_dedup.misses(64, *at, pairs=2000).all(0).mean() <= 0.004  # 0.001 is meant
+
+
 def test_components_of_chains_and_stars(spark):
     r = random.Random(1)
     pairs = [(i, i + 1) for i in range(100, 160)] + [(5, 300 + i) for i in range(40)] + [(7, 7), (9, 8), (8, 9)] + [(r.randint(500, 540), r.randint(500, 540)) for _ in range(30)]
