@@ -5,7 +5,8 @@ its last letters'. Filters of several widths run over the words; each filter's
 maximum over the text, rectified, feeds a logistic unit. Because a filter is linear
 up to the maximum, a word's share in each filter is computed once a worker.
 
-Thresholds are calibrated by language on rows that the filters were not trained on. The language of a text is
+Thresholds are calibrated by language on all labelled rows that the filters were not trained on, counted by score on the
+executors; the rows of each class weigh as much as all labelled rows of it, so that the size of the sample does not move a threshold. The language of a text is
 guessed from its words (log odds learned from training rows), so that no label, language, source or id is an input of a score;
 the score is shifted so that the language's threshold stands at 0.7.
 
@@ -26,7 +27,7 @@ from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, emit, id_and_text, kept, table, texts
+from .common import checkpoint, documents, emit, id_and_text, kept, table, texts
 from .language_profiles import remainder
 
 THRESHOLD = 0.7
@@ -34,6 +35,8 @@ THRESHOLD = 0.7
 SAMPLE_TOXIC, SAMPLE_OTHER, SEED = 2000, 3000, 7
 BUCKETS, DIMENSIONS, WIDTHS, FILTERS = 1 << 16, 16, (1, 2, 3), 8
 EPOCHS, STEPS, BATCH, RATE = 8, 300, 64, 0.1
+#: Of so many labelled rows one, by a hash of the id, is never trained on; bins of a logit, and the logit beyond which all is one bin, in the counts by score; rows of each class with which a language has its own threshold.
+FOLDS, BINS, FAR, LEAST = 4, 64, 64, 30
 #: Words that a worker keeps before it starts anew.
 KEPT = 250_000
 _PLACES = sum(WIDTHS)
@@ -148,13 +151,13 @@ def scores(words: Words, ts: list[str]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z + shift, -40, 40)))
 
 
-def train(rows: list[tuple[str, str, int]], epochs: int = EPOCHS) -> Model | None:
-    """A model of (text, language or '', label) rows; null without both labels."""
+def train(rows: list[tuple[str, str, int]], epochs: int = EPOCHS, calibrated: bool = True) -> Model | None:
+    """A model of (text, language or '', label) rows; null without both labels. If calibrated, a quarter of them sets the thresholds instead."""
     if len({y for *_, y in rows}) < 2:
         return None
     rng = np.random.default_rng(SEED)
     rows = [rows[i] for i in rng.permutation(len(rows))]
-    fold = np.arange(len(rows)) % 4 == 3  # calibrates
+    fold = (np.arange(len(rows)) % 4 == 3) & calibrated  # calibrates
     at: dict[str, int] = {"": 0}
     docs = [[at.setdefault(c, len(at)) for c in t.split()] for t, *_ in rows]
     made = [features(c) for c in at]
@@ -224,7 +227,8 @@ def train(rows: list[tuple[str, str, int]], epochs: int = EPOCHS) -> Model | Non
             out_bias -= RATE * g_ob / a_ob**0.5
     languages, odds = _language_odds(rows)
     m = Model(emb[:BUCKETS], filters, bias, out, out_bias, languages, odds, np.zeros(max(1, len(languages))))
-    m.cuts = _calibrate(m, [r for r, c in zip(rows, fold, strict=True) if c])
+    if calibrated:
+        m.cuts = _calibrate(m, [r for r, c in zip(rows, fold, strict=True) if c])
     return m
 
 
@@ -266,24 +270,75 @@ def _calibrate(m: Model, rows: list[tuple[str, str, int]]) -> np.ndarray:
     return np.array([best(z[at], y[at]) if (at := lang == k).any() and min(y[at].sum(), (1 - y[at]).sum()) >= 30 else overall for k in range(max(1, len(m.languages)))])
 
 
-def fit(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, other: int = SAMPLE_OTHER) -> Model | None:
-    """A model of about `toxic` and `other` labelled rows at most, chosen by a hash of the id. labels: doc_id, toxic."""
+def _marked(labels: DataFrame, toxic: int, other: int) -> DataFrame | None:
+    """(doc_id, y, chosen, held) of the labelled rows: about `toxic` and `other` are chosen, one in FOLDS is held; null without both labels. labels: doc_id, toxic."""
     marked = labels.where(F.col("toxic").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") > 0).cast("int").alias("y")).dropDuplicates(["doc_id"])
     counts = {r[0]: r[1] for r in marked.groupBy("y").count().collect()}
     if len(counts) < 2:
         return None
     share = F.when(F.col("y") == 1, min(1 << 30, int((1 << 30) * toxic / counts[1]))).otherwise(min(1 << 30, int((1 << 30) * other / counts[0])))
-    chosen = marked.where(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) < share)
-    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("")).alias("lang"))
-    rows = held.join(F.broadcast(chosen), "doc_id").select("text", "lang", "y").collect()  # chosen: at most about toxic + other rows
-    return train(sorted((r[0], r[1], r[2]) for r in rows))
+    chosen = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) < share
+    return marked.select("doc_id", "y", chosen.alias("chosen"), (F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.lit(FOLDS)) == 0).alias("held"))
+
+
+def _learned(docs: DataFrame, marked: DataFrame | None) -> tuple[Model | None, DataFrame | None]:
+    """A model without thresholds of the chosen rows that are not held, and (doc_id, y, held) of all labelled rows, held meaning not trained on."""
+    if marked is None:
+        return None, None
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("")).alias("lang"))
+    rows = named.join(F.broadcast(marked.where("chosen")), "doc_id").select("text", "lang", "y", "held").collect()  # chosen: at most about toxic + other rows
+    used = [r for r in rows if not r[3]]
+    few = len({r[2] for r in used}) < 2  # so few that all are trained on, and set the thresholds too
+    model = train(sorted((r[0], r[1], r[2]) for r in (rows if few else used)), calibrated=False)
+    return model, marked.select("doc_id", "y", (F.lit(few) | F.col("held") | ~F.col("chosen")).alias("held"))
+
+
+def _cuts(found: DataFrame, marked: DataFrame, languages: int) -> np.ndarray:
+    """By language, the logit with the best F1 of all labelled rows not trained on; languages with few rows take that of all. found: doc_id, z, language."""
+    kept_in = F.least(F.greatest(F.floor(F.col("z") * BINS), F.lit(-FAR * BINS)), F.lit(FAR * BINS))
+    counts = found.join(marked, "doc_id").groupBy("language", kept_in.alias("bin"), "y", "held").agg(F.count("*").alias("n"), F.min("z").alias("lo"), F.max("z").alias("hi")).collect()  # 4 rows a language and bin at most
+    every, out = np.zeros(2), np.zeros(2)
+    for r in counts:
+        every[r.y] += r.n
+        out[r.y] += r.n * r.held
+    rows = [r for r in counts if r.held]
+    weight = every / np.maximum(out, 1)
+
+    def best(rows: list) -> float:
+        bins: dict[int, list] = {}
+        for r in rows:
+            b = bins.setdefault(r.bin, [r.lo, r.hi, 0.0, 0.0])
+            b[0], b[1] = min(b[0], r.lo), max(b[1], r.hi)
+            b[2 + r.y] += r.n * weight[r.y]
+        lo, hi, n0, n1 = np.array([b for _, b in sorted(bins.items(), reverse=True)]).T
+        f1 = 2 * np.cumsum(n1) / (np.cumsum(n0 + n1) + n1.sum())
+        k = int(np.flatnonzero(f1 >= f1.max() - 1e-12)[0])
+        return float((lo[k] + (hi[k + 1] if k + 1 < len(lo) else lo[k] - 1)) / 2)
+
+    overall = best(rows) if out.all() else 0.0
+    cuts = np.full(max(1, languages), overall)
+    for k in range(languages):
+        own = [r for r in rows if r.language == k]
+        if all(sum(r.n for r in own if r.y == y) >= LEAST for y in (0, 1)):
+            cuts[k] = best(own)
+    return cuts
+
+
+def fit(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, other: int = SAMPLE_OTHER) -> Model | None:
+    """A model: filters of about `toxic` and `other` labelled rows at most, chosen by a hash of the id, thresholds of all others. labels: doc_id, toxic."""
+    model, marked = _learned(docs, _marked(labels, toxic, other))
+    if model is not None:
+        named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(marked.select("doc_id"), "doc_id")
+        model.cuts = _cuts(found(named, model), marked, len(model.languages))
+    return model
 
 
 OUT = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
+FOUND = pa.schema([("doc_id", pa.int64()), ("z", pa.float64()), ("language", pa.int32())])
 
 
-def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score) of every row."""
+def _told(docs: DataFrame, model: Model | None, tell, schema: pa.Schema, kinds: str) -> DataFrame:
+    """tell(words or None, texts) gives the columns beside doc_id. docs: doc_id, text."""
     name = uuid.uuid4().hex  # of this model, for the workers' tables
     sent = SparkContext.getOrCreate().broadcast(model)  # BUCKETS x (DIMENSIONS + languages)
 
@@ -294,16 +349,32 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
         def rows():
             for ids, ts in texts(batches):
                 for i in range(0, len(ids), 200):
-                    part = ts[i : i + 200]
-                    yield from zip(ids[i : i + 200], scores(words, part).tolist() if words else [0.0] * len(part), strict=True)
+                    yield from zip(ids[i : i + 200], *tell(words, ts[i : i + 200]), strict=True)
+
+        return emit(rows(), schema)
+
+    return docs.mapInArrow(run, kinds)
+
+
+def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, score) of every row."""
+    return _told(id_and_text(docs, id_col, text_col), model, lambda words, part: [scores(words, part).tolist() if words else [0.0] * len(part)], OUT, "doc_id long, score double")
 
-        return emit(rows(), OUT)
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
+def found(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, z, language) of every row: the logit before thresholds, and the number of the language guessed."""
+    return _told(id_and_text(docs, id_col, text_col), model, lambda words, part: [x.tolist() for x in logits(words, part)], FOUND, "doc_id long, z double, language int")
 
 
 def op2_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of all documents, learned from labels whose remainder is not 1."""
+    """Scores of all documents, learned from labels whose remainder is not 1; texts are gone through once, for thresholds and scores alike."""
     docs, labels = documents(spark, sf_dir), table(spark, sf_dir, "labels")
-    model = fit(docs, labels.where(remainder("doc_id", 3) != 1))
-    return score(docs, model).select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    model, marked = _learned(docs, _marked(labels.where(remainder("doc_id", 3) != 1), SAMPLE_TOXIC, SAMPLE_OTHER))
+    if model is None:
+        scored = score(docs, None)
+    else:
+        seen = checkpoint(found(docs, model))
+        shift = [float(np.log(THRESHOLD / (1 - THRESHOLD)) - c) for c in _cuts(seen, marked, len(model.languages))]
+        z = F.col("z") + F.element_at(F.array(*map(F.lit, shift)), F.col("language") + 1)
+        scored = seen.select("doc_id", (1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-40.0)), F.lit(40.0))))).alias("score"))
+    return scored.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -99,6 +99,24 @@ def test_toxicity_frames(spark):
     assert {r.score for r in toxicity_cnn.score(df, None).collect()} == {0.0}
 
 
+def test_toxicity_threshold_does_not_depend_on_the_sample(spark):
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(4000):
+        y = int(i % 20 == 0)
+        text = " ".join(r.choice(words) for _ in range(12)) + (" badword" if r.random() < (0.8 if y else 0.1) else "") + (" worse" if r.random() < (0.5 if y else 0.005) else "")
+        rows.append((i, text, "en", y))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    m = toxicity_cnn.fit(df, df, toxic=150, other=200)  # of 200 and 3800: two in five are toxic here
+    z, _ = toxicity_cnn.logits(toxicity_cnn.Words(m), [x[1] for x in rows])
+    y = np.array([x[3] for x in rows])
+    f1 = lambda cut: 2 * (y & (z >= cut)).sum() / (y.sum() + (z >= cut).sum())
+    assert f1(m.cuts[0]) >= max(map(f1, np.unique(z))) - 0.05
+    told = {x.doc_id: x.score >= 0.7 for x in toxicity_cnn.score(df, m).collect()}
+    assert sum(told.values()) == (z >= m.cuts[0]).sum()
+
+
 # --- 3: packing -------------------------------------------------------------------------------------
 
 
