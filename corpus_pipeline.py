@@ -13,17 +13,15 @@ from sluicework.llm import fm_dedup, hamming_dedup, language_profiles, pattern_p
 from sluicework.llm.common import checkpoint, documents
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A text is rejected if it has no letters, or its cosine with the nearest language is below this.
-LEAST_COSINE = 0.1
 #: Words of a shingle and percent of similarity of near duplicates here.
 SHINGLE, PERCENT = 5, 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language; profiles are learned from those that name theirs."""
+    """Documents in a known language, however short; profiles are learned from those that name theirs. A text without letters has none."""
     profiles = language_profiles.fit(docs)
     told = language_profiles.identify(docs, profiles, carry=COLUMNS)
-    return told.where((F.col("lang_pred") != language_profiles.UNKNOWN) & (F.col("score") >= LEAST_COSINE)).select("carried.*")
+    return told.where(F.col("lang_pred") != language_profiles.UNKNOWN).select("carried.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -470,6 +470,16 @@ def test_pipeline_stages(spark):
     assert {x.doc_id for x in docs.collect()} == {1, 3, 4, 6}
 
 
+def test_pipeline_keeps_short_texts(spark):
+    import corpus_pipeline as cp
+
+    r = random.Random(6)
+    long = lambda letters: " ".join("".join(r.choice(letters) for _ in range(r.randint(2, 8))) for _ in range(80))
+    rows = [(i, long("abcdefghij") if i % 2 else long("klmnopqrst"), "en" if i % 2 else "fr") for i in range(40)] + [(40, "A.", "en"), (41, "Xyzzy.", "en"), (42, "7.", "en")]
+    docs = spark.createDataFrame([(i, t, g, "s", len(t)) for i, t, g in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {x.doc_id for x in cp.language_id(spark, docs, "").collect()} == set(range(42))
+
+
 def test_queries_run_whole(spark, sf_dir):
     from sluicework.llm import registry
 
