@@ -175,9 +175,10 @@ def _confirmed(rows: list[tuple], percent: int) -> Iterator[tuple[int, int]]:
     left, right = (a[np.argsort(size[a], kind="stable")] for a in _sides(rows))
     forest = Forest()
     if len(rows) <= 3:
+        across = rows[0][1] != rows[0][2]
         for i in left.tolist():
             for j in right.tolist():
-                if rep[i] < rep[j] and min(size[i], size[j]) * 100 >= percent * max(size[i], size[j]):
+                if (rep[i] != rep[j] if across else rep[i] < rep[j]) and min(size[i], size[j]) * 100 >= percent * max(size[i], size[j]):
                     both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                     if 100 * both >= percent * (size[i] + size[j] - both):
                         forest.join(rep[i], rep[j])

@@ -318,6 +318,14 @@ def test_count_frames(spark):
     assert got[40].n_tokens == got[40].n_bytes == 0 and got[3].n_bytes == len(TEXTS[3].encode()) and token_counts.count_tokens(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("a,b", [(4, 9), (9, 4)])
+@pytest.mark.parametrize("more", [0, 1, 2])
+def test_links_across_small_blocks(a, b, more):
+    sets = np.arange(20, dtype=hamming_dedup.U)
+    rows = [("c", 0, 1, 0, a, sets.tobytes()), ("c", 0, 1, 1, b, sets[1:].tobytes())] + [("c", 0, 1, 1, 20 + i, (sets + 100 * (i + 1)).astype(hamming_dedup.U).tobytes()) for i in range(more)]
+    assert list(hamming_dedup._confirmed(rows, 85)) == [(9, 4)]
+
+
 # --- 9: embeddings ----------------------------------------------------------------------------------
 
 
