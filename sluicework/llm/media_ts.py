@@ -2,12 +2,15 @@
 
 `mux` stores bytes in a transport stream: program association and map tables
 with their CRC, and one private elementary stream of timestamped packets.
-`demux` reads any such stream back: it checks the tables, follows each
-packet identifier's continuity counter, reassembles the elementary packets, and
+`demux` reads any such stream back: it finds the packets' rhythm again where bytes were put in or lost, assembles the tables' sections
+over as many packets as they take, follows each packet identifier's continuity counter, reassembles the elementary packets, and
 gives their timestamps and the packets where decoding can start.
 
-Defined results: a null text is empty; an empty text is one block of spaces;
-null or damaged media give null payloads with the counts of what was found.
+Defined results: a null text is empty; an empty text is one block of spaces; a very long text has as many packets as it needs, its counters and clock
+going round; equal texts have equal media; repeated rows and rows without an id are stored each; other columns are not looked at. Media that are null or hold no
+elementary packet have a null payload. An elementary packet that is shorter than it says, or in which the counter
+jumps, is damaged: it is counted in `damaged`, and the payload is null, as it is where the counter
+jumps between two of them; `whole` holds what the undamaged ones carry.
 """
 
 from __future__ import annotations
@@ -102,47 +105,97 @@ def mux_bytes(payload: bytes) -> bytes:
     return b"".join(out)
 
 
-def _sections(p: np.ndarray, first: np.ndarray) -> list[bytes]:
-    """Distinct sections with a right CRC; each must fit its packet."""
-    out: dict[bytes, None] = {}
-    for raw, o in {(row.tobytes(), int(o)): None for row, o in zip(p, first, strict=True)}:
-        if o >= PACKET:
+def _packets(media: bytes) -> tuple[np.ndarray, int]:
+    """(packets, stretches of bytes skipped): the rhythm of sync bytes, sought again where it breaks."""
+    n = len(media)
+    whole = n // PACKET
+    p = np.frombuffer(media, np.uint8, whole * PACKET).reshape(whole, PACKET)
+    if (p[:, 0] == SYNC).all() and n % PACKET == 0:
+        return p, 0
+    starts, at, lost = [], 0, 0
+
+    def begins(at: int) -> bool:
+        """Whether a packet begins here, as the next two say."""
+        return media[at] == SYNC and all(q >= n or media[q] == SYNC for q in (at + PACKET, at + 2 * PACKET))
+
+    while at + PACKET <= n:
+        if media[at] == SYNC and (starts and starts[-1] + PACKET == at or begins(at)):
+            starts.append(at)
+            at += PACKET
             continue
-        o += 1 + raw[o]
-        if o + 3 > PACKET:
+        lost += 1
+        at = media.find(SYNC, at + 1)
+        while 0 <= at <= n - PACKET and not begins(at):
+            at = media.find(SYNC, at + 1)
+        if at < 0:
+            at = n
+    lost += at < n
+    raw = np.frombuffer(media, np.uint8)
+    return raw[np.array(starts, np.int64)[:, None] + np.arange(PACKET)] if starts else p[:0], lost
+
+
+def _sections(p: np.ndarray, first: np.ndarray, starts: np.ndarray, counter: np.ndarray) -> list[bytes]:
+    """Distinct sections with a right CRC among one identifier's packets in order, each over as many packets as it takes."""
+    out: dict[bytes, None] = {}
+    held, last = b"", -1
+
+    def take(data: bytes) -> bytes:
+        while len(data) >= 3 and data[0] != 0xFF:
+            end = 3 + ((data[1] & 0x0F) << 8 | data[2])
+            if len(data) < end:
+                return data
+            if end >= 12 and crc32_mpeg(data[:end]) == 0:
+                out[data[:end]] = None
+            data = data[end:]
+        return b"" if data[:1] == b"\xff" else data
+
+    for row, o, start, c in zip(p, first.tolist(), starts.tolist(), counter.tolist(), strict=True):
+        if o >= PACKET or c == last:
             continue
-        end = o + 3 + ((raw[o + 1] & 0x0F) << 8 | raw[o + 2])
-        if end <= PACKET and end - o >= 12 and crc32_mpeg(raw[o:end]) == 0:
-            out[raw[o:end]] = None
+        raw = row.tobytes()[o:]
+        if held and c != (last + 1) % 16:
+            held = b""
+        last = c
+        if start:
+            after = 1 + raw[0]
+            if held:
+                take(held + raw[1:after])
+            held = take(raw[after:])
+        elif held:
+            held = take(held + raw)
     return list(out)
 
 
 def demux_bytes(media: bytes | None) -> dict:
-    """What a stream holds: payload (null if nothing whole is found), and the figures of DEMUX."""
-    out = {"payload": None, "packets": 0, "programs": 0, "streams": 0, "pes": 0, "cc_errors": 0, "duplicates": 0, "lost_sync": 0, "pts": [], "rap_packets": []}
-    n = len(media or b"") // PACKET
-    if not n:
+    """What a stream holds: payload (null if anything is missing), whole (what undamaged elementary packets carry), and the figures of DEMUX."""
+    out = {"payload": None, "whole": None, "packets": 0, "programs": 0, "streams": 0, "pes": 0, "damaged": 0, "cc_errors": 0, "duplicates": 0, "lost_sync": 0, "pts": [], "rap_packets": []}
+    if not media:
+        return out
+    p, lost = _packets(media)
+    bad = p[:, 1] & 0x80 != 0
+    out["packets"], out["lost_sync"] = len(p), lost + int(bad.sum())
+    if not len(p):
         return out
-    p = np.frombuffer(media, np.uint8, n * PACKET).reshape(n, PACKET)
-    good = (p[:, 0] == SYNC) & (p[:, 1] & 0x80 == 0)
-    out["packets"], out["lost_sync"] = n, int(n - good.sum())
     pid = (p[:, 1].astype(np.int32) & 0x1F) << 8 | p[:, 2]
-    pid[~good] = NULL_PID
+    pid[bad] = NULL_PID
     starts, control, counter = p[:, 1] & 0x40 != 0, p[:, 3] >> 4 & 3, p[:, 3] & 15
     has, adapts = control & 1 == 1, control & 2 == 2
     offset = np.where(adapts, 5 + p[:, 4].astype(np.int32), 4)
     flags = np.where(adapts & (p[:, 4] > 0), p[:, 5], 0)
+
+    def tables(of: int) -> list[bytes]:
+        rows = np.flatnonzero((pid == of) & has)
+        return _sections(p[rows], offset[rows], starts[rows], counter[rows])
+
     pmts: dict[int, None] = {}
-    rows = np.flatnonzero((pid == PAT_PID) & starts & has)
-    for s in _sections(p[rows], offset[rows]):
+    for s in tables(PAT_PID):
         for i in range(8, len(s) - 4, 4):
             number, at = struct.unpack(">HH", s[i : i + 4])
             if number:
                 pmts[at & 0x1FFF] = None
     streams: dict[int, int] = {}
     for m in pmts:
-        rows = np.flatnonzero((pid == m) & starts & has)
-        for s in _sections(p[rows], offset[rows]):
+        for s in tables(m):
             i = 12 + (struct.unpack(">H", s[10:12])[0] & 0x0FFF)
             while i + 5 <= len(s) - 4:
                 kind, es, info = struct.unpack(">BHH", s[i : i + 5])
@@ -150,6 +203,7 @@ def demux_bytes(media: bytes | None) -> dict:
                 i += 5 + (info & 0x0FFF)
     out["programs"], out["streams"] = len(pmts), len(streams)
     payload: list[bytes] = []
+    missing = 0
     for es in [PAT_PID, *pmts, *streams]:
         rows = np.flatnonzero((pid == es) & has)
         if not len(rows):
@@ -161,7 +215,9 @@ def demux_bytes(media: bytes | None) -> dict:
         out["duplicates"] += int(same.sum())
         if es not in streams:
             continue
-        rows = rows[~same & (offset[rows] < PACKET)]
+        missing += int(jump.sum())
+        keep = ~same & (offset[rows] < PACKET)
+        rows, jump = rows[keep], jump[keep]
         if not len(rows):
             continue
         q = p[rows]
@@ -169,13 +225,19 @@ def demux_bytes(media: bytes | None) -> dict:
         data = q[np.arange(PACKET) >= offset[rows][:, None]].tobytes()
         begin = np.concatenate(([0], np.cumsum(size)))
         heads = np.flatnonzero(starts[rows])
+        missing += int(not len(heads) or heads[0] > 0)  # packets before the first head
         for j, at in enumerate(heads):
-            pes = data[begin[at] : begin[heads[j + 1]] if j + 1 < len(heads) else begin[-1]]
+            end = heads[j + 1] if j + 1 < len(heads) else len(rows)
+            pes = data[begin[at] : begin[end]]
             if pes[:3] != b"\x00\x00\x01" or len(pes) < 9:
+                out["damaged"] += 1
                 continue
             body, want = 9 + pes[8], struct.unpack(">H", pes[4:6])[0]
-            payload.append(pes[body : 6 + want] if want else pes[body:])
             out["pes"] += 1
+            if jump[at + 1 : end].any() or want and len(pes) < 6 + want or len(pes) < body:
+                out["damaged"] += 1
+                continue
+            payload.append(pes[body : 6 + want] if want else pes[body:])
             if pes[7] & 0x80 and len(pes) >= 14:
                 a, b, c, d, e = pes[9:14]
                 t = (a >> 1 & 7) << 30 | b << 22 | c >> 1 << 15 | d << 7 | e >> 1
@@ -183,12 +245,13 @@ def demux_bytes(media: bytes | None) -> dict:
                 if flags[rows[at]] & 0x40:
                     out["rap_packets"].append(int(rows[at]))
     if payload:
-        out["payload"] = b"".join(payload)
+        out["whole"] = b"".join(payload)
+        out["payload"] = None if missing or out["damaged"] or lost else out["whole"]
     return out
 
 
 MUX = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
-DEMUX = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("payload", pa.binary()), ("packets", pa.int64()), ("programs", pa.int32()), ("streams", pa.int32()), ("pes", pa.int64()), ("cc_errors", pa.int64()), ("duplicates", pa.int64()), ("lost_sync", pa.int64()), ("pts", pa.list_(pa.int64())), ("rap_packets", pa.list_(pa.int64()))])
+DEMUX = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("payload", pa.binary()), ("whole", pa.binary()), ("packets", pa.int64()), ("programs", pa.int32()), ("streams", pa.int32()), ("pes", pa.int64()), ("damaged", pa.int64()), ("cc_errors", pa.int64()), ("duplicates", pa.int64()), ("lost_sync", pa.int64()), ("pts", pa.list_(pa.int64())), ("rap_packets", pa.list_(pa.int64()))])
 _NAMES = DEMUX.names[4:]
 
 
@@ -208,27 +271,29 @@ def mux(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
 
 def demux(media: DataFrame) -> DataFrame:
-    """What `demux_bytes` reads from each row's stored media."""
+    """What `demux_bytes` reads from each row's stored media; whole is null where the payload is not."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for b in batches:
                 for *kept, m in zip(*(b.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media_bytes", "media_sha256", "media")), strict=True):
                     found = demux_bytes(m)
+                    if found["payload"] is not None:
+                        found["whole"] = None  # the same bytes
                     yield *kept, *(found[n] for n in _NAMES)
 
-        return emit(rows(), DEMUX, lambda r: len(r[4] or b"") + 256)
+        return emit(rows(), DEMUX, lambda r: len(r[4] or b"") + len(r[5] or b"") + 256)
 
     held = media.select("doc_id", "n_bytes", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
-    return held.mapInArrow(run, "doc_id long, n_bytes long, media_bytes long, media_sha256 string, payload binary, packets long, programs int, streams int, pes long, cc_errors long, duplicates long, lost_sync long, pts array<long>, rap_packets array<long>")
+    return held.mapInArrow(run, "doc_id long, n_bytes long, media_bytes long, media_sha256 string, payload binary, whole binary, packets long, programs int, streams int, pes long, damaged long, cc_errors long, duplicates long, lost_sync long, pts array<long>, rap_packets array<long>")
 
 
 def op1_media_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each text stored as a transport stream, read back and described."""
+    """Each text stored as a transport stream, read back and described; pts: the clock of each access unit, rap_packets: the packets where decoding can start."""
     d = demux(mux(documents(spark, sf_dir)))
     feature = F.format_string(
-        "programs=%d;streams=%d;packets=%d;pes=%d;cc_errors=%d;duplicates=%d;lost_sync=%d;first_pts=%d;last_pts=%d;rap=%d",
-        "programs", "streams", "packets", "pes", "cc_errors", "duplicates", "lost_sync",
+        "programs=%d;streams=%d;packets=%d;pes=%d;damaged=%d;cc_errors=%d;duplicates=%d;lost_sync=%d;first_pts=%d;last_pts=%d;rap=%d",
+        "programs", "streams", "packets", "pes", "damaged", "cc_errors", "duplicates", "lost_sync",
         F.coalesce(F.try_element_at("pts", F.lit(1)), F.lit(-1)), F.coalesce(F.try_element_at("pts", F.lit(-1)), F.lit(-1)), F.size("rap_packets"),
     )
-    return d.select("doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.expr("substring(payload, -16, 16)")).alias("tail_crc32"), "media_bytes", "media_sha256", feature.alias("feature"))
+    return d.select("doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.expr("substring(payload, -16, 16)")).alias("tail_crc32"), "media_bytes", "media_sha256", feature.alias("feature"), "pts", "rap_packets")
