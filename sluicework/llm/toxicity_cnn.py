@@ -10,7 +10,12 @@ executors; the rows of each class weigh as much as all labelled rows of it, so t
 guessed from its words (log odds learned from training rows), so that no label, language, source or id is an input of a score;
 the score is shifted so that the language's threshold stands at 0.7.
 
-Defined results: a null text is empty; an empty text has the score of no words; without labels of both kinds every score is 0.
+Every sum over a word's or a text's numbers runs in one fixed order and in double precision, so that a score is a function of its text, whatever batch it is in.
+
+Defined results: a null text is empty; an empty text has the score of no words; a very long text is scored whole, its words' shares in one array;
+without labels of both kinds every score is 0; an id labelled twice counts once, as toxic if any of its labels is, and null labels are no labels;
+repeated rows are scored each; a row without an id is scored, never learned from and not held out; of thresholds with equal F1 the highest is taken, of equally likely languages
+the first by name; columns other than id and text (and `lang` of training rows) are not looked at.
 """
 
 from __future__ import annotations
@@ -68,13 +73,13 @@ class Words:
 
     def __init__(self, m: Model):
         self.m = m
-        self._mix = np.concatenate([f[j] for f in m.filters for j in range(len(f))], axis=1)
+        self._mix = np.concatenate([f[j] for f in m.filters for j in range(len(f))], axis=1).astype(np.float64)
         self.clear()
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
         n = self._mix.shape[1] + self.m.odds.shape[1]
-        self.rows = np.zeros((1024, n), np.float32)
+        self.rows = np.zeros((1024, n))
         self.used = 1
 
     def learn(self, chunks: set[str]) -> None:
@@ -87,22 +92,33 @@ class Words:
         made = [features(c) for c in new]
         size = np.array([len(f) for f in made])
         flat = np.array([i for f in made for i in f], np.int64)
-        vec = np.zeros((len(new), DIMENSIONS), np.float32)
+        vec = np.zeros((len(new), DIMENSIONS))
         odd = np.zeros((len(new), self.m.odds.shape[1]), np.float32)
         some = np.flatnonzero(size)
         if len(some):
             begin = (np.cumsum(size) - size)[some]
-            vec[some] = np.add.reduceat(self.m.embedding[flat], begin, axis=0) / np.sqrt(size[some])[:, None]
+            for j in range(int(size.max())):
+                more = size[some] > j
+                vec[some[more]] += self.m.embedding[flat[begin[more] + j]]
+            vec[some] /= np.sqrt(size[some])[:, None]
             whole = [zlib.crc32(f"={new[i].lower().strip('.,;:!?\"\'()[]|*#-')}".encode()) % BUCKETS for i in some]
             odd[some] = self.m.odds[whole]
         need = self.used + len(new)
         if need > len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros((max(need, 2 * len(self.rows)) - len(self.rows), self.rows.shape[1]), np.float32)])
-        self.rows[self.used : need] = np.concatenate([vec @ self._mix, odd], axis=1)
+            self.rows = np.concatenate([self.rows, np.zeros((max(need, 2 * len(self.rows)) - len(self.rows), self.rows.shape[1]))])
+        self.rows[self.used : need] = np.concatenate([_product(vec, self._mix), odd], axis=1)
         self.at.update(zip(new, range(self.used, need), strict=True))
         self.used = need
 
 
+def _product(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """x @ weights, each number summed in one order however many rows there are."""
+    out = np.zeros((len(x), *weights.shape[1:]))
+    for k in range(len(weights)):
+        out += np.multiply.outer(x[:, k], weights[k]) if weights.ndim == 1 else x[:, k : k + 1] * weights[k]
+    return out
+
+
 def _layout(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(indices with blanks behind each text, where each begins, where its words end)."""
     pad = max(WIDTHS) - 1
@@ -139,9 +155,9 @@ def logits(words: Words, ts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             z += shares[idx[j : n + j], col + j * FILTERS : col + (j + 1) * FILTERS]
         col += w * FILTERS
         pooled.append(np.maximum(0, np.maximum.reduceat(z, cut[cut < n], axis=0)[::2] + m.bias[k * FILTERS : (k + 1) * FILTERS]))
-    out = np.concatenate(pooled, 1) @ m.out + m.out_bias
+    out = _product(np.concatenate(pooled, 1), m.out.astype(np.float64)) + m.out_bias
     odds = np.add.reduceat(words.rows[idx[:n], _PLACES * FILTERS :], cut[cut < n], axis=0)[::2]
-    return out.astype(np.float64), odds.argmax(1) if odds.shape[1] else np.zeros(len(ts), np.int64)
+    return out, odds.argmax(1) if odds.shape[1] else np.zeros(len(ts), np.int64)
 
 
 def scores(words: Words, ts: list[str]) -> np.ndarray:
@@ -272,7 +288,7 @@ def _calibrate(m: Model, rows: list[tuple[str, str, int]]) -> np.ndarray:
 
 def _marked(labels: DataFrame, toxic: int, other: int) -> DataFrame | None:
     """(doc_id, y, chosen, held) of the labelled rows: about `toxic` and `other` are chosen, one in FOLDS is held; null without both labels. labels: doc_id, toxic."""
-    marked = labels.where(F.col("toxic").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") > 0).cast("int").alias("y")).dropDuplicates(["doc_id"])
+    marked = labels.where(F.col("toxic").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") > 0).cast("int").alias("y")).where("doc_id is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
     counts = {r[0]: r[1] for r in marked.groupBy("y").count().collect()}
     if len(counts) < 2:
         return None
@@ -286,7 +302,10 @@ def _learned(docs: DataFrame, marked: DataFrame | None) -> tuple[Model | None, D
     if marked is None:
         return None, None
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("")).alias("lang"))
-    rows = named.join(F.broadcast(marked.where("chosen")), "doc_id").select("text", "lang", "y", "held").collect()  # chosen: at most about toxic + other rows
+    chosen = marked.where("chosen")
+    if chosen.count() <= 4 * (SAMPLE_TOXIC + SAMPLE_OTHER):  # about toxic + other rows; beyond, the join decides by itself
+        chosen = F.broadcast(chosen)
+    rows = named.join(chosen, "doc_id").select("text", "lang", "y", "held").collect()
     used = [r for r in rows if not r[3]]
     few = len({r[2] for r in used}) < 2  # so few that all are trained on, and set the thresholds too
     model = train(sorted((r[0], r[1], r[2]) for r in (rows if few else used)), calibrated=False)
@@ -377,4 +396,4 @@ def op2_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
         shift = [float(np.log(THRESHOLD / (1 - THRESHOLD)) - c) for c in _cuts(seen, marked, len(model.languages))]
         z = F.col("z") + F.element_at(F.array(*map(F.lit, shift)), F.col("language") + 1)
         scored = seen.select("doc_id", (1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-40.0)), F.lit(40.0))))).alias("score"))
-    return scored.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
