@@ -2,12 +2,12 @@
 
 Every letter has a random vector of signs. A letter n-gram is bound: the vectors of its
 letters, each permuted by its place, are multiplied. A text bundles (adds)
-its n-grams; a language's prototype bundles the normalised texts it is learned from. A text
-takes the language whose prototype has the largest cosine, after what all
-prototypes share has been taken from them; the score is the cosine with the prototype itself.
+its n-grams; a language's prototype bundles the normalised texts it is learned from, less what all prototypes share. A text
+takes the language of the prototype with the largest cosine, and that cosine is its score (0 at least).
 
-Defined results: a null text, or one without letters, is `und` with score 0; equal texts have equal results;
-where nothing can be learned every text is `und`.
+Defined results: a null text, or one without letters, is `und` with score 0; a text of any length is bundled whole; equal texts have equal results, repeated rows each
+their own; of equal cosines the language first by name is taken; where nothing can be learned every text is `und`; a row without an id is predicted, may be learned from, and is not held out
+(in the query, which learns by id, it is not learned from); columns other than id, text and the language of training rows are not looked at.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import documents, kept, prepare, sliced
 
 UNKNOWN = "und"
-#: Texts a language is learned from at most, about; dimensions; letters of an n-gram; seed.
-SAMPLE, DIMENSIONS, LETTERS, SEED = 1500, 1024, 3, 20_240
+#: Texts a language is learned from at most, about, and texts of all languages together; dimensions; letters of an n-gram; seed.
+SAMPLE, TOTAL, DIMENSIONS, LETTERS, SEED = 1500, 20_000, 1024, 3, 20_240
 #: n-gram vectors that a worker keeps before it starts anew.
 KEPT = 12_000
 
@@ -104,8 +104,7 @@ def _is_letter(cps: np.ndarray) -> np.ndarray:
 @dataclass(frozen=True)
 class Profiles:
     languages: list[str]
-    prototypes: np.ndarray  # of unit length
-    distinct: np.ndarray  # the same without what they share
+    prototypes: np.ndarray  # of unit length, without what they share
 
 
 def learn(texts_by_language: list[tuple[str, str]], vectors: Vectors | None = None) -> Profiles:
@@ -118,15 +117,16 @@ def learn(texts_by_language: list[tuple[str, str]], vectors: Vectors | None = No
     names = sorted(sums)
     p = np.array([sums[n] / max(float(np.linalg.norm(sums[n])), 1e-12) for n in names], np.float32).reshape(len(names), v.d)
     own = p - p.mean(0) if len(names) > 1 else p
-    return Profiles(names, p, own / np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12) if len(names) else own)
+    return Profiles(names, own / np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12) if len(names) else own)
 
 
 def predict(p: Profiles, v: Vectors, text: str | None) -> tuple[str, float]:
     b = v.bundle(text)
     if b is None or not p.languages:
         return UNKNOWN, 0.0
-    k = int((p.distinct @ b).argmax())
-    return p.languages[k], float(min(1.0, max(0.0, p.prototypes[k] @ b)))
+    cosines = p.prototypes @ b
+    k = int(cosines.argmax())
+    return p.languages[k], float(min(1.0, max(0.0, cosines[k])))
 
 
 def remainder(id_col: str, n: int) -> Column:
@@ -134,11 +134,12 @@ def remainder(id_col: str, n: int) -> Column:
 
 
 def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE) -> Profiles:
-    """Profiles from about `sample` rows of each language, chosen by a hash of the id."""
+    """Profiles from about `sample` rows of each language, and TOTAL of all, chosen by a hash of the id."""
     held = train.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col), F.lit(SEED)), F.lit(1 << 30)).alias("h"))
-    counts = {r[0]: r[1] for r in held.groupBy("lang").count().collect()}
+    counts = {r[0]: r[1] for r in held.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(TOTAL).collect()}  # more languages than texts can't be learned
     if not counts:
         return learn([])
+    sample = min(sample, max(1, TOTAL // len(counts)))
     share = F.lit(0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1 << 30, int((1 << 30) * sample / n)))).otherwise(share)
@@ -165,4 +166,4 @@ def op6_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame
     """The language of all documents, learned from those whose remainder is not 2."""
     docs = documents(spark, sf_dir)
     profiles = fit(docs.where(remainder("doc_id", 4) != 2))
-    return identify(docs, profiles).select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+    return identify(docs, profiles).select("doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
