@@ -1,21 +1,23 @@
 """Token counts by a compiled tokenizer.
 
-A byte-pair tokenizer is compiled into two deterministic transducers, state by state as texts need
-them. The splitter reads classes of characters and closes words. The merger
-reads a word's bytes; a state holds, for each place where a vocabulary entry may
+A byte-pair tokenizer is compiled into one deterministic transducer, state by state as texts need
+them. A state is the splitter's (which class of characters the open word has, a white-space character or a contraction's letter that waits for
+the next) and, within the open word, the merger's: for each place where a vocabulary entry may
 still end, the trie's node, the token before that place and the count there
 against the count here. A transition carries the tokens it emits, which may be
 negative when a longer token takes the place of shorter ones. That is enough
 because the last token of every prefix is determined: it is the entry that stands as itself
-beside the token before it.
+beside the token before it. What waits at a text's end is in the state too.
 
-Before white space that follows another character the splitter is in its start state
-whatever came before. A text is cut into blocks; a block's state map is what stands before
-its first such place, the tokens counted up to its last, and what stands after. Maps compose
-associatively, so a prefix scan over the blocks gives the count of any
-text, however long. Within blocks each distinct chunk is counted once a worker.
+A text longer than a block is cut into blocks, which are rows of their own. A block's state map says for the states that it may be entered in
+which state it ends in and how many tokens it emits. Behind a blank that follows another
+character the state is the same whatever came before, so if the characters before a block hold such a place, the map has one entry; in an
+unbroken run it has all states that come up again and again in it. Maps compose associatively, by halves, and
+the composition of all gives the text's count. Where a block turns out to be entered in a state that its map lacks, the text is counted from its
+start in one task.
 
-Defined results: a null text is empty and has no bytes and no tokens. The special string counts as one token, as the library's default has it.
+Defined results: a null text is empty and has no bytes and no tokens; a special string counts as one token, as the library's default has it (a text longer than a block
+that holds one is counted in one task); repeated rows and rows without an id are counted each; columns other than id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -23,19 +25,18 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import documents, emit, id_and_text, kept, texts
 
 LIMIT = 1024
-#: Characters of a block; chunks, words and states that a worker keeps before it compiles anew.
-BLOCK, KEPT_CHUNKS, KEPT_STATES = 1 << 16, 500_000, 200_000
+#: Characters of a block, and those before it that are looked at for its entry; states that a worker keeps before it compiles anew.
+BLOCK, BEFORE, KEPT_STATES = 1 << 16, 512, 200_000
 #: White space of the split pattern (fixed by Unicode's White_Space property).
-SPACES = "\t\n\x0b\x0c\r \x85\xa0                　"
-_CUT = re.compile(f"(?<=[^{SPACES}])(?=[{SPACES}])")
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -142,26 +143,39 @@ class Merger:
         move = self.moves[state][byte] = (to, emitted)
         return move
 
-    def count(self, word: bytes) -> int:
-        if len(self.keys) > self.most:
-            self.start()
-        state = total = 0
-        moves = self.moves
+    def feed(self, state: int, word: bytes) -> tuple[int, int]:
+        """(state, tokens emitted) after more bytes of a word."""
+        total = 0
         for b in word:
-            move = moves[state].get(b) or self._compile(state, b)
+            move = self.moves[state].get(b) or self._compile(state, b)
             state = move[0]
             total += move[1]
-        return total
+        return state, total
+
+    def known(self, key: tuple) -> int:
+        """The state with this key."""
+        if key not in self.states:
+            self.states[key] = len(self.keys)
+            self.keys.append(key)
+            self.moves.append({})
+        return self.states[key]
 
 
-#: Classes of characters: letter, number, other, and of what a contraction needs.
+#: What an apostrophe where a word begins makes a word with (fixed by the split pattern).
 _ONE, _TWO = {"s", "t", "m", "d"}, {"re", "ve", "ll"}
+#: Modes of the splitter: nothing open; white space; a word of letters, numbers, others; an apostrophe alone; one with a letter that may begin a pair.
+START, SPACE, LETTERS, NUMBERS, OTHERS, QUOTE, PAIR = "S", " ", "L", "N", "O", "Q", "P"
+#: Beside its transitions, a state's own name and what is emitted where a text ends in it.
+_NAME, _END = 0, 1
 
 
 class Tokenizer:
-    """Counts as the library gives them for a byte-level vocabulary with the usual split pattern."""
+    """Counts as the library gives them for a byte-level vocabulary with the usual split pattern.
+
+    A compiled state is a table: character -> (table of the next state, tokens emitted).
+    """
 
-    def __init__(self, path: str, kept: int = KEPT_CHUNKS):
+    def __init__(self, path: str, most: int = KEPT_STATES):
         from tokenizers import Tokenizer as Library
 
         with open(path, encoding="utf-8") as f:
@@ -170,136 +184,144 @@ class Tokenizer:
         self.special = [t["content"] for t in spec["added_tokens"]]
         self._specials = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self._pieces = Library.from_file(path).pre_tokenizer.pre_tokenize_str
-        self.kind: dict[str, str] = {c: " " for c in SPACES}
-        self.kept = kept
-        self.words: dict[str, int] = {}
-        self.chunks: dict[str, int] = {}
+        self.kind: dict[str, str] = {c: SPACE for c in SPACES}
+        self.most = most
+        self.restart()
+
+    def restart(self) -> None:
+        """Only the start state; others are compiled when first met."""
+        self.merger.start()
+        self.tables: dict[tuple, dict] = {}
+        self.first = self._table((START, "", 0))
 
     def _kind(self, c: str) -> str:
-        """L, N or O: what the split pattern takes a character for, asked once."""
-        alone = [k for k, beside in (("L", "a"), ("N", "1"), ("O", "!")) if len(self._pieces(beside + c)) == 1]
-        self.kind[c] = k = alone[0] if alone else " "
-        if k == " ":
-            raise ValueError(f"white space that the pattern does not list: {c!r}")
-        return k
-
-    def split(self, chunk: str) -> list[str]:
-        """The words of a chunk: white space, then other characters."""
-        kind = self.kind
-        n = len(chunk)
-        i = 0
-        while i < n and kind.get(chunk[i]) == " ":
-            i += 1
-        if i == n:
-            return [chunk] if n else []
-        out = []
-        begin = i
-        if i:
-            if chunk[i - 1] == " ":
-                begin = i - 1
-                if i > 1:
-                    out.append(chunk[: i - 1])
+        """Letters, numbers or others: what the split pattern takes a character for, asked once."""
+        if c not in self.kind:
+            alone = [k for k, beside in ((LETTERS, "a"), (NUMBERS, "1"), (OTHERS, "!")) if len(self._pieces(beside + c)) == 1]
+            if not alone:
+                raise ValueError(f"white space that the pattern does not list: {c!r}")
+            self.kind[c] = alone[0]
+        return self.kind[c]
+
+    def _table(self, name: tuple[str, str, int]) -> dict:
+        t = self.tables.get(name)
+        if t is None:
+            mode, waits, merged = name
+            if mode == SPACE:  # the white space at a text's end is one word
+                end = self.merger.feed(merged, waits.encode())[1]
             else:
-                out += [chunk[: i - 1], chunk[i - 1]] if i > 1 else [chunk[:1]]
-        state = "start" if begin == i else "space"
-        for i in range(i, n):
-            c = chunk[i]
-            k = kind.get(c) or self._kind(c)
-            if state == "quote":  # an apostrophe alone, where a word begins
-                if c in _ONE:
-                    out.append(chunk[begin : i + 1])
-                    begin, state = i + 1, "start"
-                    continue
-                if chunk[i : i + 2] in _TWO:
-                    state = "pair"
-                    continue
-                state = "O"
-            elif state == "pair":
-                out.append(chunk[begin : i + 1])
-                begin, state = i + 1, "start"
-                continue
-            if state in ("start", "space"):
-                state = "quote" if c == "'" and state == "start" else k
-            elif state != k:
-                out.append(chunk[begin:i])
-                begin, state = i, "quote" if c == "'" else k
-        if begin < n:
-            out.append(chunk[begin:])
-        return out
+                end = self.merger.feed(0, waits.encode())[1] if waits else 0
+            t = self.tables[name] = {_NAME: name, _END: end}
+        return t
+
+    def _begun(self, c: str, blank: str = "") -> tuple[tuple[str, str, int], int]:
+        """A word's first character, behind the blank that it takes in."""
+        k = self._kind(c)
+        merged, n = self.merger.feed(0, (blank + c).encode())
+        return (QUOTE if c == "'" and not blank else k, "", merged), n
+
+    def _stepped(self, name: tuple[str, str, int], c: str) -> tuple[tuple[str, str, int], int]:
+        mode, waits, merged = name
+        k = self._kind(c)
+        if mode == SPACE:
+            if k == SPACE:
+                merged, n = self.merger.feed(merged, waits.encode())
+                return (SPACE, c, merged), n
+            if waits == " ":
+                return self._begun(c, " ")
+            n = self.merger.feed(0, waits.encode())[1]
+            to, more = self._begun(c)
+            return to, n + more
+        n = 0
+        if mode == PAIR:
+            if waits + c in _TWO:
+                return (START, "", 0), self.merger.feed(merged, (waits + c).encode())[1]
+            mode = LETTERS  # the apostrophe stands alone, and a word of letters has begun
+            merged, n = self.merger.feed(0, waits.encode())
+        if k == SPACE:
+            return (SPACE, c, 0), n
+        if mode == QUOTE:
+            if c in _ONE:
+                return (START, "", 0), self.merger.feed(merged, c.encode())[1]
+            if any(w[0] == c for w in _TWO):
+                return (PAIR, c, merged), 0
+            mode = OTHERS
+        if mode == k:
+            merged, more = self.merger.feed(merged, c.encode())
+            return (k, "", merged), n + more
+        to, more = self._begun(c)
+        return to, n + more
+
+    def _compile(self, table: dict, c: str) -> tuple[dict, int]:
+        name, n = self._stepped(table[_NAME], c)
+        move = table[c] = (self._table(name), n)
+        return move
 
-    def _count(self, chunk: str) -> int:
-        """Tokens of a piece that starts where the splitter starts; it may hold several chunks."""
+    def run(self, text: str, table: dict) -> tuple[dict, int]:
+        """(state, tokens emitted) after a text."""
         total = 0
-        words = self.words
-        for part in _CUT.split(chunk):
-            for w in self.split(part):
-                n = words.get(w)
-                if n is None:
-                    n = words[w] = self.merger.count(w.encode())
-                total += n
-        return total
+        for c in text:
+            move = table.get(c) or self._compile(table, c)
+            table = move[0]
+            total += move[1]
+        return table, total
 
-    def learn(self, chunks: set[str]) -> None:
-        new = [c for c in chunks if c not in self.chunks]
-        if len(self.chunks) + len(new) > self.kept:
-            self.chunks.clear()
-            new = list(chunks)
-        if len(self.words) > self.kept:
-            self.words.clear()
-        for c in new:
-            self.chunks[c] = self._count(c)
-
-    def block(self, text: str) -> StateMap:
-        """The state map of one block."""
-        cuts = [m.start() for m in _CUT.finditer(text, 1)] if " " in text or not text.isalpha() else []
-        if not cuts:
-            return StateMap(text, 0, None)
-        head, body, tail = text[: cuts[0]], text[cuts[0] : cuts[-1]], text[cuts[-1] :]
-        pieces = [f" {p}" for p in body[1:].split(" ")] if body[:1] == " " and "  " not in body and not re.search(f" [{SPACES}]|[{SPACES}] ", body) else _CUT.split(body) if body else []
-        self.learn(set(pieces))
-        return StateMap(head, sum(map(self.chunks.__getitem__, pieces)), tail)
-
-    def compose(self, a: StateMap, b: StateMap) -> StateMap:
-        """The map of a, then b."""
-        if a.tail is None:
-            if b.tail is None:
-                return self._meet(a.head + b.head)
-            joined = self._meet(a.head + b.head)
-            return StateMap(joined.head, joined.count + b.count + (self._count(joined.tail) if joined.tail is not None else 0), b.tail)
-        if b.tail is None:
-            joined = self._meet(a.tail + b.head)
-            return StateMap(a.head, a.count, a.tail + b.head) if joined.tail is None else StateMap(a.head, a.count + self._count(joined.head) + joined.count, joined.tail)
-        return StateMap(a.head, a.count + self._count(a.tail + b.head) + b.count, b.tail)
-
-    def _meet(self, text: str) -> StateMap:
-        return self.block(text) if len(text) < BLOCK and _CUT.search(text) else StateMap(text, 0, None)
-
-    def scan(self, maps: list[StateMap]) -> StateMap:
-        """The composition of all maps, by halves."""
-        while len(maps) > 1:
-            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        return maps[0]
-
-    def count(self, text: str, block: int = BLOCK) -> int:
-        total = 0
+    def count(self, text: str) -> int:
+        if len(self.tables) > self.most or len(self.merger.keys) > self.most:
+            self.restart()
         parts = [text]
         if self._specials and self._specials.search(text):
             parts = self._specials.split(text)
-            total = len(parts) - 1
+        total = len(parts) - 1
         for part in parts:
-            if part:
-                m = self.scan([self.block(part[i : i + block]) for i in range(0, len(part), block)])
-                total += self._count(m.head) + m.count + (self._count(m.tail) if m.tail is not None else 0)
+            table, n = self.run(part, self.first)
+            total += n + table[_END]
         return total
 
+    def _written(self, table: dict) -> str:
+        """A state as any worker knows it."""
+        mode, waits, merged = table[_NAME]
+        return json.dumps([mode, waits, self.merger.keys[merged]])
+
+    def _read(self, state: str) -> dict:
+        mode, waits, key = json.loads(state)
+        return self._table((mode, waits, self.merger.known(tuple(map(tuple, key)))))
+
+    def state_map(self, before: str, text: str) -> dict[str, tuple[str, int]]:
+        """State -> (state, tokens emitted) of a block, for the states that it may be entered in; before: characters before it, none at a text's start."""
+        if len(self.tables) > self.most or len(self.merger.keys) > self.most:
+            self.restart()
+        entries = {id(self.first): self.first}
+        if before:
+            table, times, known = self.first, {}, False
+            for i, c in enumerate(before):
+                table = (table.get(c) or self._compile(table, c))[0]
+                known = known or i > 0 and self._kind(c) == SPACE != self._kind(before[i - 1])
+                n, _ = times.get(id(table), (0, None))
+                times[id(table)] = (n + 1, table)
+            entries = {id(table): table}
+            if not known:
+                entries |= {i: t for i, (n, t) in times.items() if n > 1}
+        out = {}
+        for table in entries.values():
+            end, n = self.run(text, table)
+            out[self._written(table)] = (self._written(end), n)
+        return out
+
+    def end(self, state: str) -> int:
+        return self._read(state)[_END]
+
+
+def composed(a: dict[str, tuple[str, int]], b: dict[str, tuple[str, int]]) -> dict[str, tuple[str, int]]:
+    """The map of a, then b; entries of a that end in a state b does not know are lost."""
+    return {s: (b[mid][0], n + b[mid][1]) for s, (mid, n) in a.items() if mid in b}
 
-@dataclass(frozen=True)
-class StateMap:
-    """What a block does to the splitter: `head` is read from whatever state comes in; without a tail there is no place to start afresh."""
 
-    head: str
-    count: int
-    tail: str | None
+def scanned(maps: list[dict[str, tuple[str, int]]]) -> dict[str, tuple[str, int]]:
+    """The composition of all maps, by halves."""
+    while len(maps) > 1:
+        maps = [composed(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+    return maps[0]
 
 
 def tokenizer(path: str) -> Tokenizer:
@@ -308,27 +330,76 @@ def tokenizer(path: str) -> Tokenizer:
 
 
 OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
+_MAPS = pa.schema([("key", pa.int64()), ("block", pa.int32()), ("states", pa.list_(pa.string())), ("ends", pa.list_(pa.string())), ("emitted", pa.list_(pa.int64()))])
+_KINDS = "doc_id long, n_bytes long, n_tokens long"
 
 
-def count_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_tokens) of every text."""
-    path = path or vocabulary_path()
+def _whole(docs: DataFrame, path: str) -> DataFrame:
+    """Counts of texts read from start to end by one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compiled = tokenizer(path)
+        return emit(((i, len(t.encode()), compiled.count(t)) for ids, ts in texts(batches) for i, t in zip(ids, ts, strict=True)), OUT)
+
+    return docs.select("doc_id", "text").mapInArrow(run, _KINDS)
+
+
+def block_maps(docs: DataFrame, path: str, block: int = BLOCK) -> DataFrame:
+    """(key, block, states, ends, emitted): the state map of each block of each text. docs: key, text."""
+    blocks = docs.select("key", "text", F.posexplode(F.sequence(F.lit(1), F.length("text"), F.lit(block))).alias("block", "at"))
+    before = F.least(F.col("at") - 1, F.lit(BEFORE))
+    cut = blocks.select("key", "block", before.alias("before"), F.substring("text", F.col("at") - before, before + block).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compiled = tokenizer(path)
+
+        def rows():
+            for b in batches:
+                for key, k, n, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    m = compiled.state_map(t[:n], t[n:])
+                    yield key, k, list(m), [e for e, _ in m.values()], [n for _, n in m.values()]
+
+        return emit(rows(), _MAPS, lambda r: 200 * len(r[2]))
+
+    return cut.mapInArrow(run, "key long, block int, states array<string>, ends array<string>, emitted array<long>")
+
+
+def _scan_counts(maps: DataFrame, path: str) -> DataFrame:
+    """(key, n_tokens): each text's maps composed; null where a map lacked a state."""
+    once = maps.groupBy("key", "block").agg(F.first(F.struct("states", "ends", "emitted")).alias("m"))  # texts that are the same have the same maps
+    lists = once.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("block", "m"))).alias("maps"))
+    out = pa.schema([("key", pa.int64()), ("n_tokens", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = tokenizer(path)
 
         def rows():
-            for ids, ts in texts(batches):
-                for i, t in zip(ids, ts, strict=True):
-                    yield i, len(t.encode()), compiled.count(t)
+            for b in batches:
+                for key, ms in zip(b.column("key").to_pylist(), b.column("maps").to_pylist(), strict=True):
+                    whole = scanned([{s: (e, n) for s, e, n in zip(*(x["m"][c] for c in ("states", "ends", "emitted")), strict=True)} for x in ms])
+                    yield (key, (end := next(iter(whole.values())))[1] + compiled.end(end[0])) if whole else (key, None)
 
-        return emit(rows(), OUT)
+        return emit(rows(), out)
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
+    return lists.mapInArrow(run, "key long, n_tokens long")
+
+
+def count_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """(doc_id, n_bytes, n_tokens) of every text."""
+    path = path or vocabulary_path()
+    with open(path, encoding="utf-8") as f:
+        special = [t["content"] for t in json.load(f)["added_tokens"]]
+    held = id_and_text(docs, id_col, text_col)
+    whole = F.length("text") <= block
+    for s in special:
+        whole = whole | F.contains("text", F.lit(s))
+    long = held.where(~whole).withColumn("key", F.xxhash64("text"))
+    known = _scan_counts(block_maps(long.select("key", "text"), path, block), path)
+    found = long.join(known, "key", "left")
+    missed = _whole(found.where("n_tokens is null").select("doc_id", "text"), path)
+    return _whole(held.where(whole), path).unionByName(found.where("n_tokens is not null").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "n_tokens")).unionByName(missed)
 
 
 def op8_transducer_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of all documents."""
-    from pyspark.sql import functions as F
-
     return count_tokens(documents(spark, sf_dir)).withColumn("over_limit", F.col("n_tokens") > LIMIT)
