@@ -9,7 +9,7 @@ import tempfile
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
@@ -37,10 +37,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> None:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where none is set, as in tests."""
+    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where none is set and all runs in one process, as in tests."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sluice-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or f"{tempfile.gettempdir()}/sluicework-checkpoints")
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -60,6 +63,11 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """A row's 64-bit key: rows with one id and text have one key, and others differ (but for a chance of about n squared / 2**65)."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")))
+
+
 def emit(rows: Iterable[tuple], schema: pa.Schema, weigh=None, flush: int = FLUSH_BYTES, most: int = 4096) -> Iterator[pa.RecordBatch]:
     """Rows as Arrow batches of bounded size; weigh(row) is a row's bytes."""
     held: list[tuple] = []
