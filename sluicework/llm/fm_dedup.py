@@ -6,14 +6,16 @@ windows name equal anchors. Neighbouring windows with one anchor form a segment.
 that occur once end there. For the rest, distinct segments go to the shard of their anchor; a
 shard's FM-index (a wavelet matrix of packed bits over the transform of its
 segments) is searched backward by each of its segments, many in lockstep, which
-gives the stretches whose every window occurs at least twice. Segments that occur
-twice as they are need no search. Verdicts return to documents by the segment's digest.
+gives how far each match reaches and so the stretches whose every window occurs at least twice. Segments that occur
+twice as they are need no search: their count is that of each of their windows, at least. Verdicts return to documents by the segment's digest,
+and are reported as intervals of words, too.
 
 Words stand for 64-bit hashes, segments for 128-bit digests. An anchor with very many
 distinct segments is cut into blocks, and each block is searched in the index of every block.
 
 Defined results: a null text has no words; texts shorter than a window lose nothing; each row is
-a document of its own, so that a repeated row repeats its windows.
+a document of its own, whatever its id, so that a repeated row repeats its windows and rows without an id are searched like others; a very long text
+is cut into segments like any other; of equal k-grams in a window the first is the anchor; columns other than id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -27,18 +29,24 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, documents, drop_tables, emit, id_and_text, shuffle_partitions, sliced
+from .common import checkpoint, documents, drop_tables, emit, id_and_text, row_key, shuffle_partitions, sliced
 from .words import BASES, U, Words, span_hashes
 
 #: Words of a window and of a k-gram; words of a shard's index; distinct segments of a block.
 WINDOW, GRAM, SHARD_WORDS, BLOCK = 35, 8, 200_000, 512
 
+
+def gram_of(window: int) -> int:
+    """Words of a k-gram: so many that a segment has 62 windows at most, a mask's bits."""
+    return min(window, max(GRAM, window - 61))
+
+
 class Segments:
     """The segments of a batch: their text, first word (in the batch), windows, anchor and digest."""
 
-    def __init__(self, words: Words, window: int = WINDOW, gram: int = GRAM):
+    def __init__(self, words: Words, window: int = WINDOW):
         n = len(words.hash)
-        gram = min(gram, window)
+        gram = gram_of(window)
         count = n - window + 1
         size = np.diff(words.first)
         text = np.repeat(np.arange(len(size)), size)
@@ -81,9 +89,9 @@ class PackedBits:
 
 
 class FMIndex:
-    """Backward search over sequences of words (as small integers), to a depth of `depth` words."""
+    """Backward search over sequences of words (as small integers), of `depth` words at most: suffixes are ordered by so many."""
 
-    def __init__(self, text: np.ndarray, symbols: int, depth: int = 64):
+    def __init__(self, text: np.ndarray, symbols: int, depth: int):
         n = len(text)
         order, rank = np.argsort(text, kind="stable"), text.astype(np.int64)
         step = 1
@@ -160,26 +168,23 @@ def matches(index: FMIndex, words: np.ndarray, first: np.ndarray, windows: np.nd
     return mask
 
 
-_FOUND = pa.schema([("anchor", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("times", pa.int64()), ("doc_id", pa.int64())])
+_FOUND = pa.schema([("anchor", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("times", pa.int64()), ("row", pa.int64())])
 _CONTENT = pa.schema([("anchor", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("times", pa.int64()), ("blocks", pa.int32()), ("content", pa.binary())])
+_INTERVALS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 _MASKS = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("mask", pa.int64())])
 
 
-def _ids(b: pa.RecordBatch) -> list:
-    return b.column("doc_id").to_pylist()
-
-
 def repeated_segments(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(anchor, h1, h2, times, rep, variants): the distinct segments of anchors that occur more than once.
+    """(anchor, h1, h2, times, rep, variants): the distinct segments of anchors that occur more than once. docs: row, text.
 
-    times: how often the segment occurs; rep: the least document that has it; variants: distinct segments of the anchor.
+    times: how often the segment occurs; rep: a row that has it (its `row_key`); variants: distinct segments of the anchor.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_tables()
         for b in sliced(batches):
             seg = Segments(Words(b.column("text")), window)
-            ids = np.array([np.iinfo(np.int64).max if i is None else i for i in _ids(b)], np.int64)
+            ids = b.column("row").to_numpy()
             if not len(seg.first):
                 continue
             order = np.lexsort((ids[seg.text], seg.h2, seg.h1))
@@ -189,15 +194,16 @@ def repeated_segments(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             at = order[head]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (seg.anchor[at], seg.h1[at], seg.h2[at], times, ids[seg.text[at]])], schema=_FOUND)
 
-    found = docs.mapInArrow(run, "anchor long, h1 long, h2 long, times long, doc_id long")
-    distinct = found.groupBy("anchor", "h1", "h2").agg(F.sum("times").alias("times"), F.min("doc_id").alias("rep"))
-    totals = found.groupBy("anchor").agg(F.sum("times").alias("total")).where("total > 1").select("anchor")
+    found = docs.select("row", "text").mapInArrow(run, "anchor long, h1 long, h2 long, times long, row long")
+    distinct = checkpoint(found.groupBy("anchor", "h1", "h2").agg(F.sum("times").alias("times"), F.min("row").alias("rep")))
+    # Counts by anchor are cut from their lineage, so that both sides of the join are dealt anew and an anchor with very many segments can be split over tasks.
+    totals = checkpoint(distinct.groupBy("anchor").agg(F.sum("times").alias("total"), F.count("*").alias("variants")).where("total > 1").select("anchor", "variants"))
     return checkpoint(distinct.join(totals, "anchor"))
 
 
 def _contents(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     """The words of each wanted segment, from the document named for it."""
-    lists = wanted.groupBy(F.col("rep").alias("doc_id")).agg(F.collect_list(F.struct("anchor", "h1", "h2", "times", "blocks")).alias("wanted"))
+    lists = wanted.groupBy(F.col("rep").alias("row")).agg(F.collect_list(F.struct("anchor", "h1", "h2", "times", "blocks")).alias("wanted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
@@ -212,7 +218,7 @@ def _contents(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
 
         return emit(rows(), _CONTENT, lambda r: 600)
 
-    return docs.join(lists, F.coalesce(docs["doc_id"], F.lit(np.iinfo(np.int64).max)) == lists["doc_id"]).select(docs["doc_id"], "text", "wanted").mapInArrow(run, "anchor long, h1 long, h2 long, times long, blocks int, content binary")
+    return docs.join(lists, "row").select("text", "wanted").mapInArrow(run, "anchor long, h1 long, h2 long, times long, blocks int, content binary")
 
 
 def _shard(rows: list[tuple], window: int) -> Iterator[tuple[int, int, int]]:
@@ -230,7 +236,7 @@ def _shard(rows: list[tuple], window: int) -> Iterator[tuple[int, int, int]]:
     text[place] = words[keep]
     if not len(text) or not stream.any():
         return
-    index = FMIndex(text, symbols)
+    index = FMIndex(text, symbols, 2 * window - gram_of(window))  # a segment's words at most
     least = np.where(indexed, 2, 1)[stream]
     masks = matches(index, words, first[stream], lengths[stream] - window + 1, least, window)
     for k, m in zip(np.flatnonzero(stream).tolist(), masks.tolist(), strict=True):
@@ -239,11 +245,11 @@ def _shard(rows: list[tuple], window: int) -> Iterator[tuple[int, int, int]]:
 
 
 def verdicts(docs: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, block: int = BLOCK) -> DataFrame:
-    """(h1, h2, mask): which windows of each distinct segment occur elsewhere; -1: all of them."""
+    """(h1, h2, mask): which windows of each distinct segment occur elsewhere; -1: all of them. docs: row, text."""
     spark = docs.sparkSession
     segments = repeated_segments(docs, window)
-    variants = segments.groupBy("anchor").agg(F.count("*").alias("variants")).where("variants > 1").select("anchor", F.ceil(F.col("variants") / block).cast("int").alias("blocks"))
-    contents = _contents(docs, segments.join(variants, "anchor"), window)
+    several = segments.where("variants > 1").withColumn("blocks", F.ceil(F.col("variants") / block).cast("int"))
+    contents = _contents(docs, several, window)
     own = F.pmod(F.xxhash64("h1", "h2"), F.col("blocks")).cast("int")
     once = F.col("times") < 2  # one that occurs twice as it is need not be searched
     there = F.struct(F.col("own").alias("low"), F.col("other").alias("high"), F.lit(True).alias("indexed"), (once & (F.col("own") == F.col("other"))).alias("searched"))
@@ -278,10 +284,11 @@ def verdicts(docs: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WOR
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept: the words that stay, joined by a space) of every row, and `carried`, a struct of the columns named."""
+    """(doc_id, n_words, n_removed, kept: the words that stay, joined by a space, intervals: of the words that go, from 0, ends exclusive) of every row,
+    and `carried`, a struct of the columns named."""
     carried = F.struct(*(F.col(c) for c in carry)) if carry else F.struct(F.lit(0).alias("_"))
-    held = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), carried.alias("carried"))
-    docs = id_and_text(docs, id_col, text_col)
+    held = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), row_key(id_col, text_col).alias("row"), carried.alias("carried"))
+    docs = id_and_text(docs, id_col, text_col).select(row_key().alias("row"), "text")
     known = verdicts(docs, window)
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,11 +298,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             order = np.lexsort((seg.h2, seg.h1, seg.text))
             t, h1, h2 = seg.text[order], seg.h1[order], seg.h2[order]
             head = np.concatenate(([True], (t[1:] != t[:-1]) | (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))) if len(t) else np.empty(0, bool)
-            ids = _ids(b)
-            yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in t[head].tolist()], pa.int64()), pa.array(h1[head]), pa.array(h2[head])], names=["doc_id", "h1", "h2"])
+            yield pa.RecordBatch.from_arrays([pa.array(b.column("row").to_numpy()[t[head]]), pa.array(h1[head]), pa.array(h2[head])], names=["row", "h1", "h2"])
 
-    had = docs.mapInArrow(listed, "doc_id long, h1 long, h2 long").join(known, ["h1", "h2"])
-    masks = had.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2", "mask")).alias("masks")).withColumnRenamed("doc_id", "masked")
+    had = docs.mapInArrow(listed, "row long, h1 long, h2 long").join(known, ["h1", "h2"])
+    masks = had.groupBy("row").agg(F.collect_list(F.struct("h1", "h2", "mask")).alias("masks"))
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_tables()
@@ -315,18 +321,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                             cover[f + k] += 1
                             cover[f + k + window] -= 1
             stays = np.cumsum(cover[:-1]) == 0
-            data, kept, left = words.data.tobytes(), [], []
+            data, kept, left, intervals = words.data.tobytes(), [], [], []
             for a, z in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
                 own = stays[a:z]
+                edge = np.flatnonzero(np.diff(np.concatenate(([True], own, [True])).astype(np.int8)))
+                intervals.append([{"start": i, "end": j} for i, j in edge.reshape(-1, 2).tolist()])
                 own = [data[s:e] for s, e in zip(words.start[a:z][own].tolist(), words.end[a:z][own].tolist(), strict=True)]
                 left.append(len(own))
                 kept.append(b" ".join(own).decode())
             n = np.diff(words.first)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(n - np.array(left, np.int64)), pa.array(kept, pa.string()), b.column("carried")], names=["doc_id", "n_words", "n_removed", "kept", "carried"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(n - np.array(left, np.int64)), pa.array(kept, pa.string()), pa.array(intervals, _INTERVALS), b.column("carried")], names=["doc_id", "n_words", "n_removed", "kept", "intervals", "carried"])
 
     kind = held.schema["carried"].dataType.simpleString()
-    joined = held.join(masks, held["doc_id"].eqNullSafe(masks["masked"]), "left").select("doc_id", "text", "masks", "carried")
-    return joined.mapInArrow(removed, f"doc_id long, n_words long, n_removed long, kept string, carried {kind}")
+    joined = held.join(masks, "row", "left").select("doc_id", "text", "masks", "carried")
+    return joined.mapInArrow(removed, f"doc_id long, n_words long, n_removed long, kept string, intervals array<struct<start:long,end:long>>, carried {kind}")
 
 
 def op10_fm_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
