@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluicework.llm import fm_dedup, hamming_dedup, language_profiles, pattern_packing, secret_scan
-from sluicework.llm.common import checkpoint, documents
+from sluicework.llm.common import checkpoint, documents, row_key
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Words of a shingle and percent of similarity of near duplicates here.
@@ -25,10 +25,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near duplicates; one without an id stays."""
-    kept = hamming_dedup.near_duplicates(docs, shingle=SHINGLE, percent=PERCENT).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.select(*COLUMNS)
-    return named.join(kept, "doc_id").dropDuplicates(["doc_id"]).select(*COLUMNS).unionByName(named.where("doc_id is null"))
+    """One row of each group of near duplicates, with the least id; rows without an id come last, ties go by a hash of the row.
+
+    Rows whose text is null or has no words stay as they are. Of rows that are the same in id and text one stays. Two texts under one id are two documents.
+    """
+    found = hamming_dedup.near_duplicates(docs, shingle=SHINGLE, percent=PERCENT).select("doc_id", "row", "component")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row"))
+    winners = found.where("component is not null").groupBy("component").agg(first.alias("w")).select("w.row")
+    named = docs.select(*COLUMNS, row_key().alias("row"))
+    blank = found.where("component is null").select("row").distinct()
+    return named.join(checkpoint(winners.unionByName(blank)), "row").dropDuplicates(["row"]).select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +47,9 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with their secrets replaced by a mark."""
-    found = secret_scan.limits(secret_scan.scan(docs))
-    seen = secret_scan.spans(secret_scan.scan(docs, carry=COLUMNS), found)
+    letters = secret_scan.letter_pairs(docs)
+    found = secret_scan.limits(secret_scan.scan(docs, letters=letters))
+    seen = secret_scan.spans(secret_scan.scan(docs, carry=COLUMNS, letters=letters), found)
     text = secret_scan.redacted(F.col("carried.text"), F.col("spans"))
     hit = F.size("spans") > 0
     return seen.select("carried.doc_id", text.alias("text"), "carried.lang", "carried.source", F.when(hit, F.length(text).cast("long")).otherwise(F.col("carried.n_chars")).alias("n_chars"))
