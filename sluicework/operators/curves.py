@@ -40,23 +40,58 @@ def first_crossing(points: DataFrame, keys: Sequence[str], x: str, difference: s
     return out.select(*keys, (F.col("crossings") > 0).alias("found"), "crossings", F.col("hit.x").alias(x), *(F.col(f"hit.{y}").alias(y) for y in ys))
 
 
-def exact_crossings(points: DataFrame, keys: Sequence[str], x: str, y: str, static: str, k: str, tolerance: float = 1e-9) -> DataFrame:
-    """Per curve: the distinct roots of segment = static + k x^2, each within a tolerance of its segment: their number and the least.
+def held(rows: DataFrame, **values: Column) -> DataFrame:
+    """rows with columns that are computed once: neither projections nor filters are merged across a generator, so that a costly expression is not copied to each place that reads it."""
+    made = F.struct(*(v.alias(k) for k, v in values.items()))
+    out = rows.select("*", F.explode(F.array(made)).alias("_held"))
+    return out.select(*(c for c in rows.columns if c not in values), *(F.col(f"_held.{k}").alias(k) for k in values))
 
-    The root is clamped to its segment.
+
+def system_head(q: Column, static: Column, k: Column) -> Column:
+    return static + k * q * q
+
+
+def exact_roots(segs: Column, static: Column, k: Column, tolerance: float = 1e-9) -> Column:
+    """The distinct flows (ten places, in order) at which a curve's segments (array of struct<a, b>, points with q and h) meet static + k q^2, each within a tolerance of its segment.
+
+    Few segments can hold a root: those over which the difference changes its sign, or turns. Only they are solved; of a quadratic's
+    roots the larger in size comes from the sum that loses no digits, the other from their product.
     """
-    seg = segments(points, keys, x, [y]).where(F.col(f"{x}1").isNotNull())
-    m = (F.col(f"{y}1") - F.col(y)) / (F.col(f"{x}1") - F.col(x))
-    b = F.col(y) - m * F.col(x)
-    kk, c = F.col(k), F.col(static) - b
-    disc = m * m - 4 * kk * c
-    root = lambda s: F.when(disc >= 0, (m + s * F.sqrt(disc)) / (2 * kk))
-    line = F.when(F.abs(m) >= 1e-14, c / m)
-    roots = F.when(F.abs(kk) < 1e-14, F.array(line)).otherwise(F.array(root(-1), root(1)))
-    each = seg.select(*keys, F.col(x).alias("lo"), F.col(f"{x}1").alias("hi"), F.explode(roots).alias("r"))
-    inside = each.where((F.col("r") >= F.col("lo") - tolerance) & (F.col("r") <= F.col("hi") + tolerance))
-    clamped = inside.select(*keys, F.round(F.least(F.greatest("r", "lo"), "hi"), 8).alias("r"))
-    return clamped.groupBy(*keys).agg(F.count_distinct("r").alias("roots"), F.min("r").alias(x))
+    slope = lambda s: (s["b"]["h"] - s["a"]["h"]) / (s["b"]["q"] - s["a"]["q"])
+
+    def near(s: Column) -> Column:
+        lo, hi = s["a"]["q"] - tolerance, s["b"]["q"] + tolerance
+        m = slope(s)
+        away = lambda q: F.signum(static + k * q * q - s["a"]["h"] - m * (q - s["a"]["q"]))
+        return (away(lo) * away(hi) <= 0) | (m >= 2 * k * lo) & (m <= 2 * k * hi)
+
+    def of(s: Column) -> Column:
+        m = slope(s)
+        c = static - (s["a"]["h"] - m * s["a"]["q"])
+        disc = m * m - 4 * k * c
+        w = F.when(disc >= 0, (m + F.when(m < 0, -1.0).otherwise(1.0) * F.sqrt(F.greatest(disc, F.lit(0.0)))) / 2)
+        found = F.when(F.abs(k) < 1e-14, F.array(F.when(F.abs(m) >= 1e-14, c / m))).otherwise(F.array(w / F.when(F.abs(k) >= 1e-14, k), c / F.when(w != 0, w)))
+        return F.filter(found, lambda r: (r >= s["a"]["q"] - tolerance) & (r <= s["b"]["q"] + tolerance))
+
+    return F.array_sort(F.array_distinct(F.transform(F.flatten(F.transform(F.filter(segs, near), of)), lambda r: F.round(r, 10))))
+
+
+def segment_at(segs: Column, q: Column) -> Column:
+    """The segment that holds a flow; the last one beyond the curve's end."""
+    return F.when(q.isNotNull(), F.coalesce(F.get(F.filter(segs, lambda s: q <= s["b"]["q"]), F.lit(0)), F.get(segs, F.size(segs) - 1)))
+
+
+def exact_crossings(pairs: DataFrame, static: str, k: str) -> DataFrame:
+    """pairs (with pts and segs) and: found, crossings, q (the least), head (the system's), eta, npsh, note."""
+    rows = held(pairs, _roots=exact_roots(F.col("segs"), F.col(static), F.col(k)))
+    rows = held(rows, q=F.get("_roots", F.lit(0)), _n=F.coalesce(F.size("_roots"), F.lit(0)))
+    rows = held(rows, _s=segment_at(F.col("segs"), F.col("q")))
+    x = F.least(F.greatest("q", "_s.a.q"), "_s.b.q")
+    value = lambda y: lerp(x, F.col("_s.a.q"), F.col("_s.b.q"), F.col(f"_s.a.{y}"), F.col(f"_s.b.{y}"))
+    n = F.greatest(F.col("_n"), F.lit(0))
+    note = F.when(n == 0, "no crossing within the curve").when(n > 1, F.concat(n.cast("string"), F.lit(" crossings; the one with the least flow"))).otherwise("")
+    more = {"found": n > 0, "crossings": n.cast("long"), "head": system_head(F.col("q"), F.col(static), F.col(k)), "eta": value("eta"), "npsh": value("npsh"), "note": note}
+    return held(rows, **more).drop("_roots", "_n", "_s", "pts", "segs")
 
 
 def interpolate(points: DataFrame, queries: DataFrame, keys: Sequence[str], x: str, ys: Sequence[str], outside: str = "null") -> DataFrame:

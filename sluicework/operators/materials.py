@@ -16,7 +16,7 @@ def unknown(catalog: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def ordered(chosen: DataFrame) -> DataFrame:
-    """Rows with `place`: materials and families by first appearance among the chosen rows, types by letter, rows by line.
+    """Rows with `place` and `type_key`: materials and families by first appearance among the chosen rows, types by their letters whatever the case, then as they are, rows by line.
 
     First lines are aggregates joined back, so that no window gathers the whole catalogue.
     """
@@ -24,7 +24,7 @@ def ordered(chosen: DataFrame) -> DataFrame:
     f = chosen.groupBy("material", "type", "family").agg(F.min("line").alias("f_line"))
     rows = chosen.join(m, "material").join(f, ["material", "type", "family"])
     w = Window.partitionBy("material", "type").orderBy("f_line", "line")
-    return rows.withColumn("place", F.row_number().over(w))
+    return rows.withColumns({"place": F.row_number().over(w), "type_key": F.struct(F.lower("type").alias("low"), F.col("type").alias("raw"))})
 
 
 def families(chosen: DataFrame) -> DataFrame:
@@ -32,9 +32,20 @@ def families(chosen: DataFrame) -> DataFrame:
     return chosen.groupBy("material", "type", "family").agg(F.count("*").alias("n"), F.min("line").alias("first_line"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "code"))), lambda r: r["code"].cast("string")), ",").alias("codes"))
 
 
-def lint(catalog: DataFrame) -> DataFrame:
-    """(family, problem): families whose rows differ in what they share, or whose code has an illegal character; codes that repeat."""
-    shared = catalog.groupBy("family").agg(F.count_distinct(F.struct("material", "type")).alias("n")).where("n > 1").select("family", F.lit("inconsistent").alias("problem"))
-    illegal = catalog.where(~F.regexp_like("family", F.lit("^[A-Za-z0-9][A-Za-z0-9_-]*$"))).select("family", F.lit("illegal").alias("problem")).distinct()
-    twice = catalog.groupBy("code").agg(F.count("*").alias("n"), F.min("family").alias("family")).where("n > 1").select("family", F.lit("duplicate").alias("problem"))
-    return shared.unionByName(illegal).unionByName(twice)
+#: Kinds of pictures, the preferred first (fixed values), and what stands where none is.
+PICTURES, PLACEHOLDER = ("pdf", "png", "jpg", "jpeg"), "imgs/handler.jpg"
+
+
+def pick_images(files: DataFrame) -> DataFrame:
+    """(stem in lower case, path): of the pictures of one name the first by kind, then by name. files: path. One aggregation, no window."""
+    kind = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    place = F.array_position(F.array(*map(F.lit, PICTURES)), kind)
+    stem = F.lower(F.regexp_replace("path", r"\.[^./]+$", ""))
+    found = files.where(kind.isin(*PICTURES)).groupBy(stem.alias("stem")).agg(F.min(F.struct(place.alias("kind"), F.lower("path").alias("low"), "path")).alias("best"))
+    return found.select("stem", "best.path")
+
+
+def pictures(families: DataFrame, images: DataFrame) -> DataFrame:
+    """(family, image, warned): each family's picture, or the placeholder with a warning. images: stem, path."""
+    rows = families.join(images.select("stem", "path"), F.lower("family") == F.col("stem"), "left")
+    return rows.select("family", F.coalesce("path", F.lit(PLACEHOLDER)).alias("image"), F.col("path").isNull().alias("warned"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Stop words of the three languages (fixed values); tokens have three letters or more, so that shorter ones never count.
@@ -17,6 +17,7 @@ STOPWORDS = (
 UNITS = ("Pa", "kPa", "MPa", "GPa", "N", "kN", "MN", "Nm", "kgf", "kg", "g", "t", "mm", "cm", "m", "km", "in", "ft", "psi", "ksi", "bar", "Hz", "rpm", "W", "kW", "V", "A", "C", "K", "L", "s", "min", "h", "%")
 #: Characters that LaTeX reads otherwise, and what stands for them (fixed values).
 LATEX = {"\\": r"\textbackslash{}", "&": r"\&", "%": r"\%", "$": r"\$", "#": r"\#", "_": r"\_", "{": r"\{", "}": r"\}", "~": r"\textasciitilde{}", "^": r"\textasciicircum{}", "μ": r"\ensuremath{\mu}", "µ": r"\ensuremath{\mu}", "\n": " ", "\r": " "}
+#: Qualifiers of ids, and the patterns of anchors, numbered items and headings (fixed values).
 QUALIFIERS = {"PROJETO": "projeto", "CANCELADA": "cancelada", "PT": "traducao", "EN": "traducao"}
 ANCHOR = r"<!-- p\.(\d+) -->"
 ITEM = r"^(?:#{1,6}\s+|[-*]\s+)?([1-9]\d?(?:\.\d{1,3})+)\s+([A-ZÀ-ÖØ-Ý]\S*)"
@@ -40,6 +41,12 @@ def file_slug(c: Column, default: str = "file", most: int = 80) -> Column:
     return F.when(s == "", default).otherwise(F.coalesce(s, F.lit(default)))
 
 
+def safe_name(c: Column, default: str = "report") -> Column:
+    """A name that every file system takes."""
+    s = F.regexp_replace(F.regexp_replace(F.trim(c), r"[^A-Za-z0-9._-]+", "_"), r"^[._]+|[._]+$", "")
+    return F.when(F.coalesce(s, F.lit("")) == "", default).otherwise(s)
+
+
 def name_fits(c: Column) -> Column:
     return F.regexp_like(c, F.lit(r"^[A-Z]+-([A-Za-z0-9.-]+-)?(19|20)\d{2}-[A-Za-z0-9][A-Za-z0-9.-]*$"))
 
@@ -98,7 +105,7 @@ def keep_lines(lines: DataFrame, patterns: Sequence[str], line: str = "line") ->
     """Lines that no pattern hits; anchors are immune."""
     hit = F.lit(False)
     for p in patterns:
-        hit = hit | F.regexp_like(F.trim(line), F.lit(p))
+        hit = hit | F.regexp_like(F.regexp_replace(line, r"(?U)^\s+|\s+$", ""), F.lit(p))
     return lines.where(F.regexp_like(line, F.lit(ANCHOR)) | ~hit)
 
 
@@ -124,10 +131,10 @@ def squeeze(c: Column) -> Column:
 def item(line: Column) -> Column:
     """The number of a numbered item that begins a line, or null: tables, formulas, contents, material codes and values with units are none."""
     t = F.trim(line)
-    number = F.regexp_extract(line, ITEM, 1)
-    head = F.regexp_replace(F.regexp_extract(line, ITEM, 2), r"^[.,;:()]+|[.,;:()]+$", "")
-    letters = F.regexp_count(F.regexp_replace(line, ITEM, F.regexp_extract(line, ITEM, 2)), F.lit(r"\p{L}"))
-    none = F.regexp_like(t, F.lit(r"^(\||`|<!--|!\[)")) | F.contains(t, F.lit(" = ")) | F.regexp_like(t, F.lit(r"\.{3,}\s*\d*\s*$|\.{5,}")) | (number == "") | F.regexp_like(head, F.lit("^[A-Z0-9./-]{2,}$")) | head.isin(*UNITS) | F.contains(head, F.lit("/")) | (letters - F.regexp_count(F.regexp_extract(line, ITEM, 2), F.lit(r"\p{L}")) * 0 < 4)
+    number, word = F.regexp_extract(line, ITEM, 1), F.regexp_extract(line, ITEM, 2)
+    head = F.regexp_replace(word, r"^[.,;:()]+|[.,;:()]+$", "")
+    letters = F.regexp_count(F.regexp_replace(line, ITEM, word), F.lit(r"[\p{L}\p{Nl}\p{No}]"))
+    none = F.regexp_like(t, F.lit(r"^(\||`|<!--|!\[)")) | F.contains(t, F.lit(" = ")) | F.regexp_like(t, F.lit(r"\.{3,}\s*\d*\s*$|\.{5,}")) | (number == "") | F.regexp_like(head, F.lit("^[A-Z0-9./-]{2,}$")) | head.isin(*UNITS) | F.contains(head, F.lit("/")) | (letters < 4)
     return F.when(~none, number)
 
 
@@ -142,7 +149,7 @@ def triage(c: Column) -> dict[str, Column]:
     sample = F.left(c, F.lit(400_000))
     dirty = F.filter(t, lambda w: F.regexp_like(w, F.lit(r"[a-zà-ÿ][A-ZÀ-Ý]|[A-Za-zÀ-ÿ]\d|\d[a-zà-ÿ]")))
     stop = F.filter(t, lambda w: F.lower(w).isin(*STOPWORDS))
-    control = F.regexp_count(sample, F.lit(r"[\x00-\x08\x0b\x0e-\x1f\x{E000}-\x{F8FF}]"))
+    control = F.regexp_count(sample, F.lit(r"[\x00-\x08\x0b\x0e-\x1f\p{Co}\p{Cn}]"))
     return {"frac_ctrl": control / F.greatest(F.lit(1), F.length(sample)), "frac_dirty": F.size(dirty) / n, "frac_stop": F.size(stop) / n, "tokens": F.size(t)}
 
 
@@ -171,15 +178,6 @@ def page_ranges(c: Column, total: Column) -> Column:
     return F.when(F.lower(F.trim(c)) == "all", F.sequence(F.lit(1), last)).when(valid, pages)
 
 
-def gaps(items: DataFrame, key: str = "doc_id", number: str = "item") -> DataFrame:
-    """(key, parent, missing): numbers absent between the least and the largest under parents with three or more."""
-    parts = F.split(number, r"\.")
-    rows = items.select(key, F.array_join(F.slice(parts, 1, F.size(parts) - 1), ".").alias("parent"), F.element_at(parts, -1).cast("int").alias("n")).distinct()
-    w = Window.partitionBy(key, "parent").orderBy("n")
-    near = rows.withColumn("next", F.lead("n").over(w)).withColumn("k", F.count("*").over(Window.partitionBy(key, "parent")))
-    return near.where("k >= 3 and next > n + 1").select(key, "parent", F.explode(F.sequence(F.col("n") + 1, F.col("next") - 1)).alias("missing"))
-
-
 def latex_escape(c: Column) -> Column:
     """Each character replaced once."""
     table = F.create_map(*(F.lit(x) for kv in LATEX.items() for x in kv))
@@ -188,7 +186,7 @@ def latex_escape(c: Column) -> Column:
 
 def quantity(c: Column) -> Column:
     """A decimal without trailing zeros, with a comma."""
-    return F.replace(F.regexp_replace(F.regexp_replace(c.cast("decimal(38,9)").cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", ""), F.lit("."), F.lit(","))
+    return F.replace(F.regexp_replace(F.regexp_replace(c.cast("decimal(38,18)").cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", ""), F.lit("."), F.lit(","))
 
 
 def anchor_id(prefix: str, c: Column) -> Column:

@@ -6,7 +6,11 @@ Doubles are written with an exponent so that no engine reads them as decimals.
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,8 +61,8 @@ def ctes(d: str) -> dict[str, str]:
             etabep * greatest(0e0, 1e0 - pow(i * 0.05e0 - 1e0, 2)) AS eta,
             CASE WHEN unit_id % 11 = 0 THEN NULL ELSE 0.35e0 + 0.75e0 * (i * 0.05e0) + 1.1e0 * pow(i * 0.05e0, 2) END AS npsh
             FROM unit CROSS JOIN {series(d, 31)} AS steps""",
-        "request": """SELECT p_partkey AS req_id, 2e0 + 1.8e0 * p_size AS qref, 8e0 + p_partkey % 25 AS href, 0.2e0 * (8e0 + p_partkey % 25) AS hstat,
-            CAST(p_partkey % 1500 AS DOUBLE) AS altitude, 0.01e0 * (p_partkey % 40) AS loss FROM part WHERE p_partkey % 100 = 0""",
+        "request": """SELECT CAST(substr(p_brand, 7) AS INT) * 100 + p_size AS req_id, 2e0 + 1.8e0 * p_size AS qref, 8e0 + max(p_partkey) % 25 AS href, 0.2e0 * (8e0 + max(p_partkey) % 25) AS hstat,
+            CAST(min(p_partkey) % 1500 AS DOUBLE) AS altitude, 0.01e0 * (count(*) % 40) AS loss FROM part GROUP BY p_brand, p_size""",
         "system": """SELECT r_regionkey * 3 + k AS sys_id, r_name AS region, name, 10e0 + 9e0 * r_regionkey AS qnom,
             k * 1.7e0 + 0.4e0 * r_regionkey AS dg, k * 1.7e0 + 0.4e0 * r_regionkey + 11e0 + k AS amt
             FROM region CROSS JOIN (SELECT 0 AS k, 'minimum' AS name UNION ALL SELECT 1, 'nominal' UNION ALL SELECT 2, 'maximum') AS kinds""",
@@ -94,6 +98,12 @@ def ctes(d: str) -> dict[str, str]:
             else "SELECT doc_id, CAST(unnest(range(len(string_split(md, chr(10))))) AS INT) AS line_no, unnest(string_split(md, chr(10))) AS line FROM md"
         ),
         "page": "SELECT conv_id AS doc, turn + 1 AS page, CASE WHEN conv_id % 4 = 0 AND turn > 1 THEN '' WHEN conv_id % 4 = 1 THEN concat(text, ' ', text, ' ', text, ' ', text) ELSE text END AS text FROM conversations",
+        "judged": """SELECT doc_id, pages, src AS source, concat(CASE doc_id % 8 WHEN 0 THEN '' ELSE concat('---', chr(10), 'emissor: ABNT', chr(10), 'codigo: ', CASE WHEN doc_id % 8 = 1 THEN '' ELSE 'NBR 1' END, chr(10), 'ano: ', CASE WHEN doc_id % 8 = 2 THEN 'null' ELSE '1999' END, chr(10),
+            'status: vigente', chr(10), 'idioma: en', chr(10), 'titulo: ', chr(39), 'A: b', chr(39), chr(10), 'rota: A', chr(10), 'origem_sha256: ab12', chr(10), 'paginas: 3', chr(10), 'confianca_ocr: ', chr(39), 'n/a', chr(39), chr(10), '---', chr(10)) END, md) AS md,
+            CASE doc_id % 5 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'C' WHEN 3 THEN 'D' ELSE 'E' END AS route, CASE doc_id % 7 WHEN 0 THEN 'F' WHEN 1 THEN 'G+F' WHEN 2 THEN 'G' ELSE '' END AS extras,
+            CASE doc_id % 4 WHEN 0 THEN '80.5' WHEN 1 THEN '' WHEN 2 THEN 'n/a' ELSE '91' END AS confidence, CASE WHEN doc_id % 3 = 0 THEN 'falhou' ELSE 'ok' END AS table_state,
+            CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN '0' ELSE CAST(doc_id % 5 AS VARCHAR(9)) END AS tables, doc_id % 2 AS n_low, doc_id % 6 AS layout_tables, CASE doc_id % 9 WHEN 0 THEN '' WHEN 1 THEN 'nao_declarado' ELSE 'vigente' END AS status FROM md""",
+        "triaged": """SELECT doc_id, text, (doc_id % 20) / 20e0 AS images, doc_id % 17 = 0 AS layer, CASE doc_id % 13 WHEN 0 THEN 'Acrobat 4.0 Capture' WHEN 1 THEN 'acrobat distiller 3.01' WHEN 2 THEN 'Acrobat Distiller 9' ELSE 'pdfTeX' END AS producer FROM documents""",
         "override": "SELECT doc_id, CASE WHEN quality = 0 THEN 'D' ELSE '' END AS route, CASE WHEN toxic = 1 THEN 'por' END AS language, CASE WHEN doc_id % 10 = 0 THEN 'X' WHEN doc_id % 10 = 1 THEN 'F' ELSE 'G' END AS extra FROM labels",
     }
 
@@ -122,6 +132,22 @@ def tables(spark: SparkSession, sf_dir: str, sql: str) -> None:
             spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
 
 
+_SCRATCH: list[str] = []
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder for files that a query writes and reads again: below the shared one that the cluster names, or a temporary one where all runs in one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        if not _SCRATCH:
+            _SCRATCH.append(tempfile.mkdtemp(prefix="sluicework-"))
+            atexit.register(shutil.rmtree, _SCRATCH[0], ignore_errors=True)
+        base = _SCRATCH[0]
+    return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
+
+
 def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """The rows of a query over the views."""
     full = with_views("spark", sql)

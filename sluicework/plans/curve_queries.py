@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import curves, hydraulics as hy, selection as sel
-from .adapters import frame, view, with_views
+from ..operators import curves, hydraulics as hy, selection as sel, validation as val
+from . import bank
+from .adapters import ETA_SHIFTS, ETAS, FLOW_SCALES, FLOWS, HEAD_SCALES, HEADS, frame, ladder, pick, view, with_views
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -56,15 +57,20 @@ def q_sign_changes(spark, sf_dir):
     return _r(found.groupBy("unit_id", "sys_id").agg(F.count("*").alias("changes"), F.min("q").alias("first_q")), "first_q")
 
 
-@query("""WITH p AS (SELECT unit_id, req_id, q, h, hstat, (href - hstat) / pow(qref, 2) AS k FROM curve_pt CROSS JOIN request),
- s AS (SELECT *, lead(q) OVER w AS q1, lead(h) OVER w AS h1 FROM p WINDOW w AS (PARTITION BY unit_id, req_id ORDER BY q)),
- m AS (SELECT *, (h1 - h) / (q1 - q) AS m FROM s WHERE q1 IS NOT NULL), e AS (SELECT *, m * m - 4e0 * k * (hstat - (h - m * q)) AS disc FROM m),
- r AS (SELECT unit_id, req_id, q, q1, CASE WHEN disc >= 0 THEN (m - sqrt(greatest(disc, 0e0))) / (2e0 * k) END AS r FROM e UNION ALL SELECT unit_id, req_id, q, q1, CASE WHEN disc >= 0 THEN (m + sqrt(greatest(disc, 0e0))) / (2e0 * k) END FROM e)
- SELECT unit_id, req_id, CAST(count(DISTINCT round(least(greatest(r, q), q1), 8)) AS BIGINT) AS roots, round(min(round(least(greatest(r, q), q1), 8)), 6) AS q FROM r WHERE r >= q - 1e-9 AND r <= q1 + 1e-9 GROUP BY unit_id, req_id""")
+@query("""WITH p AS (SELECT unit_id, req_id, q, h, eta, npsh, hstat, (href - hstat) / pow(qref, 2) AS k FROM curve_pt CROSS JOIN request),
+ s AS (SELECT *, lead(q) OVER w AS q1, lead(h) OVER w AS h1, lead(eta) OVER w AS eta1, lead(npsh) OVER w AS npsh1 FROM p WINDOW w AS (PARTITION BY unit_id, req_id ORDER BY q)),
+ m AS (SELECT *, (h1 - h) / (q1 - q) AS m FROM s WHERE q1 IS NOT NULL), c AS (SELECT *, hstat - (h - m * q) AS c FROM m), e AS (SELECT *, m * m - 4e0 * k * c AS disc FROM c),
+ w AS (SELECT *, CASE WHEN disc >= 0 THEN (m + CASE WHEN m < 0 THEN -1e0 ELSE 1e0 END * sqrt(greatest(disc, 0e0))) / 2e0 END AS w FROM e),
+ r AS (SELECT *, w / k AS r FROM w UNION ALL SELECT *, CASE WHEN w <> 0 THEN c / w END FROM w),
+ i AS (SELECT *, round(r, 10) AS x, least(greatest(r, q), q1) AS z FROM r WHERE r >= q - 1e-9 AND r <= q1 + 1e-9),
+ b AS (SELECT unit_id, req_id, count(DISTINCT x) AS n, min(x) AS x, arg_min(eta + (eta1 - eta) * ((z - q) / (q1 - q)), (x, q)) AS eta, min_by(npsh + (npsh1 - npsh) * ((z - q) / (q1 - q)), (x, q)) AS npsh FROM i GROUP BY unit_id, req_id)
+ SELECT unit_id, req_id, x IS NOT NULL AS found, CAST(coalesce(n, 0) AS BIGINT) AS crossings, round(x, 6) AS q, round(hstat + (href - hstat) * pow(x / qref, 2), 6) AS head, round(b.eta, 6) AS eta, round(b.npsh, 6) AS npsh,
+ CASE WHEN n IS NULL THEN 'no crossing within the curve' WHEN n > 1 THEN concat(n, ' crossings; the one with the least flow') ELSE '' END AS note FROM unit CROSS JOIN request LEFT JOIN b USING (unit_id, req_id)""")
 def q_exact_intersections(spark, sf_dir):
-    """Roots of segment = system; requests are a sheet, whose size Catalyst checks before it broadcasts it."""
-    pairs = view(spark, sf_dir, "curve_pt").crossJoin(view(spark, sf_dir, "request")).withColumn("k", (F.col("href") - F.col("hstat")) / F.pow("qref", F.lit(2.0)))
-    return _r(curves.exact_crossings(pairs, ["unit_id", "req_id"], "q", "h", "hstat", "k"), "q")
+    """Roots of segment = system, for each unit and request; a curve is one row, and nothing is shuffled by pair."""
+    req = view(spark, sf_dir, "request").withColumn("k", (F.col("href") - F.col("hstat")) / F.pow("qref", F.lit(2.0)))
+    found = curves.exact_crossings(sel.paired(sel.as_arrays(view(spark, sf_dir, "curve_pt")), req, "req_id"), "hstat", "k")
+    return _r(found.select("unit_id", "req_id", "found", "crossings", "q", "head", "eta", "npsh", "note"), "q", "head", "eta", "npsh")
 
 
 @query("SELECT req_id, round(hstat + (href - hstat) * pow(0.5e0, 2), 6) AS half, round(hstat, 6) AS zero, round(href, 6) AS full FROM request")
@@ -80,13 +86,12 @@ def q_system_grid(spark, sf_dir):
     return _r(rows.withColumn("h", hy.system_head(F.col("q"), F.col("qref"), F.col("href"), F.col("hstat"))).select("req_id", "i", "q", "h"), "q", "h")
 
 
-_ASK = "SELECT unit_id, qref AS q FROM unit CROSS JOIN request"
 _SEG = """WITH s AS (SELECT unit_id, q, eta, npsh, h, lead(q) OVER w AS q1, lead(eta) OVER w AS eta1, lead(npsh) OVER w AS npsh1, lead(h) OVER w AS h1, max(q) OVER (PARTITION BY unit_id) AS qmax, min(q) OVER (PARTITION BY unit_id) AS qmin FROM curve_pt WINDOW w AS (PARTITION BY unit_id ORDER BY q)),
  a AS (SELECT unit_id, req_id, qref AS x FROM unit CROSS JOIN request) """
 
 
 def _ask(spark, sf_dir):
-    return frame(spark, sf_dir, _ASK)
+    return sel.paired(view(spark, sf_dir, "unit").select("unit_id"), view(spark, sf_dir, "request").select("req_id", F.col("qref").alias("q")), "req_id").drop("req_id")
 
 
 @query(_SEG + """SELECT a.unit_id, round(x, 6) AS q, round(h + CASE WHEN x = q OR q1 IS NULL THEN 0e0 ELSE (h1 - h) * ((x - q) / (q1 - q)) END, 6) AS h, round(CASE WHEN x = q OR q1 IS NULL THEN npsh ELSE npsh + (npsh1 - npsh) * ((x - q) / (q1 - q)) END, 6) AS npsh
@@ -177,16 +182,19 @@ def q_head_loss(spark, sf_dir):
 _EVAL = """WITH p AS (SELECT c.unit_id, req_id, q, eta, npsh, i, qref, h - href * pow(q / qref, 2) AS diff FROM curve_pt c CROSS JOIN request),
  s AS (SELECT *, lead(q) OVER w AS q1, lead(diff) OVER w AS d1, lead(eta) OVER w AS eta1, lead(npsh) OVER w AS npsh1 FROM p WINDOW w AS (PARTITION BY unit_id, req_id ORDER BY q)),
  x AS (SELECT *, q + (q1 - q) * (diff / (diff - d1)) AS qb, row_number() OVER (PARTITION BY unit_id, req_id ORDER BY q) AS rn FROM s WHERE q1 IS NOT NULL AND sign(diff) <> sign(d1)),
- r AS (SELECT *, qref / qb AS ratio, (qb - q) / (q1 - q) AS t FROM x WHERE rn = 1 AND qb > 0),
+ f AS (SELECT unit.unit_id, request.req_id, request.qref AS duty, q, q1, diff, d1, eta, eta1, x.npsh, npsh1, qb, CASE WHEN qb IS NULL THEN 'unreachable' WHEN abs((diff - d1) / (q1 - q)) < 1e-14 THEN 'tangent' WHEN qb <= 0 THEN 'invalid_speed' END AS f0
+   FROM unit CROSS JOIN request LEFT JOIN x ON x.unit_id = unit.unit_id AND x.req_id = request.req_id AND rn = 1),
+ r AS (SELECT *, CASE WHEN f0 IS NULL THEN duty / qb END AS ratio, (qb - q) / (q1 - q) AS t FROM f),
  e AS (SELECT *, CASE WHEN eta = 0 THEN 0e0 ELSE least(1e0, greatest(0e0, 1e0 - (1e0 - eta) * pow(ratio, -0.1e0))) END AS e0, CASE WHEN eta1 = 0 THEN 0e0 ELSE least(1e0, greatest(0e0, 1e0 - (1e0 - eta1) * pow(ratio, -0.1e0))) END AS e1 FROM r),
- o AS (SELECT unit_id, req_id, ratio, e0 + (e1 - e0) * t AS eta_op, (npsh + (npsh1 - npsh) * t) * ratio * ratio AS npsh_req FROM e),
+ o AS (SELECT unit_id, req_id, f0, ratio AS ratio0, CASE WHEN ratio IS NOT NULL THEN e0 + (e1 - e0) * t END AS eta0, (npsh + (npsh1 - npsh) * t) * ratio * ratio AS npsh0 FROM e),
  w AS (SELECT o.*, maker, qbep, poles, base_freq, base_speed, motor_kw, motor_eff, request.qref, href, 1e0 - base_speed * poles / (120e0 * base_freq) AS slip,
-   CASE WHEN eta_op > 0 THEN 1e-3 * request.qref * 0.9978e0 * 9.80665e0 * href / eta_op END AS power,
+   coalesce(f0, CASE WHEN 1e0 - (1e0 - base_speed * poles / (120e0 * base_freq)) * ratio0 <= 0 THEN 'invalid_speed' WHEN eta0 <= 0 THEN 'no_efficiency' END) AS failure,
    101325e0 / (9.80665e0 * 997.8e0) * pow(1e0 - 9.80665e0 * altitude / (1004.68506e0 * 293.15e0), 1004.68506e0 * 0.02896968e0 / 8.314462618e0) + (submergence_mm - axis_mm) * 1e-3 - loss - 0.26e0 AS npsh_avail
    FROM o JOIN unit USING (unit_id) JOIN request USING (req_id)),
+ v AS (SELECT *, CASE WHEN failure IS NULL THEN ratio0 END AS ratio, CASE WHEN failure IS NULL THEN eta0 END AS eta_op, CASE WHEN failure IS NULL THEN npsh0 END AS npsh_req, CASE WHEN failure IS NULL THEN 1e-3 * qref * 0.9978e0 * 9.80665e0 * href / eta0 END AS power FROM w),
  st AS (SELECT *, base_speed * ratio / (1e0 - slip * ratio) * poles / 120e0 AS frequency, 1e0 - power / motor_kw AS margin, power / motor_eff AS electric, qref / (qbep * ratio) AS bep_ratio,
-   CASE WHEN npsh_req IS NULL THEN 'not_available' WHEN npsh_avail - npsh_req >= 0.6e0 AND (npsh_req = 0 OR npsh_avail / npsh_req >= 1.25e0) THEN 'approved' ELSE 'rejected' END AS npsh_status FROM w),
- ev AS (SELECT *, concat_ws(';', CASE WHEN eta_op <= 0 THEN 'no_efficiency' END, CASE WHEN frequency < 30 THEN 'frequency_low' END, CASE WHEN frequency > 60 THEN 'frequency_high' END, CASE WHEN margin < 0.05e0 THEN 'motor_margin' END, CASE WHEN npsh_status = 'rejected' THEN 'npsh' END) AS reasons,
+   CASE WHEN failure IS NOT NULL THEN NULL WHEN npsh_req IS NULL THEN 'not_available' WHEN npsh_avail - npsh_req >= 0.6e0 AND (npsh_req = 0 OR npsh_avail / npsh_req >= 1.25e0) THEN 'approved' ELSE 'rejected' END AS npsh_status FROM v),
+ ev AS (SELECT *, CASE WHEN failure IS NOT NULL THEN failure ELSE concat_ws(';', CASE WHEN frequency < 30 THEN 'frequency_low' END, CASE WHEN frequency > 60 THEN 'frequency_high' END, CASE WHEN margin < 0.05e0 THEN 'motor_margin' END, CASE WHEN npsh_status = 'rejected' THEN 'npsh' END) END AS reasons,
    coalesce(electric * (1e0 + 0.02e0 * abs(bep_ratio - 1e0)), CAST('Infinity' AS DOUBLE)) AS score FROM st),
  rk AS (SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY CASE WHEN reasons = '' THEN 0 ELSE 1 END, score, unit_id) AS rank FROM ev) """
 
@@ -199,15 +207,43 @@ def _evaluated(spark, sf_dir, c=sel.Criteria()) -> DataFrame:
     return sel.evaluate(_states(spark, sf_dir, c), c)
 
 
-@query(_EVAL + "SELECT unit_id, req_id, round(ratio, 6) AS ratio FROM r")
+@query(_EVAL + "SELECT unit_id, req_id, round(ratio, 6) AS ratio, f0 AS failure FROM r")
 def q_required_ratio(spark, sf_dir):
-    return _r(sel.required_ratio(view(spark, sf_dir, "curve_pt"), view(spark, sf_dir, "request")).select("unit_id", "req_id", "ratio"), "ratio")
+    return _r(sel.required_ratio(view(spark, sf_dir, "curve_pt"), view(spark, sf_dir, "request")).select("unit_id", "req_id", "ratio", "failure"), "ratio")
 
 
-@query(_EVAL + "SELECT unit_id, req_id, round(frequency, 5) AS frequency, round(eta_op, 6) AS eta_op, round(power, 5) AS power, round(margin, 5) AS margin, round(electric, 5) AS electric, round(bep_ratio, 6) AS bep_ratio FROM st")
+@query(_EVAL + "SELECT unit_id, req_id, failure, round(frequency, 5) AS frequency, round(eta_op, 6) AS eta_op, round(power, 5) AS power, round(margin, 5) AS margin, round(electric, 5) AS electric, round(bep_ratio, 6) AS bep_ratio FROM st")
 def q_operating_state(spark, sf_dir):
     s = _r(_states(spark, sf_dir), "eta_op", "bep_ratio")
-    return _r(s, "frequency", "power", "margin", "electric", digits=5).select("unit_id", "req_id", "frequency", "eta_op", "power", "margin", "electric", "bep_ratio")
+    return _r(s, "frequency", "power", "margin", "electric", digits=5).select("unit_id", "req_id", "failure", "frequency", "eta_op", "power", "margin", "electric", "bep_ratio")
+
+
+_MODES = """SELECT unit_id * 10 + m AS ask_id, unit_id, CAST(qbep * (0.6e0 + 0.1e0 * (unit_id % 5)) AS DOUBLE) AS q, CASE WHEN m = 4 THEN hbep * 0.8e0 END AS head, CASE WHEN m IN (0, 2, 3, 5) THEN 45e0 END AS frequency,
+ CASE WHEN m = 1 THEN base_speed * 0.9e0 WHEN m = 2 THEN base_speed * 0.5e0 END AS speed, CASE WHEN m = 5 THEN 0.4e0 * hbep / (qbep * qbep) END AS k, CASE WHEN m = 5 THEN 0.2e0 * hbep END AS hstat
+ FROM unit CROSS JOIN (SELECT 0 AS m UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6) AS modes"""
+
+
+@query(f"""WITH a AS ({_MODES}), u AS (SELECT a.*, poles, base_freq, base_speed, motor_kw, motor_eff, 1e0 - base_speed * poles / (120e0 * base_freq) AS s FROM a JOIN unit USING (unit_id)),
+ d AS (SELECT u.ask_id, c.q, h - u.head * pow(c.q / u.q, 2) AS diff, lead(c.q) OVER w AS q1, lead(h - u.head * pow(c.q / u.q, 2)) OVER w AS d1 FROM u JOIN curve_pt c USING (unit_id) WHERE u.head IS NOT NULL AND k IS NULL WINDOW w AS (PARTITION BY ask_id ORDER BY c.q)),
+ b AS (SELECT ask_id, arg_min(q + (q1 - q) * (diff / (diff - d1)), q) AS qb FROM d WHERE q1 IS NOT NULL AND sign(diff) <> sign(d1) GROUP BY ask_id),
+ f AS (SELECT u.*, qb, CASE WHEN u.head IS NOT NULL AND k IS NULL THEN u.q / qb WHEN k IS NULL AND speed IS NOT NULL THEN speed / base_speed ELSE (frequency / base_freq) / (1e0 - s + frequency / base_freq * s) END AS r FROM u LEFT JOIN b USING (ask_id)),
+ p AS (SELECT f.ask_id, f.hstat, f.k, f.r, c.q * f.r AS q, c.h * f.r * f.r AS h, lead(c.q * f.r) OVER w AS q1, lead(c.h * f.r * f.r) OVER w AS h1 FROM f JOIN curve_pt c USING (unit_id) WHERE f.k IS NOT NULL WINDOW w AS (PARTITION BY ask_id ORDER BY c.q)),
+ m AS (SELECT *, (h1 - h) / (q1 - q) AS m, hstat - (h - (h1 - h) / (q1 - q) * q) AS c FROM p WHERE q1 IS NOT NULL),
+ x AS (SELECT ask_id, q, q1, unnest([(m - sqrt(m * m - 4e0 * k * c)) / (2e0 * k), (m + sqrt(m * m - 4e0 * k * c)) / (2e0 * k)]) AS x FROM m WHERE m * m - 4e0 * k * c >= 0),
+ y AS (SELECT ask_id, min(round(x, 10)) AS qx FROM x WHERE x >= q - 1e-9 AND x <= q1 + 1e-9 GROUP BY ask_id),
+ g AS (SELECT f.*, CASE WHEN k IS NOT NULL THEN qx ELSE f.q END AS qq, CASE WHEN f.head IS NOT NULL AND k IS NULL THEN qb WHEN k IS NOT NULL THEN qx / r ELSE f.q / r END AS base FROM f LEFT JOIN y USING (ask_id)),
+ z AS (SELECT unit_id, q, h, eta, npsh, lead(q) OVER w AS q1, lead(h) OVER w AS h1, lead(eta) OVER w AS eta1, lead(npsh) OVER w AS npsh1 FROM curve_pt WINDOW w AS (PARTITION BY unit_id ORDER BY q)),
+ j AS (SELECT g.*, z.q AS x0, z.q1 AS x1, z.h, z.h1, (base - z.q) / (z.q1 - z.q) AS t, CASE WHEN z.eta = 0 THEN 0e0 ELSE least(1e0, greatest(0e0, 1e0 - (1e0 - z.eta) * pow(r, -0.1e0))) END AS e0, CASE WHEN z.eta1 = 0 THEN 0e0 ELSE least(1e0, greatest(0e0, 1e0 - (1e0 - z.eta1) * pow(r, -0.1e0))) END AS e1 FROM g LEFT JOIN z ON g.unit_id = z.unit_id AND z.q1 IS NOT NULL AND base > z.q AND base <= z.q1),
+ l AS (SELECT *, CASE WHEN k IS NOT NULL THEN hstat + k * qq * qq WHEN head IS NOT NULL THEN head ELSE (h + (h1 - h) * t) * r * r END AS hh, e0 + (e1 - e0) * t AS ee, base_speed * r / (1e0 - s * r) * poles / 120e0 AS derived FROM j),
+ n AS (SELECT *, CASE WHEN head IS NOT NULL AND k IS NULL AND qb IS NULL THEN 'unreachable' WHEN head IS NULL AND k IS NULL AND speed IS NULL AND frequency IS NULL THEN 'nothing_given' WHEN k IS NULL AND head IS NULL AND speed IS NOT NULL AND frequency IS NOT NULL AND abs(frequency - derived) > 1e-6 * greatest(abs(frequency), abs(derived), 1e0) THEN 'inconsistent'
+   WHEN k IS NOT NULL AND qq IS NULL THEN 'no_crossing' WHEN x0 IS NULL THEN 'outside' WHEN ee <= 0 THEN 'no_efficiency' END AS failure FROM l)
+ SELECT ask_id, unit_id, failure, round(CASE WHEN failure IS NULL THEN qq END, 5) AS q, round(CASE WHEN failure IS NULL THEN hh END, 5) AS head, round(CASE WHEN failure IS NULL THEN r END, 6) AS ratio, round(CASE WHEN failure IS NULL THEN derived END, 4) AS frequency, round(CASE WHEN failure IS NULL THEN ee END, 6) AS eta,
+ round(CASE WHEN failure IS NULL THEN 1e-3 * qq * 0.9978e0 * 9.80665e0 * hh / ee END, 5) AS power FROM n""")
+def q_operating_modes(spark, sf_dir):
+    """Operating points from a frequency, a speed, both, a head, a system, and nothing."""
+    found = sel.set_points(view(spark, sf_dir, "curve_pt"), view(spark, sf_dir, "unit"), frame(spark, sf_dir, _MODES))
+    rows = _r(found.select("ask_id", "unit_id", "failure", "q", "head", "ratio", "frequency", "eta", "power"), "ratio", "eta")
+    return _r(_r(rows, "q", "head", "power", digits=5), "frequency", digits=4)
 
 
 @query(_EVAL + "SELECT unit_id, req_id, npsh_status, round(npsh_req, 6) AS npsh_req, round(npsh_avail, 6) AS npsh_avail FROM st")
@@ -215,7 +251,7 @@ def q_npsh_status(spark, sf_dir):
     return _r(_evaluated(spark, sf_dir).select("unit_id", "req_id", "npsh_status", "npsh_req", "npsh_avail"), "npsh_req", "npsh_avail")
 
 
-@query(_EVAL + "SELECT unit_id, req_id, reasons = '' AND npsh_status <> 'not_available' AS feasible FROM ev")
+@query(_EVAL + "SELECT unit_id, req_id, reasons = '' AND coalesce(npsh_status, '') <> 'not_available' AS feasible FROM ev")
 def q_npsh_policy(spark, sf_dir):
     return _evaluated(spark, sf_dir, sel.Criteria(missing_npsh="reject")).select("unit_id", "req_id", "feasible")
 
@@ -240,10 +276,24 @@ _WANTED = "SELECT req_id, unit_id, (unit_id * 7) % 101 AS pos FROM request CROSS
 
 @query(_EVAL + f", wanted AS ({_WANTED}), m AS (SELECT ev.*, row_number() OVER (PARTITION BY req_id ORDER BY pos, unit_id) AS rank FROM ev JOIN wanted USING (req_id, unit_id)) SELECT req_id, unit_id, CAST(rank AS INT) AS rank, reasons = '' AS feasible FROM m WHERE rank <= 3")
 def q_select_manual(spark, sf_dir):
-    wanted = frame(spark, sf_dir, _WANTED).withColumn("pos", F.struct("pos", "unit_id"))
+    wanted = _wanted(spark, sf_dir).withColumn("pos", F.struct("pos", "unit_id"))
     return sel.manual(_evaluated(spark, sf_dir), wanted).select("req_id", "unit_id", "rank", "feasible")
 
 
+def _wanted(spark, sf_dir) -> DataFrame:
+    rows = sel.paired(view(spark, sf_dir, "unit").select("unit_id"), view(spark, sf_dir, "request").select("req_id"), "req_id")
+    return rows.where((F.col("unit_id") + F.col("req_id")) % 9 == 0).select("req_id", "unit_id", (F.col("unit_id") * 7 % 101).alias("pos"))
+
+
+_LISTED = "SELECT CASE WHEN r.req_id % 50 = 0 THEN NULL ELSE r.req_id END AS req_id, s_suppkey AS unit_id FROM request r JOIN supplier ON s_suppkey % 20 = r.req_id % 20 UNION ALL SELECT req_id, req_id % 20 FROM request WHERE req_id % 7 = 0"
+
+
+@query(f"WITH l AS ({_LISTED}), g AS (SELECT req_id, count(*) AS n, count(DISTINCT unit_id) AS d FROM l GROUP BY req_id) SELECT request.req_id, CASE WHEN n IS NULL THEN 'empty' ELSE 'duplicate' END AS problem FROM request LEFT JOIN g USING (req_id) WHERE n IS NULL OR n > d")
+def q_manual_lists(spark, sf_dir):
+    """Lists of ids that are empty or repeat one."""
+    return val.manual_lists(view(spark, sf_dir, "request"), frame(spark, sf_dir, _LISTED))
+
+
 _CELL = ", b AS (SELECT maker, href AS head, qref AS flow, unit_id, req_id, row_number() OVER (PARTITION BY maker, req_id ORDER BY score, unit_id) AS n FROM ev WHERE reasons = ''), ab AS (SELECT * FROM b WHERE n = 1)"
 _NEAR = _CELL + ", duty AS (SELECT req_id, href + 0.3e0 AS h, qref * 1.1e0 AS q FROM request), nr AS (SELECT maker, duty.req_id, head, flow, unit_id, row_number() OVER (PARTITION BY maker, duty.req_id ORDER BY abs(head - h), head, abs(flow - q), flow, unit_id) AS k FROM ab CROSS JOIN duty)"
 
@@ -345,9 +395,20 @@ def q_unit_join(spark, sf_dir):
     return _r(view(spark, sf_dir, "curve_pt").join(view(spark, sf_dir, "unit").select("unit_id", "maker"), "unit_id").groupBy("unit_id", "maker").agg(F.count("*").alias("points"), F.max("h").alias("shutoff")), "shutoff")
 
 
-@query("SELECT maker, CAST(count(*) AS BIGINT) AS units, round(sum(motor_kw), 4) AS motor_kw, round(max(qbep), 6) AS qbep FROM unit GROUP BY maker")
+_BANK = (
+    "WITH m AS (SELECT * FROM (VALUES " + ", ".join(f"({m}, '{p}', '{n}')" for m, (n, p) in enumerate(bank.MAKERS)) + ") AS t(m, prefix, maker)), z AS (SELECT unnest(range(7)) AS k), "
+    + f"b AS (SELECT concat(prefix, '-00', k + 1) AS unit_id, maker, k, {pick('k', FLOWS)} * {pick('m', FLOW_SCALES)} AS qbep, {pick('k', HEADS)} * {pick('m', HEAD_SCALES)} AS hbep, least(0.86e0, {pick('k', ETAS)} + {pick('m', ETA_SHIFTS)}) AS etabep, {pick('m', ETA_SHIFTS)} AS shift FROM m CROSS JOIN z), "
+    + f"u AS (SELECT *, {ladder('(1e-3 * qbep * 0.9978e0 * 9.80665e0 * hbep / etabep)')} AS motor_kw, round(least(0.95e0, 0.8e0 + (k + 1) * 0.018e0 + shift / 2e0), 4) AS motor_eff FROM b), "
+    + "p AS (SELECT unit_id, round(qbep * (i * 0.05e0), 6) AS q, round(hbep * (1.35e0 - 0.35e0 * (i * 0.05e0) * (i * 0.05e0)), 6) AS h, etabep * greatest(0e0, 1e0 - (i * 0.05e0 - 1e0) * (i * 0.05e0 - 1e0)) AS eta FROM u CROSS JOIN (SELECT unnest(range(31)) AS i)) "
+)
+
+
+@query(_BANK + "SELECT u.unit_id, maker, round(motor_kw, 4) AS motor_kw, round(motor_eff, 3) AS motor_eff, CAST(count(*) AS BIGINT) AS points, round(sum(q), 3) AS q, round(sum(h), 3) AS h, round(max(eta), 6) AS eta FROM u JOIN p USING (unit_id) GROUP BY ALL")
 def q_synth_bank(spark, sf_dir):
-    return _r(_r(view(spark, sf_dir, "unit").groupBy("maker").agg(F.count("*").alias("units"), F.sum("motor_kw").alias("motor_kw"), F.max("qbep").alias("qbep")), "motor_kw", digits=4), "qbep")
+    """The generated bank: every unit's motor and curve."""
+    u = bank.units(spark)
+    rows = u.select("unit_id", "maker", F.round("motor_kw", 4).alias("motor_kw"), F.round("motor_eff", 3).alias("motor_eff")).join(bank.points(u), "unit_id").groupBy("unit_id", "maker", "motor_kw", "motor_eff")
+    return _r(_r(rows.agg(F.count("*").alias("points"), F.sum("q").alias("q"), F.sum("h").alias("h"), F.max("eta").alias("eta")), "q", "h", digits=3), "eta")
 
 
 @query("SELECT DISTINCT maker FROM unit")
@@ -355,12 +416,9 @@ def q_manufacturers(spark, sf_dir):
     return view(spark, sf_dir, "unit").select("maker").distinct()
 
 
-_LINT = "SELECT unit_id, i, CASE WHEN unit_id % 17 = 0 AND i = 4 THEN q - 1000e0 ELSE q END AS q, CASE WHEN unit_id % 19 = 0 AND i = 2 THEN 1.5e0 ELSE eta END AS eta, CASE WHEN unit_id % 23 = 0 AND i = 9 THEN -1e0 ELSE h END AS h FROM curve_pt WHERE NOT (unit_id % 29 = 0 AND i > 0)"
+_LINT = "SELECT unit_id, i, CASE WHEN unit_id % 17 = 0 AND i = 4 THEN q - 1000e0 ELSE q END AS q, CASE WHEN unit_id % 19 = 0 AND i = 2 THEN 1.5e0 ELSE eta END AS eta, CASE WHEN unit_id % 23 = 0 AND i = 9 THEN -1e0 WHEN unit_id % 21 = 0 AND i = 5 THEN CAST('NaN' AS DOUBLE) WHEN unit_id % 22 = 0 AND i = 5 THEN NULL ELSE h END AS h FROM curve_pt WHERE NOT (unit_id % 29 = 0 AND i > 0)"
 
 
-@query(f"WITH b AS ({_LINT}), d AS (SELECT *, lag(q) OVER (PARTITION BY unit_id ORDER BY i) AS qp FROM b) SELECT unit_id, count(*) < 2 AS too_short, bool_or(coalesce(q <= qp, false)) AS not_increasing, bool_or(eta < 0 OR eta > 1) AS eta_range, bool_or(h < 0) AS negative_head, bool_or(q < 0) AS negative_flow FROM d GROUP BY unit_id")
+@query(f"WITH b AS ({_LINT}), d AS (SELECT *, lag(q) OVER (PARTITION BY unit_id ORDER BY i) AS qp FROM b) SELECT unit_id, concat_ws(';', CASE WHEN count(*) < 2 THEN 'too_short' END, CASE WHEN bool_or(q IS NULL OR h IS NULL OR isnan(h) OR eta IS NULL) THEN 'not_finite' END, CASE WHEN bool_or(coalesce(q <= qp, false)) THEN 'not_increasing' END, CASE WHEN bool_or(eta < 0 OR eta > 1) THEN 'eta_range' END, CASE WHEN bool_or(h < 0) THEN 'negative_head' END, CASE WHEN bool_or(q < 0) THEN 'negative_flow' END) AS problems FROM d GROUP BY unit_id")
 def q_curve_lint(spark, sf_dir):
-    from pyspark.sql import Window
-
-    rows = frame(spark, sf_dir, _LINT).withColumn("qp", F.lag("q").over(Window.partitionBy("unit_id").orderBy("i")))
-    return rows.groupBy("unit_id").agg((F.count("*") < 2).alias("too_short"), F.bool_or(F.coalesce(F.col("q") <= F.col("qp"), F.lit(False))).alias("not_increasing"), F.bool_or((F.col("eta") < 0) | (F.col("eta") > 1)).alias("eta_range"), F.bool_or(F.col("h") < 0).alias("negative_head"), F.bool_or(F.col("q") < 0).alias("negative_flow"))
+    return val.curve_points(frame(spark, sf_dir, _LINT)).select("unit_id", F.array_join("problems", ";").alias("problems"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import manifest as mf, materials as bom, text as tx
+from ..operators import manifest as mf, materials as bom, quality as qa, text as tx, validation as val
+from ..sources import files
 from ..streaming import capture
-from .adapters import frame, view, with_views
+from .adapters import frame, scratch, view, with_views
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -33,13 +34,28 @@ def q_bom_scan(spark, sf_dir):
     return view(spark, sf_dir, "catalog").groupBy("type").agg(F.count("*").alias("n"), F.count_distinct("family").alias("families"), F.min("line").alias("first_line"))
 
 
-_BAD = "SELECT CASE WHEN code % 500 = 0 THEN 1 ELSE code END AS code, CASE WHEN code % 333 = 0 THEN concat('#', family) ELSE family END AS family, material, type FROM catalog"
-
-
-@query(f"""WITH b AS ({_BAD}) SELECT family, 'inconsistent' AS problem FROM b GROUP BY family HAVING count(DISTINCT (material, type)) > 1 UNION ALL SELECT DISTINCT family, 'illegal' FROM b WHERE NOT regexp_matches(family, '^[A-Za-z0-9][A-Za-z0-9_-]*$')
- UNION ALL SELECT min(family), 'duplicate' FROM b GROUP BY code HAVING count(*) > 1""")
+_BAD = """SELECT line, CASE WHEN code % 500 = 0 THEN 1 ELSE code END AS code, concat('C', CAST(CASE WHEN code % 700 = 0 THEN 7 ELSE code END AS VARCHAR(12))) AS client, CASE WHEN code % 333 = 0 THEN concat('#', family) ELSE family END AS family, material, type,
+ CASE WHEN code % 250 = 0 THEN '  ' ELSE title END AS title, CASE WHEN code % 400 = 0 THEN '' ELSE concat('r', CAST(code % 2 AS VARCHAR(9))) END AS ref, type AS descr FROM catalog"""
+_CELLS = """SELECT code AS line, CASE WHEN code % 90 = 1 THEN ' ' WHEN code % 90 = 2 THEN 'X1' ELSE CAST(code AS VARCHAR(12)) END AS code, CASE code % 50 WHEN 0 THEN 's' WHEN 1 THEN 'b' ELSE 'n' END AS kind,
+ CASE code % 50 WHEN 2 THEN 'NaN' WHEN 3 THEN '-1.5' WHEN 4 THEN 'Infinity' WHEN 5 THEN NULL WHEN 6 THEN 'x' ELSE CAST(quantity AS VARCHAR(30)) END AS value FROM items"""
+_REQUIRED, _SHARED = ("code", "client", "family", "material", "type", "title", "descr"), ("material", "type", "title", "ref", "descr")
+
+
+@query(
+    f"""WITH b AS ({_BAD}), t AS (SELECT line, {", ".join(f"trim(CAST({c} AS VARCHAR)) AS {c}" for c in ("code", "client", "family", "material", "type", "title", "ref", "descr"))} FROM b), c AS ({_CELLS}), n AS (SELECT *, trim(code) AS k, TRY_CAST(value AS DOUBLE) AS v FROM c) """
+    + " UNION ALL ".join(
+        [f"SELECT 'blank' AS problem, '{c}' AS field, CAST(line AS VARCHAR) AS key FROM t WHERE {c} = ''" for c in _REQUIRED]
+        + [f"SELECT 'duplicate', '{c}', {c} FROM t WHERE {c} <> '' GROUP BY {c} HAVING count(*) > 1" for c in ("code", "client")]
+        + [f"SELECT 'inconsistent', '{c}', family FROM t GROUP BY family HAVING count(DISTINCT {c}) > 1" for c in _SHARED]
+        + ["SELECT DISTINCT 'illegal', 'family', family FROM t WHERE NOT regexp_matches(family, '^[A-Za-z0-9][A-Za-z0-9_-]*$')"]
+        + ["SELECT 'blank', 'quantity', CAST(line AS VARCHAR) FROM n WHERE k = ''", "SELECT 'not_numeric', 'quantity', k FROM n WHERE kind <> 'n' OR v IS NULL", "SELECT 'not_finite', 'quantity', k FROM n WHERE kind = 'n' AND (isnan(v) OR isinf(v))"]
+        + ["SELECT 'negative', 'quantity', k FROM n WHERE kind = 'n' AND NOT isnan(v) AND NOT isinf(v) AND v < 0", "SELECT 'duplicate', 'quantity', k FROM n WHERE k <> '' GROUP BY k HAVING count(*) > 1"]
+    )
+)
 def q_bom_lint(spark, sf_dir):
-    return bom.lint(frame(spark, sf_dir, _BAD))
+    """Faults of a catalogue and of the quantities of an issue."""
+    found = val.catalogue(frame(spark, sf_dir, _BAD), _REQUIRED, "code", "client", "family", _SHARED)
+    return found.unionByName(val.quantities(frame(spark, sf_dir, _CELLS)))
 
 
 def _chosen(spark, sf_dir) -> DataFrame:
@@ -59,9 +75,8 @@ def q_bom_tree(spark, sf_dir):
 @query("""WITH f AS (SELECT DISTINCT family FROM catalog), img AS (SELECT DISTINCT lower(family) AS stem FROM catalog WHERE code % 3 = 0) SELECT f.family, CASE WHEN stem IS NULL THEN 'imgs/handler.jpg' ELSE concat('figs/', stem, '.pdf') END AS image, stem IS NULL AS warned FROM f LEFT JOIN img ON lower(f.family) = stem""")
 def q_bom_image(spark, sf_dir):
     c = view(spark, sf_dir, "catalog")
-    images = c.where("code % 3 = 0").select(F.lower("family").alias("stem")).distinct()
-    rows = c.select("family").distinct().join(images, F.lower("family") == F.col("stem"), "left")
-    return rows.select("family", F.when(F.col("stem").isNull(), "imgs/handler.jpg").otherwise(F.concat(F.lit("figs/"), "stem", F.lit(".pdf"))).alias("image"), F.col("stem").isNull().alias("warned"))
+    images = c.where("code % 3 = 0").select(F.lower("family").alias("stem")).distinct().withColumn("path", F.concat(F.lit("figs/"), "stem", F.lit(".pdf")))
+    return bom.pictures(c.select("family").distinct(), images)
 
 
 @query("SELECT code, quantity FROM items WHERE code NOT IN (SELECT code FROM catalog WHERE code % 6 <> 0)")
@@ -69,7 +84,7 @@ def q_unknown_codes(spark, sf_dir):
     return bom.unknown(view(spark, sf_dir, "catalog").where("code % 6 <> 0"), view(spark, sf_dir, "items"))
 
 
-@query("SELECT code, replace(regexp_replace(regexp_replace(CAST(CAST(quantity / 8e0 AS DECIMAL(38,9)) AS VARCHAR), '(\\.\\d*?)0+$', '\\1'), '\\.$', ''), '.', ',') AS shown FROM items")
+@query("SELECT code, replace(regexp_replace(regexp_replace(CAST(CAST(quantity / 8e0 AS DECIMAL(38,18)) AS VARCHAR), '(\\.\\d*?)0+$', '\\1'), '\\.$', ''), '.', ',') AS shown FROM items")
 def q_quantity_format(spark, sf_dir):
     return view(spark, sf_dir, "items").select("code", tx.quantity(F.col("quantity") / 8).alias("shown"))
 
@@ -88,27 +103,24 @@ def q_anchor_hash(spark, sf_dir):
     return view(spark, sf_dir, "catalog").select("family", tx.anchor_id("fam", F.col("family")).alias("anchor")).distinct()
 
 
-_FILES = "SELECT concat('d/', CASE WHEN doc_id % 2 = 0 THEN upper(lang) ELSE lang END, CAST(doc_id % 50 AS VARCHAR(12))) AS stem, CASE doc_id % 4 WHEN 0 THEN 'pdf' WHEN 1 THEN 'png' WHEN 2 THEN 'jpg' ELSE 'txt' END AS ext, doc_id FROM documents"
-_PRIO = "CASE ext WHEN 'pdf' THEN 0 WHEN 'png' THEN 1 WHEN 'jpg' THEN 2 END"
+_FILES = "SELECT concat('d/', CASE WHEN doc_id % 2 = 0 THEN upper(lang) ELSE lang END, CAST(doc_id % 50 AS VARCHAR(12))) AS stem, CASE doc_id % 5 WHEN 0 THEN 'pdf' WHEN 1 THEN 'png' WHEN 2 THEN 'jpg' WHEN 3 THEN 'jpeg' ELSE 'txt' END AS ext, doc_id FROM documents"
 
 
-@query(f"WITH f AS (SELECT *, {_PRIO} AS prio FROM ({_FILES})), r AS (SELECT *, row_number() OVER (PARTITION BY lower(stem) ORDER BY prio, lower(stem), stem, doc_id) AS n FROM f WHERE prio IS NOT NULL) SELECT lower(stem) AS stem, ext, doc_id FROM r WHERE n = 1")
+@query(f"WITH f AS (SELECT *, CASE ext WHEN 'pdf' THEN 0 WHEN 'png' THEN 1 WHEN 'jpg' THEN 2 WHEN 'jpeg' THEN 3 END AS prio, concat(stem, '.', ext) AS path FROM ({_FILES})), r AS (SELECT *, row_number() OVER (PARTITION BY lower(stem) ORDER BY prio, lower(path), path) AS n FROM f WHERE prio IS NOT NULL) SELECT lower(stem) AS stem, path FROM r WHERE n = 1")
 def q_image_pick(spark, sf_dir):
     """The first file of each stem by kind, then name."""
-    f = frame(spark, sf_dir, f"SELECT *, {_PRIO} AS prio FROM ({_FILES})").where("prio is not null")
-    best = f.groupBy(F.lower("stem").alias("key")).agg(F.min(F.struct("prio", F.lower("stem").alias("low"), "stem", "doc_id", "ext")).alias("b"))
-    return best.select(F.col("key").alias("stem"), "b.ext", "b.doc_id")
+    return bom.pick_images(frame(spark, sf_dir, _FILES).select(F.concat("stem", F.lit("."), "ext").alias("path")))
 
 
 # --- ids ------------------------------------------------------------------------------------------
 
 _ACCENT = f"translate({{0}}, '{tx._ACCENTED}', '{tx._PLAIN}')"
-_SLUG = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(" + _ACCENT.format("left(text, 60)") + ", '[^\\x00-\\x7F]', '', 'g'), '[^A-Za-z0-9.]+', '-', 'g'), '-{2,}', '-', 'g'), '\\.{2,}', '.', 'g'), '^[-.]+|[-.]+$', '', 'g')"
+_SLUG = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(" + _ACCENT.format("text") + ", '[^\\x00-\\x7F]', '', 'g'), '[^A-Za-z0-9.]+', '-', 'g'), '-{2,}', '-', 'g'), '\\.{2,}', '.', 'g'), '^[-.]+|[-.]+$', '', 'g')"
 
 
 @query(f"SELECT doc_id, {_SLUG} AS slug FROM documents")
 def q_slug(spark, sf_dir):
-    return frame(spark, sf_dir, "SELECT doc_id, left(text, 60) AS t FROM documents").select("doc_id", tx.slug(F.col("t")).alias("slug"))
+    return frame(spark, sf_dir, "SELECT doc_id, text FROM documents").select("doc_id", tx.slug(F.col("text")).alias("slug"))
 
 
 @query("SELECT doc_id, regexp_matches(name, '^[A-Z]+-([A-Za-z0-9.-]+-)?(19|20)\\d{2}-[A-Za-z0-9][A-Za-z0-9.-]*$') AS fits FROM doc_id_row")
@@ -122,9 +134,14 @@ def q_id_parts(spark, sf_dir):
     return view(spark, sf_dir, "doc_id_row").select("doc_id", issuer.alias("issuer"), code.alias("code"), year.alias("year"))
 
 
-@query("SELECT doc_id, CASE WHEN name LIKE '%-PT' THEN 'por' WHEN name LIKE '%-EN' THEN 'eng' WHEN name LIKE 'ABNT%' THEN 'por' WHEN name LIKE 'DIN%' THEN 'deu+eng' ELSE 'eng' END AS language FROM doc_id_row")
+_NAMED = "SELECT doc_id, name, CASE WHEN doc_id % 10 = 0 THEN 'fr' END AS curated FROM doc_id_row"
+
+
+@query(f"WITH n AS ({_NAMED}), r AS (SELECT *, CASE WHEN name LIKE '%-PT' THEN 'por' WHEN name LIKE '%-EN' THEN 'eng' WHEN name LIKE 'ABNT%' THEN 'por' WHEN name LIKE 'DIN%' THEN 'deu+eng' ELSE 'eng' END AS recognised FROM n) SELECT doc_id, recognised, CASE WHEN curated IS NOT NULL THEN curated WHEN name LIKE '%-PT' THEN 'pt-BR' WHEN name LIKE '%-EN' THEN 'en' WHEN name LIKE 'ABNT%' THEN 'pt-BR' WHEN recognised = 'deu+eng' THEN 'de' ELSE 'en' END AS language FROM r")
 def q_doc_language(spark, sf_dir):
-    return view(spark, sf_dir, "doc_id_row").select("doc_id", tx.language(F.col("name")).alias("language"))
+    """The language that a text is recognised in, and that of the document, which may be curated."""
+    c = F.col
+    return frame(spark, sf_dir, _NAMED).withColumn("recognised", tx.language(c("name"))).select("doc_id", "recognised", qa.document_language(c("name"), c("recognised"), c("curated")).alias("language"))
 
 
 @query("SELECT doc_id, CASE WHEN name LIKE '%-PT' OR name LIKE '%-EN' THEN 'traducao' WHEN name LIKE '%-PROJETO' THEN 'projeto' WHEN name LIKE '%-CANCELADA' THEN 'cancelada' ELSE '' END AS status FROM doc_id_row")
@@ -139,20 +156,25 @@ def q_doc_title(spark, sf_dir):
 
 # --- text -----------------------------------------------------------------------------------------
 
-_REMOVED = ("^Exclusive copy", "^The ")
-_HIT = " OR ".join(f"regexp_matches(trim(line), '{p}')" for p in _REMOVED)
+_REMOVED, _BLOCKED, _SPANS = ("^Exclusive copy", "^The "), (r"Exclusive[^\n]*", r"fator +parcial"), (r"\s*texto ", r"\ba\b")
+_STRIPPED = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+_HIT = " OR ".join(f"regexp_matches({_STRIPPED.format('line')}, '{p}')" for p in _REMOVED)
 _ANCHORED = "regexp_matches(line, '<!-- p\\.(\\d+) -->')"
+_LAST = "line = '' AND line_no = max(line_no) OVER (PARTITION BY doc_id)"
 
 
 def _md(spark, sf_dir) -> DataFrame:
     return view(spark, sf_dir, "md")
 
 
-@query(f"SELECT doc_id, CAST(count(*) AS BIGINT) AS lines, CAST(sum(CASE WHEN NOT {_ANCHORED} AND ({_HIT}) THEN 1 ELSE 0 END) AS BIGINT) AS removed FROM md_line GROUP BY doc_id")
+_CLEAN = f"WITH l AS (SELECT *, {_LAST} AS last FROM md_line), k AS (SELECT *, NOT {_ANCHORED} AND ({_HIT}) AS gone FROM l WHERE NOT last), t AS (SELECT *, len(regexp_extract_all(line, '{_SPANS[0]}')) + len(regexp_extract_all(regexp_replace(line, '{_SPANS[0]}', '', 'g'), '{_SPANS[1]}')) AS spans FROM k) "
+
+
+@query(_CLEAN + "SELECT doc_id, CAST(count(*) AS INT) AS lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS INT) AS removed, CAST(sum(CASE WHEN gone THEN 0 ELSE len(regexp_extract_all(line, '" + _SPANS[0] + "')) + len(regexp_extract_all(line, '" + _SPANS[1] + "')) END) AS INT) AS spans FROM t GROUP BY doc_id")
 def q_clean_lines(spark, sf_dir):
-    lines = _md(spark, sf_dir).select("doc_id", F.explode(F.split("md", "\n")).alias("line"))
-    kept = tx.keep_lines(lines, _REMOVED).groupBy("doc_id").agg(F.count("*").alias("k"))
-    return lines.groupBy("doc_id").agg(F.count("*").alias("lines")).join(kept, "doc_id").select("doc_id", "lines", (F.col("lines") - F.col("k")).alias("removed"))
+    """Lines that go whole, and spans that go from within lines."""
+    m = qa.cleaned(F.col("md"), _REMOVED, _SPANS)
+    return _md(spark, sf_dir).select("doc_id", m["lines"].alias("lines"), m["removed"].alias("removed"), m["spans"].alias("spans"))
 
 
 @query("SELECT doc_id, md5(regexp_replace(md, '([\\p{L}\\p{N}_])-[ \\t]*\\n[ \\t]*([a-zà-ÿ])', '\\1\\2', 'g')) AS digest, CAST(len(regexp_extract_all(md, '[\\p{L}\\p{N}_]-[ \\t]*\\n[ \\t]*[a-zà-ÿ]')) AS INT) AS joined FROM md")
@@ -161,10 +183,15 @@ def q_dehyphenate(spark, sf_dir):
     return _md(spark, sf_dir).select("doc_id", F.md5(tx.dehyphenate(F.col("md"))).alias("digest"), hits.alias("joined"))
 
 
-@query("SELECT doc_id, line_no, regexp_replace(line, '(\\S)[ \\t]{2,}(\\S)', '\\1 \\2', 'g') AS line FROM md_line WHERE NOT regexp_matches(line, '^\\s*(\\||`|<!--|!\\[|#)') AND regexp_matches(line, '\\S[ \\t]{2,}\\S')")
+@query(
+    "WITH j AS (SELECT doc_id, regexp_replace(md, '([\\p{L}\\p{N}_])-[ \\t]*\\n[ \\t]*([a-zà-ÿ])', '\\1\\2', 'g') AS t FROM md), l AS (SELECT doc_id, unnest(range(len(string_split(t, chr(10))))) AS i, unnest(string_split(t, chr(10))) AS line FROM j),"
+    " c AS (SELECT doc_id, i, CASE WHEN regexp_matches(line, '\\S') THEN regexp_replace(line, '\\s+$', '') ELSE line END AS line FROM l),"
+    " k AS (SELECT doc_id, i, CASE WHEN regexp_matches(line, '^\\s*(\\||`|<!--|!\\[|#)') OR regexp_matches(line, '<!-- p\\.(\\d+) -->') THEN line ELSE regexp_replace(line, '(\\S)[ \\t]{2,}(\\S)', '\\1 \\2', 'g') END AS line FROM c)"
+    " SELECT doc_id, md5(concat(regexp_replace(regexp_replace(string_agg(line, chr(10) ORDER BY i), '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g'), chr(10))) AS digest FROM k GROUP BY doc_id"
+)
 def q_clean_text(spark, sf_dir):
-    lines = _md(spark, sf_dir).select("doc_id", F.posexplode(F.split("md", "\n")).alias("line_no", "line"))
-    return lines.withColumn("new", tx.collapse(F.col("line"))).where("new != line").select("doc_id", "line_no", F.col("new").alias("line"))
+    """Texts with words joined, blanks collapsed, ends trimmed and blank lines squeezed."""
+    return _md(spark, sf_dir).select("doc_id", F.md5(qa.cleaned(F.col("md"), (), headings=False)["text"]).alias("digest"))
 
 
 _HEAD = "^(?:[-*]\\s+)?([1-9]\\d?(?:\\.\\d{1,3})*)\\s+([A-ZÀ-ÖØ-Ý][^=]{0,199})$"
@@ -190,31 +217,42 @@ def q_anchor_coverage(spark, sf_dir):
     return _md(spark, sf_dir).select("doc_id", n.alias("anchors"), F.round(n / F.col("pages"), 6).alias("coverage"))
 
 
-@query("SELECT doc_id, coalesce(left(nullif(regexp_extract(md, 'Exclusive[^\\n]*', 0), ''), 40), '') AS first FROM md")
+@query("SELECT doc_id, concat_ws('|', nullif(left(regexp_extract(md, 'Exclusive[^\\n]*', 0), 40), ''), nullif(left(regexp_extract(md, 'fator +parcial', 0), 40), '')) AS found FROM md")
 def q_blocked_patterns(spark, sf_dir):
-    return _md(spark, sf_dir).select("doc_id", F.left(F.regexp_extract("md", r"Exclusive[^\n]*", 0), F.lit(40)).alias("first"))
+    return _md(spark, sf_dir).select("doc_id", F.array_join(qa.blocked(F.col("md"), _BLOCKED), "|").alias("found"))
 
 
-@query("SELECT event_id, CASE WHEN regexp_matches(props, '[0-9]{2}') THEN '[redacted]' ELSE props END AS props, CAST(CASE WHEN regexp_matches(props, '[0-9]{2}') THEN 1 ELSE 0 END AS INT) AS hits FROM events")
+_REDACT = ("[0-9]{2}", "^view")
+
+
+@query("WITH e AS (SELECT event_id, props AS t1, event_type AS o1, '' AS t2, event_type AS o2, CASE WHEN event_id % 2 = 0 THEN props END AS t3 FROM events) SELECT event_id, CASE WHEN regexp_matches(t1, '[0-9]{2}|^view') THEN '[redacted by a rule of the profile]' ELSE t1 END AS text, CASE WHEN regexp_matches(t1, '[0-9]{2}|^view') THEN '[redacted by a rule of the profile]' ELSE o1 END AS orig, t2 AS second_text, CASE WHEN regexp_matches(o2, '[0-9]{2}|^view') THEN '[redacted by a rule of the profile]' ELSE o2 END AS second_orig, CASE WHEN regexp_matches(t3, '[0-9]{2}|^view') THEN '[redacted by a rule of the profile]' ELSE t3 END AS third FROM e")
 def q_json_redact(spark, sf_dir):
-    hit = F.regexp_like("props", F.lit("[0-9]{2}"))
-    return frame(spark, sf_dir, "SELECT * FROM events").select("event_id", F.when(hit, "[redacted]").otherwise(F.col("props")).alias("props"), hit.cast("int").alias("hits"))
+    """Layouts whose texts, or originals where there is no text, hit a rule: both fields go, boxes stay."""
+    rows = frame(spark, sf_dir, "SELECT event_id, to_json(named_struct('texts', array(named_struct('text', props, 'orig', event_type, 'page', 1), named_struct('text', '', 'orig', event_type, 'page', 2), named_struct('text', CASE WHEN event_id % 2 = 0 THEN props END, 'orig', CAST(NULL AS STRING), 'page', 3)))) AS layout FROM events")
+    texts = F.from_json("layout", "texts array<struct<text:string,orig:string,page:int>>")["texts"]
+    done = rows.select("event_id", qa.redacted_layout(texts, _REDACT).alias("t"))
+    at = lambda i, f: F.get("t", F.lit(i))[f]
+    return done.select("event_id", at(0, "text").alias("text"), at(0, "orig").alias("orig"), at(1, "text").alias("second_text"), at(1, "orig").alias("second_orig"), at(2, "text").alias("third"))
+
+
+_FURNITURE = "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '3.2 Escopo' WHEN 1 THEN 'pagina 3' WHEN 2 THEN '4 Geral' ELSE '0.1 Nada' END AS a, CASE WHEN doc_id % 3 = 0 THEN 'body' ELSE 'furniture' END AS layer FROM documents"
 
 
-@query("WITH r AS (SELECT doc_id, line_no, regexp_extract(line, '^([1-9]\\d?(?:\\.\\d{1,3})*\\s+[A-Z].*)$', 1) AS t FROM md_line WHERE line_no < 6) SELECT doc_id, line_no, concat('## ', t) AS rescued FROM r WHERE t <> ''")
+@query(f"SELECT doc_id, concat_ws('|', CASE WHEN doc_id % 4 IN (0, 2) AND layer = 'furniture' THEN concat('## ', a) END, '## 7 Fim') AS rescued FROM ({_FURNITURE})")
 def q_title_rescue(spark, sf_dir):
-    """Furniture (the first lines) that reads as a numbered title comes back as a heading."""
-    lines = _md(spark, sf_dir).select("doc_id", F.posexplode(F.split("md", "\n")).alias("line_no", "line")).where("line_no < 6")
-    return lines.where(F.regexp_like("line", F.lit(r"^[1-9]\d?(?:\.\d{1,3})*\s+[A-Z]"))).select("doc_id", "line_no", F.concat(F.lit("## "), "line").alias("rescued"))
+    """Furniture that reads as a numbered title comes back as a heading."""
+    item = lambda text, layer: F.struct(text.alias("text"), layer.alias("layer"))
+    layout = F.array(item(F.col("a"), F.col("layer")), item(F.lit("7 Fim"), F.lit("furniture")), item(F.lit("8 Corpo"), F.lit("body")))
+    return frame(spark, sf_dir, _FURNITURE).select("doc_id", F.array_join(qa.rescued_titles(layout), "|").alias("rescued"))
 
 
 _ITEM = "^(?:#{1,6}\\s+|[-*]\\s+)?([1-9]\\d?(?:\\.\\d{1,3})+)\\s+([A-ZÀ-ÖØ-Ý]\\S*)"
 _UNIT_LIST = ", ".join(f"'{u}'" for u in tx.UNITS)
 
 
-def _items_sql(source: str) -> str:
+def _items_sql(source: str, table: str = "md") -> str:
     return f"""SELECT doc_id, line_no, number AS item FROM (SELECT doc_id, line_no, line, trim(line) AS t, regexp_extract(line, '{_ITEM}', 1) AS number, regexp_replace(regexp_extract(line, '{_ITEM}', 2), '^[.,;:()]+|[.,;:()]+$', '', 'g') AS head,
-      len(regexp_extract_all(regexp_replace(line, '{_ITEM}', '\\2'), '\\p{{L}}')) AS letters FROM (SELECT doc_id, unnest(range(len(string_split({source}, chr(10)))))::INT AS line_no, unnest(string_split({source}, chr(10))) AS line FROM md))
+      len(regexp_extract_all(regexp_replace(line, '{_ITEM}', '\\2'), '[\\p{{L}}\\p{{Nl}}\\p{{No}}]')) AS letters FROM (SELECT doc_id, unnest(range(len(string_split({source}, chr(10)))))::INT AS line_no, unnest(string_split({source}, chr(10))) AS line FROM {table}))
       WHERE number <> '' AND NOT regexp_matches(t, '^(\\||`|<!--|!\\[)') AND NOT contains(t, ' = ') AND NOT regexp_matches(t, '\\.{{3,}}\\s*\\d*\\s*$|\\.{{5,}}') AND NOT regexp_matches(head, '^[A-Z0-9./-]{{2,}}$') AND head NOT IN ({_UNIT_LIST}) AND NOT contains(head, '/') AND letters >= 4"""
 
 
@@ -231,16 +269,19 @@ def q_numbered_items(spark, sf_dir):
 @query(f"""WITH it AS ({_items_sql('md')}), p AS (SELECT DISTINCT doc_id, regexp_replace(item, '\\.\\d+$', '') AS parent, CAST(regexp_extract(item, '(\\d+)$', 1) AS INT) AS n FROM it), g AS (SELECT doc_id, parent, min(n) AS lo, max(n) AS hi, list(n) AS ns FROM p GROUP BY ALL HAVING count(*) >= 3),
  x AS (SELECT doc_id, parent, ns, CAST(unnest(range(lo, hi)) AS INT) AS missing FROM g) SELECT doc_id, parent, missing FROM x WHERE NOT list_contains(ns, missing)""")
 def q_numbering_gaps(spark, sf_dir):
-    return tx.gaps(_items(spark, sf_dir, "md"))
+    missing = _md(spark, sf_dir).select("doc_id", F.explode(qa.missing_numbers(qa.items(F.col("md")))).alias("m"))
+    return missing.select("doc_id", F.regexp_replace("m", r"\.\d+$", "").alias("parent"), F.regexp_extract("m", r"(\d+)$", 1).cast("int").alias("missing"))
 
 
-@query(f"WITH it AS (SELECT DISTINCT doc_id, item FROM ({_items_sql('src')})) SELECT it.doc_id, item FROM it JOIN md ON it.doc_id = md.doc_id WHERE NOT regexp_matches(md.md, concat('(^|[^\\d.])', replace(item, '.', '\\.'), '([\\s.)\\]:-]|$)'))")
+def _lost_sql(source: str, table: str) -> str:
+    body = f"SELECT doc_id, array_to_string(list_filter(string_split(md, chr(10)), lambda x: NOT regexp_matches(x, '^\\s*[|`]')), chr(10)) AS body FROM {table}"
+    return f"SELECT it.doc_id, item FROM (SELECT DISTINCT doc_id, item FROM ({_items_sql(source, table)})) it JOIN ({body}) b ON it.doc_id = b.doc_id WHERE NOT regexp_matches(body, concat('(^|[^\\d.])', replace(item, '.', '\\.'), '([\\s.)\\]:-]|$)'))"
+
+
+@query(_lost_sql("src", "md"))
 def q_lost_items(spark, sf_dir):
-    """Items of the source that stand nowhere in the corpus as a token; a join on the document alone."""
-    items = _items(spark, sf_dir, "src").select("doc_id", "item").distinct()
-    rows = items.join(_md(spark, sf_dir).select("doc_id", "md"), "doc_id")
-    there = F.regexp_like("md", F.concat(F.lit(r"(^|[^\d.])"), F.replace("item", F.lit("."), F.lit(r"\.")), F.lit(r"([\s.)\]:-]|$)")))
-    return rows.where(~there).select("doc_id", "item")
+    """Items of the source that stand nowhere in the corpus as a token, tables and code left out."""
+    return _md(spark, sf_dir).select("doc_id", F.explode(qa.lost_items(F.col("md"), F.col("src"))).alias("item"))
 
 
 _FORMULA = "<!-- formula[^\\n]*-->\\n(!\\[formula\\]\\([^)]+\\)\\n+)?`([^`\\n]+)`"
@@ -248,73 +289,95 @@ _FORMULA = "<!-- formula[^\\n]*-->\\n(!\\[formula\\]\\([^)]+\\)\\n+)?`([^`\\n]+)
 
 @query(f"WITH f AS (SELECT doc_id, regexp_extract_all(md, '{_FORMULA}', 2) AS t, regexp_extract_all(md, '{_FORMULA}', 1) AS i FROM md) SELECT doc_id, CAST(len(t) AS INT) AS total, CAST(len(list_filter(i, lambda x: x <> '')) AS INT) AS cropped, CAST(len(list_filter(t, lambda x: NOT contains(x, '=') OR trim(x) LIKE '%=')) AS INT) AS scrambled FROM f")
 def q_formula_stats(spark, sf_dir):
-    t, i = (F.regexp_extract_all("md", F.lit(_FORMULA), F.lit(k)) for k in (2, 1))
-    wrong = F.filter(t, lambda x: ~F.contains(x, F.lit("=")) | F.endswith(F.trim(x), F.lit("=")))
-    return _md(spark, sf_dir).select("doc_id", F.size(t).alias("total"), F.size(F.filter(i, lambda x: x != "")).alias("cropped"), F.size(wrong).alias("scrambled"))
+    total, pictured, wrong = qa.formulas(F.col("md"))
+    return _md(spark, sf_dir).select("doc_id", total.alias("total"), pictured.alias("cropped"), wrong.alias("scrambled"))
+
 
+_COVER = "len(regexp_extract_all(md, '[\\p{L}\\p{N}_]'))"
 
-@query("SELECT doc_id, round(len(regexp_extract_all(md, '[\\p{L}\\p{N}_]')) / CAST(greatest(1, len(regexp_extract_all(src, '[\\p{L}\\p{N}_]'))) AS DOUBLE), 6) AS coverage FROM md")
+
+def _wanted_sql(source: str, table: str, patterns: tuple) -> str:
+    hit = " OR ".join(f"regexp_matches({_STRIPPED.format('x')}, '{p}')" for p in patterns)
+    return f"SELECT doc_id, len(regexp_extract_all(array_to_string(list_filter(string_split({source}, chr(10)), lambda x: NOT ({hit})), chr(10)), '[\\p{{L}}\\p{{N}}_]')) AS wanted FROM {table}"
+
+
+@query(f"WITH w AS ({_wanted_sql('src', 'md', _REMOVED)}) SELECT md.doc_id, CAST(wanted AS INT) AS wanted, round(CASE WHEN wanted > 0 THEN {_COVER} / CAST(wanted AS DOUBLE) ELSE 0e0 END, 6) AS coverage FROM md JOIN w ON md.doc_id = w.doc_id")
 def q_text_coverage(spark, sf_dir):
-    n = lambda c: F.regexp_count(c, F.lit(r"[\p{L}\p{N}_]"))
-    return _md(spark, sf_dir).select("doc_id", F.round(n("md") / F.greatest(F.lit(1), n("src")), 6).alias("coverage"))
+    share, wanted = qa.coverage(F.col("md"), F.col("src"), _REMOVED)
+    return _md(spark, sf_dir).select("doc_id", wanted.alias("wanted"), F.round(share, 6).alias("coverage"))
 
 
 # --- triage ---------------------------------------------------------------------------------------
 
-_PAGES = """SELECT doc, count(*) AS pages, avg(CASE WHEN length(trim(text)) < 80 THEN 0e0 ELSE 1e0 END) AS with_text, sum(CASE WHEN length(trim(text)) >= 80 AND length(trim(text)) < 400 THEN 1 ELSE 0 END) AS poor, avg(CAST(length(trim(text)) AS DOUBLE)) AS per_page FROM page GROUP BY doc"""
+_PAGES = """SELECT doc, all_ - gone AS pages, below - gone AS blank, poor, round_even(1 - (below - gone) / CAST(all_ - gone AS DOUBLE), 2) AS with_text, CAST(round_even(chars / CAST(all_ - gone AS DOUBLE), 0) AS BIGINT) AS per_page FROM (SELECT doc, count(*) AS all_, sum(CASE WHEN n < 80 THEN 1 ELSE 0 END) AS below, sum(CASE WHEN n >= 80 AND n < 400 THEN 1 ELSE 0 END) AS poor, sum(n) AS chars,
+ CASE WHEN arg_max(n, page) = 0 AND count(*) > 1 THEN 1 ELSE 0 END AS gone FROM (SELECT doc, page, length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS n FROM page) GROUP BY doc)"""
 
 
 def _pages(spark, sf_dir) -> DataFrame:
-    n = F.length(F.trim("text"))
-    return view(spark, sf_dir, "page").groupBy("doc").agg(F.count("*").alias("pages"), F.avg((n >= 80).cast("double")).alias("with_text"), F.count_if((n >= 80) & (n < 400)).alias("poor"), F.avg(n.cast("double")).alias("per_page"))
+    return qa.page_figures(view(spark, sf_dir, "page"))
 
 
-@query(f"SELECT doc, CAST(pages AS BIGINT) AS pages, round(with_text, 6) AS with_text, CAST(poor AS BIGINT) AS poor, round(per_page, 4) AS per_page FROM ({_PAGES})")
+@query(f"SELECT doc, CAST(pages AS BIGINT) AS pages, CAST(blank AS BIGINT) AS blank, CAST(poor AS BIGINT) AS poor, with_text, per_page FROM ({_PAGES})")
 def q_triage_pages(spark, sf_dir):
-    return _pages(spark, sf_dir).withColumns({"with_text": F.round("with_text", 6), "per_page": F.round("per_page", 4)})
+    return _pages(spark, sf_dir)
+
+
+_IMAGES = "SELECT l_orderkey AS doc, l_linenumber AS page, l_quantity * 30e0 AS width, l_quantity * 40e0 AS height, CASE WHEN l_linenumber % 5 = 4 THEN 0e0 ELSE 150e0 END AS x_ppi, 150e0 AS y_ppi FROM lineitem"
+_SIZES = "SELECT o_orderkey AS doc, 1 + o_orderkey % 7 AS pages, 612e0 AS page_width, 792e0 AS page_height FROM orders"
+
+
+@query(f"WITH i AS ({_IMAGES}), z AS ({_SIZES}), s AS (SELECT DISTINCT doc, greatest(1, CAST(round_even(1e0 + k * (pages - 1) / 4e0, 0) AS INT)) AS page FROM (SELECT doc, pages, unnest([0, 1, 2, 3, 4]) AS k FROM z)), m AS (SELECT i.doc, max((width / x_ppi * 72e0 / page_width) * (height / y_ppi * 72e0 / page_height)) AS m FROM i JOIN z ON i.doc = z.doc JOIN s ON s.doc = i.doc AND s.page = i.page WHERE x_ppi > 0 GROUP BY i.doc) SELECT z.doc, round_even(coalesce(m, 0e0), 2) AS images FROM z LEFT JOIN m ON z.doc = m.doc")
+def q_image_coverage(spark, sf_dir):
+    """The largest share of a page that a picture covers, over sampled pages."""
+    return qa.image_coverage(frame(spark, sf_dir, _IMAGES), frame(spark, sf_dir, _SIZES))
 
 
 _STOPS = ", ".join(f"'{w}'" for w in tx.STOPWORDS)
 _TOK = "list_filter(regexp_extract_all(left(text, 400000), '[A-Za-zÀ-ÿ0-9]{3,}'), lambda x: regexp_matches(x, '[A-Za-zÀ-ÿ]'))"
-_METRICS = f"""WITH t AS (SELECT doc_id, text, {_TOK} AS tok FROM documents), m AS (SELECT doc_id, length(text) AS chars, len(tok) AS tokens, len(regexp_extract_all(left(text, 400000), '[\\x00-\\x08\\x0b\\x0e-\\x1f\\x{{E000}}-\\x{{F8FF}}]')) / CAST(greatest(1, length(left(text, 400000))) AS DOUBLE) AS ctrl,
- len(list_filter(tok, lambda x: regexp_matches(x, '[a-zà-ÿ][A-ZÀ-Ý]|[A-Za-zÀ-ÿ]\\d|\\d[a-zà-ÿ]'))) / CAST(greatest(1, len(tok)) AS DOUBLE) AS dirty, len(list_filter(tok, lambda x: lower(x) IN ({_STOPS}))) / CAST(greatest(1, len(tok)) AS DOUBLE) AS stop FROM t) """
-_ROUTE = "CASE WHEN (doc_id % 10) / 9e0 < 0.1e0 THEN 'C' WHEN ctrl > 0.02e0 OR dirty > 0.25e0 OR (tokens > 300 AND stop < 0.03e0) THEN 'D' WHEN (doc_id % 10) / 9e0 < 0.9e0 AND doc_id % 4 = 0 THEN 'E' WHEN chars > 2200 THEN 'B' ELSE 'A' END"
+_METRICS = f"""WITH t AS (SELECT doc_id, text, {_TOK} AS tok, layer, images, producer FROM triaged), m0 AS (SELECT doc_id, length(text) AS chars, len(tok) AS tokens, len(regexp_extract_all(left(text, 400000), '[\\x00-\\x08\\x0b\\x0e-\\x1f\\p{{Co}}]')) / CAST(greatest(1, length(left(text, 400000))) AS DOUBLE) AS ctrl0,
+ len(list_filter(tok, lambda x: regexp_matches(x, '[a-zà-ÿ][A-ZÀ-Ý]|[A-Za-zÀ-ÿ]\\d|\\d[a-zà-ÿ]'))) / CAST(greatest(1, len(tok)) AS DOUBLE) AS dirty0, len(list_filter(tok, lambda x: lower(x) IN ({_STOPS}))) / CAST(greatest(1, len(tok)) AS DOUBLE) AS stop0, layer, images, producer FROM t),
+ m AS (SELECT *, round_even(ctrl0, 3) AS ctrl, round_even(dirty0, 3) AS dirty, round_even(stop0, 3) AS stop FROM m0),
+ g AS (SELECT *, dirty > 0.03e0 AND (images > 0.9e0 OR layer OR regexp_matches(producer, '(?i)Acrobat (4|5)\\.0|Acrobat Distiller (3|4|5)\\.|PDFWriter|Import Plug-in|Paper Capture')) AS suspicion FROM m) """
+_ROUTE = "CASE WHEN (doc_id % 10) / 9e0 < 0.1e0 THEN 'C' WHEN ctrl > 0.02e0 OR dirty > 0.25e0 OR (tokens > 300 AND stop < 0.03e0) THEN 'D' WHEN (doc_id % 10) / 9e0 < 0.9e0 AND doc_id % 4 = 0 THEN 'E' WHEN chars > 2200 OR images > 0.9e0 THEN 'B' ELSE 'A' END"
 
 
 def _metrics(spark, sf_dir) -> DataFrame:
-    m = tx.triage(F.col("text"))
-    return frame(spark, sf_dir, "SELECT doc_id, text FROM documents").select("doc_id", F.length("text").alias("chars"), m["tokens"].alias("tokens"), m["frac_ctrl"].alias("ctrl"), m["frac_dirty"].alias("dirty"), m["frac_stop"].alias("stop"))
+    m = qa.text_figures(F.col("text"))
+    return view(spark, sf_dir, "triaged").select("doc_id", F.length("text").alias("chars"), *(v.alias(k) for k, v in m.items()), "images", "layer", "producer")
 
 
-@query(_METRICS + "SELECT doc_id, CAST(tokens AS INT) AS tokens, round(ctrl, 6) AS ctrl, round(dirty, 6) AS dirty, round(stop, 6) AS stop FROM m")
+@query(_METRICS + "SELECT doc_id, CAST(tokens AS INT) AS tokens, ctrl, dirty, stop FROM m")
 def q_triage_text(spark, sf_dir):
-    return _metrics(spark, sf_dir).select("doc_id", "tokens", *(F.round(c, 6).alias(c) for c in ("ctrl", "dirty", "stop")))
+    return _metrics(spark, sf_dir).select("doc_id", "tokens", "ctrl", "dirty", "stop")
 
 
 def _routed(spark, sf_dir) -> DataFrame:
     with_text = F.when((F.col("doc_id") % 10 == 0), 0.0).when(F.col("doc_id") % 4 == 0, (F.col("doc_id") % 10) / 9.0).otherwise(1.0)
     c = F.col
-    return _metrics(spark, sf_dir).select("doc_id", tx.route(with_text, c("ctrl"), c("dirty"), c("tokens"), c("stop"), c("chars"), F.lit(0.0)).alias("route"))
+    return _metrics(spark, sf_dir).withColumn("route", tx.route(with_text, c("ctrl"), c("dirty"), c("tokens"), c("stop"), c("chars"), c("images")))
 
 
-@query(_METRICS + f"SELECT doc_id, {_ROUTE} AS route, {_ROUTE} IN ('C', 'D', 'E') AS review FROM m")
+@query(_METRICS + f"SELECT doc_id, {_ROUTE} AS route, suspicion, layer OR images > 0.9e0 OR suspicion OR {_ROUTE} IN ('C', 'D', 'E') AS review FROM g")
 def q_triage_route(spark, sf_dir):
-    return _routed(spark, sf_dir).withColumn("review", F.col("route").isin("C", "D", "E"))
+    """The route by limits on rounded figures, the suspicion of old recognised text, and whether eyes must see it."""
+    c = F.col
+    rows = _routed(spark, sf_dir).withColumn("suspicion", qa.suspected(c("dirty"), c("images"), c("layer"), c("producer")))
+    return rows.select("doc_id", "route", "suspicion", qa.to_review(c("route"), c("images"), c("layer"), c("suspicion")).alias("review"))
 
 
-_EFFECTIVE = _METRICS + f", r AS (SELECT doc_id, {_ROUTE} AS route FROM m), e AS (SELECT r.doc_id, coalesce(nullif(o.route, ''), r.route) AS route, coalesce(nullif(o.language, ''), 'eng') AS language FROM r LEFT JOIN override o ON r.doc_id = o.doc_id) "
+_EFFECTIVE = _METRICS + f", r AS (SELECT g.doc_id, {_ROUTE.replace('doc_id', 'g.doc_id')} AS route, name FROM g JOIN doc_id_row ON g.doc_id = doc_id_row.doc_id), e AS (SELECT r.doc_id, coalesce(nullif(o.route, ''), r.route) AS route, coalesce(extra, '') AS extras, coalesce(nullif(o.language, ''), CASE WHEN name LIKE '%-PT' THEN 'por' WHEN name LIKE '%-EN' THEN 'eng' WHEN name LIKE 'ABNT%' THEN 'por' WHEN name LIKE 'DIN%' THEN 'deu+eng' ELSE 'eng' END) AS language, CASE WHEN name LIKE '%-PT' OR name LIKE '%-EN' THEN 'traducao' WHEN name LIKE '%-PROJETO' THEN 'projeto' WHEN name LIKE '%-CANCELADA' THEN 'cancelada' ELSE '' END AS status FROM r LEFT JOIN override o ON r.doc_id = o.doc_id) "
 
 
 def _effective(spark, sf_dir) -> DataFrame:
-    o = view(spark, sf_dir, "override").select("doc_id", F.col("route").alias("o_route"), "language")
-    rows = _routed(spark, sf_dir).join(o, "doc_id", "left")
-    wins = lambda a, b: F.coalesce(F.nullif(a, F.lit("")), b)
-    return rows.select("doc_id", wins(F.col("o_route"), F.col("route")).alias("route"), wins(F.col("language"), F.lit("eng")).alias("language"))
+    c = F.col
+    o = view(spark, sf_dir, "override").select("doc_id", c("route").alias("o_route"), c("language").alias("o_language"), c("extra").alias("extras"))
+    rows = _routed(spark, sf_dir).select("doc_id", "route").join(view(spark, sf_dir, "doc_id_row").select("doc_id", "name"), "doc_id").join(o, "doc_id", "left")
+    return rows.select("doc_id", qa.decided(c("o_route"), c("route")).alias("route"), F.coalesce("extras", F.lit("")).alias("extras"), qa.decided(c("o_language"), tx.language(c("name"))).alias("language"), tx.status(c("name")).alias("status"))
 
 
-@query(_EFFECTIVE + "SELECT doc_id, route, language FROM e")
+@query(_EFFECTIVE + "SELECT doc_id, route, extras, language, status FROM e")
 def q_effective_route(spark, sf_dir):
-    """A curated value wins unless it is empty."""
+    """Route, extras, language and status; a curated value wins unless it is empty."""
     return _effective(spark, sf_dir)
 
 
@@ -323,11 +386,10 @@ def q_route_summary(spark, sf_dir):
     return _effective(spark, sf_dir).groupBy("route", "language").agg(F.count("*").alias("docs"), F.sum(1 + F.col("doc_id") % 40).alias("pages"))
 
 
-@query("SELECT doc_id, concat_ws(';', CASE WHEN extra NOT IN ('F', 'G') THEN 'extra' END, CASE WHEN length(language) <> 3 THEN 'language' END, CASE WHEN route NOT IN ('', 'A', 'B', 'C', 'D', 'E') THEN 'route' END) AS problems FROM override WHERE extra NOT IN ('F', 'G') OR length(language) <> 3")
+@query("SELECT doc_id AS id, concat_ws(';', CASE WHEN extra NOT IN ('F', 'G') THEN 'extra' END, CASE WHEN language = 'por' AND doc_id % 3 = 0 THEN 'language' END, CASE WHEN doc_id % 11 = 0 THEN 'route' END) AS problems FROM override WHERE extra NOT IN ('F', 'G') OR (language = 'por' AND doc_id % 3 = 0) OR doc_id % 11 = 0")
 def q_override_lint(spark, sf_dir):
-    c = F.col
-    problems = F.array_compact(F.array(F.when(~c("extra").isin("F", "G"), F.lit("extra")), F.when(F.length("language") != 3, F.lit("language")), F.when(~c("route").isin("", "A", "B", "C", "D", "E"), F.lit("route"))))
-    return view(spark, sf_dir, "override").select("doc_id", F.array_join(problems, ";").alias("problems")).where("problems != ''")
+    rows = frame(spark, sf_dir, "SELECT doc_id AS id, CASE WHEN doc_id % 11 = 0 THEN 'Z' ELSE route END AS route, array('G', extra) AS extras, CASE WHEN language IS NOT NULL THEN array('eng', CASE WHEN doc_id % 3 = 0 THEN 'Por' ELSE language END) END AS language FROM override")
+    return val.overrides(rows).where(F.size("problems") > 0).select("id", F.array_join("problems", ";").alias("problems"))
 
 
 @query("SELECT doc_id, 'no document' AS problem FROM (SELECT doc_id + CASE WHEN doc_id % 9 = 0 THEN 100000000 ELSE 0 END AS doc_id FROM override) o WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = o.doc_id) UNION ALL SELECT doc_id, 'no override' FROM documents d WHERE NOT EXISTS (SELECT 1 FROM override o WHERE o.doc_id + CASE WHEN o.doc_id % 9 = 0 THEN 100000000 ELSE 0 END = d.doc_id)")
@@ -376,11 +438,12 @@ def _prev(spark, sf_dir) -> DataFrame:
     return view(spark, sf_dir, "prev_row")
 
 
-@query("SELECT id, sha, route, coalesce(note, '') AS note, '' AS qa FROM prev_row")
+@query("SELECT id, sha AS sha256_origem, route AS rota_efetiva, note AS observacao, '' AS qa, CAST(doc_id AS VARCHAR) AS mine FROM prev_row")
 def q_manifest_load(spark, sf_dir):
-    """Columns that an older file lacks are empty; extra ones would stay."""
-    empty = spark.createDataFrame([], "id string, sha string, route string, note string, qa string")
-    return empty.unionByName(_prev(spark, sf_dir).select("id", "sha", "route", "note"), allowMissingColumns=True).select(*(F.coalesce(c, F.lit("")).alias(c) for c in empty.columns))
+    """A manifest written as an older file and read again: columns that it lacks are empty, extra ones stay."""
+    path = scratch(spark)
+    _prev(spark, sf_dir).select("id", F.col("sha").alias("sha256_origem"), F.col("route").alias("rota_efetiva"), F.col("note").alias("observacao"), F.col("doc_id").cast("string").alias("mine")).write.option("header", True).option("escape", '"').csv(path)
+    return files.manifest(spark, path).select("id", "sha256_origem", "rota_efetiva", "observacao", "qa", "mine")
 
 
 @query("SELECT id, route FROM prev_row WHERE route IN ('B', 'C') AND doc_id % 2 = 1")
@@ -443,59 +506,87 @@ _THERE = "SELECT concat('f', CAST(doc_id AS VARCHAR(12))) AS path FROM documents
 @query(f"""WITH p AS ({_PAIRS}), f AS ({_THERE}), j AS (SELECT p.*, p.source IN (SELECT path FROM f) AS hs, p.target IN (SELECT path FROM f) AS ht FROM p), w AS (SELECT *, min(CASE WHEN hs AND NOT ht AND source <> target THEN pos END) OVER (PARTITION BY target) AS first FROM j)
  SELECT pos, source, target, CASE WHEN source = target THEN 'JA_NO_PADRAO' WHEN NOT hs AND ht THEN 'DESTINO_JA_EXISTE' WHEN NOT hs THEN 'ORIGEM_AUSENTE' WHEN ht THEN 'DESTINO_JA_EXISTE' WHEN first < pos THEN 'DESTINO_DUPLICADO' ELSE 'PRONTO' END AS status FROM w""")
 def q_rename_plan(spark, sf_dir):
-    return mf.rename_plan(frame(spark, sf_dir, _PAIRS), frame(spark, sf_dir, _THERE))
+    """A rename map written and read as a file, in the order of its rows, against the files that are there."""
+    path = scratch(spark)
+    pairs = frame(spark, sf_dir, _PAIRS).select(F.col("pos").alias("n"), F.col("source").alias("Nome Atual"), F.col("target").alias("novo"))
+    pairs.write.option("header", True).option("sep", ";").csv(path)
+    return mf.rename_plan(files.rename_map(spark, path, order="n"), frame(spark, sf_dir, _THERE))
 
 
 # --- guards and verdicts --------------------------------------------------------------------------
 
 
-@query(f"""WITH it AS (SELECT DISTINCT doc_id, item FROM ({_items_sql('src')})), lost AS (SELECT it.doc_id, count(*) AS n FROM it JOIN md ON it.doc_id = md.doc_id WHERE NOT regexp_matches(md.md, concat('(^|[^\\d.])', replace(item, '.', '\\.'), '([\\s.)\\]:-]|$)')) GROUP BY it.doc_id),
- q AS (SELECT md.doc_id, coalesce(n, 0) AS lost, contains(md, 'Exclusive copy') AS blocked, len(list_distinct(regexp_extract_all(md, '<!-- p\\.(\\d+) -->', 1))) / CAST(pages AS DOUBLE) AS anchors, md.doc_id % 2 = 0 AS native FROM md LEFT JOIN lost ON md.doc_id = lost.doc_id)
- SELECT doc_id, concat_ws(';', CASE WHEN lost > 0 AND native THEN 'lost_items' END, CASE WHEN blocked THEN 'blocked' END) AS rejects, concat_ws(';', CASE WHEN lost > 0 AND NOT native THEN 'lost_items' END, CASE WHEN anchors < 0.9e0 THEN 'anchors' END) AS reviews,
- CASE WHEN (lost > 0 AND native) OR blocked THEN 'reprovado' WHEN lost > 0 OR anchors < 0.9e0 THEN 'revisar' ELSE 'aprovado' END AS verdict FROM q""")
+_FRONT = ", ".join(f"regexp_extract(head, '(?m)^{n}:[ \\t]*(.*?)[ \\t]*$', 1) IN ('', 'null', '~')" for n in qa.FRONT)
+
+
+@query(
+    f"""WITH lost AS (SELECT doc_id, count(*) AS lost FROM ({_lost_sql("source", "judged")}) GROUP BY doc_id), it AS ({_items_sql("md", "judged")}),
+ p AS (SELECT DISTINCT doc_id, regexp_replace(item, '\\.\\d+$', '') AS parent, CAST(regexp_extract(item, '(\\d+)$', 1) AS INT) AS n FROM it), gaps AS (SELECT doc_id, sum(missing) AS gaps FROM (SELECT doc_id, parent, max(n) - min(n) + 1 - count(*) AS missing FROM p GROUP BY ALL HAVING count(*) >= 3) GROUP BY doc_id),
+ want AS ({_wanted_sql("source", "judged", (*_REMOVED, *_BLOCKED))}),
+ f AS (SELECT doc_id, regexp_extract_all(md, '{_FORMULA}', 2) AS t, regexp_extract_all(md, '{_FORMULA}', 1) AS i, regexp_extract(md, '(?s)^---\\n(.*?)---\\n', 1) AS head FROM judged),
+ h AS (SELECT doc_id, len(t) AS total, len(list_filter(i, lambda x: x <> '')) AS pictured, len(list_filter(t, lambda x: NOT contains(x, '=') OR trim(x) LIKE '%=')) AS wrong, [{_FRONT}] AS fronts, regexp_extract(head, '(?m)^codigo:[ \\t]*(.*?)[ \\t]*$', 1) IN ('', 'null', '~') AS uncurated FROM f),
+ j AS (SELECT judged.*, wanted, {_COVER} / CAST(greatest(1, wanted) AS DOUBLE) AS share, coalesce(lost, 0) AS lost, coalesce(gaps, 0) AS gaps, total, pictured, wrong, list_bool_or(fronts) AS no_front, uncurated, len(list_distinct(regexp_extract_all(md, '<!-- p\\.(\\d+) -->', 1))) AS anchors,
+   regexp_matches(md, 'Exclusive[^\\n]*') OR regexp_matches(md, 'fator +parcial') AS hit, contains(extras, 'F') AS want_tables, coalesce(TRY_CAST(nullif(tables, '') AS INT), 0) AS n_tables FROM judged JOIN want USING (doc_id) JOIN h USING (doc_id) LEFT JOIN lost USING (doc_id) LEFT JOIN gaps USING (doc_id)),
+ v AS (SELECT *, concat_ws(';', CASE WHEN wanted = 0 THEN 'no_source' END, CASE WHEN wanted > 0 AND share < 0.95e0 THEN 'coverage' END, CASE WHEN lost > 0 AND route IN ('A', 'B') THEN 'lost_items' END, CASE WHEN hit THEN 'blocked' END, CASE WHEN anchors = 0 THEN 'no_anchor' END, CASE WHEN no_front THEN 'front_matter' END,
+   CASE WHEN want_tables AND (table_state <> 'ok' OR n_tables = 0) THEN 'no_tables' END) AS rejects,
+   concat_ws(';', CASE WHEN lost > 0 AND route NOT IN ('A', 'B') THEN 'lost_items' END, CASE WHEN gaps BETWEEN 1 AND 50 THEN 'gaps' END, CASE WHEN gaps > 50 THEN 'fragmented' END, CASE WHEN pictured < total THEN 'unpictured' END, CASE WHEN total > 0 AND wrong / CAST(total AS DOUBLE) > 0.2e0 THEN 'scrambled' END,
+   CASE WHEN anchors > 0 AND anchors / CAST(pages AS DOUBLE) < 0.9e0 THEN 'anchors' END, CASE WHEN uncurated THEN 'uncurated' END, CASE WHEN route IN ('C', 'D', 'E') AND TRY_CAST(confidence AS DOUBLE) < 85 THEN 'confidence' END, CASE WHEN want_tables AND table_state = 'ok' AND n_tables > 0 AND n_low > 0 THEN 'low_tables' END,
+   CASE WHEN layout_tables > 0 AND table_state = 'ok' AND n_tables < layout_tables THEN 'fewer_tables' END, CASE WHEN status IN ('', 'nao_declarado') THEN 'no_status' END) AS reviews FROM j)
+ SELECT doc_id, rejects, reviews, CASE WHEN rejects <> '' THEN 'reprovado' WHEN reviews <> '' THEN 'revisar' ELSE 'aprovado' END AS verdict, CAST(least(lost, 20) AS INT) AS lost, round_even(CASE WHEN wanted > 0 THEN share ELSE 0e0 END, 3) AS coverage FROM v"""
+)
 def q_qa_verdict(spark, sf_dir):
-    """Lost items reject documents with native text and call for review in others."""
-    lost = q_lost_items(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n"))
-    rows = _md(spark, sf_dir).join(lost, "doc_id", "left")
-    c, native = F.coalesce("n", F.lit(0)) > 0, F.col("doc_id") % 2 == 0
-    anchors = F.size(F.array_distinct(F.regexp_extract_all("md", F.lit(tx.ANCHOR), F.lit(1)))) / F.col("pages")
-    rejects = F.array_compact(F.array(F.when(c & native, F.lit("lost_items")), F.when(F.contains("md", F.lit("Exclusive copy")), F.lit("blocked"))))
-    reviews = F.array_compact(F.array(F.when(c & ~native, F.lit("lost_items")), F.when(anchors < 0.9, F.lit("anchors"))))
-    return rows.select("doc_id", F.array_join(rejects, ";").alias("rejects"), F.array_join(reviews, ";").alias("reviews"), mf.verdict(rejects, reviews).alias("verdict"))
+    """All rules and limits of the verdict, each reason by name."""
+    rows = view(spark, sf_dir, "judged").withColumn("low_tables", F.when(F.col("n_low") > 0, F.array(F.lit("t"))).otherwise(F.array().cast("array<string>")))
+    v = qa.judge(rows, _REMOVED, _BLOCKED)
+    return v.select("doc_id", F.array_join("rejects", ";").alias("rejects"), F.array_join("reviews", ";").alias("reviews"), "verdict", F.size("lost").alias("lost"), "coverage")
 
 
-@query("SELECT doc_id, concat_ws(',', CASE WHEN lang = '' THEN 'idioma' END, CASE WHEN doc_id % 6 > 3 THEN 'status' END) AS missing, doc_id % 5 = 0 AS review FROM doc_id_row")
+@query(
+    "WITH t AS (SELECT doc_id, name, lang, source, string_split(name, '-') AS t FROM doc_id_row), p AS (SELECT *, t[1] AS issuer, CASE WHEN regexp_matches(t[2], '^(19|20)\\d{2}$') THEN '' ELSE regexp_replace(t[2], '^(.*?[A-Za-z]{2})(\\d)', '\\1 \\2') END AS code, CASE WHEN regexp_matches(t[2], '^(19|20)\\d{2}$') THEN t[2] ELSE t[3] END AS year,"
+    " CASE WHEN name LIKE '%-PT' OR name LIKE '%-EN' THEN 'traducao' WHEN name LIKE '%-PROJETO' THEN 'projeto' WHEN name LIKE '%-CANCELADA' THEN 'cancelada' ELSE 'nao_declarado' END AS status FROM t)"
+    " SELECT doc_id, concat('---', chr(10), 'emissor: ', issuer, chr(10), 'codigo: ', CASE WHEN code = '' THEN concat(chr(39), chr(39)) ELSE code END, chr(10), 'ano: ', year, chr(10), 'status: ', status, chr(10), 'titulo: ', lower(source), ' ', lang, chr(10), 'confianca_ocr: ', chr(39), 'n/a', chr(39), chr(10), '---', chr(10)) AS front, CASE WHEN code = '' THEN 'codigo,paginas' ELSE 'paginas' END AS missing FROM p"
+)
 def q_front_matter(spark, sf_dir):
-    _, code, _ = tx.id_parts(F.col("name"))
-    rows = view(spark, sf_dir, "doc_id_row")
-    missing = F.array_compact(F.array(F.when(F.col("lang") == "", F.lit("idioma")), F.when(tx.status(F.col("name")) == "", F.lit("status"))))
-    return rows.select("doc_id", F.array_join(missing, ",").alias("missing"), (code == "").alias("review"))
+    """A front matter built from an id, and what is missing in it."""
+    c = F.col
+    issuer, code, year = tx.id_parts(c("name"))
+    status = qa.decided(tx.status(c("name")), F.lit("nao_declarado"))
+    front = qa.front_matter({"emissor": issuer, "codigo": code, "ano": year, "status": status, "titulo": tx.title(c("name")), "confianca_ocr": F.lit("n/a")})
+    rows = view(spark, sf_dir, "doc_id_row").select("doc_id", front.alias("front"))
+    return rows.select("doc_id", "front", F.array_join(qa.front_missing(F.concat("front", F.lit("text")), ("emissor", "codigo", "ano", "paginas")), ",").alias("missing"))
 
 
-@query(f"WITH c AS (SELECT doc_id, count(*) AS n, sum(CASE WHEN NOT {_ANCHORED} AND ({_HIT}) THEN 1 ELSE 0 END) AS k, bool_or({_ANCHORED}) AS a FROM md_line GROUP BY doc_id) SELECT doc_id, CASE WHEN k = n OR NOT a THEN 'falhou' ELSE 'ok' END AS state, CAST(k AS DOUBLE) / n > 0.25e0 AS warned FROM c")
+@query(_CLEAN + f"SELECT doc_id, CASE WHEN sum(CASE WHEN NOT gone AND regexp_matches(line, '\\S') THEN 1 ELSE 0 END) = 0 OR NOT bool_or({_ANCHORED}) THEN 'falhou' ELSE 'ok' END AS state, sum(CASE WHEN gone THEN 1e0 ELSE 0e0 END) / count(*) > 0.25e0 AS warned FROM t GROUP BY doc_id")
 def q_clean_guard(spark, sf_dir):
-    r = q_clean_lines(spark, sf_dir)
-    a = _md(spark, sf_dir).select("doc_id", F.regexp_like("md", F.lit(tx.ANCHOR)).alias("a"))
-    return r.join(a, "doc_id").select("doc_id", F.when((F.col("removed") == F.col("lines")) | ~F.col("a"), "falhou").otherwise("ok").alias("state"), (F.col("removed") / F.col("lines") > 0.25).alias("warned"))
+    m = qa.cleaned(F.col("md"), _REMOVED)
+    rows = _md(spark, sf_dir).select("doc_id", *(v.alias(k) for k, v in m.items()))
+    state, warned = qa.clean_state(F.col("text"), F.col("lines"), F.col("removed"))
+    return rows.select("doc_id", state.alias("state"), warned.alias("warned"))
 
 
 @query("SELECT doc_id, CASE WHEN len(regexp_extract_all(md, '[\\p{L}\\p{N}_]')) / CAST(greatest(1, len(regexp_extract_all(src, '[\\p{L}\\p{N}_]'))) AS DOUBLE) < 0.5e0 THEN 'falhou' ELSE 'ok' END AS state, len(list_distinct(regexp_extract_all(md, '<!-- p\\.(\\d+) -->', 1))) < pages * 0.5e0 AS warned FROM md")
 def q_structure_guard(spark, sf_dir):
-    n = lambda c: F.regexp_count(c, F.lit(r"[\p{L}\p{N}_]"))
-    anchors = F.size(F.array_distinct(F.regexp_extract_all("md", F.lit(tx.ANCHOR), F.lit(1))))
-    return _md(spark, sf_dir).select("doc_id", F.when(n("md") / F.greatest(F.lit(1), n("src")) < 0.5, "falhou").otherwise("ok").alias("state"), (anchors < F.col("pages") * 0.5).alias("warned"))
+    state, warned = qa.structure_state(F.col("md"), F.col("src"), F.col("pages"))
+    return _md(spark, sf_dir).select("doc_id", state.alias("state"), warned.alias("warned"))
 
 
-@query(f"SELECT doc, CASE WHEN per_page < 50 THEN 'falhou' ELSE 'ok' END AS state, per_page < 100 OR doc % 3 = 0 AS warned, CAST(greatest(300, 30 * pages + 120) AS BIGINT) AS time_limit FROM ({_PAGES})")
+@query(f"SELECT doc, CASE WHEN per_page < 50 OR doc % 7 = 0 THEN 'falhou' ELSE 'ok' END AS state, per_page < 100 OR doc % 3 = 0 AS warned, CAST(greatest(300, 30 * pages + 120) AS BIGINT) AS time_limit FROM ({_PAGES})")
 def q_ocr_guard(spark, sf_dir):
-    p = _pages(spark, sf_dir)
-    return p.select("doc", F.when(F.col("per_page") < 50, "falhou").otherwise("ok").alias("state"), ((F.col("per_page") < 100) | (F.col("doc") % 3 == 0)).alias("warned"), F.greatest(F.lit(300).cast("long"), 30 * F.col("pages") + 120).alias("time_limit"))
+    """Pages, share of control characters and confidence decide; the last two are made from the id here."""
+    control, confidence = F.when(F.col("doc") % 7 == 0, 0.021).otherwise(0.02), F.when(F.col("doc") % 3 == 0, 84.9).when(F.col("doc") % 3 == 1, 85.0)
+    state, warned = qa.recognition_state(F.col("per_page"), control, confidence)
+    return _pages(spark, sf_dir).select("doc", state.alias("state"), warned.alias("warned"), qa.time_limit(F.col("pages")).alias("time_limit"))
 
 
-@query("SELECT l_orderkey AS doc, CAST(count(*) AS BIGINT) AS low FROM lineitem WHERE TRY_CAST(CAST(l_quantity * 2 AS VARCHAR) AS DOUBLE) < 20 GROUP BY l_orderkey")
+_INDEX = "SELECT l_orderkey AS doc, l_linenumber AS pos, concat('t', CAST(l_linenumber AS VARCHAR(9)), '.csv') AS arquivo, l_linenumber % 3 AS pagina, CASE WHEN l_linenumber % 4 = 0 THEN 'x' ELSE CAST(l_quantity * 2 AS VARCHAR(20)) END AS acuracia FROM lineitem"
+
+
+@query(f"SELECT doc, string_agg(concat(arquivo, ' (p.', pagina, ', ', acuracia, ')'), '|' ORDER BY pos, concat(arquivo, ' (p.', pagina, ', ', acuracia, ')')) AS low FROM ({_INDEX}) WHERE TRY_CAST(acuracia AS DOUBLE) < 80 GROUP BY doc")
 def q_table_lowacc(spark, sf_dir):
-    rows = frame(spark, sf_dir, "SELECT l_orderkey AS doc, CAST(l_quantity * 2 AS STRING) AS accuracy FROM lineitem")
-    return rows.where(F.expr("try_cast(accuracy AS DOUBLE) < 20")).groupBy("doc").agg(F.count("*").alias("low"))
+    """Indexes of tables written and read as files: those below the accuracy asked for, malformed rows left out."""
+    path = scratch(spark)
+    frame(spark, sf_dir, _INDEX).write.option("header", True).csv(path)
+    return qa.low_tables(files.table_index(spark, path)).select("doc", F.array_join("low_tables", "|").alias("low"))
 
 
 _LAYOUT = """concat('{"tables":[{"prov":[{"page_no":', CAST(1 + doc_id % 9 AS VARCHAR(9)), '},{"page_no":', CAST(1 + doc_id % 4 AS VARCHAR(9)), '}]},{"prov":[{"page_no":2}]}]}')"""
@@ -503,10 +594,8 @@ _LAYOUT = """concat('{"tables":[{"prov":[{"page_no":', CAST(1 + doc_id % 9 AS VA
 
 @query("WITH p AS (SELECT DISTINCT doc_id, unnest([1 + doc_id % 9, 1 + doc_id % 4, 2]) AS p FROM documents) SELECT doc_id, string_agg(CAST(p AS VARCHAR), ',' ORDER BY p) AS pages, 2 AS tables FROM p GROUP BY doc_id")
 def q_json_pages(spark, sf_dir):
-    rows = frame(spark, sf_dir, f"SELECT doc_id, {_LAYOUT} AS j FROM documents")
-    t = F.from_json("j", "tables array<struct<prov:array<struct<page_no:int>>>>")["tables"]
-    pages = F.array_sort(F.array_distinct(F.flatten(F.transform(t, lambda x: x["prov"]["page_no"]))))
-    return rows.select("doc_id", F.array_join(pages, ",").alias("pages"), F.size(t).alias("tables"))
+    rows = files.layout_pages(frame(spark, sf_dir, f"SELECT doc_id, {_LAYOUT} AS json FROM documents"))
+    return rows.select("doc_id", F.array_join("pages", ",").alias("pages"), "tables")
 
 
 # --- bank checks, cases, lookups -------------------------------------------------------------------
@@ -514,16 +603,13 @@ def q_json_pages(spark, sf_dir):
 
 @query("SELECT s_suppkey AS id, 'metadata_only' AS side FROM supplier WHERE s_suppkey % 14 = 0 AND s_suppkey % 15 <> 0 UNION ALL SELECT s_suppkey, 'curves_only' FROM supplier WHERE s_suppkey % 15 = 0 AND s_suppkey % 14 <> 0")
 def q_id_symdiff(spark, sf_dir):
-    """Ids on one side alone, by one full outer join."""
     s = frame(spark, sf_dir, "SELECT s_suppkey AS id FROM supplier")
-    meta, crv = s.where("id % 15 <> 0").withColumn("m", F.lit(1)), s.where("id % 14 <> 0").withColumn("c", F.lit(1))
-    both = meta.join(crv, "id", "full_outer")
-    return both.where("m is null or c is null").select("id", F.when(F.col("c").isNull(), "metadata_only").otherwise("curves_only").alias("side"))
+    return val.one_sided(s.where("id % 15 <> 0"), s.where("id % 14 <> 0"), "id", "metadata_only", "curves_only")
 
 
 @query("SELECT p_name AS key, CAST(count(*) AS BIGINT) AS n FROM part GROUP BY p_name HAVING count(*) > 1")
 def q_dup_keys(spark, sf_dir):
-    return frame(spark, sf_dir, "SELECT p_name FROM part").groupBy(F.col("p_name").alias("key")).agg(F.count("*").alias("n")).where("n > 1")
+    return val.repeated(frame(spark, sf_dir, "SELECT p_name FROM part"), "p_name")
 
 
 @query("SELECT s_suppkey AS id, trim(concat('  ', s_name, ' ')) AS name, TRY_CAST(CASE WHEN s_suppkey % 6 = 0 THEN 'n/a' ELSE CAST(s_nationkey AS VARCHAR) END AS DOUBLE) AS value FROM supplier")
@@ -532,35 +618,37 @@ def q_metadata_typed(spark, sf_dir):
     return s.select("id", F.regexp_replace("name", r"(?U)^\s+|\s+$", "").alias("name"), F.expr("try_cast(v AS DOUBLE)").alias("value"))
 
 
-_META = "SELECT unit_id, CASE WHEN unit_id % 31 = 0 THEN 3 ELSE poles END AS poles, CASE WHEN unit_id % 37 = 0 THEN 4000e0 ELSE base_speed END AS base_speed, CASE WHEN unit_id % 41 = 0 THEN 1.4e0 ELSE motor_eff END AS motor_eff, CASE WHEN unit_id % 43 = 0 THEN -1e0 ELSE motor_kw END AS motor_kw FROM unit"
+_META = "SELECT unit_id, CASE WHEN unit_id % 31 = 0 THEN 3 ELSE poles END AS poles, CASE WHEN unit_id % 47 = 0 THEN 0e0 ELSE base_freq END AS base_freq, CASE WHEN unit_id % 37 = 0 THEN 4000e0 ELSE base_speed END AS base_speed, CASE WHEN unit_id % 41 = 0 THEN 1.4e0 ELSE motor_eff END AS motor_eff, CASE WHEN unit_id % 43 = 0 THEN -1e0 WHEN unit_id % 44 = 0 THEN NULL ELSE motor_kw END AS motor_kw, CASE WHEN unit_id % 46 = 0 THEN 0e0 ELSE qbep END AS qbep, CASE WHEN unit_id % 48 = 0 THEN -1e0 ELSE npsh_bep END AS npsh_bep FROM unit"
 
 
-@query(f"SELECT unit_id, concat_ws(';', CASE WHEN poles <= 0 OR poles % 2 <> 0 THEN 'poles' END, CASE WHEN base_speed <= 0 OR base_speed >= 7200e0 / poles THEN 'speed' END, CASE WHEN motor_eff <= 0 OR motor_eff > 1 THEN 'efficiency' END, CASE WHEN motor_kw <= 0 THEN 'power' END) AS problems FROM ({_META})")
+@query(f"SELECT unit_id, concat_ws(';', CASE WHEN poles <= 0 OR poles % 2 <> 0 THEN 'poles' END, CASE WHEN base_freq <= 0 THEN 'frequency' END, CASE WHEN base_speed <= 0 OR base_speed >= 120e0 * base_freq / poles THEN 'speed' END, CASE WHEN motor_eff <= 0 OR motor_eff > 1 THEN 'efficiency' END, CASE WHEN motor_kw IS NULL OR motor_kw <= 0 THEN 'power' END, CASE WHEN qbep <= 0 THEN 'flow' END, CASE WHEN npsh_bep < 0 THEN 'npsh' END) AS problems FROM ({_META})")
 def q_metadata_lint(spark, sf_dir):
-    c = F.col
-    tests = {"poles": (c("poles") <= 0) | (c("poles") % 2 != 0), "speed": (c("base_speed") <= 0) | (c("base_speed") >= 7200.0 / c("poles")), "efficiency": (c("motor_eff") <= 0) | (c("motor_eff") > 1), "power": c("motor_kw") <= 0}
-    found = F.array_compact(F.array(*(F.when(t, F.lit(n)) for n, t in tests.items())))
-    return frame(spark, sf_dir, _META).select("unit_id", F.array_join(found, ";").alias("problems"))
+    return val.metadata(frame(spark, sf_dir, _META)).select("unit_id", F.array_join("problems", ";").alias("problems"))
 
 
-@query("SELECT unit_id, CAST(count(*) AS BIGINT) AS points, round(min(q), 6) AS q0, round(max(q), 6) AS q1, CAST(count(npsh) AS BIGINT) AS with_npsh FROM curve_pt GROUP BY unit_id")
+@query("SELECT CAST(unit_id AS VARCHAR) AS unit, CAST(count(*) AS BIGINT) AS points, round(min(q), 6) AS q0, round(max(q), 6) AS q1, CAST(count(npsh) AS BIGINT) AS with_npsh, round(sum(h), 4) AS h FROM curve_pt GROUP BY unit_id")
 def q_scan_curves(spark, sf_dir):
-    return view(spark, sf_dir, "curve_pt").groupBy("unit_id").agg(F.count("*").alias("points"), F.round(F.min("q"), 6).alias("q0"), F.round(F.max("q"), 6).alias("q1"), F.count("npsh").alias("with_npsh"))
+    """Curves written as delimited files, a folder a unit, and read again."""
+    path = scratch(spark)
+    named = view(spark, sf_dir, "curve_pt").select(F.col("unit_id").alias("unit"), F.col("q").alias("Q"), F.col("h").alias("H"), F.col("eta").alias("Eta1"), F.col("npsh").alias("NPSH"))
+    named.repartition(8, "unit").write.partitionBy("unit").option("header", True).csv(path)
+    rows = files.curves(spark, path).groupBy("unit").agg(F.count("*").alias("points"), F.round(F.min("q"), 6).alias("q0"), F.round(F.max("q"), 6).alias("q1"), F.count("npsh").alias("with_npsh"), F.round(F.sum("h"), 4).alias("h"))
+    return rows
 
 
-_CASES = "SELECT p_partkey AS case_id, p_name AS name, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) END AS temperature, CASE p_partkey % 3 WHEN 0 THEN 'Manual' WHEN 1 THEN 'ABACUS' ELSE ' optimize' END AS mode, concat(' A', CAST(p_partkey % 7 AS VARCHAR(9)), ' ;; B', CAST(p_partkey % 5 AS VARCHAR(9)), ';') AS ids FROM part"
+_CASES = "SELECT p_partkey AS case_id, p_name AS name, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) END AS temperature, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE 0.5e0 END AS suction_loss, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE 0.3e0 END AS vapor_head, CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE 2e0 END AS top_n, CASE p_partkey % 4 WHEN 0 THEN 'Manual' WHEN 1 THEN 'ABACUS' WHEN 2 THEN 'best' ELSE ' optimize' END AS mode, concat(' A', CAST(p_partkey % 7 AS VARCHAR(9)), ' ;; B', CAST(p_partkey % 5 AS VARCHAR(9)), ';') AS ids FROM part"
 
 
-@query(f"SELECT case_id, coalesce(temperature, 20e0) AS temperature, lower(trim(mode)) AS mode, concat('A', case_id % 7, '|B', case_id % 5) AS ids FROM ({_CASES})")
+@query(f"SELECT case_id, coalesce(temperature, 20e0) AS temperature, coalesce(suction_loss, 0e0) AS suction_loss, coalesce(vapor_head, 0.26e0) AS vapor_head, CAST(coalesce(top_n, 3) AS INT) AS top_n, lower(trim(mode)) AS mode, concat('A', case_id % 7, '|B', case_id % 5) AS ids, CASE WHEN case_id % 4 = 2 THEN 'mode' ELSE '' END AS problem FROM ({_CASES})")
 def q_case_parse(spark, sf_dir):
-    ids = F.filter(F.transform(F.split("ids", ";"), lambda x: F.trim(x)), lambda x: x != "")
-    return frame(spark, sf_dir, _CASES).select("case_id", F.coalesce("temperature", F.lit(20.0)).alias("temperature"), F.lower(F.trim("mode")).alias("mode"), F.array_join(ids, "|").alias("ids"))
+    rows = val.cases(frame(spark, sf_dir, _CASES))
+    return rows.select("case_id", "temperature", "suction_loss", "vapor_head", F.col("top_n").cast("int").alias("top_n"), "mode", F.array_join("ids", "|").alias("ids"), F.coalesce("problem", F.lit("")).alias("problem"))
 
 
-@query(f"SELECT case_id, name FROM ({_CASES}) WHERE case_id = 7")
+@query(f"SELECT case_id, name FROM (SELECT *, row_number() OVER (ORDER BY case_id) AS n FROM ({_CASES})) WHERE n = 7")
 def q_pick_cases(spark, sf_dir):
-    """The case at a place of its sheet, which carries its row's number."""
-    return frame(spark, sf_dir, _CASES).where("case_id = 7").select("case_id", "name")
+    """The seventh case of its sheet."""
+    return val.pick_cases(frame(spark, sf_dir, _CASES), 7, "case_id").select("case_id", "name")
 
 
 @query("SELECT unit_id FROM unit WHERE unit_id IN (SELECT l_suppkey FROM lineitem WHERE l_quantity >= 50)")
@@ -575,7 +663,13 @@ def q_page_lookup(spark, sf_dir):
     return e.join(p, ["doc", "page"]).select("event_id", "doc", "page", F.length("text").alias("chars"))
 
 
-@query(None)
+@query(
+    "WITH RECURSIVE ev AS (SELECT user_id AS session, event_id AS seq, event_type AS kind, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id, event_type) AS n FROM events),"
+    " st AS (SELECT DISTINCT session, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS done, CAST([] AS BIGINT[]) AS undone, false AS locked FROM ev UNION ALL"
+    " SELECT e.session, e.n, CASE WHEN locked THEN done WHEN kind = 'click' THEN list_append(done, seq) WHEN kind = 'view' AND len(done) > 0 THEN done[1:len(done) - 1] WHEN kind = 'purchase' AND len(undone) > 0 THEN list_append(done, undone[len(undone)]) WHEN kind = 'error' THEN CAST([] AS BIGINT[]) ELSE done END,"
+    " CASE WHEN locked THEN undone WHEN kind IN ('click', 'error') THEN CAST([] AS BIGINT[]) WHEN kind = 'view' AND len(done) > 0 THEN list_append(undone, done[len(done)]) WHEN kind = 'purchase' AND len(undone) > 0 THEN undone[1:len(undone) - 1] ELSE undone END, locked OR kind = 'signup' FROM st JOIN ev e ON e.session = st.session AND e.n = st.n + 1),"
+    " z AS (SELECT session, arg_max(done, n) AS done, arg_max(undone, n) AS undone, arg_max(locked, n) AS locked FROM st GROUP BY session) SELECT session, CAST(len(done) AS INT) AS points, CAST(len(undone) AS INT) AS undone, locked, CASE WHEN len(done) > 0 THEN done[len(done)] ELSE -1 END AS last FROM z"
+)
 def q_capture_fold(spark, sf_dir):
     """Each user's points after all clicks, undos, redos and discards in order of time."""
     return capture.fold(frame(spark, sf_dir, "SELECT user_id AS session, event_id AS seq, ts AS at, event_type AS kind FROM events"))

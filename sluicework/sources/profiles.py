@@ -24,9 +24,15 @@ def table(rows: DataFrame, keys: Sequence[str], name: str, value: str, headers:
 
 
 def number(c: Column, decimal: str = ".") -> Column:
-    """A number in plain notation, without the exponents that doubles get when cast; null and NaN are empty."""
-    plain = F.regexp_replace(F.format_string("%.10f", c.cast("double")), r"(\.\d*?[1-9])0+$|\.0+$", "$1")
-    return F.when(c.isNull() | F.isnan(c.cast("double")), "").otherwise(F.replace(plain, F.lit("."), F.lit(decimal)))
+    """A number with all its digits as most languages print it: plain from 1e-4 to below 1e16, with a two-digit exponent beyond; null and NaN are empty."""
+    x = c.cast("double")
+    s = x.cast("string")
+    mantissa, power = F.regexp_replace(F.regexp_extract(s, r"^(-?[\d.]+)E(-?\d+)$", 1), r"\.0$", ""), F.regexp_extract(s, r"^(-?[\d.]+)E(-?\d+)$", 2).try_cast("int")
+    plain = F.regexp_replace(F.regexp_replace(s.try_cast("decimal(38,20)").cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", ".0")
+    exponent = F.concat(F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
+    long_exponent = F.concat(F.when(power < 0, "-").otherwise("+"), F.abs(power).cast("string"))
+    shown = F.when(power.isNull(), s).when((power >= -4) & (power < 16), plain).otherwise(F.concat(mantissa, F.lit("e"), F.when(F.abs(power) < 10, exponent).otherwise(long_exponent)))
+    return F.when(x.isNull() | F.isnan(x), "").otherwise(F.replace(shown, F.lit("."), F.lit(decimal)))
 
 
 def lines(df: DataFrame, p: Profile) -> DataFrame:

@@ -23,7 +23,9 @@ def test_bank(spark):
 
 def test_optimize(evaluated):
     one = evaluated.where("req_id = 1")
-    assert one.count() == 17 and one.where("feasible").count() == 11
+    assert one.count() == 21 and one.where("feasible").count() == 11
+    failed = one.where("failure is not null").collect()  # they stay, with an infinite score and that as their only reason
+    assert len(failed) == 4 and all(r.score == float("inf") and r.reasons == [r.failure] and not r.feasible and r.power is None for r in failed)
     best = sel.optimize(one).orderBy("rank").collect()
     assert [r.unit_id for r in best] == ["FX-003", "HV-003", "HV-004"]
     assert [r.score for r in best] == pytest.approx([4.834609, 4.956615, 5.103029], abs=2e-6)
@@ -39,6 +41,13 @@ def test_manual_keeps_order_and_warns(spark, evaluated):
     assert rows[0].warnings == ["npsh_not_verified"] and rows[0].npsh_status == "not_available"
 
 
+def test_manual_keeps_what_has_no_operating_point(spark, evaluated):
+    failed = evaluated.where("req_id = 1 and failure is not null").orderBy("unit_id").first().unit_id
+    wanted = spark.createDataFrame([(1, failed, 1), (1, "FX-003", 2)], "req_id int, unit_id string, pos int")
+    rows = sel.manual(evaluated, wanted).orderBy("rank").collect()
+    assert [(r.unit_id, r.feasible) for r in rows] == [(failed, False), ("FX-003", True)]
+
+
 def test_abacus_picks_one_a_maker(spark, evaluated):
     req = spark.createDataFrame([(2, 20.0, 22.0)], "req_id int, qref double, href double")
     u = bank.units(spark)

@@ -38,6 +38,8 @@ def test_curve_files(spark, tmp_path):
 def test_rename_map(spark, tmp_path):
     (tmp_path / "m.csv").write_text("﻿De;Para\na.pdf;B.pdf\n;\n")
     assert [(r.source, r.target) for r in files.rename_map(spark, str(tmp_path / "m.csv")).collect()] == [("a.pdf", "B.pdf")]
+    (tmp_path / "o.csv").write_text("Nome Atual\tnovo\tpasta_destino\nb\tB\tx/\na\tA\t\n")
+    assert [(r.source, r.target) for r in files.rename_map(spark, str(tmp_path / "o.csv")).orderBy("pos").collect()] == [("b", "x/B"), ("a", "A")]
     (tmp_path / "n.csv").write_text("from,to\n../a,b\n")
     with pytest.raises(ValueError, match="unsafe"):
         files.rename_map(spark, str(tmp_path / "n.csv"))
@@ -57,8 +59,8 @@ def test_profiles_inherit():
 
 
 def test_profile_numbers(spark):
-    got = spark.createDataFrame([(1.0,), (0.5,), (1e8,), (float("nan"),), (None,), (-2.25,)], "x double").select(profiles.number(F.col("x"), ",").alias("v")).collect()
-    assert [r.v for r in got] == ["1", "0,5", "100000000", "", "", "-2,25"]
+    got = spark.createDataFrame([(1.0,), (0.5,), (1e8,), (float("nan"),), (None,), (-2.25,), (1e-11,), (1.5e-4,), (1.25e17,), (123456789.125,)], "x double").select(profiles.number(F.col("x"), ",").alias("v")).collect()
+    assert [r.v for r in got] == ["1,0", "0,5", "100000000,0", "", "", "-2,25", "1e-11", "0,00015", "1,25e+17", "123456789,125"]
 
 
 def test_inventory_stream(spark, tmp_path):
