@@ -156,6 +156,30 @@ def grid(bounds: DataFrame, keys: Sequence[str], low: str, high: str, count: int
     return bounds.select(*keys, F.col(low).alias("_low"), step.alias("_step"), F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("i")).select(*keys, "i", (F.col("_low") + F.col("i") * F.col("_step")).alias(x))
 
 
+def common_table(points: DataFrame, main: str, names: Sequence[str], count: int | None = None, x: str = "x", y: str = "y") -> DataFrame:
+    """(x, one column for each name): every curve at the main curve's x, or at so many evenly spaced over its domain; null where a curve does not reach. points: curve, x, y.
+
+    The columns are named beforehand, so that no scan looks for them. The grid is one curve's, and copied to the others by name.
+    """
+    if main not in names:
+        raise ValueError(f"no main curve {main!r}")
+    if count is not None and count < 2:
+        raise ValueError("a grid has two points or more")
+    own = points.where(F.col("curve") == main)
+    at = own.select(F.col(x).alias("x")) if count is None else grid(own.agg(F.min(x).alias("lo"), F.max(x).alias("hi")), [], "lo", "hi", count, "x").select("x")
+    asked = at.select(F.explode(F.array(*map(F.lit, names))).alias("curve"), "x")
+    rows = interpolate(points.select("curve", F.col(x).alias("x"), F.col(y).alias("y")), asked, ["curve"], "x", ["y"])
+    return rows.groupBy("x").agg(*(F.max(F.when(F.col("curve") == n, F.col("y"))).alias(n) for n in names))
+
+
+def incomplete(table: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(rows, columns): how many rows of a common table lack a value, and which columns do."""
+    lacks = {n: F.col(f"`{n}`").isNull() for n in names}
+    some = F.array_contains(F.array(*lacks.values()), True)
+    made = table.agg(F.count_if(some).alias("rows"), *(F.bool_or(v).alias(f"_{i}") for i, v in enumerate(lacks.values())))
+    return made.select("rows", F.array_compact(F.array(*(F.when(F.col(f"_{i}"), F.lit(n)) for i, n in enumerate(lacks)))).alias("columns"))
+
+
 def monotone(points: DataFrame, keys: Sequence[str], order: str, x: str) -> DataFrame:
     """Per series: points, direction (1, -1, or 0 if not strict), and the first offending point, from 1."""
     w = Window.partitionBy(*keys).orderBy(order)

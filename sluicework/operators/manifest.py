@@ -81,3 +81,47 @@ def rename_plan(pairs: DataFrame, files: DataFrame) -> DataFrame:
 def verdict(rejects: Column, reviews: Column) -> Column:
     """Of two arrays of reasons."""
     return F.when(F.size(rejects) > 0, "reprovado").when(F.size(reviews) > 0, "revisar").otherwise("aprovado")
+
+
+def needs_triage(route: Column, found: Column, current: int, integrity: Column, verifier: bool, forced: bool = False) -> Column:
+    """Whether a document is diagnosed (again): forced, of another version, without a route, or never verified though a verifier is there."""
+    unverified = F.coalesce(integrity, F.lit("")).isin("", "nao_verificado")
+    return F.lit(forced) | ~F.coalesce(found == current, F.lit(False)) | F.coalesce(route, F.lit("")).isin("", "ERRO") | (F.lit(verifier) & unverified)
+
+
+def in_order(rows: DataFrame, file: str = "arquivo_origem") -> DataFrame:
+    """Rows by file whatever its case, then id: the order in which a manifest is written."""
+    return rows.orderBy(F.lower(file), "id")
+
+
+#: Endings of downloads that were broken off (fixed values).
+PARTIAL = (".crdownload", ".part", ".partial", ".download", ".tmp")
+
+
+def set_aside(files: DataFrame, endings: tuple[str, ...] = PARTIAL) -> DataFrame:
+    """(path, target): broken downloads and where they are put."""
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    return files.where(F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(*endings)).select("path", F.concat(F.lit("_descartar/"), name).alias("target"))
+
+
+def renamed(plan: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """The plan after its moves: what was ready is done, or failed with a reason. plan: pos, source, target, status; failed: source, reason."""
+    rows = plan.join(failed, "source", "left") if failed is not None else plan.withColumn("reason", F.lit(None).cast("string"))
+    done = F.when(F.col("reason").isNotNull(), F.concat(F.lit("FALHOU: "), "reason")).otherwise("RENOMEADO")
+    return rows.withColumn("status", F.when(F.col("status") == "PRONTO", done).otherwise(F.col("status"))).drop("reason")
+
+
+def follow(rows: DataFrame, moves: DataFrame) -> DataFrame:
+    """A manifest after renames: a moved document's row takes the new id, file and hash, ages all its stages and says so; a row that had the new id goes.
+
+    rows: id, file, sha, note and st_ columns; moves: old_id, new_id, source, target, sha, of documents that were moved.
+    """
+    moved = moves.where("old_id != new_id").select("old_id", "new_id", F.regexp_extract("source", r"([^/]+)$", 1).alias("_name"), F.col("target").alias("_file"), F.col("sha").alias("_sha"))
+    found = rows.join(moved, rows["id"] == moved["old_id"], "left")
+    there = found.where("old_id is not null").select(F.col("new_id").alias("id")).distinct()
+    kept = found.where("old_id is null").join(there, "id", "left_anti")
+    hit = F.col("old_id").isNotNull()
+    note = F.when(hit, upsert_note(F.col("note"), "renomear", F.concat(F.lit("renomeado de "), "_name"))).otherwise(F.col("note"))
+    both = kept.unionByName(found.where("old_id is not null"))
+    states = {c: F.when(hit, F.lit("pendente")).otherwise(F.col(c)) for c in rows.columns if c.startswith("st_")}
+    return both.select(*(v.alias(k) for k, v in {**{c: F.col(c) for c in rows.columns}, "id": F.coalesce("new_id", "id"), "file": F.coalesce("_file", "file"), "sha": F.coalesce(F.nullif(F.col("_sha"), F.lit("")), "sha"), "note": note, **states}.items()))

@@ -190,8 +190,13 @@ def time_limit(pages: Column) -> Column:
 
 
 def integrity(code: Column, said: Column) -> Column:
-    """What a verifier's exit code and message say of a file."""
-    return F.when(code.isNull(), "unverified").when(F.regexp_like(said, F.lit("(?i)password|encrypted")), "protected").when(code == 0, "ok").when(code == 3, "warned").otherwise("damaged")
+    """What a verifier found: `ok`, `avisos: ...`, `erro: ...` with its first message (120 characters) and how many more warnings there were, or `nao_verificado`."""
+    told = F.transform(F.filter(lines_of(F.coalesce(said, F.lit(""))), lambda x: F.regexp_like(x, F.lit("(?i)error|warning"))), strip)
+    more = F.size(F.filter(told, lambda x: F.regexp_like(x, F.lit("(?i)warning")))) - 1
+    message = F.concat(F.coalesce(F.get(told, F.lit(0)), F.lit("")), F.when(more > 0, F.concat(F.lit(" (+"), more.cast("string"), F.lit(" avisos)"))).otherwise(""))
+    shown_ = F.left(message, F.lit(120))
+    wrong = F.when(shown_ != "", shown_).otherwise(F.concat(F.lit("rc="), code.cast("string")))
+    return F.when(code.isNull(), "nao_verificado").when(code == 0, "ok").when(code == 3, F.concat(F.lit("avisos: "), shown_)).otherwise(F.concat(F.lit("erro: "), wrong))
 
 
 # --- items ------------------------------------------------------------------------------------------

@@ -33,6 +33,22 @@ def subset(rows: DataFrame, of: DataFrame, key: str) -> DataFrame:
     return rows.select(key).distinct().join(of.select(key).distinct(), key, "left_anti")
 
 
+def first_of(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """(key, value): of each key the value that comes first."""
+    return rows.groupBy(key).agg(F.min_by(value, order).alias(value))
+
+
+def distinct_in_order(items: Column) -> Column:
+    """An array's values, each where it stands first."""
+    return F.array_distinct(items)
+
+
+def shared(a: Column, b: Column) -> Column:
+    """What two arrays have in common whatever the case, in order of letters."""
+    low = lambda c: F.transform(c, lambda x: F.lower(x))
+    return F.array_sort(F.array_intersect(low(a), low(b)))
+
+
 def metadata(units: DataFrame) -> DataFrame:
     """(unit_id, problems): domains of a unit's data. A number that must be there and is null or not finite is a fault; what may be absent is not."""
     c = F.col

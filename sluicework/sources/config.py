@@ -107,3 +107,40 @@ def safe_output(source: str, output: str) -> None:
     a, b = PurePosixPath(source), PurePosixPath(output)
     if a == b or a in b.parents:
         raise ValueError(f"{output} lies in {source}")
+
+
+#: Keys of a configuration with their defaults, by table (fixed values), and the devices that may be named.
+DEFAULTS = {"paths": {"input": None, "output": None, "overrides": None}, "run": {"profile": "standard", "jobs": 0, "timeout": 300, "extensions": [".pdf"], "device": "auto"}, "limits": {"disk_gb": 5.0, "accuracy": 80.0}, "tools": {}}
+DEVICES = ("auto", "cpu", "cuda")
+
+
+def layered(text: str | None, folder: str = "", options: dict[str, dict] | None = None, required: bool = True, nearby: tuple[tuple[str, ...], ...] = ()) -> dict:
+    """Defaults, a file's values over them and options over those. Paths of the file are relative to its folder.
+
+    nearby: names in the input folder and beside it, in that order, among which an overrides file is found if none is named; several in one folder are an error.
+    """
+    found = merge(DEFAULTS, tomllib.loads(text) if text else {})
+    for k, v in found["paths"].items():
+        if v:
+            found["paths"][k] = str(PurePosixPath(folder) / v)
+    found = merge(found, {t: {k: v for k, v in o.items() if v is not None} for t, o in (options or {}).items()})
+    run = found["run"]
+    run["extensions"] = [e.lower() for e in run["extensions"]]
+    run["device"] = str(run["device"]).lower()
+    if run["device"] not in DEVICES:
+        raise ValueError(f"device {run['device']!r} is not one of {', '.join(DEVICES)}")
+    paths = found["paths"]
+    if required:
+        for k in ("input", "output"):
+            if not paths[k]:
+                raise ValueError(f"no {k} folder")
+        safe_output(paths["input"], paths["output"])
+    if not paths["overrides"]:
+        for names in nearby:
+            held = sorted(n for n in names if re.fullmatch(r"(.*/)?overrides[^/]*\.toml", n))
+            if len(held) > 1:
+                raise ValueError(f"several overrides: {', '.join(held)}")
+            if held:
+                paths["overrides"] = held[0]
+                break
+    return found

@@ -107,6 +107,42 @@ def read_sheet(spark: SparkSession, path: str, sheet: str, required: list[str])
     return rows
 
 
+#: Sheets of a bank, the columns that its units, curves and a sheet of cases must have, and those that cases may have (fixed values).
+BANK = ("Metadata", "Curves")
+UNIT_COLUMNS = ["ID", "manufacturer", "model", "poles", "baseSpeedRPM", "baseFreq", "motorEfficiency", "motorPowerKW", "minSubmergenceMM", "impellerAxisMM", "voltageV", "massKG", "Qbep", "Hbep", "Eta1bep", "NPSHbep"]
+CURVE_COLUMNS = ["ID", "Q", "H", "Eta1", "NPSH"]
+CASE_COLUMNS = {"Name": "name", "Q_Lps": "flow", "StaticHeadMin_m": "static_min", "StaticHeadMax_m": "static_max", "HeadMin_m": "head_min", "HeadMax_m": "head_max", "Altitude_m": "altitude", "Mode": "mode"}
+CASE_MORE = {"Temperature_C": "temperature", "SuctionLoss_m": "suction_loss", "VaporHead_m": "vapor_head", "ManualIDs": "ids"}
+
+
+def read_bank(spark: SparkSession, path: str, unit_columns: list[str] | None = None) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
+    """(units, curves, abacus grids by maker) of a bank's workbook: both sheets must be there; sheets `Abacus_<maker>` are grids.
+
+    Units are texts by column and `_line`; curves are (unit_id, i, q, h, eta, npsh), numbers that are none being null.
+    """
+    names = [r.sheet for r in read_cells(spark, path).select("sheet").distinct().collect()]  # a workbook's sheets
+    missing = sorted(set(BANK) - set(names))
+    if missing:
+        raise ValueError("missing sheets: " + ", ".join(missing))
+    units = read_sheet(spark, path, BANK[0], unit_columns or UNIT_COLUMNS)
+    rows = read_sheet(spark, path, BANK[1], CURVE_COLUMNS)
+    number = lambda c: F.expr(f"try_cast(`{c}` AS DOUBLE)")
+    curves = rows.select(F.trim("ID").alias("unit_id"), F.col("_line").alias("i"), number("Q").alias("q"), number("H").alias("h"), number("Eta1").alias("eta"), number("NPSH").alias("npsh"))
+    return units, curves, {n.removeprefix("Abacus_"): melt_grid(spark, path, n) for n in sorted(names) if n.startswith("Abacus_")}
+
+
+def read_cases(spark: SparkSession, path: str, sheet: str = "Cases") -> DataFrame:
+    """A sheet of cases in order of `line`: numbers, modes and lists of ids read, what is empty or has no column by default."""
+    from ..operators import validation
+
+    head = read_cells(spark, path).where((F.col("sheet") == sheet) & (F.col("row") == 1)).select(F.trim("value").alias("name")).collect()
+    more = {k: v for k, v in CASE_MORE.items() if k in {r.name for r in head}}
+    rows = read_sheet(spark, path, sheet, [*CASE_COLUMNS, *more]).withColumnsRenamed({**CASE_COLUMNS, **more, "_line": "line"})
+    numbers = [v for v in CASE_COLUMNS.values() if v not in ("name", "mode")]
+    rows = rows.withColumns({v: F.expr(f"try_cast(`{v}` AS DOUBLE)") for v in numbers} | {v: F.lit(None).cast("string") for k, v in CASE_MORE.items() if k not in more})
+    return validation.cases(rows)
+
+
 def sheet_names(wanted: list[str], reserved: tuple[str, ...] = ("history",)) -> list[str]:
     """Legal names of at most 31 characters, unique whatever the case."""
     used = {r.lower() for r in reserved}

@@ -256,8 +256,3 @@ def test_cases(spark):
     listed = spark.createDataFrame([(1, "u"), (1, "u"), (2, "u")], "req_id int, unit_id string")
     asked = spark.createDataFrame([(1,), (2,), (3,)], "req_id int")
     assert {tuple(r) for r in val.manual_lists(asked, listed).collect()} == {(1, "duplicate"), (3, "empty")}
-
-
-def test_integrity(spark):
-    for code, said, want in ((0, "fine", "ok"), (3, "operation succeeded with warnings", "warned"), (2, "invalid password", "protected"), (2, "damaged", "damaged"), (None, None, "unverified")):
-        assert one(spark, qa.integrity(F.lit(code).cast("int"), F.lit(said).cast("string"))) == want
