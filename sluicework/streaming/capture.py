@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -57,3 +58,75 @@ def stream(events: DataFrame) -> DataFrame:
         yield pd.DataFrame({"session": [key[0]], "points": [len(done)], "undone": [len(undone)], "locked": [locked], "last": [done[-1] if done else -1]})
 
     return events.groupBy("session").applyInPandasWithState(update, "session long, points int, undone int, locked boolean, last long", "done array<long>, undone array<long>, locked boolean", "update", GroupStateTimeout.NoTimeout)
+
+
+# --- calibration and capture ------------------------------------------------------------------------
+
+#: What a session's events do. An axis event sets x, y and one or two values; others use x and y or nothing.
+KINDS = ("start", "duplicate", "free", "axis", "advance", "point", "undo", "redo", "discard")
+
+
+@dataclass
+class Flow:
+    """A capture from its start to the locked curve: stages 1 to 3 calibrate the axes by a point each, stage 4 takes points; a duplicate begins there.
+
+    In stage 2 the point keeps the first one's Y value and in stage 3 its X value, unless the session is free.
+    """
+
+    stage: int = 0
+    free: bool = False
+    pending: tuple | None = None
+    axes: list[tuple] = field(default_factory=list)
+    points: list[tuple] = field(default_factory=list)
+    undone: list[tuple] = field(default_factory=list)
+    locked: list[tuple] = field(default_factory=list)
+    errors: list[str] = field(default_factory=list)
+
+    def take(self, kind: str, x: float | None = None, y: float | None = None, a: float | None = None, b: float | None = None) -> None:
+        if kind in ("start", "duplicate", "free"):
+            axes = self.axes if kind == "duplicate" else []
+            self.stage, self.free, self.pending = 4 if kind == "duplicate" else 1, kind == "free", None
+            self.axes, self.points, self.undone = list(axes), [], []
+        elif kind == "discard":
+            self.stage, self.pending, self.points, self.undone = 0, None, [], []
+        elif kind == "axis" and 1 <= self.stage <= 3:
+            first = self.axes[0] if self.axes else None
+            values = (a, b) if self.free or self.stage == 1 or first is None else (a, first[3]) if self.stage == 2 else (first[2], a)
+            self.pending = (x, y, *values)
+        elif kind == "advance" and 1 <= self.stage <= 3:
+            self._calibrate()
+        elif kind == "advance" and self.stage == 4:
+            self.locked.append((list(self.axes), list(self.points)))
+            self.stage, self.points, self.undone = 0, [], []
+        elif kind == "point" and self.stage == 4:
+            self.points.append((x, y))
+            self.undone.clear()
+        elif kind == "undo" and self.stage == 4 and self.points:
+            self.undone.append(self.points.pop())
+        elif kind == "redo" and self.stage == 4 and self.undone:
+            self.points.append(self.undone.pop())
+
+    def _calibrate(self) -> None:
+        if self.pending is None:
+            self.errors.append("no point")
+            return
+        axes = [*self.axes, self.pending]
+        if len(axes) == 3:
+            (p0, q0, *_), (p1, q1, *_), (p2, q2, *_) = axes
+            if abs((p1 - p0) * (q2 - q0) - (p2 - p0) * (q1 - q0)) < 1e-12:
+                self.errors.append("degenerate")
+                return
+        self.axes, self.pending = axes, None
+        self.stage += 1
+
+
+def sessions(events: DataFrame) -> DataFrame:
+    """(session, stage, axes, points, locked, errors) after each session's events in order: how many of each there are. events: session, seq, kind, x, y, a, b; a session's events fit a task."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        flow = Flow()
+        for r in rows.sort_values("seq").itertuples():
+            flow.take(r.kind, r.x, r.y, r.a, r.b)
+        return pd.DataFrame({"session": [rows["session"].iloc[0]], "stage": [flow.stage], "axes": [len(flow.axes)], "points": [len(flow.points)], "locked": [len(flow.locked)], "errors": [",".join(flow.errors)]})
+
+    return events.groupBy("session").applyInPandas(run, "session long, stage int, axes int, points int, locked int, errors string")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sluicework.operators import curves, manifest as mf, quality as qa, validation as val
 from sluicework.sources import config, profiles, reports, sinks, xlsx
-from sluicework.streaming import inventory
+from sluicework.streaming import capture, inventory
 
 
 def one(spark, column):
@@ -167,3 +167,23 @@ def test_snapshot_parts(spark, tmp_path):
     got = {r.id: (r.sha, r.status) for r in inventory.latest(spark, out).collect()}
     assert len(got) == 21 and got["3"] == ("2", "changed") and got["x"] == ("1", "new") and got["4"] == ("1", "new")
     assert len(list((tmp_path / "out" / "rows" / "1").glob("part=*"))) <= 2  # only what the second batch touched
+
+
+def test_capture_stages(spark):
+    f = capture.Flow()
+    for e in [("start",), ("advance",), ("axis", 0, 0, 1.0, 2.0), ("advance",), ("axis", 10, 0, 5.0), ("advance",), ("axis", 20, 0, 9.0), ("advance",), ("axis", 0, 10, 7.0), ("advance",), ("point", 1, 1), ("point", 2, 2), ("undo",), ("redo",), ("undo",), ("point", 3, 3), ("redo",), ("advance",), ("point", 9, 9)]:
+        f.take(*e)
+    assert f.errors == ["no point", "degenerate"] and f.stage == 0 and f.points == []
+    assert f.locked == [([(0, 0, 1.0, 2.0), (10, 0, 5.0, 2.0), (0, 10, 1.0, 7.0)], [(1, 1), (3, 3)])]
+    f.take("duplicate")
+    assert f.stage == 4 and len(f.axes) == 3
+    f.take("discard")
+    assert f.stage == 0
+    f.take("free")
+    f.take("axis", 0, 0, 1.0, 2.0)
+    f.take("advance")
+    f.take("axis", 5, 5, 8.0, 9.0)
+    assert f.pending == (5, 5, 8.0, 9.0)
+    rows = [(1, i, *e, *[None] * (5 - len(e))) for i, e in enumerate([("start",), ("axis", 0.0, 0.0, 1.0, 2.0), ("advance",)])] + [(2, 0, "discard", None, None, None, None)]
+    df = spark.createDataFrame(rows, "session long, seq int, kind string, x double, y double, a double, b double")
+    assert sorted(tuple(r) for r in capture.sessions(df).collect()) == [(1, 2, 1, 0, 0, ""), (2, 0, 0, 0, 0, "")]
