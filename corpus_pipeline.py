@@ -1,7 +1,9 @@
 """A training corpus from raw documents: five stages, each by one operator of the llm package.
 
 Each stage takes all documents that the one before kept. All but the last
-return the columns of `documents`; the last gives each piece's place in a sequence.
+return the columns of `documents`; the last gives each piece's place in a sequence. Stages read only the columns of
+`documents`, so that others, whatever their names, do no harm; an empty table passes through all of them. What each makes of nulls,
+empty and very long texts, ties and repeated rows is said with it; whole texts are read however long they are.
 """
 
 from __future__ import annotations
@@ -18,7 +20,11 @@ SHINGLE, PERCENT = 5, 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language, however short; profiles are learned from those that name theirs. A text without letters has none."""
+    """Documents in a known language, however short; profiles are learned from those that name theirs.
+
+    A text that is null, empty or without letters has no language and goes. Of equally near languages the first by name is taken; repeated rows and
+    rows without an id are told like others. Where no document names a language, none is known and all go.
+    """
     profiles = language_profiles.fit(docs)
     told = language_profiles.identify(docs, profiles, carry=COLUMNS)
     return told.where(F.col("lang_pred") != language_profiles.UNKNOWN).select("carried.*")
@@ -38,7 +44,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated passages; one that is nothing else goes."""
+    """Documents without repeated passages; one that is nothing else goes.
+
+    Texts that lose nothing stay as they are, null and empty ones too. Each row is a document of its own: what two rows share goes from both,
+    whatever their ids, so that rows which are the same throughout go (near_dedup leaves one of them).
+    """
     made = fm_dedup.remove_repeats(docs, carry=COLUMNS)
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("carried.text"))
     left = made.where("n_removed = 0 or n_removed < n_words")
@@ -46,7 +56,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with their secrets replaced by a mark."""
+    """All documents, with their secrets replaced by a mark; overlapping ones by one. Null texts stay null, empty ones empty, repeated rows are marked each."""
     letters = secret_scan.letter_pairs(docs)
     found = secret_scan.limits(secret_scan.scan(docs, letters=letters))
     seen = secret_scan.spans(secret_scan.scan(docs, carry=COLUMNS, letters=letters), found)
@@ -56,7 +66,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of each piece of each document in a sequence."""
+    """The place of each piece of each document in a sequence. A null or empty text is one token; repeated rows are packed each; ties in length go by a hash."""
     return pattern_packing.pack(checkpoint(pattern_packing.pieces(docs)))
 
 
