@@ -556,6 +556,14 @@ def test_embeddings_against_all_pairs(spark, block):
     assert polytope_dedup.near_duplicates(df.where("false")).count() == 0
 
 
+def test_embeddings_under_repeated_ids(spark):
+    e = lambda i: [1.0 if k == i else 0.0 for k in range(8)]
+    near = [0.99, 0.1, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0]
+    df = spark.createDataFrame([(3, e(0)), (5, e(1)), (5, near), (5, e(1)), (9, e(2))], "vec_id long, embedding array<float>").withColumn("rep", F.lit("clash"))
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in polytope_dedup.near_duplicates(df).collect())
+    assert got == [(3, 1, 3, True), (5, 0, 5, True), (5, 0, 5, True), (5, 1, 3, False), (9, 0, 9, True)]
+
+
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(1).normal(size=(3, 64))
     assert np.allclose(np.linalg.norm(polytope_dedup.hadamard(x), axis=1), 8 * np.linalg.norm(x, axis=1))
