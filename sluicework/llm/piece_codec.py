@@ -6,7 +6,8 @@ falls into chunks of a run of markers and what follows; a merge never joins two
 of them. Each distinct chunk is segmented once and its ids are joined
 back by position; the same table holds each chunk's decoded surface.
 
-Defined results: a null text is empty; an empty text has the end id alone.
+Defined results: a null text is empty; an empty text has the end id alone; a very long text is one row like any other, its chunks looked up one by one;
+repeated rows and rows without an id are encoded each; columns other than id and text are not looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -15,8 +15,9 @@ blocks, and pairs of blocks are compared. Tasks hand on each vector's links and
 forest of them, never pairs.
 
 Defined results: a vector that is null, of length zero, or holds null or non-finite components, and one
-without an id, has no links; vectors of several lengths are compared as if filled with zeros; a row
-that repeats an id and vector is the same vector listed twice.
+without an id, has no links; vectors of several lengths are compared as if filled with zeros, however long; a row
+that repeats an id and vector is the same vector listed twice; two vectors under one id are two vectors, as classes have numbers of their own;
+a pair at the threshold exactly is linked; an empty table gives no rows; columns other than id and vector are not looked at.
 """
 
 from __future__ import annotations
@@ -206,7 +207,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     bad = lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
     usable = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~F.coalesce(F.exists("embedding", bad), F.lit(True)) & F.exists("embedding", lambda v: v != 0)
     good = rows.where(usable)
-    classes = checkpoint(good.distinct().groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
+    # A class's number is written with it, so that it is the same in all later steps.
+    classes = checkpoint(good.distinct().groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies")).withColumn("rep", F.monotonically_increasing_id()))
     size = classes.agg(F.count("*"), F.max(F.size("embedding"))).first()
     n, d = size[0], size[1] or 1
     corners, tables = plan(n, d, threshold, tables, probes)
@@ -248,7 +250,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     found = checkpoint(grouped.mapInArrow(compared, "rep long, links long, root long"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     joined = components(found.where("rep != root").select(F.col("rep").alias("u"), F.col("root").alias("v")))
-    told = classes.join(links, "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    told = classes.join(links, "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    told = checkpoint(told.select("embedding", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component"))
+    least = checkpoint(told.groupBy("component").agg(F.min("least").alias("component_id")))
+    told = told.join(least, "component").select("embedding", "n_links", "component_id")
     linked = good.join(told, "embedding").select("vec_id", "n_links", "component_id")
     alone = rows.where(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
