@@ -308,16 +308,19 @@ def clusters_of(classes: DataFrame, distance: int, block: int = BLOCK) -> tuple[
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("rep").to_numpy(), HASHES)), pa.array(k.ravel())], names=["rep", "key"])
 
     entries = classes.select("rep", "signature").mapInArrow(entered, "rep long, key long")
-    shared = entries.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("leader")).where("n > 1").select("key", "leader")
+    # Leaders are cut from their lineage, so that both sides of the join are dealt anew and a key with very many classes can be split over tasks.
+    shared = checkpoint(entries.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("leader")).where("n > 1").select("key", "leader"))
     met = checkpoint(entries.join(shared, "key").select("key", "rep", "leader"))
     signature = classes.select("rep", "signature")
     pairs = met.where("rep != leader").select("rep", "leader").distinct()
     seen = pairs.join(signature, "rep").join(signature.select(F.col("rep").alias("leader"), F.col("signature").alias("other")), "leader")
     stars = checkpoint(seen.where(bytes_apart(F.col("signature"), F.col("other")) <= distance).groupBy("rep").agg(F.min("leader").alias("leader")))
     found = checkpoint(components(stars.select(F.col("rep").alias("u"), F.col("leader").alias("v"))))
-    # An eighth of the keys joins most of what leaders have left, so that few keys have several labels when all are looked at.
-    for part in (F.pmod("key", F.lit(8)) == 0, F.lit(True)):
-        left = _rest(_labelled(met.where(part), found), "key", block, F.lit(1), block, F.col("rep") != F.col("leader")).join(signature, "rep")
+    # An eighth of the keys joins most of what leaders have left, so that few of the others have several labels when it is their turn.
+    # Signatures are short: a block of them is four times one of full sets.
+    first = F.pmod("key", F.lit(8)) == 0
+    for part in (first, ~first):
+        left = _rest(_labelled(met.where(part), found), "key", 4 * block, F.lit(1), 4 * block, F.col("rep") != F.col("leader")).join(signature, "rep")
         found = _more(found, _meeting(left, "key", "signature", lambda g: _within(g, distance)))
     return stars, found
 

@@ -226,7 +226,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     spread = classes.select("rep", "copies", "embedding").repartition(shuffle_partitions(spark)).mapInArrow(hashed, "rep long, copies long, length int, vector binary, keys array<long>, packed binary")
     spread = checkpoint(spread)
     entered = spread.select("rep", F.explode(F.array_distinct("keys")).alias("key"))
-    shared = entered.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+    # Counts are cut from their lineage, so that both sides of the join are dealt anew and a full bucket can be split over tasks.
+    shared = checkpoint(entered.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks")))
     met = entered.join(shared, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = met.select("key", "rep", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "rep")
     sent = dealt.join(spread, "rep").select("key", "low", "high", "own", "rep", "copies", "length", "vector", "packed")

@@ -217,6 +217,38 @@ def test_plan_uses_each_piece_once(histogram):
         assert sum(n for _, n in groups) <= sum(k * v for k, v in histogram.items()) / 2048 * 1.01 + 1
 
 
+def test_plan_against_the_least_number_of_sequences():
+    """Small sets of pieces, all ways tried."""
+    r = random.Random(31)
+
+    def least(pieces):
+        best = len(pieces)
+
+        def put(i, rooms):
+            nonlocal best
+            if len(rooms) >= best:
+                return
+            if i == len(pieces):
+                best = len(rooms)
+                return
+            for k in range(len(rooms)):
+                if rooms[k] >= pieces[i] and rooms[k] not in rooms[:k]:
+                    put(i + 1, [*rooms[:k], rooms[k] - pieces[i], *rooms[k + 1 :]])
+            put(i + 1, [*rooms, 2048 - pieces[i]])
+
+        put(0, [])
+        return best
+
+    over = 0
+    for _ in range(8):
+        pieces = sorted((r.choice([r.randint(1, 2048), 1024, 512, 700, 1300]) for _ in range(r.randint(1, 7))), reverse=True)
+        made = sum(n for _, n in pattern_packing.plan(collections.Counter(pieces)))
+        want = least(pieces)
+        assert want <= made <= want + 1
+        over += made - want
+    assert over <= 2
+
+
 def test_pack_frames(spark):
     df = frame(spark, TEXTS)
     out = pattern_packing.pack(pattern_packing.checkpoint(pattern_packing.pieces(df, limit=64)), limit=64, bins=16).collect()
