@@ -13,9 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
+from .curves import held
 
 #: Where a text is cut into lines, and white space, as the rules take them (fixed values).
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+_BREAKS = r"\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}"
+#: A line that may begin with a numbered item: drawn from a text at once, so that other lines are not looked at one by one.
+_CANDIDATE = rf"(?:(?<![^{_BREAKS}]))(?:#{{1,6}}[^\S{_BREAKS}]+|[-*][^\S{_BREAKS}]+)?[1-9]\d?(?:\.\d{{1,3}})+[^\S{_BREAKS}]+[A-ZÀ-ÖØ-Ý][^{_BREAKS}]*"
 _EDGE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 #: Producers of scans with old recognised text (fixed values).
 LEGACY = r"(?i)Acrobat (4|5)\.0|Acrobat Distiller (3|4|5)\.|PDFWriter|Import Plug-in|Paper Capture"
@@ -133,7 +137,8 @@ def cleaned(c: Column, lines: Sequence[str], spans: Sequence[str] = (), hyphens:
     """text, and counts: lines, removed lines, removed spans. Lines with a page's anchor are never removed; what stays loses its spans and the blanks at its end."""
     all_lines = lines_of(c)
     anchored = lambda x: F.regexp_like(x, F.lit(tx.ANCHOR))
-    kept = F.filter(all_lines, lambda x: anchored(x) | ~any_hits(strip(x), lines))
+    pairs = F.transform(all_lines, lambda x: F.struct(x.alias("line"), strip(x).alias("bare")))
+    kept = F.transform(F.filter(pairs, lambda p: anchored(p["line"]) | ~any_hits(p["bare"], lines)), lambda p: p["line"]) if lines else all_lines
     n_spans = F.lit(0)
 
     def without(x: Column) -> Column:
@@ -204,7 +209,7 @@ def integrity(code: Column, said: Column) -> Column:
 
 def items(c: Column) -> Column:
     """Numbers of the numbered items that begin a text's lines, in order."""
-    return F.filter(F.transform(lines_of(c), lambda x: tx.item(x)), lambda x: x.isNotNull())
+    return F.filter(F.transform(F.regexp_extract_all(c, F.lit(_CANDIDATE), F.lit(0)), lambda x: tx.item(x)), lambda x: x.isNotNull())
 
 
 def lost_items(md: Column, source: Column) -> Column:
@@ -212,9 +217,9 @@ def lost_items(md: Column, source: Column) -> Column:
 
     The text's dotted numbers are drawn once, with all that each of them begins with; no item is searched by itself.
     """
-    body = F.concat(F.array_join(F.filter(lines_of(md), lambda x: ~F.regexp_like(x, F.lit(r"(?U)^\s*[|`]"))), "\n"), F.lit("\n"))
-    found = F.arrays_zip(*(F.regexp_extract_all(body, F.lit(r"(?<![\d.])(\d[\d.]*)([\s)\]:-]?)"), F.lit(k)).alias(n) for k, n in ((1, "run"), (2, "end"))))
-    closed = F.array_distinct(F.transform(found, lambda f: F.when(f["end"] != "", F.concat(f["run"], F.lit("."))).otherwise(f["run"])))
+    body = F.concat(F.regexp_replace(md, rf"(?<![^{_BREAKS}])[^\S{_BREAKS}]*[|`][^{_BREAKS}]*", ""), F.lit("\n"))
+    found = F.array_distinct(F.regexp_extract_all(body, F.lit(r"(?<![\d.])\d[\d.]*[\s)\]:-]?"), F.lit(0)))
+    closed = F.array_distinct(F.transform(found, lambda f: F.regexp_replace(f, r"[\s)\]:-]$", ".")))
 
     def begun(run: Column) -> Column:
         parts = F.split(run, r"\.", -1)
@@ -229,16 +234,24 @@ def by_number(numbers: Column) -> Column:
 
 
 def missing_numbers(found: Column) -> Column:
-    """Numbers absent between the least and the largest under parents with three or more, in order."""
-    parent = lambda s: F.regexp_replace(s, r"\.\d+$", "")
-    last = lambda s: F.regexp_extract(s, r"(\d+)$", 1).cast("int")
+    """Numbers absent between the least and the largest under parents with three or more, in order.
 
-    def under(p: Column) -> Column:
-        ns = F.array_distinct(F.transform(F.filter(found, lambda s: parent(s) == p), last))
-        absent = F.array_except(F.sequence(F.array_min(ns), F.array_max(ns)), ns)
-        return F.when(F.size(ns) >= 3, F.transform(absent, lambda n: F.concat(p, F.lit("."), n.cast("string")))).otherwise(F.array().cast("array<string>"))
+    Distinct numbers stand sorted by their parts, those of one parent beside each other, so that each is compared with its neighbour alone.
+    """
+    parts = lambda x: F.transform(F.split(x, r"\."), lambda p: p.cast("int"))
+    split = F.array_sort(F.array_distinct(F.transform(found, lambda x: F.struct(F.slice(parts(x), F.lit(1), F.size(F.split(x, r"\.")) - 1).alias("up"), F.element_at(parts(x), -1).alias("n")))))
+
+    def told(all_: Column) -> Column:
+        def after(x: Column, i: Column) -> Column:
+            same = lambda j: F.coalesce(F.get(all_, j)["up"] == x["up"], F.lit(False)) & (j >= 0)
+            three = same(i + 1) & (same(i + 2) | same(F.greatest(i - 1, F.lit(0))) & (i > 0))
+            to = F.get(all_, i + 1)["n"]
+            name = F.array_join(F.transform(x["up"], lambda p: p.cast("string")), ".")
+            return F.when(three & (to > x["n"] + 1), F.transform(F.sequence(x["n"] + 1, to - 1), lambda n: F.concat(name, F.lit("."), n.cast("string")))).otherwise(F.array().cast("array<string>"))
+
+        return F.flatten(F.transform(all_, after))
 
-    return by_number(F.flatten(F.transform(F.array_distinct(F.transform(found, parent)), under)))
+    return by_number(F.get(F.transform(F.array(split), told), F.lit(0)))
 
 
 def formulas(md: Column) -> tuple[Column, Column, Column]:
@@ -259,7 +272,7 @@ def anchors(md: Column) -> Column:
 
 def coverage(md: Column, source: Column, removed: Sequence[str] = ()) -> tuple[Column, Column]:
     """(share, of how many): characters of the source that reached the text; lines that cleaning takes away are not asked for."""
-    wanted = characters(F.array_join(F.filter(lines_of(source), lambda x: ~any_hits(strip(x), removed)), "\n"))
+    wanted = characters(F.array_join(F.filter(F.transform(lines_of(source), strip), lambda x: ~any_hits(x, removed)), "\n") if removed else source)
     return F.when(wanted > 0, characters(md) / wanted).otherwise(F.lit(0.0)), wanted
 
 
@@ -300,9 +313,10 @@ def judge(docs: DataFrame, removed: Sequence[str] = (), blocks: Sequence[str] =
     Lost items reject documents with native text; where the numbering itself was recognised they call for review.
     """
     c = F.col
-    share, wanted = coverage(c("md"), c("source"), [*removed, *blocks])
+    _, wanted = coverage(c("md"), c("source"), [*removed, *blocks])
     total, pictured, scrambled = formulas(c("md"))
-    rows = docs.withColumns({"_share": share, "_wanted": wanted, "_lost": lost_items(c("md"), c("source")), "_gaps": missing_numbers(items(c("md"))), "_total": total, "_pictured": pictured, "_scrambled": scrambled, "_anchors": F.size(anchors(c("md"))), "_front": F.size(front_missing(c("md"), FRONT)), "_curated": F.size(front_missing(c("md"), CURATED)), "_blocked": F.size(blocked(c("md"), blocks))})
+    rows = held(docs, _wanted=wanted, _characters=characters(c("md")), _items=items(c("md")), _lost=lost_items(c("md"), c("source")), _total=total, _pictured=pictured, _scrambled=scrambled, _anchors=F.size(anchors(c("md"))), _front=F.size(front_missing(c("md"), FRONT)), _curated=F.size(front_missing(c("md"), CURATED)), _blocked=F.size(blocked(c("md"), blocks)))
+    rows = held(rows, _gaps=missing_numbers(c("_items")), _share=F.when(c("_wanted") > 0, c("_characters") / c("_wanted")).otherwise(F.lit(0.0)))
     lost, native, scanned = F.size("_lost") > 0, c("route").isin("A", "B"), c("route").isin(*SCANNED)
     with_tables = F.array_contains(F.split(F.coalesce("extras", F.lit("")), r"\+"), "F")
     number = F.when(F.regexp_like("tables", F.lit(r"^\d+$")), c("tables").cast("int")).otherwise(F.lit(0))
@@ -320,7 +334,7 @@ def judge(docs: DataFrame, removed: Sequence[str] = (), blocks: Sequence[str] =
         code(scanned & (told < limits.confidence), "confidence"), code(with_tables & ~no_tables & (F.size("low_tables") > 0), "low_tables"),
         code((c("layout_tables") > 0) & (c("table_state") == "ok") & (number < c("layout_tables")), "fewer_tables"), code(F.coalesce("status", F.lit("")).isin("", "nao_declarado"), "no_status"),
     ]
-    rows = rows.withColumns({"rejects": F.array_compact(F.array(*rejects)), "reviews": F.array_compact(F.array(*reviews)), "coverage": F.bround("_share", 3), "lost": F.slice("_lost", 1, 20)})
+    rows = held(rows, rejects=F.array_compact(F.array(*rejects)), reviews=F.array_compact(F.array(*reviews)), coverage=F.bround("_share", 3), lost=F.slice("_lost", 1, 20))
     rows = rows.withColumn("verdict", F.when(F.size("rejects") > 0, "reprovado").when(F.size("reviews") > 0, "revisar").otherwise("aprovado"))
     return rows.drop(*(n for n in rows.columns if n.startswith("_")))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import manifest as mf, materials as bom, quality as qa, text as tx, validation as val
+from ..operators.curves import held
 from ..sources import files
 from ..streaming import capture
 from .adapters import frame, scratch, view, with_views
@@ -269,7 +270,8 @@ def q_numbered_items(spark, sf_dir):
 @query(f"""WITH it AS ({_items_sql('md')}), p AS (SELECT DISTINCT doc_id, regexp_replace(item, '\\.\\d+$', '') AS parent, CAST(regexp_extract(item, '(\\d+)$', 1) AS INT) AS n FROM it), g AS (SELECT doc_id, parent, min(n) AS lo, max(n) AS hi, list(n) AS ns FROM p GROUP BY ALL HAVING count(*) >= 3),
  x AS (SELECT doc_id, parent, ns, CAST(unnest(range(lo, hi)) AS INT) AS missing FROM g) SELECT doc_id, parent, missing FROM x WHERE NOT list_contains(ns, missing)""")
 def q_numbering_gaps(spark, sf_dir):
-    missing = _md(spark, sf_dir).select("doc_id", F.explode(qa.missing_numbers(qa.items(F.col("md")))).alias("m"))
+    found = held(held(_md(spark, sf_dir), items=qa.items(F.col("md"))), missing=qa.missing_numbers(F.col("items")))
+    missing = found.select("doc_id", F.explode("missing").alias("m"))
     return missing.select("doc_id", F.regexp_replace("m", r"\.\d+$", "").alias("parent"), F.regexp_extract("m", r"(\d+)$", 1).cast("int").alias("missing"))
 
 
@@ -281,7 +283,8 @@ def _lost_sql(source: str, table: str) -> str:
 @query(_lost_sql("src", "md"))
 def q_lost_items(spark, sf_dir):
     """Items of the source that stand nowhere in the corpus as a token, tables and code left out."""
-    return _md(spark, sf_dir).select("doc_id", F.explode(qa.lost_items(F.col("md"), F.col("src"))).alias("item"))
+    found = held(_md(spark, sf_dir), lost=qa.lost_items(F.col("md"), F.col("src")))
+    return found.select("doc_id", F.explode("lost").alias("item"))
 
 
 _FORMULA = "<!-- formula[^\\n]*-->\\n(!\\[formula\\]\\([^)]+\\)\\n+)?`([^`\\n]+)`"
