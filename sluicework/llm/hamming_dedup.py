@@ -22,6 +22,7 @@ none has one (component_id is then null); columns other than id and text are not
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -162,9 +163,13 @@ def _groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[tupl
 
 
 def _sides(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-    """Members of the two blocks; rows: (group, low, high, own, ...)."""
+    """Members of the two blocks; rows: (group, low, high, own, label, ...). Within one block those of the commonest label need only be compared with the others."""
     own = np.array([r[3] for r in rows])
-    return np.flatnonzero(own == rows[0][1]), np.flatnonzero(own == rows[0][2])
+    left, right = np.flatnonzero(own == rows[0][1]), np.flatnonzero(own == rows[0][2])
+    if rows[0][1] == rows[0][2]:
+        common = Counter(r[4] for r in rows).most_common(1)[0][0]
+        left = np.array([i for i in left.tolist() if rows[i][4] != common], np.int64)
+    return left, right
 
 
 def _joined(label: list[int], pairs: Iterator[tuple[int, int]]) -> Iterator[tuple[int, int]]:
@@ -233,7 +238,7 @@ def _against_leaders(batches: Iterator[pa.RecordBatch], percent: int) -> Iterato
 def _rest(rows: DataFrame, group: str, block: int, weight: Column, heaviest: int, tested: Column, *more: str) -> DataFrame:
     """(group, low, high, own, label, more): members of groups with several labels, at the pairs of blocks where two labels can meet.
 
-    Members of a group's commonest label are already joined to each other: their blocks meet those of the rest only, which meet each other too.
+    A group that fits one block is one. In others the members of the commonest label, which are joined already, have blocks that meet those of the rest only; the rest's meet each other too.
     Blocks have about `block` members and `heaviest` of weight together. tested: which members' pair with a leader has been looked at before;
     a group whose every pair has is left out.
     """
@@ -241,11 +246,13 @@ def _rest(rows: DataFrame, group: str, block: int, weight: Column, heaviest: int
     mixed = by_label.groupBy(group).agg(F.count("*").alias("labels"), F.sum("n").alias("all"), F.sum("w").alias("heavy"), F.sum("done").alias("done"), F.max(F.struct("n", "label", "w")).alias("top"))
     cut = lambda n, w: F.ceil(F.greatest(F.lit(1.0), n / block, w / heaviest)).cast("int")
     mixed = mixed.where((F.col("labels") > 1) & (2 * F.col("done") < F.col("all") * (F.col("all") - 1)))
-    mixed = checkpoint(mixed.select(group, F.col("top.label").alias("main"), cut(F.col("top.n"), F.col("top.w")).alias("mains"), cut(F.col("all") - F.col("top.n"), F.col("heavy") - F.col("top.w")).alias("others")))
+    one = (F.col("all") <= block) & (F.col("heavy") <= heaviest)
+    mains, others = cut(F.col("top.n"), F.col("top.w")), cut(F.col("all") - F.col("top.n"), F.col("heavy") - F.col("top.w"))
+    mixed = checkpoint(mixed.select(group, F.col("top.label").alias("main"), F.when(one, 1).otherwise(mains).alias("mains"), F.when(one, 0).otherwise(others).alias("others")))
     held = rows.join(mixed, group)
     main = F.col("label") == F.col("main")
-    held = held.withColumn("own", F.when(main, F.pmod(F.xxhash64("rep"), F.col("mains"))).otherwise(F.col("mains") + F.pmod(F.xxhash64("rep"), F.col("others"))).cast("int"))
-    held = held.select("*", F.explode(F.sequence(F.when(main, F.col("mains")).otherwise(F.lit(0)), F.col("mains") + F.col("others") - 1)).alias("other"))
+    held = held.withColumn("own", F.when(main | (F.col("others") == 0), F.pmod(F.xxhash64("rep"), F.col("mains"))).otherwise(F.col("mains") + F.pmod(F.xxhash64("rep"), F.nullif(F.col("others"), F.lit(0)))).cast("int"))
+    held = held.select("*", F.explode(F.sequence(F.when(main & (F.col("others") > 0), F.col("mains")).otherwise(F.lit(0)), F.col("mains") + F.col("others") - 1)).alias("other"))
     return held.select(group, F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "label", "rep", *more)
 
 
