@@ -327,7 +327,9 @@ def clusters_of(classes: DataFrame, distance: int, block: int = BLOCK) -> tuple[
     # Signatures are short: a block of them is four times one of full sets.
     first = F.pmod("key", F.lit(8)) == 0
     for part in (first, ~first):
-        left = _rest(_labelled(met.where(part), found), "key", 4 * block, F.lit(1), 4 * block, F.col("rep") != F.col("leader")).join(signature, "rep")
+        left = _rest(_labelled(met.where(part), found), "key", 4 * block, F.lit(1), 4 * block, F.col("rep") != F.col("leader"))
+        places = left.groupBy("rep").agg(F.collect_list(F.struct("key", "low", "high", "own", "label")).alias("places"))  # a signature is joined once, not once a key
+        left = places.join(signature, "rep").select("signature", F.explode("places").alias("p")).select("p.*", "signature")
         found = _more(found, _meeting(left, "key", "signature", lambda g: _within(g, distance)))
     return stars, found
 
