@@ -5,8 +5,8 @@ two shares p and q diverge by floor((p - q)**2 / (p + q)). The divergence of two
 neither has. All of it is exact arithmetic of 64-bit whole numbers.
 
 Sums over terms are split by how many groups have a term. *Heavy* terms (HEAVY groups and more) go to dense tiles: a block of terms by two
-blocks of groups as a matrix of shares, filled with what a group without the term has. *Light* terms are not laid out: if no group had any, each
-would add f0 = f(p0, q0). What a group that has a term differs by from f0 against a group that has none depends on the count alone, so
+blocks of groups as a matrix of shares, filled with what a group without the term has. *Light* terms are not laid out: if no group had any term, each
+would add f0 = f(p0, q0), and so does each kept term to begin with. What a group that has a term differs by from f0 against a group that has none depends on the count alone, so
 that counts of terms by count stand for the terms; and for two groups that both have a term its posting list, shorter than HEAVY, gives a
 correction. The parts add up to the sum over all terms exactly.
 
@@ -33,7 +33,7 @@ LEAST_DOCS = 10
 #: Terms of so many groups of a language are dense.
 HEAVY = 16
 #: Groups of a block and terms of a block, about: a tile's matrices have no more cells.
-GROUP_BLOCK, TERM_BLOCK = 64, 2048
+GROUP_BLOCK, TERM_BLOCK = 64, 256
 SCALE = 1_000_000_000
 #: Ranks of the part `term`.
 TOP = 10
@@ -135,12 +135,12 @@ def term_part(rows: DataFrame, top: int = TOP) -> DataFrame:
 def _tile(pdf: pd.DataFrame) -> pd.DataFrame:
     """Sums of a tile for each two of its groups, one of block i and one of block j (source before other in the order of names).
 
-    Rows: kind 0, a group (p0; n: light terms, to be counted here); 1, a heavy term's share; 2, n light terms of share p.
+    Rows: kind 0, a group (p0; n: the kept terms, in one tile of each two blocks); 1, a heavy term's share; 2, n light terms of share p.
     """
     i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
     groups = pdf[pdf["kind"] == 0].sort_values("source")
     names, block, p0 = groups["source"].to_numpy(), groups["block"].to_numpy(), groups["p0"].to_numpy(np.int64)
-    light = int(groups["n"].max()) if len(groups) else 0
+    kept = int(groups["n"].max()) if len(groups) else 0
     place = {s: k for k, s in enumerate(names)}
     dense = pdf[pdf["kind"] == 1]
     codes, terms = pd.factorize(dense["term"])
@@ -153,9 +153,9 @@ def _tile(pdf: pd.DataFrame) -> pd.DataFrame:
         f0 = diverge(p0[k], p0)
         if block[k] == i:
             other = np.flatnonzero(block == j) if i != j else np.arange(k + 1, len(names))
-            total[k, other] += light * f0[other]
-            if len(terms):
-                total[k, other] += diverge(m[k][None, :], m[other]).sum(axis=1)
+            total[k, other] += kept * f0[other]
+            if len(terms):  # a heavy term that no group of either block has is not here, and adds f0
+                total[k, other] += diverge(m[k][None, :], m[other]).sum(axis=1) - len(terms) * f0[other]
         at = few_at == k
         if at.any():  # terms of group k against those without them
             total[k] += (few_n[at, None] * (diverge(few_p[at, None], p0[None, :]) - f0[None, :])).sum(axis=0)
@@ -203,7 +203,7 @@ def pair_part(rows: DataFrame, figures: DataFrame, heavy: int = HEAVY, group_blo
     # each language's numbers of blocks: one row a language, so the small side of every join
     groups = figures.join(sizes, "lang").select(
         F.lit(0).alias("kind"), "lang", "source", block.alias("block"), "gb", F.explode(F.sequence(F.lit(0), F.col("tb") - 1)).alias("k"), none.alias("term"), F.lit(1).cast("long").alias("p"),
-        F.when(F.col("kept") > 0, _share("0L", "size", "greatest(kept, 1L)")).otherwise(F.lit(1)).alias("p0"), F.col("light").alias("n"),
+        F.when(F.col("kept") > 0, _share("0L", "size", "greatest(kept, 1L)")).otherwise(F.lit(1)).alias("p0"), F.col("kept").alias("n"),
     ).withColumn("n", F.when(F.col("k") == 0, F.col("n")).otherwise(F.lit(0)))
     dense = rows.where(F.col("groups") >= heavy).join(sizes, "lang").select(
         F.lit(1).alias("kind"), "lang", "source", block.alias("block"), "gb", F.pmod(F.xxhash64("term"), F.col("tb")).cast("int").alias("k"), "term", "p", "p0", F.lit(1).cast("long").alias("n")
