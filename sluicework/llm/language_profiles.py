@@ -26,6 +26,8 @@ from .common import documents, kept, prepare, sliced
 UNKNOWN = "und"
 #: Texts a language is learned from at most, about, and texts of all languages together; dimensions; letters of an n-gram; seed.
 SAMPLE, TOTAL, DIMENSIONS, LETTERS, SEED = 1500, 20_000, 1024, 3, 20_240
+#: Characters, about, that are learned from in all: what bounds the driver where texts are very long.
+SAMPLE_CHARS = 64 << 20
 #: n-gram vectors that a worker keeps before it starts anew.
 KEPT = 12_000
 
@@ -134,16 +136,20 @@ def remainder(id_col: str, n: int) -> Column:
 
 
 def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE) -> Profiles:
-    """Profiles from about `sample` rows of each language, and TOTAL of all, chosen by a hash of the id."""
+    """Profiles from about `sample` rows of each language, and TOTAL of all, chosen by a hash of the id; fewer where they would have more than SAMPLE_CHARS characters.
+
+    Of more than TOTAL languages the commonest are learned (ties by name), a text each: the sample is what bounds the languages.
+    """
     held = train.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col), F.lit(SEED)), F.lit(1 << 30)).alias("h"))
-    counts = {r[0]: r[1] for r in held.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(TOTAL).collect()}  # more languages than texts can't be learned
-    if not counts:
+    found = held.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("size"), F.min("h").alias("first"))
+    stats = found.orderBy(F.desc("n"), "lang").limit(TOTAL).collect()
+    if not stats:
         return learn([])
-    sample = min(sample, max(1, TOTAL // len(counts)))
-    share = F.lit(0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1 << 30, int((1 << 30) * sample / n)))).otherwise(share)
-    rows = held.where(F.col("h") < share).select("lang", "text").collect()
+    sample, chars = min(sample, max(1, TOTAL // len(stats))), SAMPLE_CHARS // len(stats)
+    # a language's first row by hash always counts, so that none is left out by chance
+    shares = [(r.lang, max(r.first + 1, min(1 << 30, int((1 << 30) * min(sample / r.n, chars / max(1, r.size)))))) for r in stats]
+    chosen = train.sparkSession.createDataFrame(shares, "lang string, share long")  # TOTAL rows at most
+    rows = held.join(F.broadcast(chosen), "lang").where("h < share").select("lang", "text").collect()
     return learn(sorted((r[0], r[1]) for r in rows))
 
 

@@ -13,6 +13,8 @@ import duckdb
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from sluicework.llm import divergence_audit, importance_resampling, oracles, registry, warc
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -224,3 +226,23 @@ def test_audit_of_nothing(spark):
 def test_shares_of_very_frequent_terms_do_not_overflow(spark):
     df = spark.createDataFrame([(10**13, 2 * 10**13, 5)], "n long, size long, kept long")
     assert df.select(divergence_audit._share("n", "size", "kept").alias("p")).first().p == 1 + 10**9 * (10**13 + 2) // (2 * 10**13 + 10)
+
+
+# ---- learning from very many languages and very long texts ----
+
+
+def test_thousands_of_languages_are_learned(spark):
+    from sluicework.llm import language_profiles
+
+    df = spark.createDataFrame([(i, f"abc{i} def{i % 97}", f"l{i % 5000}") for i in range(6000)], "doc_id long, text string, lang string")
+    assert len(language_profiles.fit(df).languages) == 5000
+
+
+def test_very_long_texts_are_learned_from_within_the_bound(spark, monkeypatch):
+    from sluicework.llm import language_profiles
+
+    taken = []
+    monkeypatch.setattr(language_profiles, "learn", lambda rows, vectors=None: taken.extend(rows))
+    df = spark.range(100).select(F.col("id").alias("doc_id"), F.expr("repeat('lorem ipsum ', 170000)").alias("text"), F.lit("la").alias("lang"))
+    language_profiles.fit(df)
+    assert 1 <= len(taken) and sum(len(t) for _, t in taken) < 2 * language_profiles.SAMPLE_CHARS
