@@ -19,7 +19,7 @@ from .curves import held
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 _BREAKS = r"\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}"
 #: A line that may begin with a numbered item: drawn from a text at once, so that other lines are not looked at one by one.
-_CANDIDATE = rf"(?:(?<![^{_BREAKS}]))(?:#{{1,6}}[^\S{_BREAKS}]+|[-*][^\S{_BREAKS}]+)?[1-9]\d?(?:\.\d{{1,3}})+[^\S{_BREAKS}]+[A-ZÀ-ÖØ-Ý][^{_BREAKS}]*"
+_CANDIDATE = rf"(?U)(?:(?<![^{_BREAKS}]))(?:#{{1,6}}[^\S{_BREAKS}]+|[-*][^\S{_BREAKS}]+)?[1-9]\d?(?:\.\d{{1,3}})+[^\S{_BREAKS}]+[A-ZÀ-ÖØ-Ý][^{_BREAKS}]*"
 _EDGE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 #: Producers of scans with old recognised text (fixed values).
 LEGACY = r"(?i)Acrobat (4|5)\.0|Acrobat Distiller (3|4|5)\.|PDFWriter|Import Plug-in|Paper Capture"
@@ -139,15 +139,18 @@ def cleaned(c: Column, lines: Sequence[str], spans: Sequence[str] = (), hyphens:
     anchored = lambda x: F.regexp_like(x, F.lit(tx.ANCHOR))
     pairs = F.transform(all_lines, lambda x: F.struct(x.alias("line"), strip(x).alias("bare")))
     kept = F.transform(F.filter(pairs, lambda p: anchored(p["line"]) | ~any_hits(p["bare"], lines)), lambda p: p["line"]) if lines else all_lines
-    n_spans = F.lit(0)
+    def cut(x: Column) -> tuple[Column, Column]:
+        """A line without its spans, and how many there were: each pattern sees what those before it have left."""
+        n = F.lit(0)
+        for p in spans:
+            n, x = n + F.regexp_count(x, F.lit(p)), F.regexp_replace(x, p, "")
+        return x, n
 
     def without(x: Column) -> Column:
-        for p in spans:
-            x = F.regexp_replace(x, p, "")
-        return F.when(F.regexp_like(x, F.lit(r"\S")), F.regexp_replace(x, r"(?U)[\s\x1c-\x1f]+$", "")).otherwise(x)
+        x = cut(x)[0]
+        return F.when(F.regexp_like(x, F.lit(r"(?U)[^\s\x1c-\x1f]")), F.regexp_replace(x, r"(?U)[\s\x1c-\x1f]+$", "")).otherwise(x)
 
-    for p in spans:
-        n_spans = n_spans + F.aggregate(kept, F.lit(0), lambda a, x: a + F.regexp_count(x, F.lit(p)))
+    n_spans = F.aggregate(kept, F.lit(0), lambda a, x: a + cut(x)[1]) if spans else F.lit(0)
     text = F.array_join(F.transform(kept, without), "\n")
     if hyphens:
         text = tx.dehyphenate(text)
@@ -186,8 +189,9 @@ def structure_state(md: Column, source: Column, pages: Column, share: float = 0.
 
 
 def recognition_state(per_page: Column, control: Column, confidence: Column, least: float = 50, limits: Limits = Limits()) -> tuple[Column, Column]:
-    """(state, whether to look): text that is nearly absent or unreadable fails; thin text or low confidence is looked at."""
-    return F.when((per_page < least) | (control > 0.02), "falhou").otherwise("ok"), (per_page < 2 * least) | F.coalesce(confidence < limits.confidence, F.lit(False))
+    """(state, whether to look): text that is nearly absent fails; else control characters that are left and low confidence are looked at."""
+    failed = per_page < least
+    return F.when(failed, "falhou").otherwise("ok"), ~failed & ((control > 0.01) | F.coalesce(confidence < limits.confidence, F.lit(False)))
 
 
 def time_limit(pages: Column) -> Column:
@@ -217,9 +221,9 @@ def lost_items(md: Column, source: Column) -> Column:
 
     The text's dotted numbers are drawn once, with all that each of them begins with; no item is searched by itself.
     """
-    body = F.concat(F.regexp_replace(md, rf"(?<![^{_BREAKS}])[^\S{_BREAKS}]*[|`][^{_BREAKS}]*", ""), F.lit("\n"))
-    found = F.array_distinct(F.regexp_extract_all(body, F.lit(r"(?<![\d.])\d[\d.]*[\s)\]:-]?"), F.lit(0)))
-    closed = F.array_distinct(F.transform(found, lambda f: F.regexp_replace(f, r"[\s)\]:-]$", ".")))
+    body = F.concat(F.regexp_replace(md, rf"(?U)(?<![^{_BREAKS}])[^\S{_BREAKS}]*[|`][^{_BREAKS}]*", ""), F.lit("\n"))
+    found = F.array_distinct(F.regexp_extract_all(body, F.lit(r"(?U)(?<![\d.])\d[\d.]*[\s\x1c-\x1f)\]:-]?"), F.lit(0)))
+    closed = F.array_distinct(F.transform(found, lambda f: F.regexp_replace(f, r"(?U)[\s\x1c-\x1f)\]:-]\z", ".")))
 
     def begun(run: Column) -> Column:
         parts = F.split(run, r"\.", -1)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Stop words of the three languages (fixed values); tokens have three letters or more, so that shorter ones never count.
@@ -20,8 +20,8 @@ LATEX = {"\\": r"\textbackslash{}", "&": r"\&", "%": r"\%", "$": r"\$", "#": r"\
 #: Qualifiers of ids, and the patterns of anchors, numbered items and headings (fixed values).
 QUALIFIERS = {"PROJETO": "projeto", "CANCELADA": "cancelada", "PT": "traducao", "EN": "traducao"}
 ANCHOR = r"<!-- p\.(\d+) -->"
-ITEM = r"^(?:#{1,6}\s+|[-*]\s+)?([1-9]\d?(?:\.\d{1,3})+)\s+([A-ZÀ-ÖØ-Ý]\S*)"
-HEADING = r"^(?:[-*]\s+)?([1-9]\d?(?:\.\d{1,3})*)\s+([A-ZÀ-ÖØ-Ý][^=]{0,199})$"
+ITEM = r"(?U)^(?:#{1,6}[\s\x1c-\x1f]+|[-*][\s\x1c-\x1f]+)?([1-9]\d?(?:\.\d{1,3})+)[\s\x1c-\x1f]+([A-ZÀ-ÖØ-Ý][^\s\x1c-\x1f]*)"
+HEADING = r"(?U)^(?:[-*][\s\x1c-\x1f]+)?([1-9]\d?(?:\.\d{1,3})*)[\s\x1c-\x1f]+([A-ZÀ-ÖØ-Ý][^=]{0,199})$"
 _ACCENTED, _PLAIN = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
 
 
@@ -124,17 +124,30 @@ def heading(line: Column) -> Column:
     return F.when(number != "", F.concat(F.repeat(F.lit("#"), level), F.lit(" "), number, F.lit(" "), F.regexp_extract(line, HEADING, 2))).otherwise(line)
 
 
+def sections(lines: DataFrame) -> DataFrame:
+    """(doc_id, line_no, level, parent_line) of each heading: the parent is the last heading before it of a lower level (null: none).
+
+    lines: doc_id, line_no, line. For each level the last line that has it is carried along in one window over the document's
+    headings; the nearest of those above a heading's own level is the top of the stack.
+    """
+    marks = F.length(F.regexp_extract("line", r"(?U)^(#{1,6})[\s\x1c-\x1f]+[^\s\x1c-\x1f]", 1))
+    heads = lines.select("doc_id", "line_no", marks.alias("level")).where("level > 0")
+    before = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    last = heads.withColumns({f"_{k}": F.last(F.when(F.col("level") == k, F.col("line_no")), ignorenulls=True).over(before) for k in range(1, 6)})
+    return last.select("doc_id", "line_no", "level", F.greatest(*(F.when(F.col("level") > k, F.col(f"_{k}")) for k in range(1, 6))).alias("parent_line"))
+
+
 def squeeze(c: Column) -> Column:
-    return F.concat(F.regexp_replace(F.regexp_replace(c, r"\n{3,}", "\n\n"), r"^\s+|\s+$", ""), F.lit("\n"))
+    return F.concat(F.regexp_replace(F.regexp_replace(c, r"\n{3,}", "\n\n"), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""), F.lit("\n"))
 
 
 def item(line: Column) -> Column:
     """The number of a numbered item that begins a line, or null: tables, formulas, contents, material codes and values with units are none."""
-    t = F.trim(line)
+    t = F.regexp_replace(line, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
     number, word = F.regexp_extract(line, ITEM, 1), F.regexp_extract(line, ITEM, 2)
     head = F.regexp_replace(word, r"^[.,;:()]+|[.,;:()]+$", "")
     letters = F.regexp_count(F.regexp_replace(line, ITEM, word), F.lit(r"[\p{L}\p{Nl}\p{No}]"))
-    none = F.regexp_like(t, F.lit(r"^(\||`|<!--|!\[)")) | F.contains(t, F.lit(" = ")) | F.regexp_like(t, F.lit(r"\.{3,}\s*\d*\s*$|\.{5,}")) | (number == "") | F.regexp_like(head, F.lit("^[A-Z0-9./-]{2,}$")) | head.isin(*UNITS) | F.contains(head, F.lit("/")) | (letters < 4)
+    none = F.regexp_like(t, F.lit(r"^(\||`|<!--|!\[)")) | F.contains(t, F.lit(" = ")) | F.regexp_like(t, F.lit(r"(?U)\.{3,}\s*\d*\s*$|\.{5,}")) | (number == "") | F.regexp_like(head, F.lit("^[A-Z0-9./-]{2,}$")) | head.isin(*UNITS) | F.contains(head, F.lit("/")) | (letters < 4)
     return F.when(~none, number)
 
 

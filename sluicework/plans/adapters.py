@@ -83,13 +83,15 @@ def ctes(d: str) -> dict[str, str]:
             CASE doc_id % 8 WHEN 0 THEN 'pendente' ELSE 'ok' END AS st_limpeza,
             CASE doc_id % 9 WHEN 0 THEN 'pendente' ELSE 'ok' END AS st_metadados,
             CASE WHEN doc_id % 2 = 0 THEN 'manual note | [ocr] old message' ELSE '' END AS note,
-            1 + doc_id % 40 AS pages FROM documents WHERE doc_id % 20 <> 3""",
+            1 + doc_id % 40 AS pages FROM documents""",
+        "known_row": "SELECT id, sha FROM prev_row WHERE doc_id % 20 <> 3",
+        "stage_row": "SELECT p.*, 'visto' AS qa, d.text FROM prev_row p JOIN documents d ON p.doc_id = d.doc_id",
         "now_row": """SELECT CASE WHEN doc_id % 20 = 7 THEN concat('new-', CAST(doc_id AS VARCHAR(20))) ELSE concat('doc-', CAST(doc_id AS VARCHAR(20))) END AS id,
             CASE WHEN doc_id % 20 = 5 THEN md5(concat('v2-', CAST(doc_id AS VARCHAR(20)))) ELSE md5(concat('v1-', CAST(doc_id AS VARCHAR(20)))) END AS sha
             FROM documents WHERE doc_id % 20 <> 11""",
         "md": """SELECT doc_id, 1 + doc_id % 5 AS pages,
-            concat_ws(chr(10), '4.1 Escopo geral do documento', '4.2 Premissas adotadas aqui', '4.3 Criterios de projeto usados', '4.5 Resultado final obtido', '20.6 MPa limite', '8.2 Estado limite geral ....... 30', '3.6 B8T codigo de material', 'x = 3.1 Valor escrito', text) AS src,
-            concat_ws(chr(10), '# Documento', '<!-- p.1 -->', '## 4.1 Escopo geral do documento', CASE WHEN doc_id % 3 = 0 THEN NULL ELSE '4.2 Premissas adotadas aqui' END, CASE WHEN doc_id % 4 = 0 THEN 'ver item 4.3, abaixo' ELSE '- 4.3 Criterios de projeto usados' END, '4.7 Resultado final obtido',
+            concat_ws(chr(10), '4.1 Escopo geral do documento', '4.2 Premissas adotadas aqui', '4.3 Criterios de projeto usados', '4.5 Resultado final obtido', '4.8\u00a0Anexo normativo geral', '4.9 Anexo informativo geral', '20.6 MPa limite', '8.2 Estado limite geral ....... 30', '3.6 B8T codigo de material', 'x = 3.1 Valor escrito', text) AS src,
+            concat_ws(chr(10), '# Documento', '<!-- p.1 -->', '## 4.1 Escopo geral do documento', CASE WHEN doc_id % 3 = 0 THEN NULL ELSE '4.2 Premissas adotadas aqui' END, CASE WHEN doc_id % 4 = 0 THEN 'ver item 4.3, abaixo' ELSE '- 4.3 Criterios de projeto usados' END, '4.7 Resultado final obtido', 'conforme 4.8\u2003anexo', CASE WHEN doc_id % 2 = 0 THEN '- 4.9\u00a0Anexo informativo geral' END,
             'texto supor-', '  tar a carga', 'O  fator   parcial', '| a  b |', CASE WHEN doc_id % 2 = 0 THEN '<!-- p.2 -->' END, CASE WHEN doc_id % 7 = 0 THEN 'Exclusive copy of someone' END, '', '', '',
             '<!-- formula 1 -->', CASE WHEN doc_id % 2 = 0 THEN '![formula](f1.png)' END, CASE WHEN doc_id % 5 = 0 THEN '`2 s q =`' ELSE '`a = b + c`' END, '3 Generalidades', text) AS md FROM documents""",
         "md_line": (

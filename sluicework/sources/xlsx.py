@@ -1,4 +1,4 @@
-"""Workbooks as rows: a Python data source over the zip's XML, and a sink for sheets and for a template's cells.
+"""Workbooks as rows: whole files read in tasks, and a sink for reports and for a template's cells. `workbooks` is the data source.
 
 Only the standard library is used. A sheet's row number in the file is kept, since order there has a meaning.
 """
