@@ -719,3 +719,27 @@ def q_page_lookup(spark, sf_dir):
 def q_capture_fold(spark, sf_dir):
     """Each user's points after all clicks, undos, redos and discards in order of time."""
     return capture.fold(frame(spark, sf_dir, "SELECT user_id AS session, event_id AS seq, ts AS at, event_type AS kind FROM events"))
+
+
+_KEPT_KIND = "CASE event_type WHEN 'click' THEN 'point' WHEN 'view' THEN 'undo' WHEN 'purchase' THEN 'redo' WHEN 'error' THEN 'discard' ELSE 'duplicate' END"
+
+
+@query(
+    "WITH RECURSIVE e AS (SELECT user_id AS session, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, event_id AS seq, " + _KEPT_KIND + " AS kind FROM events),"
+    " st AS (SELECT DISTINCT session, 0::BIGINT AS n, 0 AS stage, []::BIGINT[] AS done, []::BIGINT[] AS undone FROM e UNION ALL SELECT st.session, e.n, CASE kind WHEN 'duplicate' THEN 4 WHEN 'discard' THEN 0 ELSE stage END,"
+    " CASE WHEN kind IN ('duplicate', 'discard') THEN [] WHEN stage <> 4 THEN done WHEN kind = 'point' THEN list_append(done, seq) WHEN kind = 'undo' THEN done[:-2] WHEN kind = 'redo' AND len(undone) > 0 THEN list_append(done, undone[-1]) ELSE done END,"
+    " CASE WHEN kind IN ('duplicate', 'discard') THEN [] WHEN stage <> 4 THEN undone WHEN kind = 'point' THEN [] WHEN kind = 'undo' AND len(done) > 0 THEN list_append(undone, done[-1]) WHEN kind = 'redo' THEN undone[:-2] ELSE undone END"
+    " FROM st JOIN e ON e.session = st.session AND e.n = st.n + 1), z AS (SELECT session, max(n) AS events, arg_max(stage, n) AS stage, arg_max(done, n) AS done, arg_max(undone, n) AS undone FROM st GROUP BY session)"
+    " SELECT session, events, CAST(stage AS INT) AS stage, CAST(len(done) AS INT) AS points, CAST(len(undone) AS INT) AS undone, CAST(done[-1] AS DOUBLE) AS last_x FROM z"
+)
+def q_capture_kept(spark, sf_dir):
+    """Captures as state kept by key, over events that arrive in three runs of a stream; a duplicate starts a capture, a discard ends it."""
+    folder = scratch(spark)
+    order = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    events = frame(spark, sf_dir, "SELECT user_id, ts, event_id, event_type FROM events").withColumn("seq", order)
+    none = F.lit(None).cast("double")
+    rows = events.select(F.col("user_id").alias("session"), "seq", F.expr(_KEPT_KIND).alias("kind"), F.col("event_id").cast("double").alias("x"), F.lit(0.0).alias("y"), none.alias("a"), none.alias("b"), F.ntile(3).over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("run"))
+    for k in (1, 2, 3):
+        rows.where(F.col("run") == k).drop("run").write.mode("append").parquet(f"{folder}/events")
+        capture.caught_up(spark.readStream.schema(rows.drop("run").schema).parquet(f"{folder}/events"), folder)
+    return capture.latest(spark, folder).select("session", "events", "stage", "points", "undone", "last_x")

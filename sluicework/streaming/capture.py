@@ -1,13 +1,17 @@
-"""Capture sessions: points added, undone and redone, in order; as a batch fold and as a stateful stream."""
+"""Capture sessions: points added, undone and redone, in order; as a batch fold, as a stateful stream, and from calibration to locked curves as state kept by key."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
+
+from ..functions.shipping import ship
 
 #: What an event means; others do nothing.
 ADD, UNDO, REDO, DISCARD, LOCK = "click", "view", "purchase", "error", "signup"
@@ -130,3 +134,187 @@ def sessions(events: DataFrame) -> DataFrame:
         return pd.DataFrame({"session": [rows["session"].iloc[0]], "stage": [flow.stage], "axes": [len(flow.axes)], "points": [len(flow.points)], "locked": [len(flow.locked)], "errors": [",".join(flow.errors)]})
 
     return events.groupBy("session").applyInPandas(run, "session long, stage int, axes int, points int, locked int, errors string")
+
+
+# --- captures kept by key ------------------------------------------------------------------------------
+
+#: What an event does in a phase of a capture: idle, calibrating an axis (stages 1 to 3) or taking points; `any` holds in all. Others do nothing.
+EFFECTS = {
+    ("any", "start"): "begin", ("any", "free"): "begin_free", ("any", "duplicate"): "begin_again", ("any", "discard"): "drop",
+    ("calibrating", "axis"): "place", ("calibrating", "advance"): "calibrate", ("capturing", "advance"): "lock",
+    ("capturing", "point"): "add", ("capturing", "undo"): "undo", ("capturing", "redo"): "redo",
+}
+_POINT, _AXIS = "x double, y double", "x double, y double, a double, b double"
+_FLOW = "stage int, free boolean, placed boolean, x double, y double, a double, b double, locked int, errors string, events long, seen long"
+KEPT = "session long, events long, stage int, axes int, points int, undone int, locked int, errors string, last_x double, last_y double, expired boolean"
+
+
+def phase(stage: int) -> str:
+    return "calibrating" if 1 <= stage <= 3 else "capturing" if stage == 4 else "idle"
+
+
+class KeptCapture(StatefulProcessor):
+    """A session's capture as state of its own: a value for the stage and what is placed, lists for axes, points and what was undone.
+
+    A batch reads what it needs of a session and writes back the lists that it has changed. A session without events for `idle_ms` is given up by a timer: it is
+    told once more, as expired, and forgotten. Events of a session come in order from batch to batch, and in any order within one.
+    """
+
+    def __init__(self, idle_ms: int | None = None):
+        self.idle_ms = idle_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.flow = handle.getValueState("flow", _FLOW)
+        self.lists = {"axes": handle.getListState("axes", _AXIS), "points": handle.getListState("points", _POINT), "undone": handle.getListState("undone", _POINT)}
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        names = _names(_FLOW)
+        flow = dict(zip(names, self.flow.get(), strict=True)) if self.flow.exists() else dict(zip(names, (0, False, False, None, None, None, None, 0, "", 0, 0), strict=True))
+        held = {n: [tuple(t) for t in s.get()] if s.exists() else [] for n, s in self.lists.items()}
+        before = {n: list(v) for n, v in held.items()}
+        for r in pd.concat(list(rows)).sort_values("seq").itertuples():
+            flow["events"] += 1
+            effect = EFFECTS.get(("any", r.kind)) or EFFECTS.get((phase(flow["stage"]), r.kind))
+            if effect:
+                getattr(_Effects, effect)(flow, held, *(None if v != v else v for v in (r.x, r.y, r.a, r.b)))
+        if self.idle_ms is not None:
+            flow["seen"] = timerValues.getCurrentProcessingTimeInMs()
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(flow["seen"] + self.idle_ms)
+        self.flow.update(tuple(flow[n] for n in names))
+        for n, state in self.lists.items():
+            if held[n] != before[n]:
+                state.put(held[n]) if held[n] else state.clear()
+        yield self._told(key, flow, held, False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.flow.exists():
+            flow = dict(zip(_names(_FLOW), self.flow.get(), strict=True))
+            yield self._told(key, flow, {n: [tuple(t) for t in s.get()] if s.exists() else [] for n, s in self.lists.items()}, True)
+            self.flow.clear()
+            for state in self.lists.values():
+                state.clear()
+
+    def close(self) -> None:
+        pass
+
+    @staticmethod
+    def _told(key, flow: dict, held: dict, expired: bool) -> pd.DataFrame:
+        last = held["points"][-1] if held["points"] else (None, None)
+        values = (key[0], flow["events"], flow["stage"], len(held["axes"]), len(held["points"]), len(held["undone"]), flow["locked"], flow["errors"], *last, expired)
+        return pd.DataFrame([values], columns=_names(KEPT)).astype({"last_x": "float64", "last_y": "float64"})
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split(" ")[0] for c in schema.split(", ")]
+
+
+class _Effects:
+    """What EFFECTS names, on a session's value and lists."""
+
+    @staticmethod
+    def _begin(flow: dict, held: dict, stage: int, free: bool) -> None:
+        flow.update(stage=stage, free=free, placed=False)
+        held["points"], held["undone"] = [], []
+
+    @staticmethod
+    def begin(flow: dict, held: dict, *_) -> None:
+        _Effects._begin(flow, held, 1, False)
+        held["axes"] = []
+
+    @staticmethod
+    def begin_free(flow: dict, held: dict, *_) -> None:
+        _Effects._begin(flow, held, 1, True)
+        held["axes"] = []
+
+    @staticmethod
+    def begin_again(flow: dict, held: dict, *_) -> None:
+        _Effects._begin(flow, held, 4, False)
+
+    @staticmethod
+    def drop(flow: dict, held: dict, *_) -> None:
+        _Effects._begin(flow, held, 0, flow["free"])
+
+    @staticmethod
+    def place(flow: dict, held: dict, x, y, a, b) -> None:
+        """The second axis point has the first one's Y value, the third its X value, unless the session is free."""
+        first = held["axes"][0] if held["axes"] and not flow["free"] else None
+        if first is not None and flow["stage"] > 1:
+            a, b = (a, first[3]) if flow["stage"] == 2 else (first[2], a)
+        flow.update(placed=True, x=x, y=y, a=a, b=b)
+
+    @staticmethod
+    def calibrate(flow: dict, held: dict, *_) -> None:
+        """The placed point becomes an axis point; three in a line give no calibration."""
+        wrong = "" if flow["placed"] else "no point"
+        axes = [*held["axes"], tuple(flow[c] for c in "xyab")]
+        if not wrong and len(axes) == 3:
+            u, v = ((p[0] - axes[0][0], p[1] - axes[0][1]) for p in axes[1:])
+            wrong = "degenerate" if abs(u[0] * v[1] - v[0] * u[1]) < 1e-12 else ""
+        if wrong:
+            flow["errors"] = ",".join(filter(None, (flow["errors"], wrong)))
+            return
+        held["axes"] = axes
+        flow.update(placed=False, stage=flow["stage"] + 1)
+
+    @staticmethod
+    def lock(flow: dict, held: dict, *_) -> None:
+        flow.update(stage=0, locked=flow["locked"] + 1)
+        held["points"], held["undone"] = [], []
+
+    @staticmethod
+    def add(flow: dict, held: dict, x, y, *_) -> None:
+        held["points"], held["undone"] = [*held["points"], (x, y)], []
+
+    @staticmethod
+    def undo(flow: dict, held: dict, *_) -> None:
+        if held["points"]:
+            held["points"], held["undone"] = held["points"][:-1], [*held["undone"], held["points"][-1]]
+
+    @staticmethod
+    def redo(flow: dict, held: dict, *_) -> None:
+        if held["undone"]:
+            held["points"], held["undone"] = [*held["points"], held["undone"][-1]], held["undone"][:-1]
+
+
+def kept(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """(KEPT) of each session that a batch brings events of, and of each that is given up. events: a stream of session, seq, kind, x, y, a, b.
+
+    The state store must be one that holds lists and timers (`with_lists`).
+    """
+    ship(events.sparkSession)
+    rows = events.select(F.col("session").cast("long").alias("session"), F.col("seq").cast("long").alias("seq"), "kind", *(F.col(c).cast("double").alias(c) for c in "xyab"))
+    return rows.groupBy("session").transformWithStateInPandas(KeptCapture(idle_ms), KEPT, "Append", "None" if idle_ms is None else "ProcessingTime")
+
+
+#: Settings of streams that keep lists and timers. Without new events no batch is run for timers alone, which would go on for ever where a stream is to end.
+_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+
+
+@contextmanager
+def with_lists(spark: SparkSession) -> Iterator[None]:
+    """Streams started within keep their state where lists and timers can be held; the session's settings come back afterwards."""
+    before = {k: spark.conf.get(k, None) for k in _STORE}
+    for k, v in _STORE.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def caught_up(source: DataFrame, folder: str, idle_ms: int | None = None) -> None:
+    """Takes all events that are there and were not taken before into the folder's state, adding what sessions have become to its table; a run that failed is done again from its checkpoint."""
+    with with_lists(source.sparkSession):
+        writer = kept(source, idle_ms).writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+        writer.start(f"{folder}/told").awaitTermination()
+
+
+def latest(spark: SparkSession, folder: str) -> DataFrame:
+    """Each session as it was told last, by how many events it has had."""
+    told = spark.read.schema(KEPT).parquet(f"{folder}/told")
+    rest = [c for c in _names(KEPT) if c != "session"]
+    return told.groupBy("session").agg(F.max(F.struct("events", "expired", *(c for c in rest if c not in ("events", "expired")))).alias("s")).select("session", *(f"s.{c}" for c in rest))
