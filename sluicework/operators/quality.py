@@ -290,18 +290,28 @@ def front_matter(fields: dict[str, Column]) -> Column:
     return F.concat(F.lit("---\n"), *(F.concat(F.lit(f"{k}: "), value(c.cast("string")), F.lit("\n")) for k, c in fields.items()), F.lit("---\n"))
 
 
+#: Values of a front matter that stand for none (fixed values).
+EMPTY = ("", "null", "~", "''", '""')
+
+
+def front_head(md: Column) -> Column:
+    """The lines of a front matter at a text's begin; empty without one."""
+    return F.regexp_extract(md, r"(?s)\A---\n(.*?)---\n", 1)
+
+
+def _bare(head: Column, name: str) -> Column:
+    return F.regexp_extract(head, rf"(?m)^{name}:[ \t]*(.*?)[ \t]*$", 1)
+
+
 def front_values(md: Column, names: Sequence[str]) -> Column:
     """(name -> value) of a front matter at a text's begin; null for what is not there, empty or null."""
-    head = F.regexp_extract(md, r"(?s)\A---\n(.*?)---\n", 1)
-    read = lambda n: F.regexp_replace(F.regexp_extract(head, rf"(?m)^{n}:[ \t]*(.*?)[ \t]*$", 1), r"^'(.*)'$|^\"(.*)\"$", "$1$2")
-    bare = lambda n: F.regexp_extract(head, rf"(?m)^{n}:[ \t]*(.*?)[ \t]*$", 1)
-    return F.create_map(*(x for n in names for x in (F.lit(n), F.when(~bare(n).isin("", "null", "~", "''", '""'), read(n)))))
+    read = lambda h, n: F.when(~_bare(h, n).isin(*EMPTY), F.regexp_replace(_bare(h, n), r"^'(.*)'$|^\"(.*)\"$", "$1$2"))
+    return F.get(F.transform(F.array(front_head(md)), lambda h: F.create_map(*(x for n in names for x in (F.lit(n), read(h, n))))), F.lit(0))
 
 
 def front_missing(md: Column, names: Sequence[str]) -> Column:
-    """Names without a value; all of them where there is no front matter."""
-    held = front_values(md, names)
-    return F.filter(F.array(*map(F.lit, names)), lambda n: F.try_element_at(held, n).isNull())
+    """Names without a value; all of them where there is no front matter. The head is drawn from the text once, and each name is one pattern over it."""
+    return F.get(F.transform(F.array(front_head(md)), lambda h: F.array_compact(F.array(*(F.when(_bare(h, n).isin(*EMPTY), F.lit(n)) for n in names)))), F.lit(0))
 
 
 # --- verdict ----------------------------------------------------------------------------------------

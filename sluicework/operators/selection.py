@@ -29,18 +29,74 @@ class Criteria:
             raise ValueError("missing_npsh must be 'allow_with_warning' or 'reject'")
 
 
-#: Buckets over which pairs are spread.
+#: Buckets over which pairs are spread at least.
 SPREAD = 32
 #: A failure of an operating point is one of these; all numbers are null then.
 FAILURES = ("unreachable", "tangent", "invalid_speed", "no_efficiency", "inconsistent", "outside", "nothing_given", "no_crossing")
 
 
-def paired(a: DataFrame, b: DataFrame, key: str, buckets: int = SPREAD) -> DataFrame:
-    """Every row of a with every row of b, by an equi-join: a is copied to each bucket and b, dealt by its key, stands in one, so that work is spread evenly and no loop is nested."""
+#: Rows of b in a bucket, about.
+BUCKET_ROWS = 4_096
+
+
+def paired(a: DataFrame, b: DataFrame, key: str, buckets: int | None = None) -> DataFrame:
+    """Every row of a with every row of b, by an equi-join: a is copied to each bucket and b, dealt by its key, stands in one, so that work is spread evenly and no loop is nested. The buckets follow the count of b."""
+    buckets = buckets or max(SPREAD, -(-b.count() // BUCKET_ROWS))
     left = a.withColumn("_bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
     return left.join(b.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")), "_bucket").drop("_bucket")
 
 
+#: Requests, counted, that are sent to every task as they are; beyond, they are dealt to buckets of about so many.
+SENT_REQUESTS = 20_000
+
+
+def against(rows: DataFrame, requests: DataFrame, key: str, condition: Column, sent: int = SENT_REQUESTS) -> DataFrame:
+    """The pairs of rows and requests that meet a condition. Rows stay where they are dealt while the requests are few enough to be sent to all tasks; else both meet in buckets of requests, whose number follows their count."""
+    n = requests.count()
+    if n <= sent:
+        return rows.join(F.broadcast(requests), condition)
+    buckets = -(-n // sent)
+    left = rows.withColumn("_bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    right = requests.withColumn("_of", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    return left.join(right, (F.col("_bucket") == F.col("_of")) & condition).drop("_bucket", "_of")
+
+
+def exact_crossings(points: DataFrame, requests: DataFrame, static: str, k: str, tolerance: float = 1e-9, sent: int = SENT_REQUESTS) -> DataFrame:
+    """(unit_id, the requests' columns, found, crossings, q: the least, head, eta, npsh, note) for each unit and request: where the curve's segments meet static + k q^2, each within a tolerance of its segment.
+
+    Segments are rows, dealt by unit once. Few of them can hold a root of a request: those over which the difference changes its sign, or turns; the others are left out as the pairs are made, but for
+    a unit's first, which stands for pairs without a root. Roots are at most two a segment; of a quadratic's roots the larger in size comes from the sum that loses no digits, the other
+    from their product. What belongs to a pair is in one task already, so that nothing is shuffled by pair. A unit of one point has no crossings; null statics have none either.
+    """
+    spark, c = points.sparkSession, F.col
+    names = ("q", "h", "eta", "npsh")
+    own = points.select("unit_id", *(c(n).cast("double").alias(n) for n in names)).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "unit_id")
+    slope = (c("h1") - c("h")) / F.nullif(c("q1") - c("q"), F.lit(0.0))
+    segs = curves.segments(own, ["unit_id"], "q", names[1:]).where("q1 is not null or seg = 1").withColumn("_m", slope).withColumn("_c", c("h") - c("_m") * c("q"))
+    asked = requests.withColumns({"_static": c(static).cast("double"), "_k": c(k).cast("double")})
+    lo, hi, m, kk = c("q") - tolerance, c("q1") + tolerance, c("_m"), c("_k")
+    away = lambda x: F.signum(c("_static") + kk * x * x - c("_c") - m * x)
+    turns = (m - 2 * kk * lo) * (m - 2 * kk * hi) <= 0
+    pairs = against(segs, asked, "req_id", (c("seg") == 1) | (away(lo) * away(hi) <= 0) | turns, sent)
+    const = c("_static") - c("_c")
+    disc = m * m - 4 * kk * const
+    w = F.when(disc >= 0, (m + F.when(m < 0, -1.0).otherwise(1.0) * F.sqrt(F.greatest(disc, F.lit(0.0)))) / 2)
+    flat = F.abs(kk) < 1e-14
+    first = F.when(flat, F.when(F.abs(m) >= 1e-14, const / F.nullif(m, F.lit(0.0)))).otherwise(w / F.when(~flat, kk))
+    other = F.when(~flat, const / F.nullif(w, F.lit(0.0)))
+    rows = pairs.withColumns({"_first": first, "_other": other})
+    inside = lambda r: F.when((c(r) >= lo) & (c(r) <= hi), F.round(c(r), 10))
+    keep = ["unit_id", *requests.columns, "_static", "_k", *names, *(f"{n}1" for n in names)]
+    rows = rows.select(*keep, inside("_first").alias("_r1"), inside("_other").alias("_r2"))
+    rows = rows.select(*keep, F.explode(F.array("_r1", "_r2")).alias("_x"))
+    z = F.least(F.greatest(c("_x"), c("q")), c("q1"))
+    at = lambda y: curves.lerp(z, c("q"), c("q1"), c(y), c(f"{y}1")).alias(y)
+    hit = F.when(c("_x").isNotNull(), F.struct(c("_x").alias("x"), c("q").alias("q"), at("eta"), at("npsh")))
+    told = rows.groupBy("unit_id", *requests.columns, "_static", "_k").agg(F.count_distinct("_x").alias("n"), F.min(hit).alias("hit"))
+    note = F.when(c("n") == 0, "no crossing within the curve").when(c("n") > 1, F.concat(c("n").cast("string"), F.lit(" crossings; the one with the least flow"))).otherwise("")
+    return told.select("unit_id", *requests.columns, (c("n") > 0).alias("found"), c("n").alias("crossings"), c("hit.x").alias("q"), curves.system_head(c("hit.x"), c("_static"), kk).alias("head"), c("hit.eta").alias("eta"), c("hit.npsh").alias("npsh"), note.alias("note"))
+
+
 def as_arrays(points: DataFrame) -> DataFrame:
     """(unit_id, pts, segs): a curve as one row, its points in order and its segments as pairs a, b of them; a curve has some dozens."""
     rows = points.groupBy("unit_id").agg(F.array_sort(F.collect_list(F.struct(*(F.col(c).cast("double").alias(c) for c in ("q", "h", "eta", "npsh"))))).alias("pts"))

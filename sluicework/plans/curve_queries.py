@@ -67,9 +67,9 @@ def q_sign_changes(spark, sf_dir):
  SELECT unit_id, req_id, x IS NOT NULL AS found, CAST(coalesce(n, 0) AS BIGINT) AS crossings, round(x, 6) AS q, round(hstat + (href - hstat) * pow(x / qref, 2), 6) AS head, round(b.eta, 6) AS eta, round(b.npsh, 6) AS npsh,
  CASE WHEN n IS NULL THEN 'no crossing within the curve' WHEN n > 1 THEN concat(n, ' crossings; the one with the least flow') ELSE '' END AS note FROM unit CROSS JOIN request LEFT JOIN b USING (unit_id, req_id)""")
 def q_exact_intersections(spark, sf_dir):
-    """Roots of segment = system, for each unit and request; a curve is one row, and nothing is shuffled by pair."""
-    req = view(spark, sf_dir, "request").withColumn("k", (F.col("href") - F.col("hstat")) / F.pow("qref", F.lit(2.0)))
-    found = curves.exact_crossings(sel.paired(sel.as_arrays(view(spark, sf_dir, "curve_pt")), req, "req_id"), "hstat", "k")
+    """Roots of segment = system, for each unit and request; segments are rows, and nothing is shuffled by pair."""
+    req = view(spark, sf_dir, "request").select("req_id", "hstat", ((F.col("href") - F.col("hstat")) / F.pow("qref", F.lit(2.0))).alias("k"))
+    found = sel.exact_crossings(view(spark, sf_dir, "curve_pt"), req, "hstat", "k")
     return _r(found.select("unit_id", "req_id", "found", "crossings", "q", "head", "eta", "npsh", "note"), "q", "head", "eta", "npsh")
 
 
