@@ -104,17 +104,40 @@ def as_arrays(points: DataFrame) -> DataFrame:
     return curves.held(rows, segs=F.when(F.size("pts") >= 2, F.transform(F.sequence(F.lit(1), F.size("pts") - 1), pair)))
 
 
+def _duties(points: DataFrame, units: DataFrame | None, requests: DataFrame, sent: int = SENT_REQUESTS) -> DataFrame:
+    """Each unit's and each request's columns with _s: the first segment (a, b) over which the request's parabola through the origin crosses the unit's curve; null without one.
+
+    The segments are rows, dealt by unit once; those that the parabola crosses are found as pairs are made, and the first of a pair by its number. A unit's first segment
+    stands for pairs without one. Curves and units join by unit, where the pairs are already; requests are sent while they are few.
+    """
+    c = F.col
+    own = points.select("unit_id", *(c(n).cast("double").alias(n) for n in ("q", "h"))).repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), "unit_id")
+    segs = curves.segments(own, ["unit_id"], "q", ["h"]).where("q1 is not null or seg = 1")
+    asked = requests.select("req_id", (c("href") / (c("qref") * c("qref"))).alias("_c"))
+    side = lambda q, h: F.signum(c(h) - c("_c") * c(q) * c(q))
+    crossed = F.coalesce(side("q", "h") != side("q1", "h1"), F.lit(False))
+    pairs = against(segs, asked, "req_id", (c("seg") == 1) | crossed, sent).groupBy("unit_id", "req_id").agg(F.min(F.when(crossed, c("seg"))).alias("_seg"))
+    arrays = as_arrays(points)
+    curves_ = arrays.join(units, "unit_id") if units is not None else arrays
+    rows = pairs.join(curves_, "unit_id").join(F.broadcast(requests) if requests.count() <= sent else requests, "req_id")
+    return curves.held(rows, _s=F.get("segs", c("_seg") - 1)).drop("_seg", "pts", "segs")
+
+
 def _duty(rows: DataFrame) -> DataFrame:
     """rows (segs, qref, href) with p0, p1: the first segment over which the duty's parabola through the origin crosses the curve; null without one."""
     rows = curves.held(rows, _c=F.col("href") / (F.col("qref") * F.col("qref")))
     side = lambda p: F.signum(p["h"] - F.col("_c") * p["q"] * p["q"])
-    found = curves.held(rows, _s=F.get(F.filter("segs", lambda s: side(s["a"]) != side(s["b"])), F.lit(0)))
+    return _met(curves.held(rows, _s=F.get(F.filter("segs", lambda s: side(s["a"]) != side(s["b"])), F.lit(0))).drop("_c"))
+
+
+def _met(found: DataFrame) -> DataFrame:
+    """rows (_s, qref, href) with p0, p1, q_base and the failure."""
     found = found.withColumns({"p0": F.col("_s.a"), "p1": F.col("_s.b")})
     away = lambda p: F.col(f"{p}.h") - F.col("href") * F.pow(F.col(f"{p}.q") / F.col("qref"), F.lit(2.0))
     d0, d1, width = away("p0"), away("p1"), F.col("p1.q") - F.col("p0.q")
     found = curves.held(found, q_base=F.col("p0.q") + width * F.try_divide(d0, d0 - d1), _slope=F.abs(F.try_divide(d0 - d1, width)))
     failure = F.when(F.col("p0").isNull(), "unreachable").when(F.coalesce(F.col("_slope"), F.lit(0.0)) < 1e-14, "tangent").when(F.col("q_base") <= 0, "invalid_speed")
-    return found.withColumn("failure", failure).drop("_slope", "_s", "_c")
+    return found.withColumn("failure", failure).drop("_slope", "_s")
 
 
 def required_ratio(points: DataFrame, requests: DataFrame) -> DataFrame:
@@ -122,7 +145,7 @@ def required_ratio(points: DataFrame, requests: DataFrame) -> DataFrame:
 
     A curve is one row, so that units and requests are paired once each and nothing is shuffled by pair.
     """
-    rows = _duty(paired(as_arrays(points), requests.select("req_id", "qref", "href"), "req_id"))
+    rows = _met(_duties(points, None, requests.select("req_id", "qref", "href")))
     fine = F.col("failure").isNull()
     return rows.select("unit_id", "req_id", F.when(fine, F.col("qref") / F.col("q_base")).alias("ratio"), F.when(fine, F.col("q_base")).alias("q_base"), "failure")
 
@@ -138,7 +161,7 @@ def _at(rows: DataFrame) -> tuple[Column, Column, Column]:
 
 def operating_state(points: DataFrame, units: DataFrame, requests: DataFrame, criteria: Criteria) -> DataFrame:
     """Each unit at each request: speed, frequency, efficiency, powers, cavitation and flow against the best point; `failure` where it has no operating point, numbers being null then."""
-    rows = _duty(paired(as_arrays(points).join(units, "unit_id"), requests, "req_id"))
+    rows = _met(_duties(points, units, requests))
     rows = curves.held(rows, ratio=F.when(F.col("failure").isNull(), F.col("qref") / F.col("q_base")))
     s, r = hy.slip(F.col("poles"), F.col("base_freq"), F.col("base_speed")), F.col("ratio")
     _, eta, npsh = _at(rows)
