@@ -23,10 +23,11 @@ def write_atomic(spark: SparkSession, path: str, content: bytes) -> None:
         out.write(bytearray(content))
     finally:
         out.close()
-    if fs.exists(target):
-        fs.delete(target, False)
-    if not fs.rename(beside, target):
-        raise OSError(f"could not move {beside} to {target}")
+    over = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(over, 1)
+    how[0] = over.OVERWRITE  # in one step: there is no time without a file
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    files.rename(fs.makeQualified(beside), fs.makeQualified(target), how)
 
 
 def write_result(df: DataFrame, path: str) -> None:
