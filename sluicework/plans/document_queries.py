@@ -743,3 +743,10 @@ def q_capture_kept(spark, sf_dir):
         rows.where(F.col("run") == k).drop("run").write.mode("append").parquet(f"{folder}/events")
         capture.caught_up(spark.readStream.schema(rows.drop("run").schema).parquet(f"{folder}/events"), folder)
     return capture.latest(spark, folder).select("session", "events", "stage", "points", "undone", "last_x")
+
+
+@query("SELECT route, coalesce(lang, '?') AS lang, CAST(2 * grouping(route) + grouping(coalesce(lang, '?')) AS INT) AS level, CAST(count(*) AS BIGINT) AS n, CAST(sum(pages) AS BIGINT) AS pages FROM prev_row JOIN documents USING (doc_id) GROUP BY ROLLUP (route, coalesce(lang, '?'))")
+def q_route_rollup(spark, sf_dir):
+    """Documents and pages by route and language, by route, and in all; `level` tells a total from a group."""
+    rows = frame(spark, sf_dir, "SELECT p.route, coalesce(d.lang, '?') AS lang, p.pages FROM prev_row p JOIN documents d ON p.doc_id = d.doc_id")
+    return rows.rollup("route", "lang").agg(F.grouping_id().cast("int").alias("level"), F.count("*").alias("n"), F.sum("pages").alias("pages"))
