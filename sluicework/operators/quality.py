@@ -198,11 +198,15 @@ def time_limit(pages: Column) -> Column:
     return F.greatest(F.lit(300).cast("long"), 30 * pages + 120)
 
 
-def integrity(code: Column, said: Column) -> Column:
-    """What a verifier found: `ok`, `avisos: ...`, `erro: ...` with its first message (120 characters) and how many more warnings there were, or `nao_verificado`."""
+def integrity(code: Column, said: Column, path: Column | None = None) -> Column:
+    """What a verifier found: `ok`, `avisos: ...`, `erro: ...` with its first message (120 characters, without the file's path) and how many more warnings there were, or `nao_verificado`."""
     told = F.transform(F.filter(lines_of(F.coalesce(said, F.lit(""))), lambda x: F.regexp_like(x, F.lit("(?i)error|warning"))), strip)
     more = F.size(F.filter(told, lambda x: F.regexp_like(x, F.lit("(?i)warning")))) - 1
-    message = F.concat(F.coalesce(F.get(told, F.lit(0)), F.lit("")), F.when(more > 0, F.concat(F.lit(" (+"), more.cast("string"), F.lit(" avisos)"))).otherwise(""))
+    first = F.coalesce(F.get(told, F.lit(0)), F.lit(""))
+    if path is not None:
+        literal = F.concat(F.lit(r"\Q"), F.replace(path, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E:?[\s\x1c-\x1f]*"))
+        first = F.when(F.coalesce(path, F.lit("")) == "", first).otherwise(F.regexp_replace(first, literal, F.lit("")))
+    message = F.concat(first, F.when(more > 0, F.concat(F.lit(" (+"), more.cast("string"), F.lit(" avisos)"))).otherwise(""))
     shown_ = F.left(message, F.lit(120))
     wrong = F.when(shown_ != "", shown_).otherwise(F.concat(F.lit("rc="), code.cast("string")))
     return F.when(code.isNull(), "nao_verificado").when(code == 0, "ok").when(code == 3, F.concat(F.lit("avisos: "), shown_)).otherwise(F.concat(F.lit("erro: "), wrong))
@@ -283,11 +287,77 @@ def coverage(md: Column, source: Column, removed: Sequence[str] = ()) -> tuple[C
 # --- front matter -----------------------------------------------------------------------------------
 
 
-def front_matter(fields: dict[str, Column]) -> Column:
-    """A block of `name: value` lines between dashes; what could be read as something else is quoted, null stays null."""
-    plain = r"^[\p{L}_][\p{L}\p{N}_ ./()+-]*$"
-    value = lambda c: F.when(c.isNull(), "null").when(F.regexp_like(c, F.lit(plain)) & ~F.lower(c).isin("null", "true", "false", "yes", "no", "on", "off", "n/a") & ~F.endswith(c, F.lit(" ")) | F.regexp_like(c, F.lit(r"^\d+$")), c).otherwise(F.concat(F.lit("'"), F.replace(c, F.lit("'"), F.lit("''")), F.lit("'")))
-    return F.concat(F.lit("---\n"), *(F.concat(F.lit(f"{k}: "), value(c.cast("string")), F.lit("\n")) for k, c in fields.items()), F.lit("---\n"))
+#: Texts that a reader takes, or may take, for something else than a text: null, truth, numbers, dates and marks (fixed values).
+_OTHER = (
+    r"^(?:~|null|Null|NULL|yes|Yes|YES|no|No|NO|true|True|TRUE|false|False|FALSE|on|On|ON|off|Off|OFF|<<|=|n/a)$"
+    r"|^[-+]?(?:0b[0-1_]+|0[0-7_]+|0|[1-9][0-9_]*|0x[0-9a-fA-F_]+|[1-9][0-9_]*(?::[0-5]?[0-9])+)$"
+    r"|^(?:[-+]?[0-9][0-9_]*\.[0-9_]*(?:[eE][-+][0-9]+)?|\.[0-9][0-9_]*(?:[eE][-+][0-9]+)?|[-+]?[0-9][0-9_]*(?::[0-5]?[0-9])+\.[0-9_]*|[-+]?\.(?:inf|Inf|INF)|\.(?:nan|NaN|NAN))$"
+    r"|^\d{4}-\d\d?-\d\d?(?:(?:[Tt]|[ \t]+)\d\d?:\d\d:\d\d(?:\.\d*)?(?:[ \t]*(?:Z|[-+]\d\d?(?::\d\d)?))?)?$"
+)
+#: Texts with a sign that would begin or end something (fixed values).
+_SIGNS = r"^[\s,\[\]{}#&*!|>'\"%@`]|^[-?:](?:\s|$)|^---|^\.\.\.|:(?:\s|$)|\s#|\s$"
+
+
+def yaml_text(c: Column) -> Column:
+    """A text as a value on a line: as it is where it reads as that text, else between quotes; breaks and control characters are escaped."""
+    odd = F.regexp_like(c, F.lit(rf"[\x00-\x1f\x7f-\x9f\x{{2028}}\x{{2029}}\x{{feff}}]"))
+    escaped = F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+    for ch in "\x7f\x85\u2028\u2029\ufeff":
+        escaped = F.replace(escaped, F.lit(ch), F.lit(f"\\u{ord(ch):04x}"))
+    single = F.concat(F.lit("'"), F.replace(c, F.lit("'"), F.lit("''")), F.lit("'"))
+    return F.when(c.isNull(), "null").when(odd, escaped).when((c == "") | F.regexp_like(c, F.lit(_OTHER)) | F.regexp_like(c, F.lit(_SIGNS)), single).otherwise(c)
+
+
+#: Fields of a front matter that are numbers (fixed values).
+FRONT_NUMBERS = ("ano", "paginas")
+
+
+def front_matter(fields: dict[str, Column], numbers: Sequence[str] = FRONT_NUMBERS) -> Column:
+    """A block of `name: value` lines between dashes; texts that could be read as something else are quoted, null stays null. numbers: names whose values are numbers."""
+    value = lambda k, c: F.coalesce(c.cast("string"), F.lit("null")) if k in numbers else yaml_text(c.cast("string"))
+    return F.concat(F.lit("---\n"), *(F.concat(F.lit(f"{k}: "), value(k, c), F.lit("\n")) for k, c in fields.items()), F.lit("---\n"))
+
+
+def front_fields(rows: DataFrame) -> dict[str, Column]:
+    """The twelve fields of a document's front matter, by name and in order; those of a curator win.
+
+    rows: id, status_doc, idioma_ocr, rota_efetiva, arquivo_origem, sha256_origem, paginas, conf_ocr_media, and the curator's c_emissor, c_codigo, c_ano, c_idioma, c_titulo where there are any.
+    """
+    c = F.col
+    curated = lambda n: F.nullif(c(f"c_{n}").cast("string"), F.lit("")) if f"c_{n}" in rows.columns else F.lit(None).cast("string")
+    issuer, code, year = tx.id_parts(c("id"))
+    return {
+        "id": c("id"), "emissor": F.coalesce(curated("emissor"), issuer), "codigo": F.coalesce(curated("codigo"), code), "ano": F.coalesce(curated("ano"), year).try_cast("int"),
+        "status": F.coalesce(F.nullif(c("status_doc"), F.lit("")), F.lit("nao_declarado")), "idioma": document_language(c("id"), c("idioma_ocr"), c("c_idioma") if "c_idioma" in rows.columns else F.lit(None).cast("string")),
+        "titulo": F.coalesce(curated("titulo"), tx.title(c("id"))), "rota": c("rota_efetiva"), "origem": c("arquivo_origem"), "origem_sha256": c("sha256_origem"),
+        "paginas": F.coalesce(c("paginas").try_cast("int"), F.lit(0)), "confianca_ocr": F.coalesce(F.nullif(c("conf_ocr_media"), F.lit("")), F.lit("n/a")),
+    }
+
+
+def with_metadata(rows: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """rows with the last stage's result: final (the text under its front matter), state, summary and warning.
+
+    rows: what `front_fields` reads, md and st_limpeza. A text that has not been cleaned waits; one without a page's anchor fails; neither has a final text.
+    """
+    c = F.col
+    fields = front_fields(rows)
+    marked = held(rows, _marked=F.size(anchors(c("md"))), _pages=fields["paginas"], _status=fields["status"])
+    share = c("_marked") / F.greatest(c("_pages"), F.lit(1))
+    waits = (F.coalesce(c("st_limpeza"), F.lit("")) != "ok") | c("md").isNull()
+    untitled = F.nullif(c("c_titulo"), F.lit("")).isNull() if "c_titulo" in rows.columns else F.lit(True)
+    warnings = [
+        F.when(share < limits.anchors, F.concat((c("_pages") - c("_marked")).cast("string"), F.lit(" paginas sem ancora"))),
+        F.when(c("_status") == "nao_declarado", F.lit("status nao declarado: ponha `status` no override")), F.when(untitled, F.lit("titulo derivado do nome do arquivo: ponha `titulo` no override")),
+    ]
+    ok = ~waits & (c("_marked") > 0)
+    text = F.concat(front_matter(fields), F.lit("\n"), F.regexp_replace(c("md"), r"(?U)^[\s\x1c-\x1f]+", ""))
+    summary = F.concat(c("_marked").cast("string"), F.lit("/"), c("_pages").cast("string"), F.lit(" paginas com ancora ("), F.bround(share * 100).cast("long").cast("string"), F.lit("%), status "), c("_status"))
+    none = "documento sem ancora <!-- p.N -->: sem rastreabilidade norma -> item -> pagina"
+    done = {
+        "final": F.when(ok, text), "state": F.when(waits, "pendente").when(ok, "ok").otherwise("falhou"), "summary": F.when(ok, summary).otherwise(""),
+        "warning": F.when(waits, "aguarda limpar (etapa 5)").when(ok, F.array_join(F.array_compact(F.array(*warnings)), "; ")).otherwise(none),
+    }
+    return marked.withColumns(done).drop("_marked", "_pages", "_status")
 
 
 #: Values of a front matter that stand for none (fixed values).
@@ -320,8 +390,34 @@ def front_missing(md: Column, names: Sequence[str]) -> Column:
 JUDGED = ("md", "source", "route", "extras", "pages", "confidence", "table_state", "tables", "low_tables", "layout_tables", "status")
 
 
-def judge(docs: DataFrame, removed: Sequence[str] = (), blocks: Sequence[str] = (), limits: Limits = Limits()) -> DataFrame:
-    """docs with verdict, rejects and reviews (arrays of codes), coverage (3 places) and lost (the first 20 lost items).
+#: What a code says to its reader, with how many there are and the first of them (fixed values).
+MESSAGES = {
+    "no_source": "pdftotext nao devolveu texto do PDF de entrada", "coverage": "cobertura de texto {} < {}", "lost_items": "{} item(ns) do PDF ausentes no corpus: {}", "blocked": "texto bloqueado no corpus: {}",
+    "no_anchor": "sem ancora <!-- p.N -->", "front_matter": "front-matter incompleto: {}", "no_tables": "rota F sem tabela extraida (etapa 4)", "gaps": "{} lacuna(s) na numeracao do corpus: {}",
+    "fragmented": "numeracao do corpus muito fragmentada ({} lacunas): provavel ruido de OCR na numeracao", "unpictured": "{} de {} formulas sem recorte fiel",
+    "scrambled": "{} de {} formulas com ordem de leitura suspeita ({}): confira pelos recortes", "anchors": "{} pagina(s) sem ancora", "uncurated": "front-matter sem {}: preencha no override",
+    "confidence": "confianca media de OCR {} < {}", "low_tables": "{} tabela(s) com acuracia < {}: {}", "fewer_tables": "Docling viu {} tabelas, o Camelot extraiu {}", "no_status": "status do documento nao declarado no override",
+}
+
+
+def message(name: str, *values: Column | str | float) -> Column:
+    """A code's message with its values put in."""
+    parts = MESSAGES[name].split("{}")
+    cells = [v.cast("string") if isinstance(v, Column) else F.lit(f"{v:g}" if isinstance(v, float) else v) for v in values]
+    return F.concat(F.lit(parts[0]), *(x for v, p in zip(cells, parts[1:], strict=True) for x in (v, F.lit(p))))
+
+
+def quoted(c: Column) -> Column:
+    """A text between quotes: double ones where it holds a single one and no double one; breaks, tabs and backslashes are escaped."""
+    plain = F.replace(c, F.lit("\\"), F.lit("\\\\"))
+    for ch, told in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        plain = F.replace(plain, F.lit(ch), F.lit(told))
+    double = F.contains(c, F.lit("'")) & ~F.contains(c, F.lit('"'))
+    return F.when(double, F.concat(F.lit('"'), plain, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(plain, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+
+def judge(docs: DataFrame, removed: Sequence[str] = (), blocks: Sequence[str] = (), limits: Limits = Limits(), messages: bool = False) -> DataFrame:
+    """docs with verdict, rejects and reviews (arrays of codes), coverage (3 places) and lost (the first 20 lost items); with messages also reject_notes and review_notes, what each code says.
 
     docs: JUDGED, where extras are joined by +, low_tables is an array of tables below the accuracy asked for, and tables is a text.
     Lost items reject documents with native text; where the numbering itself was recognised they call for review.
@@ -329,7 +425,7 @@ def judge(docs: DataFrame, removed: Sequence[str] = (), blocks: Sequence[str] =
     c = F.col
     _, wanted = coverage(c("md"), c("source"), [*removed, *blocks])
     total, pictured, scrambled = formulas(c("md"))
-    rows = held(docs, _wanted=wanted, _characters=characters(c("md")), _items=items(c("md")), _lost=lost_items(c("md"), c("source")), _total=total, _pictured=pictured, _scrambled=scrambled, _anchors=F.size(anchors(c("md"))), _front=F.size(front_missing(c("md"), FRONT)), _curated=F.size(front_missing(c("md"), CURATED)), _blocked=F.size(blocked(c("md"), blocks)))
+    rows = held(docs, _wanted=wanted, _characters=characters(c("md")), _items=items(c("md")), _lost=lost_items(c("md"), c("source")), _total=total, _pictured=pictured, _scrambled=scrambled, _anchors=F.size(anchors(c("md"))), _front=front_missing(c("md"), FRONT), _curated=front_missing(c("md"), CURATED), _blocked=blocked(c("md"), blocks))
     rows = held(rows, _gaps=missing_numbers(c("_items")), _share=F.when(c("_wanted") > 0, c("_characters") / c("_wanted")).otherwise(F.lit(0.0)))
     lost, native, scanned = F.size("_lost") > 0, c("route").isin("A", "B"), c("route").isin(*SCANNED)
     with_tables = F.array_contains(F.split(F.coalesce("extras", F.lit("")), r"\+"), "F")
@@ -338,18 +434,28 @@ def judge(docs: DataFrame, removed: Sequence[str] = (), blocks: Sequence[str] =
     told = F.expr("try_cast(confidence AS DOUBLE)")
     code = lambda test, name: F.when(F.coalesce(test, F.lit(False)), F.lit(name))
     rejects = [
-        code(c("_wanted") == 0, "no_source"), code((c("_wanted") > 0) & (c("_share") < limits.coverage), "coverage"), code(lost & native, "lost_items"), code(c("_blocked") > 0, "blocked"),
-        code(c("_anchors") == 0, "no_anchor"), code(c("_front") > 0, "front_matter"), code(with_tables & no_tables, "no_tables"),
+        code(c("_wanted") == 0, "no_source"), code((c("_wanted") > 0) & (c("_share") < limits.coverage), "coverage"), code(lost & native, "lost_items"), code(F.size("_blocked") > 0, "blocked"),
+        code(c("_anchors") == 0, "no_anchor"), code(F.size("_front") > 0, "front_matter"), code(with_tables & no_tables, "no_tables"),
     ]
     reviews = [
         code(lost & ~native, "lost_items"), code((F.size("_gaps") > 0) & (F.size("_gaps") <= limits.fragments), "gaps"), code(F.size("_gaps") > limits.fragments, "fragmented"),
         code(c("_pictured") < c("_total"), "unpictured"), code((c("_total") > 0) & (c("_scrambled") / F.greatest(c("_total"), F.lit(1)) > limits.scrambled), "scrambled"),
-        code((c("_anchors") > 0) & (c("pages") > 0) & (c("_anchors") / F.greatest(c("pages"), F.lit(1)) < limits.anchors), "anchors"), code(c("_curated") > 0, "uncurated"),
+        code((c("_anchors") > 0) & (c("pages") > 0) & (c("_anchors") / F.greatest(c("pages"), F.lit(1)) < limits.anchors), "anchors"), code(F.size("_curated") > 0, "uncurated"),
         code(scanned & (told < limits.confidence), "confidence"), code(with_tables & ~no_tables & (F.size("low_tables") > 0), "low_tables"),
         code((c("layout_tables") > 0) & (c("table_state") == "ok") & (number < c("layout_tables")), "fewer_tables"), code(F.coalesce("status", F.lit("")).isin("", "nao_declarado"), "no_status"),
     ]
     rows = held(rows, rejects=F.array_compact(F.array(*rejects)), reviews=F.array_compact(F.array(*reviews)), coverage=F.bround("_share", 3), lost=F.slice("_lost", 1, 20))
     rows = rows.withColumn("verdict", F.when(F.size("rejects") > 0, "reprovado").when(F.size("reviews") > 0, "revisar").otherwise("aprovado"))
+    if messages:
+        whole = lambda x: F.concat(F.bround(x * 100).cast("long").cast("string"), F.lit("%"))
+        said = {
+            "coverage": (F.concat(F.format_string("%.1f", c("_share") * 100), F.lit("%")), f"{limits.coverage:.0%}"), "lost_items": (F.size("_lost"), shown(c("_lost"), 8)), "blocked": (F.array_join(F.transform("_blocked", quoted), ", "),),
+            "front_matter": (F.array_join("_front", ", "),), "gaps": (F.size("_gaps"), shown(c("_gaps"), 8)), "fragmented": (F.size("_gaps"),), "unpictured": (c("_total") - c("_pictured"), c("_total")),
+            "scrambled": (c("_scrambled"), c("_total"), whole(c("_scrambled") / F.greatest(c("_total"), F.lit(1)))), "anchors": (c("pages") - c("_anchors"),), "uncurated": (F.array_join("_curated", ", "),),
+            "confidence": (F.bround(told).cast("long"), f"{limits.confidence:.0f}"), "low_tables": (F.size("low_tables"), limits.accuracy, F.array_join(F.slice("low_tables", 1, 5), ", ")), "fewer_tables": (c("layout_tables"), number),
+        }
+        table = F.create_map(*(x for n in MESSAGES for x in (F.lit(n), message(n, *said.get(n, ())))))
+        rows = held(rows, _said=table).withColumns({f"{k}_notes": F.transform(f"{k}s", lambda n: F.try_element_at(F.col("_said"), n)) for k in ("reject", "review")})
     return rows.drop(*(n for n in rows.columns if n.startswith("_")))
 
 

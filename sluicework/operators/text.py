@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.decomposed import ascii_folded
+
 #: Stop words of the three languages (fixed values); tokens have three letters or more, so that shorter ones never count.
 STOPWORDS = (
     "de", "da", "do", "das", "dos", "que", "para", "com", "ser", "uma", "nao", "por", "como", "deve", "devem",
@@ -22,12 +24,11 @@ QUALIFIERS = {"PROJETO": "projeto", "CANCELADA": "cancelada", "PT": "traducao",
 ANCHOR = r"<!-- p\.(\d+) -->"
 ITEM = r"(?U)^(?:#{1,6}[\s\x1c-\x1f]+|[-*][\s\x1c-\x1f]+)?([1-9]\d?(?:\.\d{1,3})+)[\s\x1c-\x1f]+([A-ZÀ-ÖØ-Ý][^\s\x1c-\x1f]*)"
 HEADING = r"(?U)^(?:[-*][\s\x1c-\x1f]+)?([1-9]\d?(?:\.\d{1,3})*)[\s\x1c-\x1f]+([A-ZÀ-ÖØ-Ý][^=]{0,199})$"
-_ACCENTED, _PLAIN = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
 
 
 def plain(c: Column) -> Column:
-    """Latin letters without their accents; what has no plain letter goes."""
-    return F.regexp_replace(F.translate(c, _ACCENTED, _PLAIN), r"[^\x00-\x7F]", "")
+    """What of a text's compatibility decomposition is ASCII: letters without accents, ligatures and forms taken apart."""
+    return ascii_folded(c)
 
 
 def slug(c: Column) -> Column:
@@ -41,9 +42,9 @@ def file_slug(c: Column, default: str = "file", most: int = 80) -> Column:
     return F.when(s == "", default).otherwise(F.coalesce(s, F.lit(default)))
 
 
-def safe_name(c: Column, default: str = "report") -> Column:
-    """A name that every file system takes."""
-    s = F.regexp_replace(F.regexp_replace(F.trim(c), r"[^A-Za-z0-9._-]+", "_"), r"^[._]+|[._]+$", "")
+def safe_name(c: Column, default: str = "selecao") -> Column:
+    """A file's name that every file system takes: without accents, runs of other characters are a dash, none nor underscores at the ends."""
+    s = F.regexp_replace(F.regexp_replace(plain(c), r"[^A-Za-z0-9._-]+", "-"), r"^[-_]+|[-_]+$", "")
     return F.when(F.coalesce(s, F.lit("")) == "", default).otherwise(s)
 
 

@@ -120,7 +120,9 @@ def q_image_pick(spark, sf_dir):
 
 # --- ids ------------------------------------------------------------------------------------------
 
-_ACCENT = f"translate({{0}}, '{tx._ACCENTED}', '{tx._PLAIN}')"
+#: Accented letters of the corpus's languages, for the SQL alone (fixed values).
+_ACCENTED, _PLAIN = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
+_ACCENT = f"translate({{0}}, '{_ACCENTED}', '{_PLAIN}')"
 _SLUG = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(" + _ACCENT.format("text") + ", '[^\\x00-\\x7F]', '', 'g'), '[^A-Za-z0-9.]+', '-', 'g'), '-{2,}', '-', 'g'), '\\.{2,}', '.', 'g'), '^[-.]+|[-.]+$', '', 'g')"
 
 

@@ -79,3 +79,22 @@ def rename_log(plan: DataFrame, partial: DataFrame) -> DataFrame:
     moved = plan.select(F.struct(F.lit(1).alias("part"), F.lpad(c("pos").cast("string"), 20, "0").alias("at")).alias("place"), row(c("status"), c("source"), c("target"), c("sha")).alias("line"))
     aside = partial.select(F.struct(F.lit(2).alias("part"), c("path").alias("at")).alias("place"), row(F.lit("DOWNLOAD_PARCIAL"), c("path"), c("target"), F.lit("")).alias("line"))
     return head.unionByName(moved).unionByName(aside)
+
+
+def _cell(c: Column) -> Column:
+    """A cell of a delimited file: between quotes where it holds a comma, a quote or a break."""
+    text = F.coalesce(c.cast("string"), F.lit(""))
+    return F.when(F.regexp_like(text, F.lit('[,"\r\n]')), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
+
+
+def write_manifest(rows: DataFrame, folder: str, file: str = "arquivo_origem", key: str = "id", parts: int | None = None) -> None:
+    """A manifest as one file cut into parts: put one behind the other in order of names, they are a delimited file with a mark, one header and CRLF, by file whatever its case, then id.
+
+    Rows are cut by ranges and sorted within them; the header is the least row, so that it begins the first part. A manifest without rows is its header.
+    """
+    header = "\ufeff" + ",".join('"' + n.replace('"', '""') + '"' if any(x in n for x in ',"\r\n') else n for n in rows.columns)
+    # the files' lower case, as the order of Unicode has it, is that of its bytes
+    lines = rows.select(F.lit(1).alias("part"), F.lower(F.coalesce(F.col(file), F.lit(""))).alias("at"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("key"), F.concat_ws(",", *(_cell(F.col(f"`{n}`")) for n in rows.columns)).alias("value"))
+    first = rows.sparkSession.range(1).select(F.lit(0).alias("part"), F.lit("").alias("at"), F.lit("").alias("key"), F.lit(header).alias("value"))
+    ordered = first.unionByName(lines).repartitionByRange(*([parts] if parts else []), "part", "at", "key").sortWithinPartitions("part", "at", "key")
+    ordered.select("value").write.mode("overwrite").option("lineSep", "\r\n").text(folder)
