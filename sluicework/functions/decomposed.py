@@ -33,11 +33,12 @@ def _class(chars: str) -> str:
 def ascii_folded(c: Column) -> Column:
     """The ASCII characters of a text's compatibility decomposition (NFKD), in order; what has none goes. Null stays null.
 
-    Characters that become one are exchanged at once; only texts with those that become several are looked at character by character.
+    Texts of ASCII alone stay as they are; characters that become one are exchanged at once; only a text in which others are left after that is looked at character by character.
     """
     (of, to), several = _table()
     singles = F.translate(c, of, to)
+    left = F.regexp_replace(singles, r"[\x00-\x7F]+", "")
     table = F.from_json(F.lit(json.dumps(several)), "map<string,string>")
     spread = F.array_join(F.transform(F.split(singles, ""), lambda x: F.when(x < "\x80", x).otherwise(F.coalesce(F.try_element_at(table, x), F.lit("")))), "")
-    hit = F.regexp_like(singles, F.lit(_class("".join(several))))
-    return F.when(hit, spread).otherwise(F.regexp_replace(singles, r"[^\x00-\x7F]", ""))
+    mixed = F.when(F.regexp_like(left, F.lit(_class("".join(several)))), spread).otherwise(F.regexp_replace(singles, r"[^\x00-\x7F]+", ""))
+    return F.when(F.regexp_like(c, F.lit(r"[^\x00-\x7F]")), mixed).otherwise(c)
