@@ -1,25 +1,30 @@
-"""The synthetic bank of units: three makers by seven sizes, each a curve of 31 points, generated by formula."""
+"""The synthetic bank of units: makers (three fixed ones, or those of a table) by seven sizes, each a curve of 31 points, generated by formula."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .adapters import ETA_SHIFTS, ETAS, FLOW_SCALES, FLOWS, HEAD_SCALES, HEADS, SPEED_SHIFTS, ladder
+from .adapters import ETA_SHIFTS, ETAS, FLOW_SCALES, FLOWS, HEAD_SCALES, HEADS, SPEED_SHIFTS, ladder, pick
 
 #: Makers in order, and the units that have no cavitation data (fixed values).
 MAKERS = (("AquaNova", "AN"), ("HidroVale", "HV"), ("Fluxora", "FX"))
 WITHOUT_NPSH = ("AN-002", "FX-006")
 
 
-def units(spark: SparkSession) -> DataFrame:
-    """One row for each unit, in the columns that the selection takes."""
-    rows = [
-        (f"{prefix}-{i:03d}", maker, i, FLOWS[i - 1] * FLOW_SCALES[m], HEADS[i - 1] * HEAD_SCALES[m], min(0.86, ETAS[i - 1] + ETA_SHIFTS[m]), ETA_SHIFTS[m], SPEED_SHIFTS[m])
-        for m, (maker, prefix) in enumerate(MAKERS)
-        for i in range(1, 8)
-    ]
-    base = spark.createDataFrame(rows, "unit_id string, maker string, size int, qbep double, hbep double, etabep double, eta_shift double, speed_shift double")
+def makers(spark: SparkSession) -> DataFrame:
+    """(maker, prefix, m) of the three fixed makers; m picks a maker's scales."""
+    return spark.createDataFrame([(name, prefix, m) for m, (name, prefix) in enumerate(MAKERS)], "maker string, prefix string, m int")
+
+
+def units(spark: SparkSession, of: DataFrame | None = None) -> DataFrame:
+    """One row for each unit, in the columns that the selection takes: seven sizes of each maker of `of` (maker, prefix, m), the three fixed ones if none are given."""
+    sized = (makers(spark) if of is None else of).select("maker", "prefix", "m", F.explode(F.sequence(F.lit(1), F.lit(len(FLOWS)))).alias("size"))
+    value = lambda by_size, by_maker, op: F.expr(f"({pick('size - 1', by_size)}) {op} ({pick('m', by_maker)})")
+    base = sized.select(
+        F.concat("prefix", F.lit("-"), F.lpad(F.col("size").cast("string"), 3, "0")).alias("unit_id"), "maker", "size", value(FLOWS, FLOW_SCALES, "*").alias("qbep"), value(HEADS, HEAD_SCALES, "*").alias("hbep"),
+        F.least(F.lit(0.86), value(ETAS, ETA_SHIFTS, "+")).alias("etabep"), F.expr(pick("m", ETA_SHIFTS)).alias("eta_shift"), F.expr(pick("m", SPEED_SHIFTS)).alias("speed_shift"),
+    )
     poles = F.when(F.col("size") <= 2, 2).otherwise(4)
     power = "(1e-3 * qbep * 0.9978e0 * 9.80665e0 * hbep / etabep)"
     return base.select(

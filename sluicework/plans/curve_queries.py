@@ -395,8 +395,10 @@ def q_unit_join(spark, sf_dir):
     return _r(view(spark, sf_dir, "curve_pt").join(view(spark, sf_dir, "unit").select("unit_id", "maker"), "unit_id").groupBy("unit_id", "maker").agg(F.count("*").alias("points"), F.max("h").alias("shutoff")), "shutoff")
 
 
+#: Suppliers as makers, each with the scales of one of the fixed three.
+_MAKERS = "SELECT s_name AS maker, concat('S', CAST(s_suppkey AS VARCHAR(12))) AS prefix, CAST(s_suppkey % 3 AS INT) AS m FROM supplier"
 _BANK = (
-    "WITH m AS (SELECT * FROM (VALUES " + ", ".join(f"({m}, '{p}', '{n}')" for m, (n, p) in enumerate(bank.MAKERS)) + ") AS t(m, prefix, maker)), z AS (SELECT unnest(range(7)) AS k), "
+    f"WITH m AS ({_MAKERS}), z AS (SELECT unnest(range(7)) AS k), "
     + f"b AS (SELECT concat(prefix, '-00', k + 1) AS unit_id, maker, k, {pick('k', FLOWS)} * {pick('m', FLOW_SCALES)} AS qbep, {pick('k', HEADS)} * {pick('m', HEAD_SCALES)} AS hbep, least(0.86e0, {pick('k', ETAS)} + {pick('m', ETA_SHIFTS)}) AS etabep, {pick('m', ETA_SHIFTS)} AS shift FROM m CROSS JOIN z), "
     + f"u AS (SELECT *, {ladder('(1e-3 * qbep * 0.9978e0 * 9.80665e0 * hbep / etabep)')} AS motor_kw, round(least(0.95e0, 0.8e0 + (k + 1) * 0.018e0 + shift / 2e0), 4) AS motor_eff FROM b), "
     + "p AS (SELECT unit_id, round(qbep * (i * 0.05e0), 6) AS q, round(hbep * (1.35e0 - 0.35e0 * (i * 0.05e0) * (i * 0.05e0)), 6) AS h, etabep * greatest(0e0, 1e0 - (i * 0.05e0 - 1e0) * (i * 0.05e0 - 1e0)) AS eta FROM u CROSS JOIN (SELECT unnest(range(31)) AS i)) "
@@ -405,8 +407,8 @@ _BANK = (
 
 @query(_BANK + "SELECT u.unit_id, maker, round(motor_kw, 4) AS motor_kw, round(motor_eff, 3) AS motor_eff, CAST(count(*) AS BIGINT) AS points, round(sum(q), 3) AS q, round(sum(h), 3) AS h, round(max(eta), 6) AS eta FROM u JOIN p USING (unit_id) GROUP BY ALL")
 def q_synth_bank(spark, sf_dir):
-    """The generated bank: every unit's motor and curve."""
-    u = bank.units(spark)
+    """The bank generated for all suppliers: every unit's motor and curve."""
+    u = bank.units(spark, frame(spark, sf_dir, _MAKERS))
     rows = u.select("unit_id", "maker", F.round("motor_kw", 4).alias("motor_kw"), F.round("motor_eff", 3).alias("motor_eff")).join(bank.points(u), "unit_id").groupBy("unit_id", "maker", "motor_kw", "motor_eff")
     return _r(_r(rows.agg(F.count("*").alias("points"), F.sum("q").alias("q"), F.sum("h").alias("h"), F.max("eta").alias("eta")), "q", "h", digits=3), "eta")
 

@@ -52,11 +52,16 @@ def _ref(column: Column, row: Column) -> Column:
     return F.concat(letters, row.cast("string"))
 
 
-def block(rows: DataFrame, sheet: str, order: str, columns: list[str], row0: int = 1, column0: int = 0) -> DataFrame:
-    """(sheet, ref, value): a table laid out row by row from a corner; `order` numbers rows from 0. Nulls are no cells."""
+def _sheet(sheet: str | Column) -> Column:
+    """A sheet's name: one for all rows, or a column, so that many sheets are laid out in one pass."""
+    return (F.lit(sheet) if isinstance(sheet, str) else sheet).alias("sheet")
+
+
+def block(rows: DataFrame, sheet: str | Column, order: str, columns: list[str], row0: int = 1, column0: int = 0) -> DataFrame:
+    """(sheet, ref, value): a table laid out row by row from a corner; `order` numbers a sheet's rows from 0. Nulls are no cells."""
     cells = F.array(*(F.struct(F.lit(column0 + k).alias("c"), F.col(c).cast("string").alias("value")) for k, c in enumerate(columns)))
-    each = rows.select(F.col(order).alias("r"), F.explode(cells).alias("x")).where("x.value is not null")
-    return each.select(F.lit(sheet).alias("sheet"), _ref(F.col("x.c"), F.col("r") + row0).alias("ref"), "x.value")
+    each = rows.select(_sheet(sheet), F.col(order).alias("r"), F.explode(cells).alias("x")).where("x.value is not null")
+    return each.select("sheet", _ref(F.col("x.c"), F.col("r") + row0).alias("ref"), "x.value")
 
 
 #: Corners of a report's blocks: where a unit's curve, a system's samples and a candidate's figures stand (fixed values of the template).
@@ -74,20 +79,20 @@ def _value(c: Column) -> Column:
     return c.cast("string")
 
 
-def candidate_cells(chosen: DataFrame, sheet: str) -> DataFrame:
+def candidate_cells(chosen: DataFrame, sheet: str | Column) -> DataFrame:
     """(sheet, ref, value): figures of the chosen units, a column each from C on in order of rank (three at most); what a maker does not state is said so. chosen: rank and FIGURES."""
     cells = [
         F.struct(F.lit(row + k).alias("row"), _value(F.coalesce(F.col(c).cast("string"), F.lit(UNKNOWN)) if c in ("mass", "npsh_req") else F.col(c)).alias("value"))
         for block_, row in BLOCKS.items() for k, c in enumerate(FIGURES[block_]) if c in chosen.columns
     ]
-    each = chosen.where(F.col("rank") <= 3).select("rank", F.explode(F.array(*cells)).alias("x")).where("x.value is not null")
-    return each.select(F.lit(sheet).alias("sheet"), _ref(F.col("rank") + 1, F.col("x.row")).alias("ref"), "x.value")
+    each = chosen.where(F.col("rank") <= 3).select(_sheet(sheet), "rank", F.explode(F.array(*cells)).alias("x")).where("x.value is not null")
+    return each.select("sheet", _ref(F.col("rank") + 1, F.col("x.row")).alias("ref"), "x.value")
 
 
-def curve_cells(points: DataFrame, state: DataFrame, sheet: str, column: int) -> DataFrame:
+def curve_cells(points: DataFrame, state: DataFrame, sheet: str | Column, column: int) -> DataFrame:
     """(sheet, ref, value): a curve's speed, frequency, synchronous speed and slip in a row, its points below, from a column on. points: i, q, h, eta, npsh; state: speed, frequency, synchronous, slip."""
-    head = state.select(F.explode(F.array(*(F.struct(F.lit(column + k).alias("c"), _value(F.col(n)).alias("value")) for k, n in enumerate(("speed", "frequency", "synchronous", "slip"))))).alias("x"))
-    top = head.select(F.lit(sheet).alias("sheet"), _ref(F.col("x.c"), F.lit(CURVE_HEAD)).alias("ref"), "x.value")
+    head = state.select(_sheet(sheet), F.explode(F.array(*(F.struct(F.lit(column + k).alias("c"), _value(F.col(n)).alias("value")) for k, n in enumerate(("speed", "frequency", "synchronous", "slip"))))).alias("x"))
+    top = head.select("sheet", _ref(F.col("x.c"), F.lit(CURVE_HEAD)).alias("ref"), "x.value")
     return top.unionByName(block(points, sheet, "i", ["q", "h", "eta", "npsh"], CURVE_ROW, column))
 
 

@@ -31,8 +31,8 @@ def write_atomic(spark: SparkSession, path: str, content: bytes) -> None:
 
 
 def write_result(df: DataFrame, path: str) -> None:
-    """A table as delimited files with a header each; Spark's commit puts them in place."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """A table as delimited files with a header each, quotes within cells doubled and blanks at their ends kept; Spark's commit puts them in place."""
+    df.write.mode("overwrite").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def raw_points(points: DataFrame, calibration: dict[str, Column], x_log: bool = False, y_log: bool = False) -> DataFrame:

@@ -65,3 +65,11 @@ def test_missing_npsh_can_reject(evaluated):
     again = sel.evaluate(evaluated.drop("reasons", "warnings", "feasible", "score", "npsh_status"), c)
     r = again.where("unit_id = 'AN-002' and req_id = 3").first()
     assert not r.feasible and "npsh_missing" in r.reasons and r.warnings == []
+
+
+def test_a_bank_of_any_makers(spark):
+    of = spark.createDataFrame([("X", "S1", 1), ("Y", "S2", 1), ("X", "S3", 0)], "maker string, prefix string, m int")
+    rows = {r.unit_id: r for r in bank.units(spark, of).collect()}
+    fixed = {r.unit_id: r for r in bank.units(spark).collect()}
+    assert len(rows) == 21 and rows["S1-004"].maker == "X"
+    assert all(rows[f"S2-00{k}"][2:] == fixed[f"HV-00{k}"][2:] and rows[f"S3-00{k}"][2:] == fixed[f"AN-00{k}"][2:] for k in range(1, 8))

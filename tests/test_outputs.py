@@ -187,3 +187,15 @@ def test_capture_stages(spark):
     rows = [(1, i, *e, *[None] * (5 - len(e))) for i, e in enumerate([("start",), ("axis", 0.0, 0.0, 1.0, 2.0), ("advance",)])] + [(2, 0, "discard", None, None, None, None)]
     df = spark.createDataFrame(rows, "session long, seq int, kind string, x double, y double, a double, b double")
     assert sorted(tuple(r) for r in capture.sessions(df).collect()) == [(1, 2, 1, 0, 0, ""), (2, 0, 0, 0, 0, "")]
+
+
+def test_results_keep_blanks_quotes_and_nulls(spark, tmp_path):
+    sinks.write_result(spark.createDataFrame([(1, ' a "b", '), (2, None)], "n int, t string").coalesce(1), str(tmp_path / "r"))
+    (part,) = (tmp_path / "r").glob("part-*.csv")
+    assert part.read_text().splitlines() == ["n,t", '1," a ""b"", "', "2,"]
+
+
+def test_cells_of_many_sheets_at_once(spark):
+    pts = spark.createDataFrame([("a", 0, 1.0), ("b", 0, 2.0), ("b", 1, None)], "u string, i int, q double")
+    got = {(r.sheet, r.ref, r.value) for r in reports.block(pts, F.upper("u"), "i", ["q"], 4, 25).collect()}
+    assert got == {("A", "Z4", "1.0"), ("B", "Z4", "2.0")}
