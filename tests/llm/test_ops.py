@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -394,6 +395,24 @@ def test_near_duplicates_against_all_pairs(spark, block):
     assert hamming_dedup.near_duplicates(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("both,own", [(34, 3), (170, 15), (850, 75)])
+def test_recall_at_the_percentage(both, own):
+    """Pairs at 85 percent exactly, by unions of 40, 200 and 1,000 shingles: how many are within the distance, and so share a key."""
+    r, n = random.Random(both), 1500
+    pairs = []
+    for _ in range(n):
+        words = [f"{r.getrandbits(48):x}" for _ in range(both + 2 * own)]
+        pairs += [" ".join(words[: both + own]), " ".join(words[:both] + words[both + own :])]
+    s = hamming_dedup.Sets(pa.array(pairs), 1)
+    assert set(s.size.tolist()) == {both + own}
+    sig, distance = s.signatures(), hamming_dedup.distance_at(85)
+    apart = (sig[::2] != sig[1::2]).sum(1)
+    keys = hamming_dedup.keys(sig, distance)
+    meets = (keys[::2] == keys[1::2]).any(1)
+    assert (apart <= distance).mean() >= 0.999 and meets[apart <= distance].all()
+    assert abs(apart.mean() - 64 * 0.15 * 255 / 256) < 0.4
+
+
 def test_bytes_apart(spark):
     rng = np.random.default_rng(4)
     a = rng.integers(0, 256, (50, 64)).astype(np.uint8)
@@ -762,6 +781,78 @@ def test_pipeline_near_dedup_on_odd_rows(spark):
     assert sorted(((d.doc_id, d.text) for d in out.collect()), key=str) == sorted([(1, x), (1, y), (None, z), (2, w), (4, None), (5, "")], key=str)
 
 
+def odd_documents(spark, rows):
+    """Rows (doc_id, text) under columns whose names clash with those that stages make."""
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clash = ("row", "h1", "h2", "mask", "masks", "carried", "kept", "spans", "component", "lang_pred", "piece", "length", "rep", "n_removed")
+    return docs.withColumns({"lang": F.when(F.col("text").rlike("[a-j]{2}"), "en").when(F.col("text").rlike("[k-t]{2}"), "fr"), "source": F.lit(None).cast("string"), "n_chars": F.length("text").cast("long"), **{c: F.lit("clash") for c in clash}})
+
+
+def told(df):
+    return collections.Counter((d.doc_id, d.text) for d in df.collect())
+
+
+def test_pipeline_language_id_on_odd_rows(spark):
+    import corpus_pipeline as cp
+
+    r = random.Random(12)
+    long = lambda letters, n=60: " ".join("".join(r.choice(letters) for _ in range(r.randint(2, 8))) for _ in range(n))
+    rows = [(i, long("abcdefghij" if i % 2 else "klmnopqrst")) for i in range(30)]
+    rows += [rows[0], rows[0], (None, long("abcdefghij")), (None, None), (3, long("klmnopqrst")), (50, ""), (51, "  7 "), (52, None), (53, long("abcdefghij", 60_000)), (None, "12")]
+    out = cp.language_id(spark, odd_documents(spark, rows), "")
+    assert out.columns == list(cp.COLUMNS)
+    assert told(out) == collections.Counter(x for x in rows if x[1] and re.search("[a-z]", x[1]))
+
+
+def test_pipeline_substring_dedup_on_odd_rows(spark):
+    import corpus_pipeline as cp
+
+    r = random.Random(13)
+    own = lambda n=50: " ".join(f"{r.getrandbits(40):x}" for _ in range(n))
+    passage, a, b, c, huge = own(36), own(), own(), own(), own(60_000)
+    rows = [(None, f"{a} {passage}"), (None, f"{passage} {b}"), (1, c), (1, c), (2, own()), (2, own()), (3, None), (None, None), (4, ""), (5, " \n"), (6, huge), (7, own(34)), (8, passage)]
+    out = cp.substring_dedup(spark, odd_documents(spark, rows), "")
+    assert out.columns == list(cp.COLUMNS)
+    gone = {(1, c), (8, passage)}  # nothing is left of them
+    assert told(out) == collections.Counter([(None, a), (None, b)] + [x for x in rows[2:] if x not in gone])
+    assert all(d.n_chars == (None if d.text is None else len(d.text)) for d in out.collect())
+
+
+def test_pipeline_secrets_on_odd_rows(spark):
+    import corpus_pipeline as cp
+
+    huge = "plain words " * 60_000
+    rows = [(None, "password=abcdef12345 x"), (1, "token: qwerty99"), (1, "token: qwerty99"), (1, "nothing here"), (2, None), (None, None), (3, ""), (4, huge + "secret=zzzzzz9")]
+    out = cp.secrets(spark, odd_documents(spark, rows), "")
+    assert out.columns == list(cp.COLUMNS)
+    got = told(out)
+    assert sum(got.values()) == len(rows) and got[(2, None)] == got[(None, None)] == got[(3, "")] == got[(1, "nothing here")] == 1
+    texts = [t or "" for i, t in got]
+    assert not any(x in t for t in texts for x in ("abcdef12345", "qwerty99", "zzzzzz9")) and sum("[SECRET]" in t for t in texts) == 3
+    assert max(n for (i, t), n in got.items() if i == 1) == 2 and next(t for i, t in got if i == 4).startswith(huge)
+
+
+def test_pipeline_packing_on_odd_rows(spark):
+    import corpus_pipeline as cp
+
+    rows = [(None, "one two three"), (1, "same text"), (1, "same text"), (1, "another one"), (2, None), (3, ""), (4, "many words " * 6_000), (None, None)]
+    out = cp.packing(spark, odd_documents(spark, rows), "").collect()
+    ends = collections.Counter(d.doc_id for d in out if d.piece == 0)
+    assert ends == collections.Counter(i for i, _ in rows)
+    assert sorted(d.length for d in out if d.doc_id in (2, 3)) == [1, 1]
+    big = sorted((d.piece, d.start, d.length) for d in out if d.doc_id == 4)
+    assert len(big) > 2 and all(n == 2048 for _, _, n in big[:-1]) and [s for _, s, _ in big] == [2048 * k for k in range(len(big))]
+    places = collections.defaultdict(list)
+    for d in out:
+        places[d.sequence_id].append((d.offset, d.length))
+    for held in places.values():
+        at = 0
+        for o, n in sorted(held):
+            assert o == at
+            at += n
+        assert at <= 2048
+
+
 def test_pipeline_on_an_empty_table(spark):
     import corpus_pipeline as cp
 
