@@ -94,6 +94,15 @@ def exact_crossings(pairs: DataFrame, static: str, k: str) -> DataFrame:
     return held(rows, **more).drop("_roots", "_n", "_s", "pts", "segs")
 
 
+def _enclosed(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, query, lo, hi): each query with the last point at or before it and the first at or after. rows: keys, at, p (points), query.
+
+    Both frames grow from an end: one that reached from a row to the curve's end would be gone through anew for each row.
+    """
+    back, ahead = (Window.partitionBy(*keys).orderBy(at).rangeBetween(Window.unboundedPreceding, 0) for at in (F.asc("at"), F.desc("at")))
+    return rows.select(*keys, "query", F.last("p", ignorenulls=True).over(back).alias("lo"), F.last("p", ignorenulls=True).over(ahead).alias("hi")).where("query is not null")
+
+
 def interpolate(points: DataFrame, queries: DataFrame, keys: Sequence[str], x: str, ys: Sequence[str], outside: str = "null") -> DataFrame:
     """ys at each query's x. outside: `null`, `clamp` to the end's value, or `flag` (null, with an `outside` column).
 
@@ -102,9 +111,7 @@ def interpolate(points: DataFrame, queries: DataFrame, keys: Sequence[str], x: s
     """
     tagged = points.select(*keys, F.col(x).alias("at"), F.struct(F.col(x).alias("x"), *(F.col(y).alias(y) for y in ys)).alias("p"), F.lit(None).cast("double").alias("query"))
     asked = queries.select(*keys, F.col(x).alias("at"), F.lit(None).cast(tagged.schema["p"].dataType).alias("p"), F.col(x).alias("query"))
-    w = Window.partitionBy(*keys).orderBy("at")
-    back, ahead = w.rangeBetween(Window.unboundedPreceding, 0), w.rangeBetween(0, Window.unboundedFollowing)
-    both = tagged.unionByName(asked).select(*keys, "query", F.last("p", ignorenulls=True).over(back).alias("lo"), F.first("p", ignorenulls=True).over(ahead).alias("hi")).where("query is not null")
+    both = _enclosed(tagged.unionByName(asked), keys)
     q = F.col("query")
 
     def value(y: str) -> Column:
@@ -142,8 +149,7 @@ def resample_pchip(points: DataFrame, queries: DataFrame, keys: Sequence[str], x
     knots = pchip_slopes(points, keys, x, y)
     tagged = knots.select(*keys, F.col(x).alias("at"), F.struct(F.col(x).alias("x"), F.col(y).alias("y"), "d").alias("p"), F.lit(None).cast("double").alias("query"))
     asked = queries.select(*keys, F.col(x).alias("at"), F.lit(None).cast(tagged.schema["p"].dataType).alias("p"), F.col(x).alias("query"))
-    w = Window.partitionBy(*keys).orderBy("at")
-    both = tagged.unionByName(asked).select(*keys, "query", F.last("p", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0)).alias("lo"), F.first("p", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing)).alias("hi")).where("query is not null")
+    both = _enclosed(tagged.unionByName(asked), keys)
     h = F.col("hi.x") - F.col("lo.x")
     t = (F.col("query") - F.col("lo.x")) / h
     hermite = (1 + 2 * t) * F.pow(1 - t, F.lit(2.0)) * F.col("lo.y") + t * F.pow(1 - t, F.lit(2.0)) * h * F.col("lo.d") + t * t * (3 - 2 * t) * F.col("hi.y") + t * t * (t - 1) * h * F.col("hi.d")
