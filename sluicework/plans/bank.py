@@ -36,12 +36,12 @@ def units(spark: SparkSession, of: DataFrame | None = None) -> DataFrame:
     )
 
 
-def points(units_: DataFrame, steps: int = 31) -> DataFrame:
-    """(unit_id, i, q, h, eta, npsh) of each unit."""
+def points(units_: DataFrame, steps: int = 31, also: tuple[str, ...] = ()) -> DataFrame:
+    """(unit_id, i, q, h, eta, npsh) of each unit, and those of its columns that are named, so that no join brings them back."""
     x = F.col("i") * 0.05
-    rows = units_.select("unit_id", "qbep", "hbep", "etabep", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("i"))
+    rows = units_.select("unit_id", *also, "qbep", "hbep", "etabep", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("i"))
     npsh = F.when(~F.col("unit_id").isin(*WITHOUT_NPSH), F.round(0.35 + 0.75 * x + 1.10 * x * x, 6))
-    return rows.select("unit_id", "i", F.round(F.col("qbep") * x, 6).alias("q"), F.round(F.col("hbep") * (1.35 - 0.35 * x * x), 6).alias("h"), F.round(F.col("etabep") * F.greatest(F.lit(0.0), 1 - (x - 1) * (x - 1)), 9).alias("eta"), npsh.alias("npsh"))
+    return rows.select("unit_id", *also, "i", F.round(F.col("qbep") * x, 6).alias("q"), F.round(F.col("hbep") * (1.35 - 0.35 * x * x), 6).alias("h"), F.round(F.col("etabep") * F.greatest(F.lit(0.0), 1 - (x - 1) * (x - 1)), 9).alias("eta"), npsh.alias("npsh"))
 
 
 def abacus(units_: DataFrame, pts: DataFrame, criteria, flows=(3, 5, 8, 12, 20, 35, 60, 90), heads=(40, 35, 30, 25, 20, 15, 10)) -> DataFrame:

@@ -407,9 +407,10 @@ _BANK = (
 
 @query(_BANK + "SELECT u.unit_id, maker, round(motor_kw, 4) AS motor_kw, round(motor_eff, 3) AS motor_eff, CAST(count(*) AS BIGINT) AS points, round(sum(q), 3) AS q, round(sum(h), 3) AS h, round(max(eta), 6) AS eta FROM u JOIN p USING (unit_id) GROUP BY ALL")
 def q_synth_bank(spark, sf_dir):
-    """The bank generated for all suppliers: every unit's motor and curve."""
-    u = bank.units(spark, frame(spark, sf_dir, _MAKERS))
-    rows = u.select("unit_id", "maker", F.round("motor_kw", 4).alias("motor_kw"), F.round("motor_eff", 3).alias("motor_eff")).join(bank.points(u), "unit_id").groupBy("unit_id", "maker", "motor_kw", "motor_eff")
+    """The bank generated for all suppliers: every unit's motor and curve. Units are dealt to all tasks before their points are made, and summed where they are."""
+    u = bank.units(spark, frame(spark, sf_dir, _MAKERS)).withColumns({"motor_kw": F.round("motor_kw", 4), "motor_eff": F.round("motor_eff", 3)})
+    dealt = u.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "unit_id")
+    rows = bank.points(dealt, also=("maker", "motor_kw", "motor_eff")).groupBy("unit_id", "maker", "motor_kw", "motor_eff")
     return _r(_r(rows.agg(F.count("*").alias("points"), F.sum("q").alias("q"), F.sum("h").alias("h"), F.max("eta").alias("eta")), "q", "h", digits=3), "eta")
 
 

@@ -73,3 +73,13 @@ def test_a_bank_of_any_makers(spark):
     fixed = {r.unit_id: r for r in bank.units(spark).collect()}
     assert len(rows) == 21 and rows["S1-004"].maker == "X"
     assert all(rows[f"S2-00{k}"][2:] == fixed[f"HV-00{k}"][2:] and rows[f"S3-00{k}"][2:] == fixed[f"AN-00{k}"][2:] for k in range(1, 8))
+
+
+def test_points_are_summed_with_their_units(spark, sf_dir):
+    from sluicework.plans import curve_queries as cq
+
+    rows = cq.q_synth_bank(spark, sf_dir)
+    assert "Join" not in rows._jdf.queryExecution().optimizedPlan().toString()  # points that go through the driver grow with the makers
+    u = bank.units(spark)
+    held = bank.points(u, also=("maker", "size"))
+    assert held.columns == ["unit_id", "maker", "size", "i", "q", "h", "eta", "npsh"] and held.join(u, ["unit_id", "maker", "size"]).count() == 651
