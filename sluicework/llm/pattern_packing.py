@@ -90,7 +90,7 @@ class WordTable:
             self.clear()
         new = [c for c in chunks if c not in self.at]
         # a word and the stops behind it are tokenized apart, so that they share entries
-        cores = {c: k for c in new if (k := c.rstrip(".,")) != c and k[-1:].isalnum()}
+        cores = {c: k for c in new if (k := c.rstrip(_STOPS)) != c and k[-1:].isalnum()}
         alone = {*(c for c in new if c not in cores), *(x for c, k in cores.items() for x in (k, c[len(k) :]) if x not in self.at)}
         plain = [c for c in alone if _PLAIN.fullmatch(c)]
         self._plain(plain)
@@ -111,7 +111,7 @@ class WordTable:
 
     def batch(self, ts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts with a closing id each, where each text ends)."""
-        parts = [(t.lower() if _latin(t) else t).split(" ") for t in ts]
+        parts = [(t.lower() if _latin(t) else t).replace("\n", " ").split(" ") for t in ts]
         self.learn(set().union(*parts))
         at = self.at.__getitem__
         codes = array("q")
@@ -124,6 +124,8 @@ class WordTable:
         return flat.astype("<u4"), total[ends]
 
 
+#: Marks that a run of letters or digits ends at, in this tokenizer's split; an apostrophe may belong to what follows it.
+_STOPS = ".,;:!?*#%&$"
 #: Lower-case letters of Latin-1.
 _PLAIN = re.compile("[a-zß-öø-ÿ]+")
 

@@ -196,6 +196,20 @@ def test_words_are_tokenized_as_the_library_does():
         begin = end
 
 
+def test_breaks_and_marks_end_a_word_of_the_table():
+    from tokenizers import Tokenizer
+
+    path = pattern_packing.vocabulary_path()
+    lib, table = Tokenizer.from_file(path), pattern_packing.WordTable(path)
+    ts = ["alpha.\nbeta gamma***", "alpha%%% it's***\nit's 7&&& x²!?", "'s&& e\u0301** <|endoftext|>##\n\n$$", "a\r\nb\u0085c;: d'*' \n\u0301e", "\n", "***"]
+    flat, ends = table.batch(ts)
+    begin = 0
+    for t, end in zip(ts, ends.tolist(), strict=True):
+        assert flat[begin:end].tolist() == [*lib.encode(t, add_special_tokens=False).ids, 0], t
+        begin = end
+    assert not any("\n" in w for w in table.at) and {"alpha", "beta", "gamma", "***", "%%%"} <= set(table.at)
+
+
 def test_nnls_against_projected_descent():
     rng = np.random.default_rng(3)
     a, y = np.abs(rng.normal(size=(12, 20))), np.abs(rng.normal(size=12))
