@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import curves, hydraulics as hy
+from .curves import SENT_REQUESTS, against
 
 
 @dataclass(frozen=True)
@@ -46,21 +47,6 @@ def paired(a: DataFrame, b: DataFrame, key: str, buckets: int | None = None) ->
     return left.join(b.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")), "_bucket").drop("_bucket")
 
 
-#: Requests, counted, that are sent to every task as they are; beyond, they are dealt to buckets of about so many.
-SENT_REQUESTS = 20_000
-
-
-def against(rows: DataFrame, requests: DataFrame, key: str, condition: Column, sent: int = SENT_REQUESTS) -> DataFrame:
-    """The pairs of rows and requests that meet a condition. Rows stay where they are dealt while the requests are few enough to be sent to all tasks; else both meet in buckets of requests, whose number follows their count."""
-    n = requests.count()
-    if n <= sent:
-        return rows.join(F.broadcast(requests), condition)
-    buckets = -(-n // sent)
-    left = rows.withColumn("_bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
-    right = requests.withColumn("_of", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-    return left.join(right, (F.col("_bucket") == F.col("_of")) & condition).drop("_bucket", "_of")
-
-
 def exact_crossings(points: DataFrame, requests: DataFrame, static: str, k: str, tolerance: float = 1e-9, sent: int = SENT_REQUESTS) -> DataFrame:
     """(unit_id, the requests' columns, found, crossings, q: the least, head, eta, npsh, note) for each unit and request: where the curve's segments meet static + k q^2, each within a tolerance of its segment.
 

@@ -91,19 +91,20 @@ _SEG = """WITH s AS (SELECT unit_id, q, eta, npsh, h, lead(q) OVER w AS q1, lead
 
 
 def _ask(spark, sf_dir):
-    return sel.paired(view(spark, sf_dir, "unit").select("unit_id"), view(spark, sf_dir, "request").select("req_id", F.col("qref").alias("q")), "req_id").drop("req_id")
+    """The flow of each request, one row a request."""
+    return view(spark, sf_dir, "request").select(F.col("qref").alias("q"))
 
 
 @query(_SEG + """SELECT a.unit_id, round(x, 6) AS q, round(h + CASE WHEN x = q OR q1 IS NULL THEN 0e0 ELSE (h1 - h) * ((x - q) / (q1 - q)) END, 6) AS h, round(CASE WHEN x = q OR q1 IS NULL THEN npsh ELSE npsh + (npsh1 - npsh) * ((x - q) / (q1 - q)) END, 6) AS npsh
  FROM a JOIN s ON a.unit_id = s.unit_id AND x >= q AND (x < q1 OR q1 IS NULL)""")
 def q_interp_linear(spark, sf_dir):
     """Values at each request's flow, held at the ends."""
-    return _r(curves.interpolate(view(spark, sf_dir, "curve_pt"), _ask(spark, sf_dir), ["unit_id"], "q", ["h", "npsh"], "clamp"), "q", "h", "npsh")
+    return _r(curves.interpolate_all(view(spark, sf_dir, "curve_pt"), _ask(spark, sf_dir), ["unit_id"], "q", ["h", "npsh"], "clamp"), "q", "h", "npsh")
 
 
 @query(_SEG + """SELECT a.unit_id, round(x, 6) AS q, round(CASE WHEN x > qmax THEN NULL WHEN x = q THEN h ELSE h + (h1 - h) * ((x - q) / (q1 - q)) END, 6) AS h, x > qmax AS outside FROM a JOIN s ON a.unit_id = s.unit_id AND x >= q AND (x < q1 OR q1 IS NULL)""")
 def q_interp_strict(spark, sf_dir):
-    return _r(curves.interpolate(view(spark, sf_dir, "curve_pt"), _ask(spark, sf_dir), ["unit_id"], "q", ["h"], "flag"), "q", "h")
+    return _r(curves.interpolate_all(view(spark, sf_dir, "curve_pt"), _ask(spark, sf_dir), ["unit_id"], "q", ["h"], "flag"), "q", "h")
 
 
 _SERIES = """WITH pts AS (SELECT curve, x, y, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM series WINDOW w AS (PARTITION BY curve ORDER BY x)),
@@ -145,7 +146,7 @@ def q_grid_incomplete(spark, sf_dir):
  SELECT unit_id, round(q, 6) AS q, round((1e0 + 2e0 * t) * pow(1e0 - t, 2) * y + t * pow(1e0 - t, 2) * h * d + t * t * (3e0 - 2e0 * t) * y1 + t * t * (t - 1e0) * h * d1, 6) AS h FROM m""")
 def q_resample_pchip(spark, sf_dir):
     """Heads at each request's flow by the monotone cubic."""
-    return _r(curves.resample_pchip(view(spark, sf_dir, "curve_pt"), _ask(spark, sf_dir), ["unit_id"], "q", "h"), "q", "h")
+    return _r(curves.resample_pchip_all(view(spark, sf_dir, "curve_pt"), _ask(spark, sf_dir), ["unit_id"], "q", "h"), "q", "h")
 
 
 _SCALE = "least(1e0, greatest(0e0, 1e0 - (1e0 - eta) * pow(0.8e0, -0.1e0)))"

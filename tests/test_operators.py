@@ -256,3 +256,28 @@ def test_cases(spark):
     listed = spark.createDataFrame([(1, "u"), (1, "u"), (2, "u")], "req_id int, unit_id string")
     asked = spark.createDataFrame([(1,), (2,), (3,)], "req_id int")
     assert {tuple(r) for r in val.manual_lists(asked, listed).collect()} == {(1, "duplicate"), (3, "empty")}
+
+
+def test_all_curves_at_all_values_as_by_pairs(spark):
+    from pyspark.sql import functions as F
+
+    pts = spark.createDataFrame([(1, 0.0, 5.0), (1, 1.0, None), (1, 2.0, 4.0), (1, 4.0, 1.0), (2, 1.0, 7.0), (3, None, 2.0), (3, 1.0, 3.0), (3, 3.0, 6.0)], "u int, x double, y double")
+    at = spark.createDataFrame([(v,) for v in (-1.0, 0.0, 0.5, 1.0, 1.5, 2.0, 3.0, 4.0, 9.0, None)], "x double")
+    pairs = pts.select("u").distinct().crossJoin(at)
+    fine = pts.where("x is not null")
+    told = lambda df: sorted(map(tuple, df.where("x is not null").collect()), key=str)
+    for outside in ("null", "clamp", "flag"):
+        want = told(curves.interpolate(fine, pairs, ["u"], "x", ["y"], outside))
+        for sent in (100, 3):  # sent to all tasks, and dealt to buckets
+            found = curves.interpolate_all(pts, at, ["u"], "x", ["y"], outside, sent)
+            assert told(found) == want and len(want) == 27
+    full = fine.where("u <> 1 or x <> 1").withColumn("y", F.coalesce("y", F.lit(0.0)))
+    assert told(curves.resample_pchip_all(full, at, ["u"], "x", "y")) == told(curves.resample_pchip(full, pairs, ["u"], "x", "y"))
+
+
+def test_interpolation_sorts_no_pairs(spark, sf_dir):
+    from sluicework.plans import curve_queries as cq
+
+    for q in (cq.q_interp_linear, cq.q_interp_strict, cq.q_resample_pchip):
+        plan = q(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Union" not in plan and plan.index("Join") < plan.index("Window")  # windows are over curves alone, below the join
