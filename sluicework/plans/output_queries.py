@@ -64,7 +64,8 @@ def q_profile_file(spark, sf_dir):
     """Curves written in a profile's marks, semicolons and decimal commas, and read again as text."""
     path = scratch(spark)
     profile = profiles.Profile(("Q", "H", "Eta1", "NPSH"), ";", ",")
-    profiles.write_csv(view(spark, sf_dir, "curve_pt").select(*(F.expr(v).alias(c) for c, v in _SHOWN.items())), path, profile)
+    points = view(spark, sf_dir, "curve_pt").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "unit_id")  # a table of units is one task's; numbers as text are not made there
+    profiles.write_csv(points.select(*(F.expr(v).alias(c) for c, v in _SHOWN.items())), path, profile)
     rows = spark.read.option("header", True).option("sep", ";").schema("Q string, H string, Eta1 string, NPSH string").csv(path)
     return rows.select(*(F.coalesce(h, F.lit("")).alias(c) for h, c in zip(profile.headers, _SHOWN, strict=True)))
 

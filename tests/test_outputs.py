@@ -199,3 +199,24 @@ def test_cells_of_many_sheets_at_once(spark):
     pts = spark.createDataFrame([("a", 0, 1.0), ("b", 0, 2.0), ("b", 1, None)], "u string, i int, q double")
     got = {(r.sheet, r.ref, r.value) for r in reports.block(pts, F.upper("u"), "i", ["q"], 4, 25).collect()}
     assert got == {("A", "Z4", "1.0"), ("B", "Z4", "2.0")}
+
+
+def test_curves_are_written_by_the_stated_number_of_tasks(spark, sf_dir, monkeypatch):
+    from pathlib import Path
+
+    from sluicework.plans import document_queries as dq, output_queries as oq
+    from sluicework.sources import files
+
+    seen = {}
+    write, read = oq.profiles.write_csv, files.curves
+    monkeypatch.setattr(oq.profiles, "write_csv", lambda df, path, p: (seen.update(parts=df.rdd.getNumPartitions()), write(df, path, p))[1])
+    monkeypatch.setattr(files, "curves", lambda s, path: (seen.update(path=path), read(s, path))[1])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        assert oq.q_profile_file(spark, sf_dir).count() == dq.view(spark, sf_dir, "curve_pt").count() and seen["parts"] == 3
+        dq.q_scan_curves(spark, sf_dir)
+        tasks = {f.name[:10] for f in Path(seen["path"]).rglob("part-*.csv")}
+        assert tasks <= {"part-00000", "part-00001", "part-00002"} and len(tasks) > 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
