@@ -67,3 +67,45 @@ def test_the_store_setting_comes_back(spark):
     with capture.with_lists(spark):
         assert "RocksDB" in spark.conf.get(name)
     assert spark.conf.get(name, None) == before
+
+
+def test_a_new_session_asks_for_no_lists():
+    import pandas as pd
+
+    from sluicework.streaming import capture
+
+    class Value:
+        value = None
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def update(self, v):
+            self.value = v
+
+    class Held:
+        value, asked = None, 0
+
+        def exists(self):
+            self.asked += 1
+            return bool(self.value)
+
+        def get(self):
+            return self.value
+
+        def put(self, v):
+            self.value = v
+
+        def clear(self):
+            self.value = None
+
+    p = capture.KeptCapture()
+    p.flow, p.lists = Value(), {n: Held() for n in ("axes", "points", "undone")}
+    none = float("nan")
+    rows = pd.DataFrame([(2, "point", 5.0, 0.0, none, none), (1, "duplicate", none, none, none, none)], columns=["seq", "kind", "x", "y", "a", "b"])
+    told = next(iter(p.handleInputRows((7,), iter([rows.iloc[:1], rows.iloc[1:]]), None)))
+    assert (told.session[0], told.events[0], told.points[0], told.last_x[0]) == (7, 2, 1, 5.0) and told.last_y.dtype == "float64"
+    assert not any(h.asked for h in p.lists.values()) and p.lists["points"].value == [(5.0, 0.0)]
