@@ -26,19 +26,20 @@ def _table() -> tuple[tuple[str, str], dict[str, str]]:
     return ("".join(single), "".join(single.values())), {c: p for c, p in several.items() if p}
 
 
-def _class(chars: str) -> str:
-    return "[" + "".join(f"\\x{{{ord(c):x}}}" for c in chars) + "]"
-
-
 def ascii_folded(c: Column) -> Column:
     """The ASCII characters of a text's compatibility decomposition (NFKD), in order; what has none goes. Null stays null.
 
-    Texts of ASCII alone stay as they are; characters that become one are exchanged at once; only a text in which others are left after that is looked at character by character.
+    Texts of ASCII alone stay as they are; characters that become one are exchanged at once. Of those that become several, each that a text holds is exchanged throughout it; what is left then goes.
     """
     (of, to), several = _table()
-    singles = F.translate(c, of, to)
-    left = F.regexp_replace(singles, r"[\x00-\x7F]+", "")
     table = F.from_json(F.lit(json.dumps(several)), "map<string,string>")
-    spread = F.array_join(F.transform(F.split(singles, ""), lambda x: F.when(x < "\x80", x).otherwise(F.coalesce(F.try_element_at(table, x), F.lit("")))), "")
-    mixed = F.when(F.regexp_like(left, F.lit(_class("".join(several)))), spread).otherwise(F.regexp_replace(singles, r"[^\x00-\x7F]+", ""))
-    return F.when(F.regexp_like(c, F.lit(r"[^\x00-\x7F]")), mixed).otherwise(c)
+    once = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
+
+    def folded(text: Column) -> Column:
+        left = F.regexp_replace(text, r"[\x00-\x7F]+", "")
+        return once(left, lambda odd: F.when(odd == "", text).otherwise(F.regexp_replace(F.when(F.translate(odd, "".join(several), "") == odd, text).otherwise(spread(text, odd)), r"[^\x00-\x7F]+", "")))
+
+    def spread(text: Column, odd: Column) -> Column:
+        return F.aggregate(F.array_distinct(F.split(odd, "")), text, lambda done, x: once(F.try_element_at(table, x), lambda plain: F.when(plain.isNull(), done).otherwise(F.replace(done, x, plain))))
+
+    return F.when(F.regexp_like(c, F.lit(r"[^\x00-\x7F]")), once(F.translate(c, of, to), folded)).otherwise(c)

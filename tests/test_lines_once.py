@@ -40,3 +40,24 @@ def test_characters_beyond_the_first_plane(spark):
     for text in ("", "aé_9 - ½ß", "\U00010400\U0001d7d8\U0001f600 x́"):
         want = sum(c == "_" or c.isalpha() or c.isnumeric() for c in text)
         assert one(spark, qa.characters(F.lit(text))) == want
+
+
+def test_cleaning_in_one_pass(spark):
+    text = "The end\n  \nword-\n  part  of\tit \n1.2 Title  here\n| a  b |\nThe <!-- p.1 --> stays\x1f\n\n\n\nx supor y\n"
+    rows = spark.createDataFrame([(text,), (None,), ("",)], "t string")
+    parts = qa.cleaned(F.col("t"), ("^The ",), ("supor",))
+    told = [tuple(r) for r in rows.select("t", *(v.alias(k) for k, v in parts.items())).collect()]
+    assert [tuple(r) for r in qa.with_cleaned(rows, "t", ("^The ",), ("supor",)).collect()] == told
+    assert told[0][1:] == ("wordpart of\tit\n### 1.2 Title here\n| a  b |\nThe <!-- p.1 --> stays\n\nx y\n", 11, 1, 1)
+    plan = qa.with_cleaned(rows, "t", ("^The ",))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("split(") == 3  # the text, what stays of it, and the number of a title
+
+
+def test_names_of_files(spark):
+    name = lambda t: one(spark, F.struct(tx.file_slug(F.lit(t).cast("string")).alias("a"), tx.safe_name(F.lit(t).cast("string")).alias("b"), tx.slug(F.lit(t).cast("string")).alias("c")))
+    assert tuple(name("¿½ ﬁm… Ωé—ﬀ?")) == ("½_ﬁm_Ωé_ﬀ", "12-fim...-eff", "12-fim.-eff")
+    assert tuple(name(None)) == ("file", "selecao", None) and tuple(name(" ?! ")) == ("file", "selecao", "")
+    long = "ab " * 30 + "! " * 2000
+    assert name(long)["a"] == ("ab_" * 27)[:80] and name("a" + " _" * 900)["a"] == "a" and name("a" + "_" * 3000 + "b")["a"] == "a" + "_" * 79
+    assert name("? " * 900 + "end")["a"] == "end" and name("\U00010400" * 90)["a"] == "\U00010400" * 80
+    assert spark.range(1).select(tx.safe_name(F.lit("é")).alias("x"))._jdf.queryExecution().analyzed().toString().count("translate(") == 2  # the exchange, and the look for characters that become several
