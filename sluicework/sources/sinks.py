@@ -63,12 +63,13 @@ def _file_slug(name: str) -> str:
 
 
 def write_raw(points: DataFrame, folder: str, p: profiles.Profile) -> None:
-    """Raw points (`raw_points`), a folder a curve, in the marks of a profile."""
+    """Raw points (`raw_points`), a folder a curve, in the marks of a profile. They are whole once the folder has its `_SUCCESS`."""
     cells = [profiles.number(F.col(c), p.decimal).alias(c) for c in ("px", "py", "X", "Y")]
     named = F.concat_ws("_", tx.file_slug(F.col("name")), F.left(F.col("curve").cast("string"), F.lit(8)), F.lit("raw"))
     tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a stated number is not lowered where rows are few: opening files is what takes the time
     rows = points.select(named.alias("file"), "i", *cells).repartition(tasks, "file").sortWithinPartitions("file", "i").drop("i")
-    rows.write.mode("overwrite").partitionBy("file").option("header", True).option("sep", p.delimiter).option("emptyValue", "").csv(folder)
+    moved = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}  # tasks put their own folders in place; else the driver moves all of them, one after the other, at the end
+    rows.write.mode("overwrite").options(**moved).partitionBy("file").option("header", True).option("sep", p.delimiter).option("emptyValue", "").csv(folder)
 
 
 def rename_log(plan: DataFrame, partial: DataFrame) -> DataFrame:

@@ -61,3 +61,16 @@ def test_names_of_files(spark):
     assert name(long)["a"] == ("ab_" * 27)[:80] and name("a" + " _" * 900)["a"] == "a" and name("a" + "_" * 3000 + "b")["a"] == "a" + "_" * 79
     assert name("? " * 900 + "end")["a"] == "end" and name("\U00010400" * 90)["a"] == "\U00010400" * 80
     assert spark.range(1).select(tx.safe_name(F.lit("é")).alias("x"))._jdf.queryExecution().analyzed().toString().count("translate(") == 2  # the exchange, and the look for characters that become several
+
+
+def test_raw_folders_are_put_in_place_by_tasks(spark, tmp_path, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    from sluicework.sources import profiles, sinks
+
+    asked, options = {}, DataFrameWriter.options
+    monkeypatch.setattr(DataFrameWriter, "options", lambda self, **o: (asked.update(o), options(self, **o))[1])
+    rows = spark.createDataFrame([(c, f"C {c}", i, 1.0 * i, 2.0, 3.0, 4.0) for c in ("a", "b", "c") for i in range(2)], "curve string, name string, i int, px double, py double, X double, Y double")
+    sinks.write_raw(rows, str(tmp_path / "out"), profiles.Profile(("px", "py", "X", "Y")))
+    assert asked["mapreduce.fileoutputcommitter.algorithm.version"] == "2" and (tmp_path / "out" / "_SUCCESS").exists()
+    assert sorted(f.name for f in (tmp_path / "out").iterdir() if f.is_dir()) == [f"file=C_{c}_{c}_raw" for c in "abc"]
