@@ -232,11 +232,12 @@ def test_curves_are_scanned_a_lot_of_folders_at_a_time(spark, sf_dir, monkeypatc
     folders, read = [], files.curves
     monkeypatch.setattr(files, "LOT", 3)
     monkeypatch.setattr(files, "curves", lambda s, path: (folders.append({f.name for f in Path(path).glob("unit=*")}), read(s, path))[1])
-    listed = spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    kept = ("spark.sql.sources.parallelPartitionDiscovery.parallelism", "spark.sql.hive.filesourcePartitionFileCacheSize")
+    set_before = [spark.conf.get(name) for name in kept]
     assert sorted(dq.q_scan_curves(spark, sf_dir).collect()) == whole
     assert 1 < len(folders) <= -(-len(whole) // 3) and max(map(len, folders)) < len(whole)  # no reading lists all folders
     assert sorted(n for lot in folders for n in lot) == sorted(f"unit={r.unit}" for r in whole)  # each folder is read, once
-    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == listed
+    assert [spark.conf.get(name) for name in kept] == set_before
     spark.read.parquet(f"{sf_dir}/supplier.parquet").where("false").write.parquet(f"{tmp_path}/supplier.parquet")
     spark.read.parquet(f"{sf_dir}/nation.parquet").write.parquet(f"{tmp_path}/nation.parquet")
     assert dq.q_scan_curves(spark, str(tmp_path)).collect() == []
